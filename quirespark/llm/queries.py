@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .mixing import mix
 from .shared import table
 from .token_counts import token_counts
+from .toxicity import fit_severity, severity
 
 PIECES = "piece_bpe_32k.model"
 
@@ -27,10 +28,17 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = fit_severity(documents, table(spark, sf_dir, "labels"))
+    return severity(documents.select("doc_id", "text"), model).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_mix_sources": op3_mix_sources,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_toxicity": op6_toxicity,
 }
 SQL: dict[str, str] = {
     "op5_exact_dedup": r"""
