@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
 from .mixing import mix
+from .quality import fit_quality, quality_scores
 from .shared import table
 from .token_counts import token_counts
 from .toxicity import fit_severity, severity
@@ -34,11 +35,17 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return severity(documents.select("doc_id", "text"), model).drop("text")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return quality_scores(documents, fit_quality(documents, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_mix_sources": op3_mix_sources,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_toxicity": op6_toxicity,
+    "op7_quality": op7_quality,
 }
 SQL: dict[str, str] = {
     "op5_exact_dedup": r"""
