@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
+from .fingerprints import fingerprints
 from .mixing import mix
 from .quality import fit_quality, quality_scores
 from .shared import table
@@ -40,12 +41,17 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(documents, fit_quality(documents, table(spark, sf_dir, "labels")))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_mix_sources": op3_mix_sources,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_quality": op7_quality,
+    "op8_fingerprints": op8_fingerprints,
 }
 SQL: dict[str, str] = {
     "op5_exact_dedup": r"""
