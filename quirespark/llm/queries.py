@@ -15,6 +15,7 @@ from .quality import fit_quality, quality_scores
 from .shared import table
 from .token_counts import token_counts
 from .toxicity import fit_severity, severity
+from .unigram import encode
 
 PIECES = "piece_bpe_32k.model"
 
@@ -23,6 +24,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -52,6 +57,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_mix_sources": op3_mix_sources,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_toxicity": op6_toxicity,
