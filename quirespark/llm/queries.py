@@ -16,6 +16,7 @@ from .shared import table
 from .token_counts import token_counts
 from .toxicity import fit_severity, severity
 from .unigram import encode
+from .warc import read_warc, write_warc
 
 PIECES = "piece_bpe_32k.model"
 
@@ -51,6 +52,10 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_warc(write_warc(table(spark, sf_dir, "pages")))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), size=4)
 
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_quality": op7_quality,
     "op8_fingerprints": op8_fingerprints,
+    "op9_warc": op9_warc,
     "op10_near_dedup": op10_near_dedup,
 }
 SQL: dict[str, str] = {
@@ -70,6 +76,10 @@ SQL: dict[str, str] = {
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY t)""",
+    "op9_warc": r"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS t, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages),
+        m AS (SELECT *, CASE WHEN n >= 1000 THEN nullif(max(page_id) OVER (PARTITION BY t), page_id) END AS r FROM p)
+        SELECT page_id, n AS payload_bytes, sha1(t) AS payload_digest, CASE WHEN r IS NULL THEN 'response' ELSE 'revisit' END AS record_type, r AS refers_to FROM m""",
     "op10_near_dedup": r"""
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
