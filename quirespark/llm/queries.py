@@ -13,6 +13,7 @@ from .mixing import mix
 from .near_dedup import near_dedup
 from .quality import fit_quality, quality_scores
 from .shared import table
+from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
 from .toxicity import fit_severity, severity
 from .unigram import encode
@@ -33,6 +34,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -60,16 +65,24 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), size=4)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_mix_sources": op3_mix_sources,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_quality": op7_quality,
     "op8_fingerprints": op8_fingerprints,
     "op9_warc": op9_warc,
     "op10_near_dedup": op10_near_dedup,
+    "pipeline": pipeline,
 }
 SQL: dict[str, str] = {
     "op5_exact_dedup": r"""
