@@ -10,6 +10,7 @@ from ..operators import compare as C
 from ..operators import ordered as O
 from ..operators import styles as S
 from ..operators import text as T
+from ..sources.packages import html_node_counts as count_nodes
 from ..sources.tables import table
 
 ORDER = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus"
@@ -124,6 +125,10 @@ def fingerprint_groups(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("fingerprint")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
 
 
+def html_node_counts(spark, sf_dir):
+    return count_nodes(table(spark, sf_dir, "pages"))
+
+
 def word_diff(spark, sf_dir):
     from ..sources.tables import paragraphs
 
@@ -136,7 +141,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         *map(_above, ("sum", "avg", "count", "max", "min")), sum_left, table_text, merge_cells_vertical, merge_cells_horizontal, max_nest_depth, style_chain, comment_replies, comment_roots, next_id, orphan_numbering,
-        bullet_list_detect, relationship_resolve, unit_convert, part_compare, part_coverage, part_hash, fingerprint_groups, word_diff,
+        bullet_list_detect, relationship_resolve, unit_convert, part_compare, part_coverage, part_hash, fingerprint_groups, word_diff, html_node_counts,
     )
 }
 
