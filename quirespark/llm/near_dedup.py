@@ -6,7 +6,8 @@ halves differ; the chance of that is at most 2 (1 - J ** ROWS) ** SIDE: 1e-5 at
 
 Candidates are verified on full sets. First every member of a bucket is held against the bucket's least member; what
 that links is joined into components. Then, in buckets that still hold several components, members of different
-components are held against each other, in blocks of bounded size. Links inside a component would change nothing.
+components are held against each other where their rarest shingles allow a link. Links inside a component would
+change nothing.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -30,7 +31,6 @@ PERCENT = 80
 SHARE_ROWS = 1000
 BLOCK_ROWS = 2000
 CHUNK = 8192
-LEAST_AGREEING = HASHES // 2  # of the minhashes: fewer at a likeness of 0.8 has a chance below 1e-6
 _SEEDS = mix64(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 MULTIPLIERS, SHIFTS = (_SEEDS[:HASHES] | np.uint64(1))[:, None], _SEEDS[HASHES:, None]
 
@@ -147,31 +147,42 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(compare, "a long, b long")
 
 
-def across(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of bucket mates in different components that may be linked: by set sizes, and by minhashes that agree.
+def across(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that may be linked, among the nodes of buckets that hold several components.
 
-    A large bucket is dealt out as pairs of blocks of about BLOCK_ROWS members.
+    Exact filters leave few: let a set's shingles stand from the rarest to the most frequent among these nodes. Two linked
+    sets share at least o = percent / (100 + percent) * (n_a + n_b) shingles, so the first they share stands at place
+    n_a - o at most in one and n_b - o in the other. Only such early shingles are compared, each with its place.
+    Many nodes with one early shingle are dealt out as pairs of blocks of about BLOCK_ROWS.
     """
     named = members.join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("_blocks")).where("_low <> _high").select("key", "_blocks")
-    open_ = named.join(mixed, "key").withColumn("_block", F.pmod(F.xxhash64("node"), "_blocks").cast("int"))
-    open_ = open_.select("key", "node", "label", "_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
-    open_ = open_.select("key", F.least("_block", "_other").alias("_x"), F.greatest("_block", "_other").alias("_y"), "_block", "node", "label")
-    open_ = open_.join(nodes.select(F.col("node").alias("_node"), "n", "_minhashes"), F.col("node") == F.col("_node")).select("key", "_x", "_y", "_block", "node", "label", "n", "_minhashes")
+    mixed = named.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high").select("key")
+    open_ = named.join(mixed, "key").select(F.col("node").alias("_node"), "label").distinct()
 
-    def emit(at, rows) -> pa.RecordBatch:
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(k, 500) for k in range(0, batch.num_rows, 500)):
+                data = part.column(2).to_pylist()
+                sizes = np.array([len(x) // 8 for x in data])
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(part.column(k).to_numpy(), sizes)) for k in range(2)), pa.array(np.frombuffer(b"".join(data), np.int64))], ["node", "label", "g"])
+
+    rows = sets.join(open_, F.col("node") == F.col("_node")).select("node", "label", "set").mapInArrow(spread, "node long, label long, g long")
+    rows = rows.withColumn("f", F.count("*").over(Window.partitionBy("g")))
+    rows = rows.withColumn("i", F.row_number().over(Window.partitionBy("node").orderBy("f", "g")) - 1).withColumn("n", F.count("*").over(Window.partitionBy("node")))
+    early = written(rows.where((F.col("f") > 1) & (100 * F.col("i") <= (100 - percent) * F.col("n"))).select("g", "node", "label", F.col("i").cast("long").alias("i"), "n"), "near-early")
+    blocks = early.groupBy("g").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("_blocks")).where("_low <> _high").select(F.col("g").alias("_g"), "_blocks")
+    dealt = early.join(blocks, F.col("g") == F.col("_g")).withColumn("_block", F.pmod(F.xxhash64("node"), "_blocks").cast("int"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
+    dealt = dealt.select("g", F.least("_block", "_other").alias("_x"), F.greatest("_block", "_other").alias("_y"), "_block", "node", "label", "i", "n")
+
+    def emit(at: tuple, rows: list) -> pa.RecordBatch:
         _, x, y = at
-        block, node, label, n = (np.array([r[k] for r in rows], np.int64) for k in range(4))
-        m = np.frombuffer(b"".join(r[4] for r in rows), np.uint64).reshape(-1, HASHES)
+        block, node, label, i, n = np.array(rows, np.int64).T
+        left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
         a_out, b_out = [], []
-        for k in range(len(node)):
-            if block[k] != x:
-                continue
-            mate = (label != label[k]) & (block == y) & (100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k]))
-            if x == y:
-                mate &= node > node[k]
-            near = np.flatnonzero(mate)
-            near = near[(m[near] == m[k]).sum(axis=1) >= LEAST_AGREEING]
+        for k in left.tolist():
+            need = -(-percent * (n[right] + n[k]) // (100 + percent))
+            near = right[(label[right] != label[k]) & (i[right] <= n[right] - need) & (i[k] <= n[k] - need) & (100 * np.minimum(n[right], n[k]) >= percent * np.maximum(n[right], n[k]))]
             a_out.append(np.minimum(node[k], node[near]))
             b_out.append(np.maximum(node[k], node[near]))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *c])) for c in (a_out, b_out)], ["a", "b"])
@@ -179,16 +190,16 @@ def across(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows = None, []
         for batch in batches:
-            for key, x, y, *row in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
-                if (key, x, y) != at:
+            for g, x, y, *row in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
+                if (g, x, y) != at:
                     if len(rows) > 1:
                         yield emit(at, rows)
-                    at, rows = (key, x, y), []
+                    at, rows = (g, x, y), []
                 rows.append(row)
         if len(rows) > 1:
             yield emit(at, rows)
 
-    return open_.repartition("key", "_x", "_y").sortWithinPartitions("key", "_x", "_y").mapInArrow(pair, "a long, b long").distinct()
+    return dealt.repartition("g", "_x", "_y").sortWithinPartitions("g", "_x", "_y").mapInArrow(pair, "a long, b long").distinct()
 
 
 def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -214,9 +225,13 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(x, size).tobytes() for x in batch.column(1).cast(pa.binary()).to_pylist()], pa.binary())], ["node", "set"])
 
     sets = written(texts.mapInArrow(as_sets, "node long, set binary"), "near-sets")
-    links = written(verified(members.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), sets, percent), "near-links")
+    pairs = members.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    for end in "ab":
+        pairs = pairs.join(nodes.select(F.col("node").alias("_node"), F.col("n").alias(f"n_{end}")), F.col(end) == F.col("_node")).drop("_node")
+    pairs = pairs.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b")
+    links = written(verified(pairs, sets, percent), "near-links")
     labels = components(links)
-    more = written(verified(across(members, labels, nodes, percent), sets, percent), "near-links")
+    more = written(verified(across(members, labels, sets, percent), sets, percent), "near-links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     found = nodes.select("_digest", "node").join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select(F.col("_digest").alias("_d"), F.coalesce("label", "node").alias("label"))
