@@ -14,7 +14,7 @@ def paragraph_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     by_id = sides[0].where("stable_id IS NOT NULL").join(sides[1].where("stable_id IS NOT NULL"), ["doc_id", "stable_id"], "full_outer").select("doc_id", "old_ord", "new_ord", "old_text", "new_text")
     nth = []
     for n, x in zip(("old", "new"), sides, strict=True):
-        mark = F.sha2(f"{n}_text", 256)
+        mark = F.coalesce(F.sha2(f"{n}_text", 256), F.lit("null"))
         nth.append(x.where("stable_id IS NULL").withColumn("mark", mark).withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "mark").orderBy(f"{n}_ord"))).drop("stable_id"))
     by_text = nth[0].join(nth[1], ["doc_id", "mark", "nth"], "full_outer").select("doc_id", "old_ord", "new_ord", "old_text", "new_text")
     kind = F.when(F.col("new_ord").isNull(), "remove").when(F.col("old_ord").isNull(), "insert").when(~F.col("old_text").eqNullSafe(F.col("new_text")), "setText")

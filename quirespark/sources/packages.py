@@ -103,14 +103,11 @@ def xml_nodes(parts: DataFrame) -> DataFrame:
 
 def attribute(name: str) -> Column:
     """The value of an attribute of a node row, or null."""
-    return F.element_at(F.filter("attrs", lambda x: x["name"] == name), 1)["value"]
+    return F.get(F.filter("attrs", lambda x: x["name"] == name), 0)["value"]
 
 
 def _inside(nodes: DataFrame, outer: str) -> DataFrame:
-    """Nodes of a part with `_of`: the node_id of the innermost `outer` element around each (or itself), by byte ranges.
-
-    Elements nest, so the innermost one that is open at a node is the last one begun that ends at or after it.
-    """
+    """Nodes of a part with `_of`: the node_id of the `outer` element they stand in (or are), by byte ranges. For elements that don't nest in their own kind."""
     w = Window.partitionBy("doc_id", "part_path").orderBy("node_id").rowsBetween(Window.unboundedPreceding, 0)
     mark = F.when(F.col("name") == outer, F.struct("node_id", "src_end"))
     last = F.last(mark, ignorenulls=True).over(w)
@@ -218,7 +215,7 @@ def image_size(content: Column) -> Column:
 
 def read_oplog(spark: SparkSession, path: str) -> DataFrame:
     """JSONL operation logs: (doc_id, seq, op_id, op_type, source, ts, payload). Unknown operations keep their payload; seq is the line's place in its file."""
-    lines = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("doc_id"), F.posexplode(F.split("value", "\n")).alias("seq", "line")).where("line <> ''")
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("doc_id"), F.posexplode(F.split("value", "\n")).alias("seq", "line")).where("line <> ''")
     v = F.parse_json("line")
     get = lambda k, t: F.try_variant_get(v, f"$.{k}", t)
     return lines.select("doc_id", F.col("seq").cast("long").alias("seq"), get("op_id", "string").alias("op_id"), get("op_type", "string").alias("op_type"), get("source", "string").alias("source"), F.to_timestamp(get("ts", "string")).alias("ts"), v.alias("payload"))
