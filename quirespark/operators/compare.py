@@ -1,6 +1,8 @@
 """Comparison of generations and parts; hashes and coverage."""
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -33,3 +35,26 @@ def coverage(parts: DataFrame, keys: list[str], covered: str, total: str) -> Dat
     """Covered and total bytes and their ratio, which is 0 where there are no bytes."""
     sums = parts.groupBy(*keys).agg(F.sum(covered).cast("long").alias("covered"), F.sum(total).cast("long").alias("total"))
     return sums.withColumn("ratio", F.when(F.col("total") == 0, F.lit(0.0)).otherwise(F.round(F.col("covered") / F.col("total"), 6)))
+
+
+def first_divergence(a: Column, b: Column) -> Column:
+    """The place of the first byte in which two BINARY columns differ; the shorter length where one begins the other, null where they are equal. An Arrow UDF, as Spark has no such function."""
+
+    @F.pandas_udf("long")
+    def place(left: pd.Series, right: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(left, right, strict=True):
+            if x is None or y is None or x == y:
+                out.append(None)
+                continue
+            n = min(len(x), len(y))
+            differ = np.flatnonzero(np.frombuffer(x, np.uint8)[:n] != np.frombuffer(y, np.uint8)[:n])
+            out.append(int(differ[0]) if len(differ) else n)
+        return pd.Series(out, dtype="Int64")
+
+    return place(a, b)
+
+
+def all_equal(reference: DataFrame, rebuilt: DataFrame) -> DataFrame:
+    """(doc_id, equal): whether both generations have the same parts with the same bytes."""
+    return part_verdicts(reference, rebuilt).groupBy("doc_id").agg(F.bool_and(F.col("verdict") == "equal").alias("equal"))

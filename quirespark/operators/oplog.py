@@ -67,3 +67,33 @@ def resolved(local: DataFrame, outside: DataFrame, policy: str) -> DataFrame:
         hit = outside.join(touched.withColumn("hit", F.lit(True)), ["doc_id", "element"], "left")
         return hit.where(F.when(F.col("hit"), F.raise_error(F.lit("an outside operation conflicts with a pending one")).cast("boolean")).otherwise(True)).drop("hit")
     raise ValueError(f"no such policy: {policy}")
+
+
+def resumed(snapshot: DataFrame, tail: DataFrame) -> DataFrame:
+    """The state after a stored state and the operations that came since: the later of both for each element, so old operations are not read again."""
+    both = snapshot.select("doc_id", "element", "value", "seq").unionByName(materialized(tail).select("doc_id", "element", "value", "seq"))
+    return both.groupBy("doc_id", "element").agg(F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq"))
+
+
+def attribute_state(log: DataFrame, keys: list[str], attributes: list[str]) -> DataFrame:
+    """Upserts of some attributes at a time: for each attribute the last value that was given; nulls leave it as it was."""
+    last = [F.max_by(F.col(a), F.when(F.col(a).isNotNull(), F.col("seq"))).alias(a) for a in attributes]
+    return log.groupBy(*keys).agg(*last)
+
+
+def touching(log: DataFrame, elements: DataFrame) -> DataFrame:
+    """The operations on any of (doc_id, element)."""
+    return log.join(elements.select("doc_id", "element").distinct(), ["doc_id", "element"], "left_semi")
+
+
+def imported(old: DataFrame, new: DataFrame, pending: DataFrame, policy: str) -> DataFrame:
+    """Outside changes as operations: what differs between two generations, less what the policy keeps out.
+
+    old and new are (doc_id, ord, stable_id, text), pending the local operations (doc_id, element, seq), element being
+    a stable id. Returns (doc_id, element, kind, old_ord, new_ord); paragraphs without an id touch no element.
+    """
+    from .compare import paragraph_diff
+
+    ids = old.select("doc_id", F.col("ord").alias("old_ord"), "stable_id")
+    found = paragraph_diff(old, new).join(ids, ["doc_id", "old_ord"], "left").withColumnRenamed("stable_id", "element")
+    return resolved(pending, found, policy).select("doc_id", "element", "kind", "old_ord", "new_ord")

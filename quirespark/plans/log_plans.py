@@ -137,6 +137,26 @@ def reject_revisions(spark, sf_dir):
     return _revised(spark, sf_dir, "click")
 
 
+def oplog_resumed(spark, sf_dir):
+    early = L.materialized(sets(spark, sf_dir).where("seq <= 30"))
+    return L.resumed(early, sets(spark, sf_dir).where("seq > 30"))
+
+
+def cell_text_state(spark, sf_dir):
+    rows = log(spark, sf_dir).where(SETS).withColumn("row", F.col("event_id") % 3).withColumn("col", F.col("element") % 2)
+    return rows.groupBy("doc_id", "row", "col").agg(F.max_by("value", "seq").alias("value"))
+
+
+def run_format_state(spark, sf_dir):
+    rows = log(spark, sf_dir).select("doc_id", "element", "seq", F.when(F.col("op") == "view", F.col("value")).alias("size"), F.when(F.col("op") == "click", F.col("event_id")).alias("color"))
+    return L.attribute_state(rows, ["doc_id", "element"], ["size", "color"])
+
+
+def touches_element(spark, sf_dir):
+    hot = log(spark, sf_dir).where("op = 'purchase' AND value > 100")
+    return L.touching(log(spark, sf_dir), hot).select("doc_id", "element", "seq", "op")
+
+
 def oplog_stream_state(spark, sf_dir):
     return streamed_state(spark, f"{sf_dir}/events.parque[t]")  # a pattern, as a stream takes a single file by no other name
 
@@ -145,7 +165,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         oplog_materialize, oplog_state_at_index, oplog_state_at_time, oplog_undo_redo, oplog_batch_members, oplog_blame, oplog_previous_value, define_style_first, conflict_detect, conflict_swift_wins, conflict_word_wins,
-        seq_counter, seq_final_value, field_parse_seq, if_field, date_field, style_ref_nearest, adjacent_run_groups, revisions_by_author, revisions_by_type, accept_revisions, reject_revisions, oplog_stream_state,
+        seq_counter, seq_final_value, field_parse_seq, if_field, date_field, style_ref_nearest, adjacent_run_groups, revisions_by_author, revisions_by_type, accept_revisions, reject_revisions, oplog_resumed, cell_text_state, run_format_state, touches_element, oplog_stream_state,
     )
 }
 
@@ -197,6 +217,12 @@ SQL = {
     "revisions_by_type": "SELECT event_type AS op, count(*) AS n, count(DISTINCT user_id) AS authors FROM events GROUP BY 1",
     "accept_revisions": _REVISED.format(LOG, "error"),
     "reject_revisions": _REVISED.format(LOG, "click"),
+    "oplog_resumed": _state(""),
+    "cell_text_state": f"SELECT doc_id, event_id % 3 AS row, element % 2 AS col, arg_max(value, seq) AS value FROM {LOG} WHERE op IN ('view', 'click') GROUP BY 1, 2, 3",
+    "run_format_state": f"""
+        SELECT doc_id, element, arg_max(value, seq) FILTER (op = 'view') AS size, arg_max(event_id, seq) FILTER (op = 'click') AS color FROM {LOG} GROUP BY 1, 2""",
+    "touches_element": f"""
+        WITH l AS {LOG} SELECT doc_id, element, seq, op FROM l WHERE (doc_id, element) IN (SELECT doc_id, element FROM l WHERE op = 'purchase' AND value > 100)""",
     "oplog_stream_state": """
         SELECT user_id AS doc_id, element, arg_max(value, (ts, event_id)) AS value, count(*) AS operations
         FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) % 7 AS element FROM events WHERE event_type IN ('view', 'click')) GROUP BY 1, 2""",

@@ -112,6 +112,17 @@ def part_compare(spark, sf_dir):
     return C.part_verdicts(parts, rebuilt)
 
 
+def first_divergence(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", C.first_divergence(F.encode("text", "UTF-8"), F.encode(F.regexp_replace("text", "n.*", "?"), "UTF-8")).alias("at"))
+
+
+def packages_equal(spark, sf_dir):
+    parts = _parts(spark, sf_dir)
+    changed = parts.withColumn("content", F.when(F.col("_n") % 997 == 5, F.lit("")).otherwise(F.col("content")))
+    return C.all_equal(parts, changed)
+
+
 def part_coverage(spark, sf_dir):
     sized = _parts(spark, sf_dir).withColumn("total", F.octet_length("content")).withColumn("covered", F.when(F.col("_n") % 3 == 0, F.col("total")).otherwise(0))
     return C.coverage(sized, ["doc_id"], "covered", "total")
@@ -141,7 +152,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         *map(_above, ("sum", "avg", "count", "max", "min")), sum_left, table_text, merge_cells_vertical, merge_cells_horizontal, max_nest_depth, style_chain, comment_replies, comment_roots, next_id, orphan_numbering,
-        bullet_list_detect, relationship_resolve, unit_convert, part_compare, part_coverage, part_hash, fingerprint_groups, word_diff, html_node_counts,
+        bullet_list_detect, relationship_resolve, unit_convert, part_compare, first_divergence, packages_equal, part_coverage, part_hash, fingerprint_groups, word_diff, html_node_counts,
     )
 }
 
@@ -181,6 +192,9 @@ SQL = {
         WITH a AS {_PARTS}, b AS (SELECT doc_id, part_path, CASE WHEN n % 5 = 1 THEN content || '!' ELSE content END AS content FROM a WHERE n % 11 <> 3
                                   UNION ALL SELECT doc_id, 'new/' || part_path, content FROM a WHERE n % 13 = 0)
         SELECT doc_id, part_path, CASE WHEN b.content IS NULL THEN 'missing' WHEN a.content IS NULL THEN 'extra' WHEN a.content = b.content THEN 'equal' ELSE 'different' END AS verdict FROM a FULL JOIN b USING (doc_id, part_path)""",
+    "first_divergence": r"""
+        SELECT doc_id, CASE WHEN text <> regexp_replace(text, 'n.*', '?', 'g') THEN CAST(strlen(string_split(text, 'n')[1]) AS BIGINT) END AS at FROM documents""",
+    "packages_equal": "SELECT source AS doc_id, bool_and(NOT (doc_id % 997 = 5 AND text <> '')) AS equal FROM documents GROUP BY 1",
     "part_coverage": f"""
         SELECT doc_id, CAST(sum(CASE WHEN n % 3 = 0 THEN strlen(content) ELSE 0 END) AS BIGINT) AS covered, CAST(sum(strlen(content)) AS BIGINT) AS total,
                CASE WHEN sum(strlen(content)) = 0 THEN 0.0 ELSE round(CAST(sum(CASE WHEN n % 3 = 0 THEN strlen(content) ELSE 0 END) AS DOUBLE) / CAST(sum(strlen(content)) AS DOUBLE), 6) END AS ratio

@@ -67,3 +67,18 @@ def test_fold_and_names(spark):
     assert [r[0] for r in df.select(text.folded("t")).collect()] == ["Etre x2", None, ""]
     one = spark.createDataFrame([("1 a/b",)], "t string").select(text.bookmark_name(F.col("t")), text.escape_xml(F.lit("<a b='c'>&")), text.safe_relative_path(F.lit("a/../b")), text.safe_relative_path(F.lit("word/a.xml"))).first()
     assert tuple(one) == ("_1_a_b", "&lt;a b=&apos;c&apos;&gt;&amp;", False, True)
+
+
+def test_import_keeps_local_edits(spark):
+    schema = "doc_id int, ord int, stable_id string, text string"
+    old = spark.createDataFrame([(1, 0, "a", "x"), (1, 1, "b", "y"), (1, 2, None, "z")], schema)
+    new = spark.createDataFrame([(1, 0, "a", "x!"), (1, 1, "b", "y!"), (1, 2, None, "z"), (1, 3, None, "w")], schema)
+    pending = spark.createDataFrame([(1, "a", 7)], "doc_id int, element string, seq int")
+    kinds = lambda policy: sorted((r["kind"], r["element"]) for r in oplog.imported(old, new, pending, policy).select("kind", F.coalesce("element", F.lit("-")).alias("element")).collect())
+    assert kinds("local_wins") == [("insert", "-"), ("setText", "b")]
+    assert kinds("outside_wins") == [("insert", "-"), ("setText", "a"), ("setText", "b")]
+
+
+def test_first_divergence(spark):
+    df = spark.createDataFrame([(b"abc", b"abd"), (b"ab", b"abc"), (b"x", b"x"), (None, b"")], "a binary, b binary")
+    assert [r[0] for r in df.select(compare.first_divergence(F.col("a"), F.col("b"))).collect()] == [2, 2, None, None]
