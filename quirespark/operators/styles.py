@@ -1,26 +1,34 @@
 """Chains of parents: style inheritance, comment threads."""
 
+from __future__ import annotations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch_path
+
 
 def chains(nodes: DataFrame, keys: list[str], most: int = 64) -> DataFrame:
     """(keys, id, depth, root) of every node of (keys, id, parent): how many parents stand above it, and the last of them.
 
-    All chains double at once: a node's parent at distance 2^k is the one at 2^(k-1) of that at 2^(k-1), so `most` (a
-    cap on depth) takes log2(most) joins. A missing parent ends a chain at the last node before
-    it; in a cycle depths stop at the cap.
+    All chains double at once: a node's parent at distance 2^k is the one at 2^(k-1) of that at 2^(k-1), so a depth of d
+    takes log2(d) joins, each written before the next, and no more are made than there is depth. A missing parent ends
+    a chain at the last node before it; in a cycle depths stop at `most`.
     """
-    c, p = nodes.alias("c"), nodes.alias("p")
-    up = c.join(p, [*(F.col(f"c.{k}") == F.col(f"p.{k}") for k in keys), F.col("c.parent") == F.col("p.id")], "left").select(
-        *(F.col(f"c.{k}").alias(k) for k in keys), F.col("c.id").alias("id"), F.col("p.id").alias("far"), F.when(F.col("p.id").isNull(), 0).otherwise(1).alias("depth")
-    )
+    spark = nodes.sparkSession
+    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
+    a, b = nodes.alias("a"), nodes.alias("b")
+    up = a.join(b, [*same, F.col("a.parent") == F.col("b.id")], "left").select(*(F.col(f"a.{k}").alias(k) for k in keys), F.col("a.id").alias("id"), F.col("b.id").alias("far"), F.when(F.col("b.id").isNull(), 0).otherwise(1).alias("depth"))
     step = 1
     while step < most:
         a, b = up.alias("a"), up.alias("b")
-        far = F.coalesce("b.far", "a.far", "a.id")
-        up = a.join(b, [*(F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys), F.col("a.far") == F.col("b.id")], "left").select(
-            *(F.col(f"a.{k}").alias(k) for k in keys), F.col("a.id").alias("id"), F.when(far == F.col("a.id"), F.lit(None)).otherwise(far).alias("far"), (F.col("a.depth") + F.coalesce("b.depth", F.lit(0))).alias("depth")
+        joined = a.join(b, [*same, F.col("a.far") == F.col("b.id")], "left").select(
+            *(F.col(f"a.{k}").alias(k) for k in keys), F.col("a.id").alias("id"), F.coalesce("b.far", "a.far").alias("far"), (F.col("a.depth") + F.coalesce("b.depth", F.lit(0))).alias("depth"), F.col("b.far").isNotNull().alias("moved")
         )
+        joined.write.parquet(path := scratch_path(spark, "chains"))
+        stored = spark.read.parquet(path)
+        up = stored.drop("moved")
         step *= 2
+        if stored.where("moved").isEmpty():
+            break
     return up.select(*keys, "id", F.col("depth").cast("long").alias("depth"), F.coalesce("far", "id").alias("root"))
