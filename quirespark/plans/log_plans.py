@@ -89,7 +89,7 @@ def seq_final_value(spark, sf_dir):
 
 
 def field_parse_seq(spark, sf_dir):
-    code = F.concat(F.lit("SEQ "), F.col("op"), F.when(F.col("seq") % 3 == 0, F.lit(r" \* ARABIC")).when(F.col("seq") % 3 == 1, F.lit(r" \* ROMAN \s 2")).otherwise(F.lit(r" \x 1")))
+    code = F.concat(F.lit("SEQ "), F.col("op"), F.when(F.col("op") == "view", F.lit(r" \* ARABIC")).when(F.col("op") == "click", F.lit(r" \* ROMAN \s 2")).otherwise(F.lit(r" \x 1")))
     rows = log(spark, sf_dir).select("doc_id", "seq", code.alias("code"))
     grammar = r"^SEQ ([A-Za-z_]+)( \\\* (ARABIC|ROMAN))?( \\s ([0-9]+))?$"
     part = lambda k: F.when(F.col("code").rlike(grammar), F.nullif(F.regexp_extract("code", grammar, k), F.lit("")))
@@ -114,7 +114,7 @@ def adjacent_run_groups(spark, sf_dir):
 
 
 def revisions_by_author(spark, sf_dir):
-    return log(spark, sf_dir).where("doc_id % 10 = 3 AND op IN ('click', 'error')").select("doc_id", "seq", "op")
+    return log(spark, sf_dir).where("op IN ('click', 'error')").groupBy("doc_id", "op").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
 
 
 def revisions_by_type(spark, sf_dir):
@@ -204,7 +204,7 @@ SQL = {
     "seq_counter": f"{_NUMBERED} SELECT doc_id, seq, op, number FROM n",
     "seq_final_value": f"{_NUMBERED} SELECT doc_id, op, arg_max(number, seq) AS number FROM n GROUP BY 1, 2",
     "field_parse_seq": f"""
-        WITH c AS (SELECT doc_id, seq, op, seq % 3 AS k FROM {LOG})
+        WITH c AS (SELECT doc_id, seq, op, CASE op WHEN 'view' THEN 0 WHEN 'click' THEN 1 ELSE 2 END AS k FROM {LOG})
         SELECT doc_id, seq, CASE WHEN k < 2 THEN op END AS identifier, CASE k WHEN 0 THEN 'ARABIC' WHEN 1 THEN 'ROMAN' END AS format, CAST(CASE WHEN k = 1 THEN 2 END AS BIGINT) AS reset_level FROM c""",
     "if_field": "SELECT event_id, CASE WHEN value >= 50 THEN 'large' ELSE 'small' END AS shown FROM events",
     "date_field": "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M') AS shown FROM events",
@@ -213,7 +213,7 @@ SQL = {
         WITH c AS (SELECT *, CASE WHEN op IS NOT DISTINCT FROM lag(op) OVER (PARTITION BY doc_id ORDER BY seq) THEN 0 ELSE 1 END AS c FROM {LOG}),
         g AS (SELECT *, sum(c) OVER (PARTITION BY doc_id ORDER BY seq) AS g FROM c)
         SELECT doc_id, op, min(seq) AS first, count(*) AS size FROM g GROUP BY doc_id, op, g""",
-    "revisions_by_author": f"SELECT doc_id, seq, op FROM {LOG} WHERE doc_id % 10 = 3 AND op IN ('click', 'error')",
+    "revisions_by_author": f"SELECT doc_id, op, count(*) AS n, min(seq) AS first FROM {LOG} WHERE op IN ('click', 'error') GROUP BY 1, 2",
     "revisions_by_type": "SELECT event_type AS op, count(*) AS n, count(DISTINCT user_id) AS authors FROM events GROUP BY 1",
     "accept_revisions": _REVISED.format(LOG, "error"),
     "reject_revisions": _REVISED.format(LOG, "click"),

@@ -102,13 +102,13 @@ def unit_convert(spark, sf_dir):
 
 
 def _parts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").cast("string").alias("part_path"), F.col("text").alias("content"), F.col("doc_id").alias("_n"))
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").cast("string").alias("part_path"), F.col("text").alias("content"), "lang")
 
 
 def part_compare(spark, sf_dir):
     parts = _parts(spark, sf_dir)
-    rebuilt = parts.where("_n % 11 <> 3").withColumn("content", F.when(F.col("_n") % 5 == 1, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
-    rebuilt = rebuilt.unionByName(parts.where("_n % 13 = 0").withColumn("part_path", F.concat(F.lit("new/"), "part_path")))
+    rebuilt = parts.where("lang <> 'es'").withColumn("content", F.when(F.col("lang") == "fr", F.concat("content", F.lit("!"))).otherwise(F.col("content")))
+    rebuilt = rebuilt.unionByName(parts.where("lang = 'de'").withColumn("part_path", F.concat(F.lit("new/"), "part_path")))
     return C.part_verdicts(parts, rebuilt)
 
 
@@ -119,12 +119,12 @@ def first_divergence(spark, sf_dir):
 
 def packages_equal(spark, sf_dir):
     parts = _parts(spark, sf_dir)
-    changed = parts.withColumn("content", F.when(F.col("_n") % 997 == 5, F.lit("")).otherwise(F.col("content")))
+    changed = parts.withColumn("content", F.when(F.contains("content", F.lit("license")), F.lit("")).otherwise(F.col("content")))
     return C.all_equal(parts, changed)
 
 
 def part_coverage(spark, sf_dir):
-    sized = _parts(spark, sf_dir).withColumn("total", F.octet_length("content")).withColumn("covered", F.when(F.col("_n") % 3 == 0, F.col("total")).otherwise(0))
+    sized = _parts(spark, sf_dir).withColumn("total", F.octet_length("content")).withColumn("covered", F.when(F.col("lang") == "en", F.col("total")).otherwise(0))
     return C.coverage(sized, ["doc_id"], "covered", "total")
 
 
@@ -143,8 +143,8 @@ def html_node_counts(spark, sf_dir):
 def word_diff(spark, sf_dir):
     from ..sources.tables import paragraphs
 
-    p = paragraphs(table(spark, sf_dir, "documents")).withColumn("ord", F.col("ord").cast("long")).withColumn("stable_id", F.when(F.col("ord") % 2 == 0, F.col("ord")))
-    new = p.where("ord % 7 <> 3").withColumn("text", F.when(F.col("ord") % 5 == 1, F.concat("text", F.lit("!"))).when(F.col("ord") % 6 == 4, F.concat(F.lit("?"), "text")).otherwise(F.col("text")))
+    p = paragraphs(table(spark, sf_dir, "documents")).withColumn("ord", F.col("ord").cast("long")).withColumn("stable_id", F.when(F.contains("text", F.lit("en")), F.col("ord")))
+    new = p.where("NOT contains(text, ' | ')").withColumn("text", F.when(F.contains("text", F.lit("tion")), F.concat("text", F.lit("!"))).when(F.contains("text", F.lit("ung")), F.concat(F.lit("?"), "text")).otherwise(F.col("text")))
     return C.paragraph_diff(p, new)
 
 
@@ -158,7 +158,7 @@ QUERIES = {
 
 _ABOVE = "(PARTITION BY l_orderkey ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 _CENTS = "CAST(round(l_extendedprice * 100) AS BIGINT)"
-_PARTS = "(SELECT source AS doc_id, CAST(doc_id AS VARCHAR) AS part_path, text AS content, doc_id AS n FROM documents)"
+_PARTS = "(SELECT source AS doc_id, CAST(doc_id AS VARCHAR) AS part_path, text AS content, lang FROM documents)"
 _CHAIN = """
     WITH RECURSIVE c AS (SELECT conv_id, turn AS id, CASE WHEN turn > 0 THEN turn - 1 END AS parent FROM conversations),
     k AS (SELECT conv_id, id, id AS far, 0 AS depth FROM c UNION ALL
@@ -189,24 +189,25 @@ SQL = {
     "relationship_resolve": "SELECT o_orderkey, o_custkey, c_name AS target FROM orders LEFT JOIN customer ON o_custkey = c_custkey",
     "unit_convert": "SELECT p_partkey, CAST(p_size * 20 AS BIGINT) AS twips, CAST(p_size AS BIGINT) * 914400 AS emu_in, CAST(p_size AS BIGINT) * 360000 AS emu_cm, CAST(p_size AS BIGINT) * 9525 AS emu_px FROM part",
     "part_compare": f"""
-        WITH a AS {_PARTS}, b AS (SELECT doc_id, part_path, CASE WHEN n % 5 = 1 THEN content || '!' ELSE content END AS content FROM a WHERE n % 11 <> 3
-                                  UNION ALL SELECT doc_id, 'new/' || part_path, content FROM a WHERE n % 13 = 0)
+        WITH a AS {_PARTS}, b AS (SELECT doc_id, part_path, CASE WHEN lang = 'fr' THEN content || '!' ELSE content END AS content FROM a WHERE lang <> 'es'
+                                  UNION ALL SELECT doc_id, 'new/' || part_path, content FROM a WHERE lang = 'de')
         SELECT doc_id, part_path, CASE WHEN b.content IS NULL THEN 'missing' WHEN a.content IS NULL THEN 'extra' WHEN a.content = b.content THEN 'equal' ELSE 'different' END AS verdict FROM a FULL JOIN b USING (doc_id, part_path)""",
     "first_divergence": r"""
         SELECT doc_id, CASE WHEN text <> regexp_replace(text, 'n.*', '?', 'g') THEN CAST(strlen(string_split(text, 'n')[1]) AS BIGINT) END AS at FROM documents""",
-    "packages_equal": "SELECT source AS doc_id, bool_and(NOT (doc_id % 997 = 5 AND text <> '')) AS equal FROM documents GROUP BY 1",
+    "packages_equal": "SELECT source AS doc_id, bool_and(NOT contains(text, 'license')) AS equal FROM documents GROUP BY 1",
     "part_coverage": f"""
-        SELECT doc_id, CAST(sum(CASE WHEN n % 3 = 0 THEN strlen(content) ELSE 0 END) AS BIGINT) AS covered, CAST(sum(strlen(content)) AS BIGINT) AS total,
-               CASE WHEN sum(strlen(content)) = 0 THEN 0.0 ELSE round(CAST(sum(CASE WHEN n % 3 = 0 THEN strlen(content) ELSE 0 END) AS DOUBLE) / CAST(sum(strlen(content)) AS DOUBLE), 6) END AS ratio
+        SELECT doc_id, CAST(sum(CASE WHEN lang = 'en' THEN strlen(content) ELSE 0 END) AS BIGINT) AS covered, CAST(sum(strlen(content)) AS BIGINT) AS total,
+               CASE WHEN sum(strlen(content)) = 0 THEN 0.0 ELSE round(CAST(sum(CASE WHEN lang = 'en' THEN strlen(content) ELSE 0 END) AS DOUBLE) / CAST(sum(strlen(content)) AS DOUBLE), 6) END AS ratio
         FROM {_PARTS} GROUP BY doc_id""",
     "part_hash": f"SELECT doc_id, part_path, sha256(content) AS sha256 FROM {_PARTS}",
     "fingerprint_groups": "SELECT sha256(text) AS fingerprint, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1",
     "word_diff": """
-        WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS ord FROM documents),
-        q AS (SELECT doc_id, ord, CASE WHEN ord % 5 = 1 THEN text || '!' WHEN ord % 6 = 4 THEN '?' || text ELSE text END AS text FROM p WHERE ord % 7 <> 3),
-        i AS (SELECT a.doc_id AS da, b.doc_id AS db, a.ord AS oa, b.ord AS ob, a.text AS ta, b.text AS tb FROM (SELECT * FROM p WHERE ord % 2 = 0) a FULL JOIN (SELECT * FROM q WHERE ord % 2 = 0) b ON a.doc_id = b.doc_id AND a.ord = b.ord),
-        pa AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text ORDER BY ord) AS nth FROM p WHERE ord % 2 = 1),
-        qa AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text ORDER BY ord) AS nth FROM q WHERE ord % 2 = 1),
+        WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS ord FROM documents),
+        p AS (SELECT *, contains(text, 'en') AS known FROM l),
+        q AS (SELECT doc_id, ord, known, CASE WHEN contains(text, 'tion') THEN text || '!' WHEN contains(text, 'ung') THEN '?' || text ELSE text END AS text FROM p WHERE NOT contains(text, ' | ')),
+        i AS (SELECT a.doc_id AS da, b.doc_id AS db, a.ord AS oa, b.ord AS ob, a.text AS ta, b.text AS tb FROM (SELECT * FROM p WHERE known) a FULL JOIN (SELECT * FROM q WHERE known) b ON a.doc_id = b.doc_id AND a.ord = b.ord),
+        pa AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text ORDER BY ord) AS nth FROM p WHERE NOT known),
+        qa AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text ORDER BY ord) AS nth FROM q WHERE NOT known),
         f AS (SELECT a.doc_id AS da, b.doc_id AS db, a.ord AS oa, b.ord AS ob, a.text AS ta, b.text AS tb FROM pa a FULL JOIN qa b ON a.doc_id = b.doc_id AND a.text = b.text AND a.nth = b.nth)
         SELECT coalesce(da, db) AS doc_id, CASE WHEN ob IS NULL THEN 'remove' WHEN oa IS NULL THEN 'insert' ELSE 'setText' END AS kind, oa AS old_ord, ob AS new_ord
         FROM (SELECT * FROM i UNION ALL SELECT * FROM f) WHERE oa IS NULL OR ob IS NULL OR ta <> tb""",
