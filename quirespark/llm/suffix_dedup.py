@@ -86,8 +86,8 @@ def _segments(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
 def anchored(rows: DataFrame, block: int, blocks: int) -> DataFrame:
     """ROWS of this block's anchors: key (of the gram), the document, the anchor's place, the starts of its suffixes relative to it, and the bytes these reach.
 
-    Inside a document an anchor whose suffixes all occurred before, with the same bytes, has null bytes: nothing is
-    to be compared, all its suffixes repeat. That keeps texts of one repeated phrase small.
+    Inside a document an anchor whose suffixes all occurred before, with the same bytes, needs no comparison. Such
+    anchors' stretches are joined, one row each with null bytes. That keeps texts of one repeated phrase small.
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,8 +127,19 @@ def anchored(rows: DataFrame, block: int, blocks: int) -> DataFrame:
                     seen.add(what)
                 number = np.array([s[0] for s in segments])[of]
                 start = np.array([s[1] for s in segments])[of] - (ends - lengths)[of]  # from places in the buffer to places in the text
-                reach = [None if r else data[a:b] for r, a, b in zip(again.tolist(), first.tolist(), (last + WIDTH).tolist(), strict=True)]
-                columns = [key.view(np.int64), ids[number], hashes[number], at + start, (first - at).astype(np.int32), (last - at).astype(np.int32)]
+                # stretches that repeat inside their document need no bucket: one row each, under keys of their own
+                line = (number << 32) + start
+                begin, end = merged((line + first)[again], (line + last)[again] + WIDTH)
+                which, new = np.concatenate([number[~again], begin >> 32]), ~again
+                reach = [data[x:y] for x, y in zip(first[new].tolist(), (last[new] + WIDTH).tolist(), strict=True)] + [None] * len(begin)
+                columns = [
+                    np.concatenate([key[new], mix64(begin.astype(np.uint64))]).view(np.int64),
+                    ids[which],
+                    hashes[which],
+                    np.concatenate([(at + start)[new], begin & 0xFFFFFFFF]),
+                    np.concatenate([(first - at)[new], np.zeros(len(begin), np.int64)]).astype(np.int32),
+                    np.concatenate([(last - at)[new], end - begin - WIDTH]).astype(np.int32),
+                ]
                 yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(reach, pa.binary())], _NAMES)
 
     block_seed = 0x5851F42D4C957F2D
