@@ -5,7 +5,8 @@ many tables need only 2 * SIDE * ROWS minhashes. A pair of likeness J shares a k
 halves differ; the chance of that is at most 2 (1 - J ** ROWS) ** SIDE: 1e-5 at J = 0.8 with the sizes here.
 
 Candidates are verified on full sets. First every member of a bucket is held against the bucket's least member; what
-that links is joined into components. Then, in buckets that still hold several components, members of different
+that links is joined into components. That is done again with other leaders, in buckets of several components, so
+that groups whose members are mostly linked come together without a comparison of all pairs. Then, in buckets that still hold several components, members of different
 components are held against each other where their rarest shingles allow a link. Links inside a component would
 change nothing.
 """
@@ -30,6 +31,7 @@ SHINGLE = 5
 PERCENT = 80
 SHARE_ROWS = 1000
 BLOCK_ROWS = 2000
+TURNS = 2
 CHUNK = 8192
 _SEEDS = mix64(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 MULTIPLIERS, SHIFTS = (_SEEDS[:HASHES] | np.uint64(1))[:, None], _SEEDS[HASHES:, None]
@@ -147,6 +149,26 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(compare, "a long, b long")
 
 
+def sized(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose set sizes allow a link."""
+    for end in "ab":
+        pairs = pairs.join(nodes.select(F.col("node").alias("_node"), F.col("n").alias(f"n_{end}")), F.col(end) == F.col("_node")).drop("_node")
+    return pairs.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b")
+
+
+def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members with the label of their component so far; a node without links is its own."""
+    return members.join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+
+
+def star_pairs(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """In buckets of several components, each member outside the leader's component with the leader: the node that comes first in this turn's order."""
+    named = labelled(members, labels)
+    first = named.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node"), F.col("label"))).alias("x"), F.min("label").alias("_low"), F.max("label").alias("_high"))
+    first = first.where("_low <> _high").select("key", F.col("x.node").alias("a"), F.col("x.label").alias("_label"))
+    return named.join(first, "key").where("label <> _label").select("a", F.col("node").alias("b")).distinct()
+
+
 def across(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that may be linked, among the nodes of buckets that hold several components.
 
@@ -155,7 +177,7 @@ def across(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
     n_a - o at most in one and n_b - o in the other. Only such early shingles are compared, each with its place.
     Many nodes with one early shingle are dealt out as pairs of blocks of about BLOCK_ROWS.
     """
-    named = members.join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    named = labelled(members, labels)
     mixed = named.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high").select("key")
     open_ = named.join(mixed, "key").select(F.col("node").alias("_node"), "label").distinct()
 
@@ -226,11 +248,14 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     sets = written(texts.mapInArrow(as_sets, "node long, set binary"), "near-sets")
     pairs = members.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    for end in "ab":
-        pairs = pairs.join(nodes.select(F.col("node").alias("_node"), F.col("n").alias(f"n_{end}")), F.col(end) == F.col("_node")).drop("_node")
-    pairs = pairs.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b")
-    links = written(verified(pairs, sets, percent), "near-links")
+    links = written(verified(sized(pairs, nodes, percent), sets, percent), "near-links")
     labels = components(links)
+    for turn in range(TURNS):
+        more = written(verified(sized(star_pairs(members, labels, turn), nodes, percent), sets, percent), "near-links")
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        labels = components(links)
     more = written(verified(across(members, labels, sets, percent), sets, percent), "near-links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
