@@ -12,10 +12,11 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Memo, id_and_text, texts_of
+from .shared import Memo, id_and_text, texts_of, written
 
 BITS = 20
 STEMS = (4, 5, 6, 7)
@@ -92,12 +93,21 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades:
     return w, np.concatenate([first, first + np.cumsum(np.exp(gaps))])
 
 
+def markers(sample: DataFrame, n1: int, n0: int) -> np.ndarray:
+    """The numbers, ascending, of at most FEATURES features far more frequent in the sample's `n1` toxic documents than in its `n0` clean ones."""
+    seen = sample.select("_toxic", F.explode("_features").alias("f")).groupBy("f").agg(F.sum("_toxic").alias("t"), F.sum(1 - F.col("_toxic")).alias("c"))
+    odds = F.log((F.col("t") + 0.5) / (n1 + 1)) - F.log((F.col("c") + 0.5) / (n0 + 1))
+    most = seen.where((F.col("t") >= LEAST_DOCS) & (odds >= LEAST_ODDS)).orderBy(F.desc("t"), "f").limit(FEATURES)
+    return np.sort(np.array([r["f"] for r in most.select("f").collect()], np.int64))
+
+
 def fit_severity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic_rows: int = SAMPLE_TOXIC, clean_rows: int = SAMPLE_CLEAN) -> SeverityModel:
     """Learns from at most `toxic_rows` + `clean_rows` labelled documents, those whose ids hash lowest.
 
     Labels say toxic or not; grades above 0 are made of them: a toxic document's grade is the third that it falls in
     by its share of markers, features far more frequent in toxic than in clean documents. Of copies in the sample one
-    counts, else what copies share would look like a mark. The cut is where the sample's F1 is highest. Without both
+    counts, else what copies share would look like a mark. Spark counts documents by feature; the driver receives the
+    chosen features and, of each document of the sample, what it holds of them. The cut is where the sample's F1 is highest. Without both
     kinds of label the model calls nothing toxic.
     """
     marks = labels.where(F.col(f"`{label_col}`").isin(0, 1) & F.col(f"`{id_col}`").isNotNull()).groupBy(F.col(f"`{id_col}`").alias("_marked")).agg(F.max(f"`{label_col}`").cast("int").alias("_toxic"))
@@ -115,34 +125,36 @@ def fit_severity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
                 ["_toxic", "_features", "_counts", "_words", "_print"],
             )
 
-    got = rows.mapInArrow(extract, "_toxic int, _features array<int>, _counts array<int>, _words long, _print long").toArrow()
-    first = np.unique(np.stack([got["_print"].to_numpy(), got["_toxic"].to_numpy()]), axis=1, return_index=True)[1]
-    got = got.take(np.sort(first)).combine_chunks()
-    toxic = got["_toxic"].to_numpy().astype(np.int64)
-    lengths = np.array([len(x) for x in got["_features"]], np.int64)
-    if not len(toxic) or toxic.min() == toxic.max():
-        return SeverityModel({}, tuple(20.0 + k for k in range(GRADES)))
-    flat = lambda name: got[name].combine_chunks().flatten().to_numpy()
-    row, feature, count = np.repeat(np.arange(len(toxic)), lengths), flat("_features"), flat("_counts").astype(float)
-    words = got["_words"].to_numpy().astype(float)
-
-    size, n1, n0 = 1 << BITS, int(toxic.sum()), int((1 - toxic).sum())
-    in_toxic, in_clean = np.bincount(feature[toxic[row] == 1], minlength=size), np.bincount(feature[toxic[row] == 0], minlength=size)
-    odds = np.log((in_toxic + 0.5) / (n1 + 1)) - np.log((in_clean + 0.5) / (n0 + 1))
-    chosen = np.flatnonzero((in_toxic >= LEAST_DOCS) & (odds >= LEAST_ODDS))
-    chosen = chosen[np.argsort(-in_toxic[chosen], kind="stable")][:FEATURES]
+    sample = rows.mapInArrow(extract, "_toxic int, _features array<int>, _counts array<int>, _words long, _print long")
+    sample = sample.groupBy("_print", "_toxic").agg(F.min(F.struct("_words", "_features", "_counts")).alias("x"))
+    sample = written(sample.select("_print", "_toxic", "x._words", "x._features", "x._counts"), "severity-sample")
+    by_label = {r["_toxic"]: r["n"] for r in sample.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
+    chosen = markers(sample, by_label.get(1, 0), by_label.get(0, 0)) if len(by_label) == 2 else np.zeros(0, np.int64)
     if not len(chosen):
         return SeverityModel({}, tuple(20.0 + k for k in range(GRADES)))
-    number = np.full(size, -1)
-    number[chosen] = np.arange(len(chosen))
-    marker = np.zeros(size, bool)
-    marker[chosen] = True
-    density = np.bincount(row[marker[feature]], count[marker[feature]], len(toxic)) / np.maximum(words, 1)
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = pc.list_value_length(batch.column(3)).to_numpy(zero_copy_only=False)
+            feature, count = (batch.column(k).flatten().to_numpy() for k in (3, 4))
+            number = np.minimum(np.searchsorted(chosen, feature), len(chosen) - 1)
+            hit = chosen[number] == feature
+            offsets = np.concatenate([[0], np.cumsum(hit)])[np.concatenate([[0], np.cumsum(lengths)])].astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x[hit].astype(np.int32))) for x in (number, count)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), *lists], ["_print", "_toxic", "_words", "_numbers", "_counts"])
+
+    got = sample.select("_print", "_toxic", "_words", "_features", "_counts").mapInArrow(narrow, "_print long, _toxic int, _words long, _numbers array<int>, _counts array<int>").toArrow()
+    got = got.sort_by([("_print", "ascending"), ("_toxic", "ascending")]).combine_chunks()  # of each document of the sample its markers only
+    toxic, words = got["_toxic"].to_numpy().astype(np.int64), got["_words"].to_numpy().astype(float)
+    flat = lambda name: got[name].combine_chunks().flatten().to_numpy()
+    row = np.repeat(np.arange(len(toxic)), pc.list_value_length(got["_numbers"]).to_numpy())
+    col, count = flat("_numbers"), flat("_counts").astype(float)
+    density = np.bincount(row, count, len(toxic)) / np.maximum(words, 1)
     cuts = np.quantile(density[toxic == 1], np.arange(1, GRADES) / GRADES)
     grades = np.where(toxic == 1, 1 + np.searchsorted(cuts, density, side="right"), 0)
-    keep = number[feature] >= 0
-    w, theta = fit_ordinal(row[keep], number[feature[keep]], value(count[keep], words[row[keep]]), grades, len(chosen))
-    scores = np.bincount(row[keep], value(count[keep], words[row[keep]]) * w[number[feature[keep]]], len(toxic))
+    values = value(count, words[row])
+    w, theta = fit_ordinal(row, col, values, grades, len(chosen))
+    scores = np.bincount(row, values * w[col], len(toxic))
     model = SeverityModel({int(f): float(x) for f, x in zip(chosen, w, strict=True) if abs(x) > 1e-6}, tuple(map(float, theta)))
     return replace(model, cut=best_cut(model.at_least(scores)[:, 0], toxic))
 
