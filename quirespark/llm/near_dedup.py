@@ -33,6 +33,7 @@ SHARE_ROWS = 1000
 BLOCK_ROWS = 2000
 TURNS = 2
 CHUNK = 8192
+PARITY_BITS = 512
 _SEEDS = mix64(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 MULTIPLIERS, SHIFTS = (_SEEDS[:HASHES] | np.uint64(1))[:, None], _SEEDS[HASHES:, None]
 
@@ -73,6 +74,11 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def parities(hashes: np.ndarray) -> bytes:
+    """For each of PARITY_BITS bins, whether it holds an odd number of the set's hashes. Two sets differ in at least as many hashes as their parities in bits."""
+    return np.packbits(np.bincount((hashes % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1).tobytes()
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """_id, _hash (of the text), n (set size), _digest (of the set), _minhashes (null for an empty set)."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -175,6 +181,7 @@ def across(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
     Exact filters leave few: let a set's shingles stand from the rarest to the most frequent among these nodes. Two linked
     sets share at least o = percent / (100 + percent) * (n_a + n_b) shingles, so the first they share stands at place
     n_a - o at most in one and n_b - o in the other. Only such early shingles are compared, each with its place.
+    Of the pairs found so, those whose parities differ in more bits than two linked sets of their sizes may are left out.
     Many nodes with one early shingle are dealt out as pairs of blocks of about BLOCK_ROWS.
     """
     named = labelled(members, labels)
@@ -192,19 +199,29 @@ def across(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
     rows = rows.withColumn("f", F.count("*").over(Window.partitionBy("g")))
     rows = rows.withColumn("i", F.row_number().over(Window.partitionBy("node").orderBy("f", "g")) - 1).withColumn("n", F.count("*").over(Window.partitionBy("node")))
     early = written(rows.where((F.col("f") > 1) & (100 * F.col("i") <= (100 - percent) * F.col("n"))).select("g", "node", "label", F.col("i").cast("long").alias("i"), "n"), "near-early")
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([parities(np.frombuffer(x.as_buffer(), np.uint64)) for x in batch.column(1)], pa.binary())], ["_of", "bits"])
+
+    bits = sets.mapInArrow(sketch, "_of long, bits binary")
     blocks = early.groupBy("g").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("_blocks")).where("_low <> _high").select(F.col("g").alias("_g"), "_blocks")
-    dealt = early.join(blocks, F.col("g") == F.col("_g")).withColumn("_block", F.pmod(F.xxhash64("node"), "_blocks").cast("int"))
+    dealt = early.join(blocks, F.col("g") == F.col("_g")).join(bits, F.col("node") == F.col("_of")).withColumn("_block", F.pmod(F.xxhash64("node"), "_blocks").cast("int"))
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
-    dealt = dealt.select("g", F.least("_block", "_other").alias("_x"), F.greatest("_block", "_other").alias("_y"), "_block", "node", "label", "i", "n")
+    dealt = dealt.select("g", F.least("_block", "_other").alias("_x"), F.greatest("_block", "_other").alias("_y"), "_block", "node", "label", "i", "n", "bits")
 
     def emit(at: tuple, rows: list) -> pa.RecordBatch:
         _, x, y = at
-        block, node, label, i, n = np.array(rows, np.int64).T
+        *numbers, bits = zip(*rows, strict=True)
+        block, node, label, i, n = np.array(numbers, np.int64)
+        bits = np.frombuffer(b"".join(bits), np.uint64).reshape(len(rows), -1)
         left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
         a_out, b_out = [], []
         for k in left.tolist():
             need = -(-percent * (n[right] + n[k]) // (100 + percent))
             near = right[(label[right] != label[k]) & (i[right] <= n[right] - need) & (i[k] <= n[k] - need) & (100 * np.minimum(n[right], n[k]) >= percent * np.maximum(n[right], n[k]))]
+            apart = n[near] + n[k] - 2 * -(-percent * (n[near] + n[k]) // (100 + percent))
+            near = near[np.bitwise_count(bits[near] ^ bits[k]).sum(axis=1) <= apart]
             a_out.append(np.minimum(node[k], node[near]))
             b_out.append(np.maximum(node[k], node[near]))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *c])) for c in (a_out, b_out)], ["a", "b"])
@@ -212,7 +229,7 @@ def across(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows = None, []
         for batch in batches:
-            for g, x, y, *row in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
+            for g, x, y, *row in zip(*(batch.column(k).to_pylist() for k in range(9)), strict=True):
                 if (g, x, y) != at:
                     if len(rows) > 1:
                         yield emit(at, rows)

@@ -191,3 +191,19 @@ def test_suffix_periods_and_edges(spark):
 def test_suffix_odd(odd):
     rows = S.suffix_dedup(odd, with_text=True).collect()
     assert len(rows) == 7 and all(r["n_removed"] == 0 for r in rows) and sum(r["doc_id"] is None for r in rows) == 3
+
+
+def test_parities_never_rule_out_a_link():
+    import numpy as np
+
+    from quirespark.llm.near_dedup import parities
+
+    rng = np.random.default_rng(5)
+    for n in (1, 40, 3000):
+        for share in (0.0, 0.5, 0.9, 1.0):
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            b = np.union1d(a[: int(share * n)], rng.integers(0, 1 << 63, n // 5, dtype=np.uint64))
+            differ = len(np.setxor1d(a, b))
+            x, y = (np.unpackbits(np.frombuffer(parities(s), np.uint8)) for s in (a, b))
+            assert (x != y).sum() <= differ
+            assert differ or (x == y).all()
