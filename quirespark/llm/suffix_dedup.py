@@ -3,6 +3,7 @@
 Only the first WIDTH bytes of a suffix matter here. Suffixes are dealt into buckets by content: the gram of GRAM
 bytes with the least hash among those inside a suffix's first WIDTH bytes is its anchor, so equal strings have equal
 anchors at equal places, and a bucket holds all suffixes with one anchor gram. Buckets of one anchor are left alone.
+Buckets of very many rows are found by a count first and dealt out by exact content instead (hot_spans_of).
 
 The rest is blockwise: buckets come in BLOCKS blocks by their gram's hash, one block after the other, and inside a
 block bucket by bucket. A bucket's suffixes are compared by their first bytes up to the next sample position, and
@@ -11,7 +12,8 @@ bucket are aligned at their anchor, so every STEP-th place counted from it is a
 """
 
 import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,9 @@ REACH = WIDTH - GRAM  # how far before its anchor a suffix may start
 BLOCKS = 2
 STEP = 4
 BUFFER = 1 << 20
+MOST = 4000  # rows of a bucket that one task may sort; see hot_spans_of
+BINS = 1 << 20
+_BLOCK_SEED = 0x5851F42D4C957F2D
 _SPAN = REACH + WIDTH  # bytes around an anchor that any of its suffixes can reach
 _COLUMNS = 176  # the same, made a multiple of 8
 _MIX = mix64(np.arange(1, _COLUMNS // 8 + 1, dtype=np.uint64)) | np.uint64(1)
@@ -83,48 +88,89 @@ def _segments(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
         yield batch
 
 
-def anchored(rows: DataFrame, block: int, blocks: int) -> DataFrame:
-    """ROWS of this block's anchors: key (of the gram), the document, the anchor's place, the starts of its suffixes relative to it, and the bytes these reach.
+def _placed(segments: list[tuple[int, int, bytes]], wanted: Callable[[np.ndarray], np.ndarray]) -> tuple:
+    """(data, ends, lengths, key, at, first, last, of, again): the wanted anchors of a batch of segments, in order; again tells those whose suffixes all occurred before in their segment."""
+    data = b"".join(s[2] for s in segments)
+    lengths = np.array([len(s[2]) for s in segments])
+    ends = np.cumsum(lengths)
+    gram, at, first, last = anchors(np.frombuffer(data, np.uint8))
+    of_first = np.searchsorted(ends, first, side="right")
+    # runs of starts may go over the ends of texts: cut them to the starts that have WIDTH bytes in their own
+    of_last = np.searchsorted(ends, last, side="right")
+    split = np.flatnonzero(of_last > of_first)
+    more = [(k, s) for k in split for s in range(of_first[k] + 1, of_last[k] + 1)]
+    if more:
+        extra = np.array(more)
+        gram, at, last = (np.concatenate([x, x[extra[:, 0]]]) for x in (gram, at, last))
+        first = np.concatenate([first, ends[extra[:, 1] - 1]])
+        of_first = np.concatenate([of_first, extra[:, 1]])
+    last = np.minimum(last, ends[of_first] - WIDTH)
+    with np.errstate(over="ignore"):
+        key = mix64(gram + np.uint64(_BLOCK_SEED))
+    keep = np.flatnonzero((last >= first) & wanted(key))
+    order = keep[np.lexsort((first[keep], of_first[keep]))]
+    key, at, first, last, of = key[order], at[order], first[order], last[order], of_first[order]
+    with np.errstate(over="ignore"):
+        own = mix64(key + mix64(of.astype(np.uint64)))
+    _, inverse, count = np.unique(own, return_inverse=True, return_counts=True)
+    again, seen = np.zeros(len(key), bool), set()
+    for k in np.flatnonzero(count[inverse] > 1).tolist():
+        what = (int(of[k]), int(first[k] - at[k]), data[first[k] : last[k] + WIDTH])
+        again[k] = what in seen
+        seen.add(what)
+    return data, ends, lengths, key, at, first, last, of, again
+
+
+def hot_bins(rows: DataFrame) -> tuple[np.ndarray, float]:
+    """Which of BINS classes of keys hold more than MOST rows and twice a class's mean, and their share of all rows. Every bucket of more rows than that lies in such a class.
+
+    Each task counts into BINS numbers; the driver receives the classes above the bound only.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(BINS, np.int64)
+        for batch in batches:
+            for segments in _segments(batch.column(0).cast(pa.binary()).to_pylist()):
+                _, _, _, key, *_, again = _placed(segments, lambda k: np.ones(len(k), bool))
+                n += np.bincount(_bin(key[~again]), minlength=BINS)
+        some = np.flatnonzero(n)
+        for k in range(0, len(some), 1 << 16):
+            part = some[k : k + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(n[part])], ["bin", "n"])
+
+    counts = written(rows.select("_text").mapInArrow(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")), "suffix-counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.where(F.col("n") > MOST + 2 * total / BINS).toArrow()
+    out = np.zeros(BINS, bool)
+    out[hot["bin"].to_numpy()] = True
+    return out, int(hot["n"].to_numpy().sum()) / max(total, 1)
+
+
+def _bin(key: np.ndarray) -> np.ndarray:
+    return (key >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+
+
+def anchored(rows: DataFrame, block: int, blocks: int, bins: np.ndarray | None = None, hot: bool = False) -> DataFrame:
+    """ROWS of this block's anchors: key (of the gram), the document, the anchor's place, the starts of its suffixes relative to it, and the bytes these reach. With `bins`, only the hot or only the other keys.
 
     Inside a document an anchor whose suffixes all occurred before, with the same bytes, needs no comparison. Such
     anchors' stretches are joined, one row each with null bytes. That keeps texts of one repeated phrase small.
     """
 
+    shared = None if bins is None else rows.sparkSession.sparkContext.broadcast(bins)
+
+    def wanted(key: np.ndarray) -> np.ndarray:
+        mine = key % np.uint64(blocks) == np.uint64(block)
+        return mine if shared is None else mine & (shared.value[_bin(key)] == hot)
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2).cast(pa.binary()).to_pylist()
             ids, hashes = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             for segments in _segments(texts):
-                data = b"".join(s[2] for s in segments)
-                lengths = np.array([len(s[2]) for s in segments])
-                ends = np.cumsum(lengths)
-                gram, at, first, last = anchors(np.frombuffer(data, np.uint8))
-                of_first = np.searchsorted(ends, first, side="right")
-                # runs of starts may go over the ends of texts: cut them to the starts that have WIDTH bytes in their own
-                of_last = np.searchsorted(ends, last, side="right")
-                split = np.flatnonzero(of_last > of_first)
-                more = [(k, s) for k in split for s in range(of_first[k] + 1, of_last[k] + 1)]
-                if more:
-                    extra = np.array(more)
-                    gram, at, last = (np.concatenate([x, x[extra[:, 0]]]) for x in (gram, at, last))
-                    first = np.concatenate([first, ends[extra[:, 1] - 1]])
-                    of_first = np.concatenate([of_first, extra[:, 1]])
-                last = np.minimum(last, ends[of_first] - WIDTH)
-                with np.errstate(over="ignore"):
-                    key = mix64(gram + np.uint64(block_seed))
-                keep = np.flatnonzero((last >= first) & (key % np.uint64(blocks) == np.uint64(block)))
-                order = keep[np.lexsort((first[keep], of_first[keep]))]
-                key, at, first, last, of = key[order], at[order], first[order], last[order], of_first[order]
+                data, ends, lengths, key, at, first, last, of, again = _placed(segments, wanted)
                 if not len(key):
                     continue
-                with np.errstate(over="ignore"):
-                    own = mix64(key + mix64(of.astype(np.uint64)))
-                _, inverse, count = np.unique(own, return_inverse=True, return_counts=True)
-                again, seen = np.zeros(len(key), bool), set()
-                for k in np.flatnonzero(count[inverse] > 1).tolist():
-                    what = (int(of[k]), int(first[k] - at[k]), data[first[k] : last[k] + WIDTH])
-                    again[k] = what in seen
-                    seen.add(what)
                 number = np.array([s[0] for s in segments])[of]
                 start = np.array([s[1] for s in segments])[of] - (ends - lengths)[of]  # from places in the buffer to places in the text
                 # stretches that repeat inside their document need no bucket: one row each, under keys of their own
@@ -142,7 +188,6 @@ def anchored(rows: DataFrame, block: int, blocks: int) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(reach, pa.binary())], _NAMES)
 
-    block_seed = 0x5851F42D4C957F2D
     return rows.mapInArrow(find, ROWS)
 
 
@@ -261,6 +306,59 @@ def spans_of(rows: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "_id", "_hash", "at", "first").mapInArrow(sort, "_id long, _hash long, begin long, end long")
 
 
+def _suffixes(with_bytes: bool) -> Callable:
+    """Of ROWS, a row for each suffix: its place, a 64-bit hash of its bytes and, with_bytes, these."""
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(k, 200) for k in range(0, batch.num_rows, 200)):
+                ids, hashes, at, first, last = (part.column(k).to_numpy() for k in range(5))
+                texts = part.column(5).to_pylist()
+                begins = np.cumsum([0, *map(len, texts)])[:-1]
+                sizes = last - first + 1
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                step = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                bytes_ = np.frombuffer(b"".join(texts), np.uint8)[(begins[row] + step)[:, None] + np.arange(WIDTH)]
+                padded = np.zeros((len(row), -(-WIDTH // 8) * 8), np.uint8)
+                padded[:, :WIDTH] = bytes_
+                with np.errstate(over="ignore"):
+                    name = mix64((mix64(padded.view("<u8").astype(np.uint64)) * _MIX[None, : padded.shape[1] // 8]).sum(axis=1, dtype=np.uint64))
+                columns = [pa.array(x) for x in (ids[row], hashes[row], at[row], (first[row] + step).astype(np.int32), name.view(np.int64))]
+                if with_bytes:
+                    offsets = np.arange(len(row) + 1, dtype=np.int32) * WIDTH
+                    columns.append(pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(bytes_))]))
+                yield pa.RecordBatch.from_arrays(columns, ["_id", "_hash", "at", "start", "name", "suffix"][: len(columns)])
+
+    return expand
+
+
+def hot_spans_of(rows: DataFrame) -> DataFrame:
+    """As spans_of, for keys of many rows: no task holds a bucket.
+
+    Rows are dealt by all they hold. Of equal ones only the least goes on, and the others are repeated whole. Those that
+    go on are dealt suffix by suffix: a suffix whose hash no other has is not repeated; of the rest, grouped by their
+    bytes, all but the least are. Each group is a partial aggregation, and leaders are taken out by place, so a string
+    that very many documents hold is not one task's either.
+    """
+    rows = written(rows, "suffix-hot")
+    whole = [F.col("_id"), F.col("_hash"), (F.col("at") + F.col("first")).alias("begin"), (F.col("at") + F.col("last") + WIDTH).alias("end")]
+    known, place = rows.where("bytes IS NOT NULL"), ["_id", "_hash", "at", "first"]
+    least = known.groupBy("key", "first", "last", "bytes").agg(F.min(F.struct("_id", "_hash", "at")).alias("x"))
+    least = written(least.select("x.*", "first", "last", "bytes"), "suffix-kinds")
+    copies = known.select(*place, "last").join(least.select(*place), place, "left_anti").select(*whole)
+    suffix = "_id long, _hash long, at long, start int, name long"
+    names = least.mapInArrow(_suffixes(False), suffix).groupBy("name").count().where("count > 1").select("name")
+    shared = written(least.mapInArrow(_suffixes(True), suffix + ", suffix binary").join(names, "name", "left_semi"), "suffix-shared")
+    lead = shared.groupBy("suffix").agg(F.min(F.struct("_id", "_hash", "at", "start")).alias("x")).select("x.*", F.lit(True).alias("lead"))
+    both = shared.select("_id", "_hash", "at", "start", F.lit(False).alias("lead")).unionByName(lead)
+    starts = F.array_except(F.collect_set(F.when(~F.col("lead"), F.col("start"))), F.collect_set(F.when(F.col("lead"), F.col("start"))))
+    runs = both.groupBy("_id", "_hash", "at").agg(F.array_sort(starts).alias("s"))
+    edge = lambda by: F.filter("s", lambda x: ~F.array_contains(F.col("s"), x + by))
+    runs = runs.select("_id", "_hash", "at", F.explode(F.arrays_zip(edge(-1).alias("a"), edge(1).alias("b"))).alias("run"))
+    parts = runs.select("_id", "_hash", (F.col("at") + F.col("run.a")).alias("begin"), (F.col("at") + F.col("run.b") + WIDTH).alias("end"))
+    return rows.where("bytes IS NULL").select(*whole).unionByName(copies).unionByName(parts)
+
+
 def _parts(bucket: np.ndarray, most: int = 4000) -> Iterator[slice]:
     """Slices of whole buckets, of about `most` rows."""
     begin = 0
@@ -295,9 +393,15 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     kind = docs.schema[id_col].dataType.simpleString()
     last_id = (1 << 63) - 1
     rows = id_and_text(docs, id_col, text_col).select(F.coalesce(F.col("_id").cast("long"), F.lit(last_id)).alias("_id"), F.xxhash64("_text").alias("_hash"), "_text")
+    bins, share = hot_bins(rows)
+    hot_blocks = math.ceil(blocks * share)
     spans = None
-    for block in range(blocks):
-        found = written(spans_of(anchored(rows, block, blocks)), "suffix-spans")
+    for block in range(blocks + hot_blocks):
+        if block < blocks:
+            found = spans_of(anchored(rows, block, blocks, bins if share else None))
+        else:
+            found = hot_spans_of(anchored(rows, block - blocks, hot_blocks, bins, hot=True))
+        found = written(found, "suffix-spans")
         spans = found if spans is None else spans.unionByName(found)
     listed = spans.groupBy("_id", "_hash").agg(F.collect_list("begin").alias("_begins"), F.collect_list("end").alias("_ends")).withColumnsRenamed({"_id": "_d", "_hash": "_h"})
     joined = rows.join(listed, (F.col("_id") == F.col("_d")) & (F.col("_hash") == F.col("_h")), "left").select("_id", "_text", "_begins", "_ends")

@@ -188,6 +188,30 @@ def test_suffix_periods_and_edges(spark):
     check_suffix(spark.createDataFrame(rows, "doc_id long, text string"))
 
 
+def test_suffix_passage_with_different_neighbours(spark, monkeypatch):
+    """A passage in many documents: no bucket that one task sorts may grow with their number."""
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, largest = text(300), []
+    rows = [(k, text(150) + passage + text(150)) for k in range(60)] + [(60 + k, rng.choice("xy") + passage + rng.choice("xy")) for k in range(20)] + [(90 + k, text(300)) for k in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    real = S.spans_of
+
+    def watched(found):
+        largest.append(found.groupBy("key").count().agg(F.max("count")).first()[0] or 0)
+        return real(found)
+
+    monkeypatch.setattr(S, "spans_of", watched)
+    monkeypatch.setattr(S, "MOST", 8, raising=False)
+    check_suffix(df)
+    assert max(largest) <= 9
+
+
+def test_suffix_all_buckets_hot(docs, monkeypatch):
+    monkeypatch.setattr(S, "MOST", 0)
+    check_suffix(docs)
+
+
 def test_suffix_odd(odd):
     rows = S.suffix_dedup(odd, with_text=True).collect()
     assert len(rows) == 7 and all(r["n_removed"] == 0 for r in rows) and sum(r["doc_id"] is None for r in rows) == 3
