@@ -8,19 +8,21 @@ from pyspark.sql import functions as F
 from ..sources.scratch import scratch_path
 
 
-def chains(nodes: DataFrame, keys: list[str], most: int = 64) -> DataFrame:
+def chains(nodes: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, id, depth, root) of every node of (keys, id, parent): how many parents stand above it, and the last of them.
 
     All chains double at once: a node's parent at distance 2^k is the one at 2^(k-1) of that at 2^(k-1), so a depth of d
     takes log2(d) joins, each written before the next, and no more are made than there is depth. A missing parent ends
-    a chain at the last node before it; in a cycle depths stop at `most`.
+    a chain at the last node before it. A chain still going on after as many steps as its largest key has nodes runs into
+    a cycle: it has no last node, so its depth and root are null.
     """
     spark = nodes.sparkSession
     same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
     a, b = nodes.alias("a"), nodes.alias("b")
     up = a.join(b, [*same, F.col("a.parent") == F.col("b.id")], "left").select(*(F.col(f"a.{k}").alias(k) for k in keys), F.col("a.id").alias("id"), F.col("b.id").alias("far"), F.when(F.col("b.id").isNull(), 0).otherwise(1).alias("depth"))
     step = 1
-    while step < most:
+    largest = None
+    while True:
         a, b = up.alias("a"), up.alias("b")
         joined = a.join(b, [*same, F.col("a.far") == F.col("b.id")], "left").select(
             *(F.col(f"a.{k}").alias(k) for k in keys), F.col("a.id").alias("id"), F.coalesce("b.far", "a.far").alias("far"), (F.col("a.depth") + F.coalesce("b.depth", F.lit(0))).alias("depth"), F.col("b.far").isNotNull().alias("moved")
@@ -30,5 +32,9 @@ def chains(nodes: DataFrame, keys: list[str], most: int = 64) -> DataFrame:
         up = stored.drop("moved")
         step *= 2
         if stored.where("moved").isEmpty():
-            break
-    return up.select(*keys, "id", F.col("depth").cast("long").alias("depth"), F.coalesce("far", "id").alias("root"))
+            return up.select(*keys, "id", F.col("depth").cast("long").alias("depth"), F.coalesce("far", "id").alias("root"))
+        if step > 64:
+            largest = largest or nodes.groupBy(*keys).count().agg(F.max("count")).first()[0]
+            if step >= 2 * largest:
+                ends = ~F.col("moved")
+                return stored.select(*keys, "id", F.when(ends, F.col("depth")).cast("long").alias("depth"), F.when(ends, F.coalesce("far", "id")).alias("root"))

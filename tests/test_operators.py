@@ -56,6 +56,13 @@ def test_chains_deep_and_broken(spark):
     assert all(got[1, k] == (k, 0) for k in range(40)) and got[2, 5] == (0, 5)
 
 
+def test_chains_past_64_and_cycles(spark):
+    rows = [(1, k, k - 1 if k else None) for k in range(200)] + [(2, 0, 2), (2, 1, 0), (2, 2, 1), (2, 3, 2), (2, 4, None), (2, 5, 4)]
+    got = {(r["g"], r["id"]): (r["depth"], r["root"]) for r in styles.chains(spark.createDataFrame(rows, "g int, id int, parent int"), ["g"]).collect()}
+    assert all(got[1, k] == (k, 0) for k in range(200))
+    assert [got[2, k] for k in range(6)] == [(None, None)] * 4 + [(0, 4), (1, 4)]
+
+
 def test_nested_pairs(spark):
     log = spark.createDataFrame([(1, k, c) for k, c in enumerate("e(a(b)(c)d)(", 1)], "d int, seq int, c string")
     got = ordered.nested_pairs(log, ["d"], "seq", F.col("c") == "(", F.col("c") == ")").collect()
