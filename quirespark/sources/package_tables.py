@@ -81,7 +81,7 @@ def sections(nodes: DataFrame, part: str = DOCUMENT) -> DataFrame:
 
 
 def controls(nodes: DataFrame, part: str = DOCUMENT) -> DataFrame:
-    """(doc_id, id, tag, alias, kind, text) of content controls that hold no other control."""
+    """(doc_id, id, tag, alias, kind, text) of content controls; what stands in a control inside another belongs to the inner one."""
     kinds = ("w:text", "w:richText", "w:dropDownList", "w:comboBox", "w:date", "w:picture", "w14:checkbox", "w:group", "w15:repeatingSection")
     kind = F.min(F.when(F.col("name").isin(*kinds), F.regexp_replace("name", "^[^:]+:", "")))
     rows = _grouped(nodes, part, "w:sdt").agg(_child("w:id").cast("int").alias("id"), _child("w:tag").alias("tag"), _child("w:alias").alias("alias"), F.coalesce(kind, F.lit("richText")).alias("kind"), _text().alias("text"))
@@ -160,13 +160,12 @@ def parsed_code(code: Column) -> Column:
 
 
 def cells(nodes: DataFrame, part: str = DOCUMENT) -> DataFrame:
-    """(doc_id, table_id, row, col, grid_span, v_merge, text) of tables that hold no table."""
-    n = _inside(nodes.where(F.col("part_path") == part), "w:tbl").where("_of IS NOT NULL").withColumnRenamed("_of", "table_id")
-    n = _inside(n, "w:tr").where("_of IS NOT NULL").withColumnRenamed("_of", "_tr")
-    rows = _inside(n, "w:tc").where("_of IS NOT NULL").groupBy("doc_id", "table_id", "_tr", "_of")
+    """(doc_id, table_id, row, col, grid_span, v_merge, nest_depth, text); nest_depth counts the tables around a table, and text in a table inside a cell belongs to that table's cells."""
+    own = lambda name, field: F.max(F.when(F.col("name") == "w:tc", F.try_element_at("within", F.lit(name))[field]))
+    rows = _inside(nodes.where(F.col("part_path") == part), "w:tc").where("_of IS NOT NULL").groupBy("doc_id", "_of")
     v = F.max(F.when(F.col("name") == "w:vMerge", F.coalesce(attribute("w:val"), F.lit("continue"))))
-    rows = rows.agg(F.coalesce(_child("w:gridSpan").cast("int"), F.lit(1)).alias("grid_span"), v.alias("v_merge"), _text().alias("text"))
+    rows = rows.agg(F.coalesce(_child("w:gridSpan").cast("int"), F.lit(1)).alias("grid_span"), v.alias("v_merge"), own("w:tbl", "node_id").alias("table_id"), own("w:tr", "node_id").alias("_tr"), own("w:tbl", "nest").alias("nest_depth"), _text().alias("text"))
     row = (F.dense_rank().over(Window.partitionBy("doc_id", "table_id").orderBy("_tr")) - 1).alias("row")
     spans = Window.partitionBy("doc_id", "table_id", "_tr").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
     col = F.coalesce(F.sum("grid_span").over(spans), F.lit(0)).cast("int").alias("col")
-    return rows.select("doc_id", "table_id", row, col, "grid_span", "v_merge", "text")
+    return rows.select("doc_id", "table_id", row, col, "grid_span", "v_merge", "nest_depth", "text")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 MOST_DEPTH = 1024
 ATTRIBUTES = "array<struct<name:string,value:string>>"
-NODES = f"doc_id string, part_path string, node_id long, parent_id long, ord int, depth int, kind string, name string, attrs {ATTRIBUTES}, text string, src_start long, src_end long"
+NODES = f"doc_id string, part_path string, node_id long, parent_id long, ord int, depth int, kind string, name string, attrs {ATTRIBUTES}, text string, src_start long, src_end long, within map<string,struct<node_id:long,nest:int>>"
 
 
 def read_packages(spark: SparkSession, path: str) -> DataFrame:
@@ -47,6 +47,7 @@ def _xml_rows(doc: str, part: str, data: bytes) -> list[tuple]:
     rows: list[list] = []
     stack: list[int] = []
     counts: list[int] = [0]
+    within: list[dict[str, tuple[int, int]]] = [{}]
     parser = expat.ParserCreate()
     parser.ordered_attributes, parser.buffer_text = True, False
 
@@ -54,10 +55,12 @@ def _xml_rows(doc: str, part: str, data: bytes) -> list[tuple]:
         if len(stack) >= MOST_DEPTH:
             raise ValueError(f"{part} of {doc} is nested deeper than {MOST_DEPTH}")
         pairs = [{"name": a, "value": b} for a, b in zip(attrs[::2], attrs[1::2], strict=True)]
-        rows.append([doc, part, len(rows), stack[-1] if stack else None, counts[-1], len(stack), kind, name, pairs, text, parser.CurrentByteIndex, None])
+        rows.append([doc, part, len(rows), stack[-1] if stack else None, counts[-1], len(stack), kind, name, pairs, text, parser.CurrentByteIndex, None, within[-1]])
         counts[-1] += 1
 
     def start(name: str, attrs: list[str]) -> None:
+        above = within[-1].get(name)
+        within.append(within[-1] | {name: (len(rows), above[1] + 1 if above else 0)})
         open_("element", name, attrs, None)
         stack.append(len(rows) - 1)
         counts.append(0)
@@ -65,6 +68,7 @@ def _xml_rows(doc: str, part: str, data: bytes) -> list[tuple]:
     def end(name: str) -> None:
         rows[stack.pop()][11] = data.find(b">", parser.CurrentByteIndex) + 1
         counts.pop()
+        within.pop()
 
     def text(value: str) -> None:
         if rows and rows[-1][6] == "text" and rows[-1][3] == (stack[-1] if stack else None):
@@ -79,12 +83,13 @@ def _xml_rows(doc: str, part: str, data: bytes) -> list[tuple]:
     parser.CommentHandler = lambda value: open_("comment", None, [], value)
     parser.ProcessingInstructionHandler = lambda name, value: open_("instruction", name, [], value)
     parser.Parse(data, True)
-    return [tuple(r) for r in rows]
+    return [(*r[:12], [(name, {"node_id": i, "nest": nest}) for name, (i, nest) in r[12].items()]) for r in rows]
 
 
 def xml_nodes(parts: DataFrame) -> DataFrame:
     """The node table of all XML parts: an adjacency list in document order, with attributes in their order and the bytes of each element.
 
+    `within` names, for each kind of element that is open at a node (itself included), the innermost one and how many of its kind it stands in.
     White space is kept, CDATA is text, entities are decoded. A part with a document type declaration or nested deeper
     than MOST_DEPTH is an error, as is one that isn't well formed.
     """
@@ -94,7 +99,7 @@ def xml_nodes(parts: DataFrame) -> DataFrame:
         for batch in batches:
             for doc, part, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 rows = _xml_rows(doc, part, data)
-                kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())])), pa.string(), pa.int64(), pa.int64()]
+                kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())])), pa.string(), pa.int64(), pa.int64(), pa.map_(pa.string(), pa.struct([("node_id", pa.int64()), ("nest", pa.int32())]))]
                 schema = schema or pa.schema(list(zip([x.split()[0] for x in NODES.replace(ATTRIBUTES, "x").split(", ")], kinds, strict=True)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], schema=schema)
 
@@ -107,15 +112,12 @@ def attribute(name: str) -> Column:
 
 
 def _inside(nodes: DataFrame, outer: str) -> DataFrame:
-    """Nodes of a part with `_of`: the node_id of the `outer` element they stand in (or are), by byte ranges. For elements that don't nest in their own kind."""
-    w = Window.partitionBy("doc_id", "part_path").orderBy("node_id").rowsBetween(Window.unboundedPreceding, 0)
-    mark = F.when(F.col("name") == outer, F.struct("node_id", "src_end"))
-    last = F.last(mark, ignorenulls=True).over(w)
-    return nodes.withColumn("_last", last).withColumn("_of", F.when(F.col("src_start") < F.col("_last.src_end"), F.col("_last.node_id"))).drop("_last")
+    """Nodes of a part with `_of`: the node_id of the innermost `outer` element they stand in (or are)."""
+    return nodes.withColumn("_of", F.try_element_at("within", F.lit(outer))["node_id"])
 
 
 def paragraphs(nodes: DataFrame, part: str = "word/document.xml") -> DataFrame:
-    """(doc_id, ord, node_id, in_table, style, para_id, text) of a part's paragraphs; text is that of w:t, with tabs and breaks, without deleted and field code text."""
+    """(doc_id, ord, node_id, in_table, style, para_id, text) of a part's paragraphs; text is that of w:t, with tabs and breaks, without deleted and field code text, and without that of paragraphs inside (text boxes), which have rows of their own."""
     n = nodes.where(F.col("part_path") == part)
     cells = n.where("name = 'w:tbl'").select("doc_id", F.col("src_start").alias("_a"), F.col("src_end").alias("_b"))
     inner = _inside(n, "w:p").where("_of IS NOT NULL")

@@ -76,3 +76,18 @@ def test_fields(nodes):
 
 def test_cells(nodes):
     assert rows(T.cells(nodes), "row", "col", "grid_span", "v_merge", "text") == {(0, 0, 2, None, "wide"), (1, 0, 1, "restart", "a"), (1, 1, 1, None, "b")}
+
+
+NESTED = f"""<w:document {W}><w:body><w:p><w:r><w:t>before </w:t></w:r><w:r><w:txbxContent><w:p><w:r><w:t>box</w:t></w:r></w:p></w:txbxContent></w:r><w:r><w:t>after</w:t></w:r>
+<w:r><w:fldChar w:fldCharType="begin"/></w:r><w:r><w:instrText>SEQ A</w:instrText></w:r><w:r><w:fldChar w:fldCharType="separate"/></w:r><w:r><w:t>1</w:t></w:r><w:r><w:fldChar w:fldCharType="end"/></w:r></w:p>
+<w:tbl><w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>in</w:t></w:r></w:p></w:tc></w:tr></w:tbl><w:p><w:r><w:t>z</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>b</w:t></w:r></w:p></w:tc></w:tr><w:tr><w:tc><w:p><w:r><w:t>c</w:t></w:r></w:p></w:tc></w:tr></w:tbl>
+<w:sdt><w:sdtPr><w:id w:val="1"/></w:sdtPr><w:sdtContent><w:r><w:t>x</w:t></w:r><w:sdt><w:sdtPr><w:id w:val="2"/></w:sdtPr><w:sdtContent><w:r><w:t>y</w:t></w:r></w:sdtContent></w:sdt><w:r><w:t>z</w:t></w:r></w:sdtContent></w:sdt></w:body></w:document>"""
+
+
+def test_elements_inside_their_own_kind(spark):
+    n = P.xml_nodes(spark.createDataFrame([("d", "word/document.xml", NESTED.encode())], "doc_id string, part_path string, content binary")).cache()
+    assert [r["text"] for r in P.paragraphs(n).orderBy("ord").collect()] == ["before after1", "box", "a", "in", "z", "b", "c"]
+    texts = F.regexp_replace("text", r"\s", "").alias("text")
+    assert rows(T.cells(n).select("row", "col", "nest_depth", texts), "row", "col", "nest_depth", "text") == {(0, 0, 0, "az"), (0, 0, 1, "in"), (0, 1, 0, "b"), (1, 0, 0, "c")}
+    assert rows(T.controls(n).select("id", texts), "id", "text") == {(1, "xz"), (2, "y")}
+    assert rows(T.fields(n), "code", "result") == {("SEQ A", "1")}
