@@ -257,7 +257,7 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     members = written(buckets(nodes), "near-buckets")
     chosen = members.select(F.col("node").alias("_node")).distinct().join(nodes, F.col("_node") == F.col("node")).select("node", F.col("_id").alias("_of"), F.col("_hash").alias("_h"))
     texts = id_and_text(docs, id_col, text_col).withColumn("_hash", F.xxhash64("_text"))
-    texts = texts.join(chosen, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_hash") == F.col("_h"))).select("node", "_text")
+    texts = texts.join(chosen, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_hash") == F.col("_h"))).select("node", "_text").dropDuplicates(["node"])  # rows that repeat id and text are one node
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

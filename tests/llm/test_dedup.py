@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quirespark.llm import exact_dedup as E
@@ -110,6 +111,21 @@ def test_near_links_past_the_bucket_leader(spark):
     assert got == near_brute(dict(rows), 4)
 
 
+def test_near_repeated_rows_lose_no_link(spark, monkeypatch):
+    """A chain of texts, each near only to its neighbours, that only the last exact step brings together; most rows stand twice or three times."""
+    monkeypatch.setattr(N, "TURNS", 0)
+    one = Window.partitionBy(F.lit(1))
+    monkeypatch.setattr(N, "buckets", lambda nodes: nodes.select(F.lit(1).cast("long").alias("key"), "node", F.min("node").over(one).alias("leader")))
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(200)]
+    rows = [(k, " ".join(words[6 * k : 6 * k + 100])) for k in range(15)]
+    rng.shuffle(rows)
+    repeated = [row for row in rows for _ in range(1 + row[0] % 3)]
+    df = spark.createDataFrame(repeated, "doc_id long, text string")
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in N.near_dedup(df, size=4).collect()}
+    assert got == {(k, *x) for k, x in near_brute(dict(rows), 4).items()}
+
+
 def test_near_blocks(docs, monkeypatch):
     want = near_brute(texts_of(docs), 4)
     monkeypatch.setattr(N, "BLOCK_ROWS", 2)
