@@ -193,12 +193,15 @@ def across(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
             for part in (batch.slice(k, 500) for k in range(0, batch.num_rows, 500)):
                 data = part.column(2).to_pylist()
                 sizes = np.array([len(x) // 8 for x in data])
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(part.column(k).to_numpy(), sizes)) for k in range(2)), pa.array(np.frombuffer(b"".join(data), np.int64))], ["node", "label", "g"])
-
-    rows = sets.join(open_, F.col("node") == F.col("_node")).select("node", "label", "set").mapInArrow(spread, "node long, label long, g long")
-    rows = rows.withColumn("f", F.count("*").over(Window.partitionBy("g")))
-    rows = rows.withColumn("i", F.row_number().over(Window.partitionBy("node").orderBy("f", "g")) - 1).withColumn("n", F.count("*").over(Window.partitionBy("node")))
-    early = written(rows.where((F.col("f") > 1) & (100 * F.col("i") <= (100 - percent) * F.col("n"))).select("g", "node", "label", F.col("i").cast("long").alias("i"), "n"), "near-early")
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(part.column(k).to_numpy(), sizes)) for k in range(2)), pa.array(np.frombuffer(b"".join(data), np.int64)), pa.array(np.repeat(sizes, sizes))], ["node", "label", "g", "n"])
+
+    rows = sets.join(open_, F.col("node") == F.col("_node")).select("node", "label", "set").mapInArrow(spread, "node long, label long, g long, n long")
+    often = rows.groupBy("g").agg(F.count("*").alias("f")).where("f > 1").withColumnRenamed("g", "_g")
+    rows = rows.join(often, F.col("g") == F.col("_g"))
+    # shingles that only one node has come first and need no rows: the place of the others counts from the set's end
+    own = Window.partitionBy("node")
+    rows = rows.withColumn("i", F.row_number().over(own.orderBy("f", "g")) - 1 + F.col("n") - F.count("*").over(own))
+    early = written(rows.where((100 * F.col("i") <= (100 - percent) * F.col("n"))).select("g", "node", "label", F.col("i").cast("long").alias("i"), "n"), "near-early")
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
