@@ -4,17 +4,18 @@ SIDE left and SIDE right halves of ROWS minhashes each make SIDE * SIDE table ke
 many tables need only 2 * SIDE * ROWS minhashes. A pair of likeness J shares a key unless all left or all right
 halves differ; the chance of that is at most 2 (1 - J ** ROWS) ** SIDE: 1e-5 at J = 0.8 with the sizes here.
 
-Candidates are verified on full sets. First every member of a bucket is held against the bucket's least member; what
-that links is joined into components. That is done again with other leaders, in buckets of several components, so
-that groups whose members are mostly linked come together without a comparison of all pairs. Then, in buckets that still hold several components, members of different
-components are held against each other where their rarest shingles allow a link. Links inside a component would
-change nothing.
+Candidates are verified on full sets. First every node is held against one node that leads most of its buckets; what
+that links is joined into components. Then, in buckets that hold several components, members of different components
+are held against each other where their rarest shingles allow a link: the likeliest partner of each first, and the
+others only where that has not joined their components, so that groups whose members are mostly linked come together
+without a comparison of all pairs. Links inside a component would change nothing.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,9 @@ HASHES = 2 * SIDE * ROWS
 SHINGLE = 5
 PERCENT = 80
 SHARE_ROWS = 1000
-BLOCK_ROWS = 2000
-TURNS = 2
+BLOCK_ROWS = 1000
+PAIRS = 500_000  # compared at once in a task
+RANKS = (0, 1, 16, None)
 CHUNK = 8192
 PARITY_BITS = 512
 _SEEDS = mix64(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -167,22 +169,18 @@ def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("key", "node", F.coalesce("label", "node").alias("label"))
 
 
-def star_pairs(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """In buckets of several components, each member outside the leader's component with the leader: the node that comes first in this turn's order."""
-    named = labelled(members, labels)
-    first = named.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node"), F.col("label"))).alias("x"), F.min("label").alias("_low"), F.max("label").alias("_high"))
-    first = first.where("_low <> _high").select("key", F.col("x.node").alias("a"), F.col("x.label").alias("_label"))
-    return named.join(first, "key").where("label <> _label").select("a", F.col("node").alias("b")).distinct()
+def leader_pairs(members: DataFrame) -> DataFrame:
+    """(a, b): each node b with one leader a, that of most of its buckets, which is likely the most alike. So there are no more pairs than nodes."""
+    return members.where("leader <> node").groupBy(F.col("node").alias("b")).agg(F.mode("leader", True).alias("a")).select("a", "b")
 
 
-def across(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that may be linked, among the nodes of buckets that hold several components.
+def candidates(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """What may link different components, among the nodes of buckets that hold several: rows (g, _x, _y, _block, node, i, n, bits), written.
 
     Exact filters leave few: let a set's shingles stand from the rarest to the most frequent among these nodes. Two linked
     sets share at least o = percent / (100 + percent) * (n_a + n_b) shingles, so the first they share stands at place
-    n_a - o at most in one and n_b - o in the other. Only such early shingles are compared, each with its place.
-    Of the pairs found so, those whose parities differ in more bits than two linked sets of their sizes may are left out.
-    Many nodes with one early shingle are dealt out as pairs of blocks of about BLOCK_ROWS.
+    n_a - o at most in one and n_b - o in the other. Only such early shingles g are compared, each with its place i.
+    Nodes with one early shingle are dealt out as pairs (_x, _y) of blocks of about BLOCK_ROWS.
     """
     named = labelled(members, labels)
     mixed = named.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high").select("key")
@@ -211,37 +209,72 @@ def across(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
     blocks = early.groupBy("g").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("_blocks")).where("_low <> _high").select(F.col("g").alias("_g"), "_blocks")
     dealt = early.join(blocks, F.col("g") == F.col("_g")).join(bits, F.col("node") == F.col("_of")).withColumn("_block", F.pmod(F.xxhash64("node"), "_blocks").cast("int"))
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
-    dealt = dealt.select("g", F.least("_block", "_other").alias("_x"), F.greatest("_block", "_other").alias("_y"), "_block", "node", "label", "i", "n", "bits")
-
-    def emit(at: tuple, rows: list) -> pa.RecordBatch:
-        _, x, y = at
-        *numbers, bits = zip(*rows, strict=True)
-        block, node, label, i, n = np.array(numbers, np.int64)
-        bits = np.frombuffer(b"".join(bits), np.uint64).reshape(len(rows), -1)
-        left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
-        a_out, b_out = [], []
-        for k in left.tolist():
-            need = -(-percent * (n[right] + n[k]) // (100 + percent))
-            near = right[(label[right] != label[k]) & (i[right] <= n[right] - need) & (i[k] <= n[k] - need) & (100 * np.minimum(n[right], n[k]) >= percent * np.maximum(n[right], n[k]))]
-            apart = n[near] + n[k] - 2 * -(-percent * (n[near] + n[k]) // (100 + percent))
-            near = near[np.bitwise_count(bits[near] ^ bits[k]).sum(axis=1) <= apart]
-            a_out.append(np.minimum(node[k], node[near]))
-            b_out.append(np.maximum(node[k], node[near]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *c])) for c in (a_out, b_out)], ["a", "b"])
+    return written(dealt.select("g", F.least("_block", "_other").alias("_x"), F.greatest("_block", "_other").alias("_y"), "_block", "node", "i", "n", "bits"), "near-candidates")
+
+
+def across(dealt: DataFrame, labels: DataFrame, percent: int, low: int, high: int | None) -> DataFrame:
+    """Pairs (a, b) of different components that may be linked, from `candidates`: of each node's partners in a pair of blocks, those that stand at the ranks from `low` to `high` and aren't of the node's component.
+
+    Partners stand by the parity bits that differ. Pairs that differ in more bits than two linked sets of their sizes may
+    are none. Ranks do not depend on components, so calls whose ranges cover all ranks, with labels that only merge,
+    leave out no pair that could join two components.
+    """
+    named = dealt.join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
+    named = named.select("g", "_x", "_y", "_block", "node", "i", "n", F.coalesce("label", "node").alias("label"), "bits")
+
+    def emit(left: np.ndarray, begin: np.ndarray, count: np.ndarray, x: dict[str, np.ndarray]) -> pa.RecordBatch:
+        """Rows `left`, each with `count` rows from `begin` on."""
+        at = np.repeat(np.arange(len(left)), count)
+        l, r = left[at], np.arange(count.sum()) + np.repeat(begin - np.cumsum(count) + count, count)
+        i, n, label = x["i"], x["n"], x["label"]
+        need = -(-percent * (n[l] + n[r]) // (100 + percent))
+        may = (l != r) & (i[r] <= n[r] - need) & (i[l] <= n[l] - need) & (100 * np.minimum(n[l], n[r]) >= percent * np.maximum(n[l], n[r]))
+        apart = label[l] != label[r]
+        may &= (np.bincount(at[may & apart], minlength=len(left)) > 0)[at]
+        l, r, apart, most = l[may], r[may], apart[may], (n[l] + n[r] - 2 * need)[may]
+        differ = np.bitwise_count(x["bits"][l] ^ x["bits"][r]).sum(axis=1, dtype=np.int64)
+        near = differ <= most
+        l, r, apart, differ = l[near], r[near], apart[near], differ[near]
+        order = np.lexsort((x["node"][r], differ, l))
+        l, r, apart = l[order], r[order], apart[order]
+        first = np.flatnonzero(np.concatenate([[True], l[1:] != l[:-1]])) if len(l) else l
+        rank = np.arange(len(l)) - np.repeat(first, np.diff(np.append(first, len(l))))
+        taken = apart & (rank >= low) & (rank < (high or len(l)))
+        a, b = x["node"][l[taken]], x["node"][r[taken]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, rows = None, []
-        for batch in batches:
-            for g, x, y, *row in zip(*(batch.column(k).to_pylist() for k in range(9)), strict=True):
-                if (g, x, y) != at:
-                    if len(rows) > 1:
-                        yield emit(at, rows)
-                    at, rows = (g, x, y), []
-                rows.append(row)
-        if len(rows) > 1:
-            yield emit(at, rows)
+        """Rows stand by block pair and block. The last block pair is held back until the next one begins."""
+        names, held = ["g", "_x", "_y", "_block", "node", "i", "n", "label"], None
+        for batch in chain(batches, [None]):
+            if batch is None:
+                if held is None:
+                    return
+                x, held, ends = held, None, True
+            else:
+                x = {c: batch.column(k).to_numpy() for k, c in enumerate(names)}
+                x["bits"] = np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint64).reshape(-1, PARITY_BITS // 64)
+                x, ends = x if held is None else {c: np.concatenate([held[c], x[c]]) for c in x}, False
+            new = np.concatenate([[True], (x["g"][1:] != x["g"][:-1]) | (x["_x"][1:] != x["_x"][:-1]) | (x["_y"][1:] != x["_y"][:-1])])
+            starts = np.flatnonzero(new)
+            if not ends:
+                held = {c: v[starts[-1] :] for c, v in x.items()}
+                x, starts = {c: v[: starts[-1]] for c, v in x.items()}, starts[:-1]
+            if not len(starts):
+                continue
+            stops = np.append(starts[1:], len(x["g"]))
+            group = np.repeat(np.arange(len(starts)), stops - starts)
+            lefts = x["_block"] == x["_x"]
+            within = x["_x"][starts] == x["_y"][starts]
+            begin = np.where(within, starts, starts + np.bincount(group[lefts], minlength=len(starts)))
+            left = np.flatnonzero(lefts)
+            begin, count = begin[group[left]], (stops - begin)[group[left]]
+            total = np.cumsum(count)
+            for k in np.split(np.arange(len(left)), np.searchsorted(total, np.arange(PAIRS, total[-1] if len(total) else 0, PAIRS))):
+                if len(k):
+                    yield emit(left[k], begin[k], count[k], x)
 
-    return dealt.repartition("g", "_x", "_y").sortWithinPartitions("g", "_x", "_y").mapInArrow(pair, "a long, b long").distinct()
+    return named.repartition("g", "_x", "_y").sortWithinPartitions("g", "_x", "_y", "_block").mapInArrow(pair, "a long, b long").distinct()
 
 
 def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -267,18 +300,14 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(x, size).tobytes() for x in batch.column(1).cast(pa.binary()).to_pylist()], pa.binary())], ["node", "set"])
 
     sets = written(texts.mapInArrow(as_sets, "node long, set binary"), "near-sets")
-    pairs = members.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    links = written(verified(sized(pairs, nodes, percent), sets, percent), "near-links")
+    links = written(verified(sized(leader_pairs(members), nodes, percent), sets, percent), "near-links")
     labels = components(links)
-    for turn in range(TURNS):
-        more = written(verified(sized(star_pairs(members, labels, turn), nodes, percent), sets, percent), "near-links")
-        if more.isEmpty():
-            break
-        links = links.unionByName(more)
-        labels = components(links)
-    more = written(verified(across(members, labels, sets, percent), sets, percent), "near-links")
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
+    dealt = candidates(members, labels, sets, percent)
+    for low, high in pairwise(RANKS):
+        more = written(verified(across(dealt, labels, percent, low, high), sets, percent), "near-links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = components(links)
     found = nodes.select("_digest", "node").join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select(F.col("_digest").alias("_d"), F.coalesce("label", "node").alias("label"))
     named = rows.join(found, F.col("_digest") == F.col("_d"), "left").select("_id", "n", "_row", F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("_row")).alias("label"))
     least = named.groupBy("label").agg(F.min(F.struct(F.isnull("_id").alias("_null"), F.col("_id"), F.col("_row"))).alias("_first"))

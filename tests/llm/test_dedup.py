@@ -113,7 +113,6 @@ def test_near_links_past_the_bucket_leader(spark):
 
 def test_near_repeated_rows_lose_no_link(spark, monkeypatch):
     """A chain of texts, each near only to its neighbours, that only the last exact step brings together; most rows stand twice or three times."""
-    monkeypatch.setattr(N, "TURNS", 0)
     one = Window.partitionBy(F.lit(1))
     monkeypatch.setattr(N, "buckets", lambda nodes: nodes.select(F.lit(1).cast("long").alias("key"), "node", F.min("node").over(one).alias("leader")))
     rng = random.Random(8)
@@ -130,9 +129,27 @@ def test_near_blocks(docs, monkeypatch):
     want = near_brute(texts_of(docs), 4)
     monkeypatch.setattr(N, "BLOCK_ROWS", 2)
     monkeypatch.setattr(N, "SHARE_ROWS", 2)
+    monkeypatch.setattr(N, "PAIRS", 7)
+    monkeypatch.setattr(N, "RANKS", (0, 1, 2, None))
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in N.near_dedup(docs, size=4).collect()} == want
 
 
+def test_near_pairs_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
+    """400 edited copies of one text, most of them near to most others: a few pairs a document are held against each other, and none that counts is left out."""
+    rng = random.Random(4)
+    base = [f"b{k}" for k in range(120)]
+    rows = []
+    for k in range(400):
+        w = base.copy()
+        for _ in range(rng.randrange(0, 5)):
+            w[rng.randrange(120)] = f"e{rng.randrange(10**6)}"
+        rows.append((k, " ".join(w)))
+    pairs, verified = [], N.verified
+    monkeypatch.setattr(N, "verified", lambda p, *more: pairs.append(p.count()) or verified(p, *more))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in N.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), size=4).collect()}
+    assert got == near_brute(dict(rows), 4) and sum(pairs) < 8 * len(rows)
+
+
 def test_near_odd(odd):
     rows = N.near_dedup(odd, size=4).collect()
     same = [r for r in rows if r["n_shingles"] == 4]
