@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import id_and_text, written
+from .shared import id_and_text, rows_kept, written
 
 CHUNK = 1 << 16
 PRIMES = (2**31 - 1, 2**31 - 19)
@@ -73,17 +73,21 @@ KEY = ["_n", "_h1", "_h2"]
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, with_text: bool) -> DataFrame:
-    """_id, the fingerprint of the normalised text in _n, _h1, _h2 and, as asked, the normalised text or its SHA-256."""
+    """_id, the fingerprint of the normalised text in _n, _h1, _h2 and, as asked, the normalised text in _text, or its SHA-256 in _sha and the hash of the text as it stands in _raw."""
     kind = docs.schema[id_col].dataType.simpleString()
+    names = ["_id", *KEY, *(["_text"] if with_text else ["_sha", "_raw"])]
 
     def hash_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [normalised(x) for x in batch.column(1).cast(pa.binary()).to_pylist()]
             keys = [fingerprint(x) for x in texts]
-            last = pa.array(texts, pa.binary()) if with_text else pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([k[j] for k in keys], pa.int64()) for j in range(3)), last], ["_id", *KEY, "_text" if with_text else "_sha"])
+            last = [pa.array(texts, pa.binary())] if with_text else [pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string()), batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([k[j] for k in keys], pa.int64()) for j in range(3)), *last], names)
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(hash_texts, f"_id {kind}, _n long, _h1 long, _h2 long, " + ("_text binary" if with_text else "_sha string"))
+    rows = id_and_text(docs, id_col, text_col)
+    if not with_text:
+        rows = rows.withColumn("_raw", F.xxhash64("_text"))
+    return rows.mapInArrow(hash_texts, f"_id {kind}, _n long, _h1 long, _h2 long, " + ("_text binary" if with_text else "_sha string, _raw long"))
 
 
 def differing(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -121,33 +125,32 @@ def differing(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> D
     return dealt.mapInArrow(compare, f"_id {kind}, _n long, _h1 long, _h2 long").distinct()
 
 
-def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Groups of documents whose texts are equal once each run of white space counts as one space.
-
-    Returns for every row id_col, keep_id (the smallest id of its group), group_size, kept and text_sha256 (of the
-    normalised text). A null text counts as empty, so null and empty texts are one group. A null id comes after all
-    others; of repeated rows (same id, equal texts) exactly one is kept. Extra columns are not read. An empty table
-    gives an empty one. Texts with one fingerprint that differ after all are told apart by their SHA-256.
-    """
+def grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """exact_dedup's rows with a hash of each text as it stands: (_id, _raw, _sha, keep_id, group_size, kept)."""
     rows = written(fingerprints(docs, id_col, text_col, with_text=False).withColumn("_row", F.monotonically_increasing_id()), "exact-fingerprints")
     odd = differing(docs, rows, id_col, text_col).select(F.col("_id").alias("_member"), *(F.col(k).alias(f"{k}_") for k in KEY), F.lit(True).alias("_odd"))
     rows = rows.join(odd, [F.col("_id").eqNullSafe(F.col("_member")), *(F.col(k) == F.col(f"{k}_") for k in KEY)], "left")
-    rows = rows.select("_id", "_row", "_sha", *KEY, F.when(F.col("_odd"), F.col("_sha")).otherwise("").alias("_class"))
+    rows = rows.select("_id", "_row", "_raw", "_sha", *KEY, F.when(F.col("_odd"), F.col("_sha")).otherwise("").alias("_class"))
     key = [*KEY, "_class"]
     groups = rows.groupBy(*key).agg(F.min(F.struct(F.isnull("_id").alias("_null"), F.col("_id"), F.col("_row"))).alias("_first"), F.count("*").alias("group_size"))
     return rows.join(groups, key).select(
-        F.col("_id").alias(id_col), F.col("_first._id").alias("keep_id"), "group_size", (F.col("_row") == F.col("_first._row")).alias("kept"), F.col("_sha").alias("text_sha256")
+        "_id", "_raw", "_sha", F.col("_first._id").alias("keep_id"), "group_size", (F.col("_row") == F.col("_first._row")).alias("kept")
     )
 
 
-def without_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that exact_dedup keeps, with all their columns. Of repeated rows one stays."""
-    from pyspark.sql import Window
+def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Groups of documents whose texts are equal once each run of white space counts as one space.
 
-    from .shared import SPACES
+    Returns for every row id_col, keep_id (the smallest id of its group), group_size, kept and text_sha256 (of the
+    normalised text). A null text counts as empty, so null and empty texts are one group. A null id comes after all
+    others; of repeated rows (same id, equal texts) exactly one is kept. Extra columns are not read. An empty table
+    gives an empty one. Texts with one fingerprint that differ after all are told apart by their SHA-256.
+    """
+    return grouped(docs, id_col, text_col).select(F.col("_id").alias(id_col), "keep_id", "group_size", "kept", F.col("_sha").alias("text_sha256"))
 
-    kept = exact_dedup(docs, id_col=id_col, text_col=text_col).where("kept").select(F.col(f"`{id_col}`").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
-    sha = F.sha2(F.regexp_replace(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), SPACES, " "), 256)
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col(f"`{id_col}`").alias("_id"), sha.alias("_sha"))
-    rows = rows.join(kept, [F.col("_id").eqNullSafe(F.col("_kept_id")), F.col("_sha") == F.col("_kept_sha")], "left_semi")
-    return rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_sha").orderBy(F.lit(0)))).where("_nth = 1").select("_doc.*")
+
+def without_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that exact_dedup keeps, with all their columns: one row of each group, also where rows share an id, or an id and a text."""
+    of = grouped(docs, id_col, text_col).groupBy(F.col("_id").alias("_kept_id"), F.col("_raw").alias("_kept_raw"))
+    kept = of.agg(F.count("*").alias("_times"), F.bool_or("kept").alias("_kept")).where("_kept").drop("_kept")
+    return rows_kept(docs, kept, id_col, text_col)

@@ -1,8 +1,9 @@
 """Document fingerprints: threshold-scaled sketches of word shingles.
 
-A sketch keeps every shingle hash below a fixed share of the hash range, and the smallest hash of all, so that only
-a text without words has an empty one. Sketches of parts merge to that of the whole by union, and as both sides of a
-comparison are sampled by the same threshold, containment of a short text in a long one is estimated without bias.
+A sketch keeps every shingle hash below a fixed share of the hash range and no other. Sketches of parts merge to that
+of the whole by union, and as both sides of a comparison are sampled by the same threshold, containment of a short
+text in a long one is estimated without bias. A small set's sketch may be empty, which tells nothing of the set: its
+containment is unknown then, and two such are compared by whether the sets are equal.
 """
 
 import hashlib
@@ -24,20 +25,23 @@ BITS = 48
 _EMPTY = np.zeros(0, np.uint64)
 
 
+def hashes_of(data: bytes, size: int = SHINGLE) -> np.ndarray:
+    """A hash of BITS bits for each run of `size` words, in order; fewer words are one run."""
+    return shingle_hashes(words_of(data), size) >> np.uint64(64 - BITS)
+
+
+def kept_of(hashes: np.ndarray, share: int = SHARE) -> np.ndarray:
+    """The sketch: the distinct hashes below the threshold, ascending."""
+    return np.unique(hashes[hashes < np.uint64((1 << BITS) // share)])
+
+
 def sketch(data: bytes, size: int = SHINGLE, share: int = SHARE) -> np.ndarray:
-    """The kept hashes, ascending."""
-    hashes = shingle_hashes(words_of(data), size) >> np.uint64(64 - BITS)
-    if not len(hashes):
-        return _EMPTY
-    kept = hashes[hashes < np.uint64((1 << BITS) // share)]
-    return np.unique(kept) if len(kept) else hashes.min(keepdims=True)
+    return kept_of(hashes_of(data, size), share)
 
 
-def merge(a: np.ndarray, b: np.ndarray, share: int = SHARE) -> np.ndarray:
+def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The sketch of the two shingle sets' union."""
-    both = np.union1d(a, b)
-    kept = both[both < np.uint64((1 << BITS) // share)]
-    return kept if len(kept) else both[:1]
+    return np.union1d(a, b)
 
 
 def shared_hashes(a: np.ndarray, b: np.ndarray) -> int:
@@ -47,16 +51,16 @@ def shared_hashes(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard likeness; two empty sketches are alike."""
+def likeness(a: np.ndarray, b: np.ndarray, equal: bool = True) -> float:
+    """Jaccard likeness of two sketches; of two empty ones 1 or 0, as `equal` says that the sets themselves are or aren't."""
     both = shared_hashes(a, b)
     union = len(a) + len(b) - both
-    return both / union if union else 1.0
+    return both / union if union else float(equal)
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """The share of a's shingles that b has; 1 for an empty a."""
-    return shared_hashes(a, b) / len(a) if len(a) else 1.0
+def containment(a: np.ndarray, b: np.ndarray) -> float | None:
+    """The share of a's shingles that b has; unknown (None) for an empty a."""
+    return shared_hashes(a, b) / len(a) if len(a) else None
 
 
 def as_text(hashes: np.ndarray) -> str:
@@ -113,35 +117,41 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     The edited text is the document with its last half replaced by the beginning of the next document by ascending
     id (after the last comes the first; a lone document follows itself). Returns id_col (whole numbers), n_chars
-    (code points), edited_sha256, fingerprint, edited_fingerprint (hexadecimal, 12 digits a hash), near_edited,
-    near_next (Jaccard) and held_edited, held_next (the share of the document's shingles that the other has).
+    (code points), n_shingles (with repeats), edited_sha256, fingerprint, edited_fingerprint (hexadecimal, 12 digits a
+    hash), near_edited, near_next (Jaccard) and held_edited, held_next (the share of the document's shingles that the
+    other has; null where its fingerprint is empty).
 
-    A null text counts as empty; without words a fingerprint is the empty string, and two such are alike. Null ids
+    A null text counts as empty. A fingerprint is the empty string without words, and where none of a small text's
+    shingles is below the threshold (n_shingles tells these apart); of two empty ones near is 1 if the texts' shingles
+    are the same, else 0. Null ids
     come first, repeated ids and rows follow each other in the order of their texts' hashes. Extra columns are not
     read. An empty table gives an empty one. Texts cross one shuffle; a task holds two texts at a time.
     """
     placed, blocks = next_documents(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
-    names = ["_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "held_edited", "held_next"]
+    names = ["_id", "n_chars", "n_shingles", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "held_edited", "held_next"]
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # block, id, text, sketch of the row that waits for its next
+        last = None  # block, id, text, hashes and sketch of the row that waits for its next
         for batch in batches:
             out: list[list] = [[] for _ in names]
             for k in range(batch.num_rows):
                 i, text, after, block = (batch.column(c)[k].as_py() for c in range(4))
-                data = text.encode()
-                own = sketch(data, size, share)
+                hashes = hashes_of(text.encode(), size)
+                own = kept_of(hashes, share)
                 if last is not None and last[0] == block:
-                    changed = edited(last[2], text).encode()
-                    other = sketch(changed, size, share)
-                    row = (last[1], len(last[2]), hashlib.sha256(changed).hexdigest(), as_text(last[3]), as_text(other), likeness(last[3], other), likeness(last[3], own), containment(last[3], other), containment(last[3], own))
+                    _, before, old, all_, kept = last
+                    changed = edited(old, text).encode()
+                    other_all = hashes_of(changed, size)
+                    other = kept_of(other_all, share)
+                    near = [likeness(kept, y, bool(len(kept) or len(y) or np.array_equal(np.unique(all_), np.unique(x)))) for x, y in ((other_all, other), (hashes, own))]
+                    row = (before, len(old), len(all_), hashlib.sha256(changed).hexdigest(), as_text(kept), as_text(other), *near, containment(kept, other), containment(kept, own))
                     for column, x in zip(out, row, strict=True):
                         column.append(x)
-                last = None if after else (block, i, text, own)
-            types = [batch.schema.field(0).type, pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 4]
+                last = None if after else (block, i, text, hashes, own)
+            types = [batch.schema.field(0).type, pa.int64(), pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
 
     dealt = placed.repartitionById(blocks, F.col("_block")).sortWithinPartitions("_block", "_after", F.col("_id").asc_nulls_first(), F.xxhash64("_text"))
-    schema = f"_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, held_edited double, held_next double"
+    schema = f"_id {kind}, n_chars long, n_shingles long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, held_edited double, held_next double"
     return dealt.select("_id", "_text", "_after", "_block").mapInArrow(follow, schema).withColumnRenamed("_id", id_col)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import id_and_text, mix64, written
+from .shared import id_and_text, mix64, rows_kept, written
 from .shingles import shingle_hashes, words_of
 
 ROWS, SIDE = 2, 12
@@ -277,16 +277,8 @@ def across(dealt: DataFrame, labels: DataFrame, percent: int, low: int, high: in
     return named.repartition("g", "_x", "_y").sortWithinPartitions("g", "_x", "_y", "_block").mapInArrow(pair, "a long, b long").distinct()
 
 
-def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Components of documents linked by a Jaccard likeness of `percent` and more between their sets of word shingles.
-
-    Words are lower-cased (A-Z); a set holds the distinct runs of `size` words, or the whole of a shorter text. Returns
-    id_col, n_shingles, component_id (the smallest id of the component), kept (the row that bears it).
-
-    A null or empty text, or one without words, has an empty set and stands alone. A null id comes after all others; of
-    repeated ids in a component one row is kept. Equal sets count as one node, so copies cost one comparison in all.
-    Extra columns are not read. An empty table gives an empty one.
-    """
+def grouped(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """near_dedup's rows with the hash of each text: (_id, _hash, n, component, kept)."""
     rows = written(signatures(docs, id_col, text_col, size).withColumn("_row", F.monotonically_increasing_id()), "near-signatures")
     nodes = rows.where("n > 0").groupBy("_digest").agg(F.min_by(F.struct("_row", "_id", "_hash", "n", "_minhashes"), "_row").alias("x"))
     nodes = written(nodes.select("_digest", F.col("x._row").alias("node"), "x._id", "x._hash", "x.n", "x._minhashes"), "near-nodes")
@@ -309,13 +301,27 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
             links = links.unionByName(more)
             labels = components(links)
     found = nodes.select("_digest", "node").join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select(F.col("_digest").alias("_d"), F.coalesce("label", "node").alias("label"))
-    named = rows.join(found, F.col("_digest") == F.col("_d"), "left").select("_id", "n", "_row", F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("_row")).alias("label"))
+    named = rows.join(found, F.col("_digest") == F.col("_d"), "left").select("_id", "_hash", "n", "_row", F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("_row")).alias("label"))
     least = named.groupBy("label").agg(F.min(F.struct(F.isnull("_id").alias("_null"), F.col("_id"), F.col("_row"))).alias("_first"))
-    return named.join(least, "label").select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("_first._id").alias("component_id"), (F.col("_row") == F.col("_first._row")).alias("kept"))
+    return named.join(least, "label").select("_id", "_hash", "n", F.col("_first._id").alias("component"), (F.col("_row") == F.col("_first._row")).alias("kept"))
+
+
+def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Components of documents linked by a Jaccard likeness of `percent` and more between their sets of word shingles.
+
+    Words are lower-cased (A-Z); a set holds the distinct runs of `size` words, or the whole of a shorter text. Returns
+    id_col, n_shingles, component_id (the smallest id of the component), kept (the row that bears it).
+
+    A null or empty text, or one without words, has an empty set and stands alone. A null id comes after all others; of
+    repeated ids in a component one row is kept. Equal sets count as one node, so copies cost one comparison in all.
+    Extra columns are not read. An empty table gives an empty one.
+    """
+    found = grouped(docs, id_col, text_col, size, percent)
+    return found.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "kept")
 
 
 def without_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of `docs` that near_dedup keeps, with all their columns. Ids must tell rows apart; rows that share an id stay or go together."""
-    kept = near_dedup(docs, id_col=id_col, text_col=text_col, size=size, percent=percent).where("kept").select(F.col(f"`{id_col}`").alias("_kept_id")).distinct()
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"))
-    return rows.join(kept, F.col(f"_doc.`{id_col}`").eqNullSafe(F.col("_kept_id")), "left_semi").select("_doc.*")
+    """The rows of `docs` that near_dedup keeps, with all their columns: one row of each component, also where rows share an id, or an id and a text."""
+    of = grouped(docs, id_col, text_col, size, percent).groupBy(F.col("_id").alias("_kept_id"), F.col("_hash").alias("_kept_raw"))
+    kept = of.agg(F.count("*").alias("_times"), F.bool_or("kept").alias("_kept")).where("_kept").drop("_kept")
+    return rows_kept(docs, kept, id_col, text_col)

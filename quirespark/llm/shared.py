@@ -2,24 +2,32 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WORDS = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver see: spark.checkpoint.dir; where that is unset (tests), a temporary one is made and set."""
+    """The folder all executors and the driver see: spark.checkpoint.dir. Where that is unset a local master gets a temporary one, one an application; on a cluster that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="quirespark-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if context.applicationId not in _own:
+            _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="quirespark-")
+        path = _own[context.applicationId]
     return path.rstrip("/")
 
 
@@ -27,6 +35,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quirespark/{name}-{uuid.uuid4().hex}"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme and host that Spark would take it by, for readers outside Spark: without a scheme they would take it for a local one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return re.sub("^file:/+", "file:///", whole)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of `df` as a table written in the shared folder: lineage is cut and a lost executor costs nothing that was done before.
 
@@ -47,6 +62,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_order(df: DataFrame, struct: str) -> list[Column]:
+    """The columns of `df`, as fields of `struct`, that can be sorted by."""
+    return [F.col(f"{struct}.`{f.name}`") for f in df.schema if not re.search("map<|variant", f.dataType.simpleString())]
+
+
+def rows_kept(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of `docs`, all columns, whose id and text `kept` names: (_kept_id, _kept_raw: xxhash64 of the text, _times: how many rows of `docs` share both).
+
+    Of such rows one stays: the first by the other columns, in so far as these have an order.
+    """
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col(f"`{id_col}`").alias("_id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("_raw"))
+    rows = rows.join(kept, F.col("_id").eqNullSafe(F.col("_kept_id")) & (F.col("_raw") == F.col("_kept_raw")))
+    nth = F.row_number().over(Window.partitionBy("_id", "_raw").orderBy(*with_order(docs, "_doc")))
+    repeated = rows.where("_times > 1").withColumn("_nth", nth).where("_nth = 1")
+    return rows.where("_times = 1").select("_doc.*").unionByName(repeated.select("_doc.*"))
+
+
 def id_and_text(df: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     """Only the two columns an operator needs (and `more`), under names of its own, so that clashing extra columns never matter."""
     return df.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"), *more)

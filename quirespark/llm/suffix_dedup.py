@@ -391,8 +391,9 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     columns are not read. An empty table gives an empty one.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    last_id = (1 << 63) - 1
-    rows = id_and_text(docs, id_col, text_col).select(F.coalesce(F.col("_id").cast("long"), F.lit(last_id)).alias("_id"), F.xxhash64("_text").alias("_hash"), "_text")
+    last_id, no_id = (1 << 63) - 1, 1 << 62  # a null id stands as the largest one, and its texts' hashes stand after all others
+    hash_ = F.xxhash64("_text").bitwiseAND(F.lit(no_id - 1)) + F.when(F.col("_id").isNull(), no_id).otherwise(0)
+    rows = id_and_text(docs, id_col, text_col).select(F.coalesce(F.col("_id").cast("long"), F.lit(last_id)).alias("_id"), hash_.alias("_hash"), "_text")
     bins, share = hot_bins(rows)
     hot_blocks = math.ceil(blocks * share)
     spans = None
@@ -404,16 +405,16 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         found = written(found, "suffix-spans")
         spans = found if spans is None else spans.unionByName(found)
     listed = spans.groupBy("_id", "_hash").agg(F.collect_list("begin").alias("_begins"), F.collect_list("end").alias("_ends")).withColumnsRenamed({"_id": "_d", "_hash": "_h"})
-    joined = rows.join(listed, (F.col("_id") == F.col("_d")) & (F.col("_hash") == F.col("_h")), "left").select("_id", "_text", "_begins", "_ends")
+    joined = rows.join(listed, (F.col("_id") == F.col("_d")) & (F.col("_hash") == F.col("_h")), "left").select("_id", "_text", "_begins", "_ends", (F.col("_hash") >= no_id).alias("_none"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for i, text, begins, ends in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            for i, text, begins, ends, none in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2), batch.column(3), batch.column(4).to_pylist(), strict=True):
                 a, b = (np.zeros(0, np.int64),) * 2 if not begins.is_valid else merged(begins.values.to_numpy(), ends.values.to_numpy())
                 edges = [0, *np.stack([a, b], axis=1).reshape(-1).tolist(), len(text)]
                 kept = b"".join(text[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))
-                out.append((None if i == last_id else i, len(text), int((b - a).sum()), len(a), hashlib.sha256(kept).hexdigest(), kept if with_text else None))
+                out.append((None if none else i, len(text), int((b - a).sum()), len(a), hashlib.sha256(kept).hexdigest(), kept if with_text else None))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
             columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds]
             yield pa.RecordBatch.from_arrays(columns[: len(names)], names)

@@ -18,7 +18,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import new_path, written
+from .shared import new_path, qualified, written
 
 FRAME_BYTES = 1 << 18
 BUNDLE_BYTES = 1 << 30
@@ -121,10 +121,10 @@ def write_warc(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
 
     Rows with equal payloads of LEAST_REVISIT bytes and more refer to that with the largest id; rows that repeat the
     largest id are responses each, and where all ids are null all are. A null payload counts as empty, a null url is
-    left out. Extra columns are not read. An empty table writes no bundle. A task that runs again writes new bundles;
+    left out; ids are whole numbers or null. Extra columns are not read. An empty table writes no bundle. A task that runs again writes new bundles;
     the index names only those of tasks that ended well.
     """
-    path = path or new_path(pages.sparkSession, "warc")
+    path = qualified(pages.sparkSession, path or new_path(pages.sparkSession, "warc"))
     payload = F.coalesce(F.col(f"`{payload_col}`"), F.lit(""))
     rows = pages.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{url_col}`").cast("string").alias("_url"), payload.alias("_payload"))
     rows = rows.withColumn("_key", F.when(F.octet_length("_payload") >= LEAST_REVISIT, F.sha2("_payload", 256)))
@@ -158,7 +158,8 @@ def read_warc(index: DataFrame, *, with_payload: bool = False) -> DataFrame:
     """Every record of the index's bundles: page_id, payload_bytes, payload_digest, record_type, refers_to and, as asked, payload (null for revisits).
 
     Frames are found by each bundle's seek table and read one by one, so work is dealt out by frames, not files. A
-    response's payload is checked against its digest and length.
+    response's payload is checked against its digest and length. A record written for a null id has a null page_id,
+    repeated rows are records each, and an index without rows gives an empty table; of the index, only `bundle` is read.
     """
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -50,6 +50,18 @@ def test_exact_odd(odd):
     assert E.without_copies(odd).count() == 3
 
 
+def test_one_row_of_each_group_stays_where_ids_repeat(spark):
+    a, b = " ".join(f"a{k}" for k in range(90)), " ".join(f"b{k}" for k in range(90))
+    near = a.replace("a50 ", "z ")
+    rows = [(1, a, "q"), (1, a, "p"), (1, b, "q"), (2, a + " ", "q"), (3, near, "q"), (None, b, "q"), (1, near.replace(" ", "  "), "q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _times string")
+    exact = sorted((r["doc_id"], norm(r["text"]).strip(), r["_times"]) for r in E.without_copies(df).collect())
+    assert exact == sorted([(1, a, "p"), (1, b, "q"), (2, a, "q"), (1, near, "q")])
+    got = [(r["doc_id"], r["text"][0]) for r in N.without_near_copies(df).collect()]
+    assert sorted(got) == [(1, "a"), (1, "b")]
+    assert E.without_copies(df.repartition(5)).exceptAll(E.without_copies(df)).count() == 0
+
+
 def test_one_fingerprint_for_different_texts(docs, monkeypatch):
     """A hash that always collides must change nothing."""
     want = {tuple(r) for r in E.exact_dedup(docs).collect()}
@@ -250,6 +262,14 @@ def test_suffix_odd(odd):
     assert len(rows) == 7 and all(r["n_removed"] == 0 for r in rows) and sum(r["doc_id"] is None for r in rows) == 3
 
 
+def test_suffix_tells_null_from_the_largest_id(spark):
+    rng = random.Random(2)
+    text, top = "".join(rng.choice("abcdefgh ") for _ in range(300)), (1 << 63) - 1
+    df = spark.createDataFrame([(top, text), (None, text), (5, text[:120]), (None, "x")], "doc_id long, text string")
+    got = {(r["doc_id"], r["n_bytes"]): r["n_removed"] for r in S.suffix_dedup(df).collect()}
+    assert got == {(5, 120): 0, (top, 300): 120, (None, 300): 300, (None, 1): 0}
+
+
 def test_parities_never_rule_out_a_link():
     import numpy as np
 

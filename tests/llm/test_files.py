@@ -9,22 +9,64 @@ from quirespark.llm import fingerprints as P
 from quirespark.llm import warc as A
 
 
-def test_fingerprints(docs, empty):
+def runs(text, size=P.SHINGLE):
+    """The set of a text's shingles as tuples of words, by plain Python."""
+    w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text).encode().split()
+    return {tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set()
+
+
+@pytest.fixture(scope="module")
+def hash_of_run():
+    """The one hash of a shingle that stands alone, with every hash kept."""
+    seen = {}
+
+    def look(run):
+        if run not in seen:
+            (seen[run],) = P.sketch(b" ".join(run), share=1).tolist()
+        return seen[run]
+
+    return look
+
+
+def test_fingerprints(docs, empty, hash_of_run):
+    """Against sets of word tuples: fingerprints hold the hash of each shingle below the threshold and no other."""
     texts = {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()}
     rows = {r["doc_id"]: r for r in P.fingerprints(docs).collect()}
     assert len(rows) == len(texts)
+    top = 2**P.BITS // P.SHARE
+
+    def plain(text):
+        return {h for h in map(hash_of_run, runs(text)) if h < top}
+
+    def alike(x, y):
+        a, b = plain(x), plain(y)
+        return len(a & b) / len(a | b) if a | b else float(runs(x) == runs(y))
+
     ids = sorted(texts)
     for k, i in enumerate(ids):
         follows = texts[ids[(k + 1) % len(ids)]]
-        e, r = P.edited(texts[i], follows), rows[i]
+        cut = len(texts[i]) // 2
+        e, r = texts[i][: len(texts[i]) - cut] + follows[:cut], rows[i]
         assert (r["n_chars"], r["edited_sha256"]) == (len(texts[i]), hashlib.sha256(e.encode()).hexdigest())
-        a, b, c = (P.sketch(t.encode()) for t in (texts[i], e, follows))
-        assert (r["fingerprint"], r["edited_fingerprint"]) == (P.as_text(a), P.as_text(b))
-        assert (r["near_edited"], r["near_next"]) == (P.likeness(a, b), P.likeness(a, c))
-        assert (P.from_text(r["fingerprint"]) == a).all()
+        assert r["fingerprint"] == "".join(f"{h:012x}" for h in sorted(plain(texts[i]))) and r["edited_fingerprint"] == "".join(f"{h:012x}" for h in sorted(plain(e)))
+        assert abs(r["near_edited"] - alike(texts[i], e)) < 1e-12 and abs(r["near_next"] - alike(texts[i], follows)) < 1e-12
+        mine = plain(texts[i])
+        for held, other in (("held_edited", e), ("held_next", follows)):
+            assert r[held] == (len(mine & plain(other)) / len(mine) if mine else None)
+        assert set(P.from_text(r["fingerprint"]).tolist()) == mine
     assert P.fingerprints(empty).count() == 0
 
 
+def test_containment_of_small_texts_is_whole_or_unknown():
+    rng = random.Random(3)
+    w = [f"w{rng.randrange(10**6)}" for _ in range(3000)]
+    big = P.sketch(" ".join(w).encode())
+    for n in (6, 8, 10, 15, 20):
+        held = [P.containment(P.sketch(" ".join(w[k : k + n]).encode()), big) for k in range(0, 2900, 7)]
+        known = [x for x in held if x is not None]
+        assert set(known) == {1.0} and abs(len(known) / len(held) - (1 - (1 - 1 / P.SHARE) ** (n - P.SHINGLE + 1))) < 0.08
+
+
 def test_sketches_estimate_and_merge():
     rng = random.Random(7)
     w = [f"w{rng.randrange(10**6)}" for _ in range(4000)]
@@ -36,7 +78,7 @@ def test_sketches_estimate_and_merge():
     for p in parts[1:]:
         whole = P.merge(whole, p)
     assert np.array_equal(whole, a)
-    assert len(P.sketch(b"one word")) == 1 and P.likeness(P.sketch(b""), P.sketch(b" ")) == 1 and P.likeness(P.sketch(b""), a) == 0
+    assert P.likeness(P.sketch(b""), P.sketch(b" ")) == 1 and P.likeness(P.sketch(b""), a) == 0
 
 
 def test_fingerprints_odd(odd, docs):
@@ -99,3 +141,31 @@ def test_warc_damage_is_seen(spark, tmp_path):
 
 def test_warc_empty(pages):
     assert A.read_warc(A.write_warc(pages.limit(0))).count() == 0
+
+
+def test_shared_folder(spark, monkeypatch):
+    """Paths without a scheme are taken as Spark takes them; without a setting a local master gets one temporary folder, and a cluster an error."""
+    from quirespark.llm import shared as S
+    from quirespark.sources import scratch
+
+    assert S.qualified(spark, "/tmp/x") == S.qualified(spark, "file:/tmp/x") == "file:///tmp/x"
+
+    class Unset:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            master, applicationId = "local[2]", "app-of-this-test"
+
+    one, two = S.new_path(Unset, "a"), S.new_path(Unset, "b")
+    assert one != two and one.rpartition("/")[0] == two.rpartition("/")[0] and one.startswith("file:///")
+    assert scratch.scratch_path(Unset, "a").startswith("file:///")
+    monkeypatch.setattr(Unset.sparkContext, "master", "spark://host:7077")
+    for make in (S.new_path, scratch.scratch_path):
+        with pytest.raises(ValueError, match="checkpoint"):
+            make(Unset, "a")
+
+
+def test_bundles_go_where_spark_takes_the_path(pages, tmp_path):
+    index = A.write_warc(pages, path=f"{tmp_path}/plain")
+    assert {r["bundle"][:8] for r in index.collect()} == {"file:///"} and A.read_warc(index).count() == pages.count()

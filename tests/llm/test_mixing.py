@@ -75,5 +75,26 @@ def test_documents_of_the_mix(docs):
         assert any(whole[r["doc_id"]][k : k + len(w)] == w for k in range(len(whole[r["doc_id"]]) - len(w) + 1))
 
 
+def test_shards_in_two_levels(docs, monkeypatch):
+    monkeypatch.setattr(M, "SHARD_WORDS", 50)
+    monkeypatch.setattr(M, "FAN", 3)
+    got = M.mix(docs, block=1).toPandas()
+    sources = {r["doc_id"]: r["source"] for r in docs.select("doc_id", "source").collect()}
+    by = got.groupby(got["doc_id"].map(sources).fillna("~"))
+    assert ((by["taken"].sum() - by["target"].first()).abs() <= 1).all() and (got["taken"] <= 2 * got["size"]).all()
+
+
+def test_rows_that_share_an_id_have_places_of_their_own(spark):
+    rows = [(1, " ".join(f"a{k}" for k in range(900)), "s", "x"), (1, " ".join(f"b{k}" for k in range(700)), "s", "x"), (1, " ".join(f"b{k}" for k in range(700)), "s", "y"), (None, "c d e", None, "z"), (2, "f g", "s", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _mix string")
+    plan, out = M.mix(df, block=1).collect(), M.mixed_documents(df, block=1)
+    assert out.columns == df.columns
+    got = [words(r["text"]) for r in out.collect()]
+    assert sum(map(len, got)) == sum(r["taken"] for r in plan) and all(len({w[0] for w in g}) == 1 for g in got if g[0][0] in "ab")
+    for letter, size in (("a", 900), ("b", 700)):
+        want = sum(r["taken"] for r in plan if r["size"] == size)
+        assert sum(len(g) for g in got if g[0][0] == letter) == want
+
+
 def test_mix_odd(odd, empty):
     assert M.mix(odd).count() == 7 and M.mix(empty).count() == 0 and M.mixed_documents(empty).count() == 0
