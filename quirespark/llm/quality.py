@@ -1,8 +1,8 @@
 """Quality classifier: nearest-neighbour voting in a latent-semantic space.
 
-Terms are the shapes of words (case, digits, punctuation) and pairs of equal neighbours; a document's vector is its
-tf-idf row projected on the leading singular directions of a bounded labelled sample. Every document's cosine with
-every vector of that sample is computed exactly, in blocks, and its nearest neighbours vote by similarity.
+Terms are hashed words, the shapes of words (case, digits, punctuation) and pairs of equal neighbours; a document's
+vector is its tf-idf row projected on the leading singular directions of a bounded labelled sample. Every document's
+cosine with every vector of that sample is computed exactly, in blocks, and its nearest neighbours vote by similarity.
 """
 
 import zlib
@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 
 from .shared import Memo, id_and_text, texts_of
 
-TERMS = 1024
+CLASSES = 1024
+TERMS = 2 * CLASSES
+PIECE = 40
 DIMENSIONS = 48
 SAMPLE = 4096
 NEIGHBOURS = 15
@@ -26,25 +28,33 @@ BLOCK = 512
 ACCEPT = 0.7
 
 
-def shape_of(word: str) -> int:
-    """The number of a word's shape: runs of letters and digits by class, other characters as they are, up to three of each; and its length by powers of two."""
+def terms_of(piece: str) -> int:
+    """Two terms of a word, or of a piece of a long one, in one number: the class of its shape and, times CLASSES, that of its letters without case.
+
+    A shape is the runs of letters and digits by class, other characters as they are, up to three of each, and the length by powers of two.
+    """
     out, last, run = [], "", 0
-    for c in word[:40]:
+    for c in piece:
         kind = "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "w" if c.isalpha() else c
         run = run + 1 if kind == last else 1
         if run == 1 or (run <= 3 and kind not in "aA0w"):
             out.append(kind)
         last = kind
-    return 1 + zlib.crc32(f"{''.join(out)}/{len(word).bit_length()}".encode()) % (TERMS - 1)
+    shape = 1 + zlib.crc32(f"{''.join(out)}/{len(piece).bit_length()}".encode()) % (CLASSES - 1)
+    return shape + CLASSES * (zlib.crc32(piece.lower().encode()) % CLASSES)
 
 
 def term_counts(texts: list[str], memo) -> np.ndarray:
-    """A row of term counts for each text; term 0 counts words that repeat the one before."""
+    """A row of term counts for each text; term 0 counts words that repeat the one before. Words longer than PIECE count by their pieces, all of them."""
     out = np.zeros((len(texts), TERMS), np.float32)
     for k, text in enumerate(texts):
         if words := text.split():
-            out[k] = np.bincount(np.fromiter(map(memo.__getitem__, words), np.int64, len(words)), minlength=TERMS)
             out[k, 0] = sum(map(eq, words[1:], words))
+            if max(map(len, words)) > PIECE:
+                words = [w[a : a + PIECE] for w in words for a in range(0, len(w), PIECE)]
+            both = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
+            out[k, 1:CLASSES] = np.bincount(both % CLASSES, minlength=CLASSES)[1:]
+            out[k, CLASSES:] = np.bincount(both // CLASSES, minlength=CLASSES)
     return out
 
 
@@ -87,19 +97,20 @@ def held_out(id_column):
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Neighbours:
-    """Learns from at most `sample` labelled documents that are not held out, those whose ids hash lowest. A document labelled twice counts as the lower label."""
+    """Learns from at most `sample` labelled documents that are not held out, those whose ids hash lowest. A document labelled twice counts as the lower label; of documents that share an id one counts."""
     marks = labels.where(F.col(f"`{label_col}`").isin(0, 1) & F.col(f"`{id_col}`").isNotNull() & ~held_out(F.col(f"`{id_col}`")))
     marks = marks.groupBy(F.col(f"`{id_col}`").alias("_marked")).agg(F.min(f"`{label_col}`").cast("int").alias("_label")).orderBy(F.xxhash64("_marked"), "_marked").limit(sample)
     rows = id_and_text(docs, id_col, text_col).join(F.broadcast(marks), F.col("_id") == F.col("_marked")).select("_id", "_label", "_text")  # at most `sample` pairs of numbers
     kind = docs.schema[id_col].dataType.simpleString()
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(shape_of, 300_000)
+        memo = Memo(terms_of, 300_000)
         for batch in batches:
             counts = term_counts(texts_of(batch.column(2)), memo)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in counts], pa.binary())], ["_id", "_label", "_counts"])
 
-    got = rows.mapInArrow(extract, f"_id {kind}, _label int, _counts binary").toArrow().sort_by("_id")  # at most `sample` rows of 4 kB
+    found = rows.mapInArrow(extract, f"_id {kind}, _label int, _counts binary").groupBy("_id").agg(F.min(F.struct("_label", "_counts")).alias("x"))
+    got = found.select("_id", "x._label", "x._counts").toArrow().sort_by("_id")  # at most `sample` rows of 8 kB
     counts = np.frombuffer(b"".join(got["_counts"].to_pylist()), np.float32).reshape(-1, TERMS)
     y = np.asarray(got["_label"].to_pylist(), float)
     if not len(y):
@@ -123,7 +134,7 @@ def quality_scores(docs: DataFrame, model: Neighbours, *, id_col: str = "doc_id"
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        memo = Memo(shape_of, 300_000)
+        memo = Memo(terms_of, 300_000)
         for series in texts:
             whole = series.tolist()
             parts = [shared.value.vote(term_counts(whole[a : a + BLOCK], memo), k) for a in range(0, len(whole), BLOCK)]

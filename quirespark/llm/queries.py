@@ -23,7 +23,7 @@ PIECES = "piece_bpe_32k.model"
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), with_prefixes=True)
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,6 @@ BITS = 20
 STEMS = (4, 5, 6, 7)
 GRADES = 3  # above 0
 SAMPLE_TOXIC, SAMPLE_CLEAN = 3000, 6000
-FEATURES = 4000
 LEAST_DOCS = 4  # toxic documents of the sample that have a feature, at least
 LEAST_ODDS = float(np.log(12))  # and how much rarer, in logarithms, it is in clean ones
 EDGES = ".,;:!?\"'()[]«»„“”…¿¡"
@@ -94,26 +93,26 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades:
 
 
 def markers(sample: DataFrame, n1: int, n0: int) -> np.ndarray:
-    """The numbers, ascending, of at most FEATURES features far more frequent in the sample's `n1` toxic documents than in its `n0` clean ones."""
+    """The numbers, ascending, of all features far more frequent in the sample's `n1` toxic documents than in its `n0` clean ones."""
     seen = sample.select("_toxic", F.explode("_features").alias("f")).groupBy("f").agg(F.sum("_toxic").alias("t"), F.sum(1 - F.col("_toxic")).alias("c"))
     odds = F.log((F.col("t") + 0.5) / (n1 + 1)) - F.log((F.col("c") + 0.5) / (n0 + 1))
-    most = seen.where((F.col("t") >= LEAST_DOCS) & (odds >= LEAST_ODDS)).orderBy(F.desc("t"), "f").limit(FEATURES)
-    return np.sort(np.array([r["f"] for r in most.select("f").collect()], np.int64))
+    most = seen.where((F.col("t") >= LEAST_DOCS) & (odds >= LEAST_ODDS)).select("f").toArrow()  # one of 2 ** BITS numbers each
+    return np.sort(most["f"].to_numpy().astype(np.int64))
 
 
 def fit_severity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic_rows: int = SAMPLE_TOXIC, clean_rows: int = SAMPLE_CLEAN) -> SeverityModel:
     """Learns from at most `toxic_rows` + `clean_rows` labelled documents, those whose ids hash lowest.
 
     Labels say toxic or not; grades above 0 are made of them: a toxic document's grade is the third that it falls in
-    by its share of markers, features far more frequent in toxic than in clean documents. Of copies in the sample one
-    counts, else what copies share would look like a mark. Spark counts documents by feature; the driver receives the
+    by its share of markers, features far more frequent in toxic than in clean documents. Of copies in the sample, and
+    of documents that share an id, one counts, else what copies share would look like a mark. Spark counts documents by feature; the driver receives the
     chosen features and, of each document of the sample, what it holds of them. The cut is where the sample's F1 is highest. Without both
     kinds of label the model calls nothing toxic.
     """
     marks = labels.where(F.col(f"`{label_col}`").isin(0, 1) & F.col(f"`{id_col}`").isNotNull()).groupBy(F.col(f"`{id_col}`").alias("_marked")).agg(F.max(f"`{label_col}`").cast("int").alias("_toxic"))
     order = [F.xxhash64("_marked"), F.col("_marked")]
     marks = marks.where("_toxic = 1").orderBy(*order).limit(toxic_rows).unionByName(marks.where("_toxic = 0").orderBy(*order).limit(clean_rows))
-    rows = id_and_text(docs, id_col, text_col).join(F.broadcast(marks), F.col("_id") == F.col("_marked")).select("_toxic", "_text")  # at most toxic_rows + clean_rows pairs of numbers
+    rows = id_and_text(docs, id_col, text_col).join(F.broadcast(marks), F.col("_id") == F.col("_marked")).select("_toxic", "_text", "_id")  # at most toxic_rows + clean_rows pairs of numbers
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo(features_of, 300_000)
@@ -121,11 +120,13 @@ def fit_severity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
             texts = texts_of(batch.column(1))
             found = [counts_of(t, memo) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([list(c) for c, _ in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c, _ in found], pa.list_(pa.int32())), pa.array([n for _, n in found], pa.int64()), pa.array([print_of(t) for t in texts], pa.int64())],
-                ["_toxic", "_features", "_counts", "_words", "_print"],
+                [batch.column(0), pa.array([list(c) for c, _ in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c, _ in found], pa.list_(pa.int32())), pa.array([n for _, n in found], pa.int64()), pa.array([print_of(t) for t in texts], pa.int64()), batch.column(2)],
+                ["_toxic", "_features", "_counts", "_words", "_print", "_id"],
             )
 
-    sample = rows.mapInArrow(extract, "_toxic int, _features array<int>, _counts array<int>, _words long, _print long")
+    kind = docs.schema[id_col].dataType.simpleString()
+    sample = rows.mapInArrow(extract, f"_toxic int, _features array<int>, _counts array<int>, _words long, _print long, _id {kind}")
+    sample = sample.groupBy("_id").agg(F.min(F.struct("_print", "_toxic", "_words", "_features", "_counts")).alias("x")).select("x.*")  # however often an id stands in docs
     sample = sample.groupBy("_print", "_toxic").agg(F.min(F.struct("_words", "_features", "_counts")).alias("x"))
     sample = written(sample.select("_print", "_toxic", "x._words", "x._features", "x._counts"), "severity-sample")
     by_label = {r["_toxic"]: r["n"] for r in sample.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
@@ -190,7 +191,7 @@ def severity(docs: DataFrame, model: SeverityModel, *, text_col: str = "text", c
 
     A null or empty text scores as a text without toxic features. Rows are independent: null or repeated ids and
     repeated rows do not matter; columns of `docs` that bear a result's name are replaced. An empty table gives an
-    empty one. Nothing is shuffled; the model is bounded by FEATURES.
+    empty one. Nothing is shuffled; the model is bounded by the sample, and by 2 ** BITS features.
     """
     kind = "severity double, grade int, toxic boolean"
 
