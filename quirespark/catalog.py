@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import edit_plans, log_plans, table_plans, text_plans
+from .plans import edit_plans, log_plans, package_plans, table_plans, text_plans
 
-MODULES = (text_plans, table_plans, log_plans, edit_plans)
+MODULES = (text_plans, table_plans, log_plans, edit_plans, package_plans)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

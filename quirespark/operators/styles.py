@@ -38,3 +38,26 @@ def chains(nodes: DataFrame, keys: list[str]) -> DataFrame:
             if step >= 2 * largest:
                 ends = ~F.col("moved")
                 return stored.select(*keys, "id", F.when(ends, F.col("depth")).cast("long").alias("depth"), F.when(ends, F.coalesce("far", "id")).alias("root"))
+
+
+def heading_levels(styles: DataFrame) -> DataFrame:
+    """(doc_id, id, level) of styles (doc_id, id, name, based_on): 1 to 9 where a style, or one that it is based on, is a heading by its id or its name; else null.
+
+    All styles look up at once, twice as far each time, as in `chains`; a cycle without a heading in it has no level.
+    """
+    spark = styles.sparkSession
+    number = lambda c, pattern: F.nullif(F.regexp_extract(F.lower(c), pattern, 1), F.lit("")).cast("int")
+    own = F.coalesce(number("id", "^heading([1-9])$"), number("name", r"^heading\s*([1-9])\s*$"), number("based_on", "^heading([1-9])$"))
+    rows = styles.select("doc_id", "id", own.alias("level"), F.when(own.isNull(), F.col("based_on")).alias("up"))
+    largest, step = None, 1
+    while True:
+        a, b = rows.alias("a"), rows.alias("b")
+        joined = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.up") == F.col("b.id")), "left").select("a.doc_id", "a.id", F.coalesce("a.level", "b.level").alias("level"), F.when(F.col("b.level").isNull(), F.col("b.up")).alias("up"))
+        joined.write.parquet(path := scratch_path(spark, "headings"))
+        rows, step = spark.read.parquet(path), step * 2
+        if rows.where("up IS NOT NULL").isEmpty():
+            break
+        largest = largest or styles.groupBy("doc_id").count().agg(F.max("count")).first()[0]
+        if step >= 2 * largest:
+            break
+    return rows.select("doc_id", "id", "level")

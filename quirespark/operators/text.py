@@ -1,5 +1,6 @@
 """Text operators over paragraphs (doc_id, ord, text) and other ordered text rows."""
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -64,20 +65,26 @@ def replace_pattern(documents: DataFrame, pattern: str, template: str) -> DataFr
 
 
 def literal_matches(paragraphs: DataFrame, needle: str) -> DataFrame:
-    """(doc_id, ord, lo, hi) of every occurrence: the text is cut at the needle, and the lengths before a cut add up to its place."""
-    size = len(needle)
-    parts = paragraphs.select("doc_id", "ord", F.posexplode(F.split("text", needle)).alias("k", "part"), F.size(F.split("text", needle)).alias("n"))
+    """(doc_id, ord, lo, hi) of every occurrence: the text is cut at the needle, and the lengths before a cut add up to its place. An empty needle occurs nowhere."""
+    size, pieces = len(needle), F.split("text", re.escape(needle))
+    parts = paragraphs.where(F.contains("text", F.lit(needle)) if needle else F.lit(False)).select("doc_id", "ord", F.posexplode(pieces).alias("k", "part"), F.size(pieces).alias("n"))
     before = Window.partitionBy("doc_id", "ord").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     lo = F.sum(F.length("part")).over(before) + F.col("k") * size
     return parts.withColumn("lo", lo.cast("long")).where("k < n - 1").select("doc_id", "ord", "lo", (F.col("lo") + size).alias("hi"))
 
 
-def overlapping(matches: DataFrame, spans: DataFrame, width: int) -> DataFrame:
-    """Half-open interval overlap of matches and spans on (doc_id, ord), by an equality join on bins of `width`: no nested loop."""
+def flagged(matches: DataFrame, spans: DataFrame, width: int) -> DataFrame:
+    """Each match (doc_id, ord, lo, hi) with `hit`: whether a span (doc_id, ord, lo, hi) overlaps it. Half-open intervals meet by an equality join on bins of `width`: no nested loop, and matches are read once."""
     bins = lambda lo, hi: F.explode(F.sequence(F.floor(lo / width), F.floor((hi - 1) / width)))
     m = matches.withColumn("bin", bins(F.col("lo"), F.col("hi")))
     s = spans.select("doc_id", "ord", F.col("lo").alias("span_lo"), F.col("hi").alias("span_hi")).withColumn("bin", bins(F.col("span_lo"), F.col("span_hi")))
-    return m.join(s, ["doc_id", "ord", "bin"]).where("lo < span_hi AND span_lo < hi").select("doc_id", "ord", "lo", "hi").distinct()
+    hit = F.coalesce(F.bool_or((F.col("lo") < F.col("span_hi")) & (F.col("span_lo") < F.col("hi"))), F.lit(False))
+    return m.join(s, ["doc_id", "ord", "bin"], "left").groupBy("doc_id", "ord", "lo", "hi").agg(hit.alias("hit"))
+
+
+def overlapping(matches: DataFrame, spans: DataFrame, width: int) -> DataFrame:
+    """The matches that a span overlaps."""
+    return flagged(matches, spans, width).where("hit").drop("hit")
 
 
 def run_offsets(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -100,6 +107,11 @@ def bookmark_name(c: Column) -> Column:
     return F.substring(F.when(plain.rlike("^[0-9]"), F.concat(F.lit("_"), plain)).otherwise(plain), 1, 40)
 
 
+def valid_bookmark_name(c: Column) -> Column:
+    """1 to 40 characters without a space, no digit first."""
+    return (F.length(c) > 0) & (F.length(c) <= 40) & ~F.contains(c, F.lit(" ")) & ~c.rlike(r"^\p{N}")
+
+
 def safe_relative_path(c: Column) -> Column:
     """A package path that stays inside: 1 to 256 characters, not absolute, no parent step, back slash, percent sign or control character."""
     return (F.length(c) > 0) & (F.length(c) <= 256) & ~c.startswith("/") & ~F.contains(c, F.lit("..")) & ~c.rlike(r"[\\%\x00-\x1f]")

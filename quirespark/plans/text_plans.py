@@ -53,11 +53,8 @@ def replace_text_regex(spark, sf_dir):
 def replace_boundary_refused(spark, sf_dir):
     p = paras(spark, sf_dir)
     spans = p.select("doc_id", "ord", F.explode(F.sequence(F.lit(0), F.length("text"), F.lit(50))).alias("lo")).select("doc_id", "ord", F.col("lo").cast("long").alias("lo"), (F.col("lo") + 10).cast("long").alias("hi"))
-    matches = T.literal_matches(p, "the")
-    refused = T.overlapping(matches, spans, 50).groupBy("doc_id").agg(F.count("*").alias("refused"))
-    found = matches.groupBy("doc_id").agg(F.count("*").alias("found")).join(refused, "doc_id", "left")
-    n = F.coalesce("refused", F.lit(0))
-    return found.select("doc_id", (F.col("found") - n).alias("replaced"), n.cast("long").alias("refused"))
+    found = T.flagged(T.literal_matches(p, "the"), spans, 50)
+    return found.groupBy("doc_id").agg(F.count_if(~F.col("hit")).alias("replaced"), F.count_if("hit").alias("refused"))
 
 
 def caption_number_extract(spark, sf_dir):

@@ -16,8 +16,32 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MOST_DEPTH = 1024
-ATTRIBUTES = "array<struct<name:string,value:string>>"
-NODES = f"doc_id string, part_path string, node_id long, parent_id long, ord int, depth int, kind string, name string, attrs {ATTRIBUTES}, text string, src_start long, src_end long, within map<string,struct<node_id:long,nest:int>>"
+ATTRIBUTES = "array<struct<name:string,value:string,raw:string>>"
+NODES = (
+    f"doc_id string, part_path string, node_id long, parent_id long, ord int, depth int, kind string, name string, attrs {ATTRIBUTES}, text string, src_start long, src_end long, "
+    "within map<string,struct<node_id:long,nest:int>>, prefix string, local_name string, ns_uri string, path array<double>"
+)
+# Namespaces of the format and the prefixes by which operators name them, whatever prefix a part binds them to.
+PREFIXES = {
+    "http://schemas.openxmlformats.org/wordprocessingml/2006/main": "w",
+    "http://purl.oclc.org/ooxml/wordprocessingml/main": "w",
+    "http://schemas.microsoft.com/office/word/2010/wordml": "w14",
+    "http://schemas.microsoft.com/office/word/2012/wordml": "w15",
+    "http://schemas.openxmlformats.org/officeDocument/2006/relationships": "r",
+    "http://purl.oclc.org/ooxml/officeDocument/relationships": "r",
+    "http://schemas.openxmlformats.org/officeDocument/2006/math": "m",
+    "http://schemas.openxmlformats.org/markup-compatibility/2006": "mc",
+    "http://schemas.openxmlformats.org/drawingml/2006/main": "a",
+    "http://schemas.openxmlformats.org/drawingml/2006/picture": "pic",
+    "http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing": "wp",
+    "http://schemas.microsoft.com/office/word/2010/wordprocessingShape": "wps",
+    "urn:schemas-microsoft-com:vml": "v",
+    "http://schemas.openxmlformats.org/package/2006/metadata/core-properties": "cp",
+    "http://purl.org/dc/elements/1.1/": "dc",
+    "http://purl.org/dc/terms/": "dcterms",
+    "http://schemas.openxmlformats.org/package/2006/relationships": "",
+    "http://schemas.openxmlformats.org/package/2006/content-types": "",
+}
 
 
 def read_packages(spark: SparkSession, path: str) -> DataFrame:
@@ -43,65 +67,87 @@ def read_part_folders(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_extract(inside, "^([^/]+)/", 1).alias("doc_id"), F.regexp_replace(inside, "^[^/]+/", "").alias("part_path"), "content")
 
 
+def named(name: str, scope: dict[str, str], element: bool) -> tuple[str, str, str, str | None]:
+    """(name, prefix, local name, namespace) of a name as written: the name is under the usual prefix of its namespace, if that is known. Attributes without a prefix are in no namespace."""
+    prefix, _, local = name.rpartition(":")
+    uri = scope.get(prefix) if prefix or element else None
+    usual = PREFIXES.get(uri, prefix) if uri else prefix
+    return (f"{usual}:{local}" if usual else local), prefix, local, uri
+
+
 def _xml_rows(doc: str, part: str, data: bytes) -> list[tuple]:
     rows: list[list] = []
     stack: list[int] = []
     counts: list[int] = [0]
     within: list[dict[str, tuple[int, int]]] = [{}]
+    scopes: list[dict[str, str]] = [{}]
+    path: list[float] = []
     parser = expat.ParserCreate()
     parser.ordered_attributes, parser.buffer_text = True, False
 
-    def open_(kind: str, name: str | None, attrs: list[str], text: str | None) -> None:
+    def open_(kind: str, of: tuple, attrs: list[dict], text: str | None) -> None:
         if len(stack) >= MOST_DEPTH:
             raise ValueError(f"{part} of {doc} is nested deeper than {MOST_DEPTH}")
-        pairs = [{"name": a, "value": b} for a, b in zip(attrs[::2], attrs[1::2], strict=True)]
-        rows.append([doc, part, len(rows), stack[-1] if stack else None, counts[-1], len(stack), kind, name, pairs, text, parser.CurrentByteIndex, None, within[-1]])
+        name, prefix, local, uri = of
+        rows.append([doc, part, len(rows), stack[-1] if stack else None, counts[-1], len(stack), kind, name, attrs, text, parser.CurrentByteIndex, None, within[-1], prefix, local, uri, [*path, float(counts[-1])]])
         counts[-1] += 1
 
     def start(name: str, attrs: list[str]) -> None:
-        above = within[-1].get(name)
-        within.append(within[-1] | {name: (len(rows), above[1] + 1 if above else 0)})
-        open_("element", name, attrs, None)
+        pairs = list(zip(attrs[::2], attrs[1::2], strict=True))
+        bound = {a.partition(":")[2]: v for a, v in pairs if a == "xmlns" or a.startswith("xmlns:")}
+        scopes.append(scopes[-1] | bound if bound else scopes[-1])
+        of = named(name, scopes[-1], True)
+        above = within[-1].get(of[0])
+        within.append(within[-1] | {of[0]: (len(rows), above[1] + 1 if above else 0)})
+        open_("element", of, [{"name": named(a, scopes[-1], False)[0], "value": v, "raw": a} for a, v in pairs], None)
+        path.append(float(counts[-1] - 1))
         stack.append(len(rows) - 1)
         counts.append(0)
 
     def end(name: str) -> None:
         rows[stack.pop()][11] = data.find(b">", parser.CurrentByteIndex) + 1
-        counts.pop()
-        within.pop()
+        for x in (counts, within, scopes, path):
+            x.pop()
 
     def text(value: str) -> None:
         if rows and rows[-1][6] == "text" and rows[-1][3] == (stack[-1] if stack else None):
             rows[-1][9] += value
         else:
-            open_("text", None, [], value)
+            open_("text", (None,) * 4, [], value)
 
     def no_dtd(*_: object) -> None:
         raise ValueError(f"{part} of {doc} has a document type declaration")
 
     parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler, parser.StartDoctypeDeclHandler = start, end, text, no_dtd
-    parser.CommentHandler = lambda value: open_("comment", None, [], value)
-    parser.ProcessingInstructionHandler = lambda name, value: open_("instruction", name, [], value)
+    parser.CommentHandler = lambda value: open_("comment", (None,) * 4, [], value)
+    parser.ProcessingInstructionHandler = lambda name, value: open_("instruction", (name, None, name, None), [], value)
     parser.Parse(data, True)
-    return [(*r[:12], [(name, {"node_id": i, "nest": nest}) for name, (i, nest) in r[12].items()]) for r in rows]
+    return [(*r[:12], [(name, {"node_id": i, "nest": nest}) for name, (i, nest) in r[12].items()], *r[13:]) for r in rows]
+
+
+_NODE_COLUMNS = pa.schema(
+    [("doc_id", pa.string()), ("part_path", pa.string()), ("node_id", pa.int64()), ("parent_id", pa.int64()), ("ord", pa.int32()), ("depth", pa.int32()), ("kind", pa.string()), ("name", pa.string())]
+    + [("attrs", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string()), ("raw", pa.string())]))), ("text", pa.string()), ("src_start", pa.int64()), ("src_end", pa.int64())]
+    + [("within", pa.map_(pa.string(), pa.struct([("node_id", pa.int64()), ("nest", pa.int32())]))), ("prefix", pa.string()), ("local_name", pa.string()), ("ns_uri", pa.string()), ("path", pa.list_(pa.float64()))]
+)
 
 
 def xml_nodes(parts: DataFrame) -> DataFrame:
     """The node table of all XML parts: an adjacency list in document order, with attributes in their order and the bytes of each element.
 
+    `name` is the element's name under the usual prefix of its namespace, so operators find w:p whatever prefix a part
+    uses; prefix, local_name and ns_uri are as written. Attributes have both names too (name, raw). `path` holds the
+    places of a node and its ancestors among their siblings, from the root down, so that paths sort in document order.
     `within` names, for each kind of element that is open at a node (itself included), the innermost one and how many of its kind it stands in.
     White space is kept, CDATA is text, entities are decoded. A part with a document type declaration or nested deeper
     than MOST_DEPTH is an error, as is one that isn't well formed.
     """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = None
         for batch in batches:
             for doc, part, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 rows = _xml_rows(doc, part, data)
-                kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())])), pa.string(), pa.int64(), pa.int64(), pa.map_(pa.string(), pa.struct([("node_id", pa.int64()), ("nest", pa.int32())]))]
-                schema = schema or pa.schema(list(zip([x.split()[0] for x in NODES.replace(ATTRIBUTES, "x").split(", ")], kinds, strict=True)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _NODE_COLUMNS, strict=True)], schema=_NODE_COLUMNS)
 
     return parts.where(F.col("part_path").rlike(r"\.(xml|rels)$")).select("doc_id", "part_path", "content").mapInArrow(parse, NODES)
 
@@ -117,23 +163,56 @@ def _inside(nodes: DataFrame, outer: str) -> DataFrame:
 
 
 def paragraphs(nodes: DataFrame, part: str = "word/document.xml") -> DataFrame:
-    """(doc_id, ord, node_id, in_table, style, para_id, text) of a part's paragraphs; text is that of w:t, with tabs and breaks, without deleted and field code text, and without that of paragraphs inside (text boxes), which have rows of their own."""
+    """(doc_id, ord, node_id, in_table, nest_depth, style, num_id, ilvl, para_id, page_break_before, has_formula, has_drawing, text) of a part's paragraphs.
+
+    The text is that of w:t, with tabs and breaks, without deleted and field code text, and without that of paragraphs
+    inside (text boxes), which have rows of their own. nest_depth counts the tables a paragraph stands in.
+    """
     n = nodes.where(F.col("part_path") == part)
-    cells = n.where("name = 'w:tbl'").select("doc_id", F.col("src_start").alias("_a"), F.col("src_end").alias("_b"))
     inner = _inside(n, "w:p").where("_of IS NOT NULL")
-    parent = n.where("kind = 'element'").select(F.col("doc_id").alias("_d"), F.col("node_id").alias("_p"), F.col("name").alias("_parent"))
-    inner = inner.join(parent, (F.col("doc_id") == F.col("_d")) & (F.col("parent_id") == F.col("_p")), "left")
-    shown = F.when((F.col("kind") == "text") & (F.col("_parent") == "w:t"), F.col("text")).when(F.col("name") == "w:tab", "\t").when(F.col("name") == "w:br", "\n")
+    shown = F.when((F.col("kind") == "text") & (F.try_element_at("within", F.lit("w:t")).isNotNull()), F.col("text")).when(F.col("name") == "w:tab", "\t").when(F.col("name").isin("w:br", "w:cr"), "\n").when(F.col("name") == "w:noBreakHyphen", "\u2011")
+    shown = F.when(F.try_element_at("within", F.lit("w:tabs")).isNull(), shown)  # w:tab is a tab stop there
+    own = F.col("node_id") == F.col("_of")
+    value = lambda name, attr="w:val": F.max(F.when((F.col("name") == name) & F.try_element_at("within", F.lit("w:pPrChange")).isNull(), attribute(attr)))
+    on = F.bool_or(F.when(F.col("name") == "w:pageBreakBefore", ~F.coalesce(attribute("w:val"), F.lit("1")).isin("0", "false", "off")))
     rows = inner.groupBy("doc_id", F.col("_of").alias("node_id")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(shown.isNotNull(), F.struct("node_id", shown.alias("s"))))), lambda x: x["s"]), "").alias("text"),
-        F.max(F.when(F.col("name") == "w:pStyle", attribute("w:val"))).alias("style"),
+        value("w:pStyle").alias("style"),
+        value("w:numId").cast("int").alias("num_id"),
+        value("w:ilvl").cast("int").alias("ilvl"),
         F.max(F.when(F.col("name") == "w:p", attribute("w14:paraId"))).alias("para_id"),
-        F.min("src_start").alias("_start"),
+        F.coalesce(on, F.lit(False)).alias("page_break_before"),
+        F.bool_or(F.coalesce(F.col("name").isin("m:oMath", "m:oMathPara"), F.lit(False))).alias("has_formula"),
+        F.bool_or(F.coalesce(F.col("name").isin("w:drawing", "w:pict"), F.lit(False))).alias("has_drawing"),
+        F.max(F.when(own, F.coalesce(F.try_element_at("within", F.lit("w:tbl"))["nest"] + 1, F.lit(0)))).alias("nest_depth"),
     )
-    in_table = rows.join(cells, "doc_id").where("_start > _a AND _start < _b").select("doc_id", "node_id").distinct().withColumn("_in", F.lit(True))
-    rows = rows.join(in_table, ["doc_id", "node_id"], "left")
     order = F.row_number().over(Window.partitionBy("doc_id").orderBy("node_id")) - 1
-    return rows.select("doc_id", order.alias("ord"), "node_id", F.coalesce("_in", F.lit(False)).alias("in_table"), "style", "para_id", "text")
+    return rows.select("doc_id", order.alias("ord"), "node_id", (F.col("nest_depth") > 0).alias("in_table"), "nest_depth", "style", "num_id", "ilvl", "para_id", "page_break_before", "has_formula", "has_drawing", "text")
+
+
+def runs(nodes: DataFrame, part: str = "word/document.xml") -> DataFrame:
+    """(doc_id, paragraph_id, run_idx, node_id, text, bold, italic, underline, size_half_points, color, font, revision_id, revision) of a part's runs, in order.
+
+    A toggle such as w:b is on unless its value is 0, false or off; where a run doesn't say, it is null (the style
+    decides). revision tells in which kind of change the run stands: insertion, deletion, moveFrom, moveTo, or null.
+    """
+    n = nodes.where(F.col("part_path") == part)
+    inner = _inside(n, "w:r").where("_of IS NOT NULL")
+    inside = lambda name: F.try_element_at("within", F.lit(name)).isNotNull()
+    shown = F.when((F.col("kind") == "text") & (inside("w:t") | inside("w:delText")), F.col("text")).when(F.col("name") == "w:tab", "\t").when(F.col("name").isin("w:br", "w:cr"), "\n").when(F.col("name") == "w:noBreakHyphen", "\u2011")
+    now = ~inside("w:rPrChange")
+    value = lambda name, attr="w:val": F.max(F.when((F.col("name") == name) & now, attribute(attr)))
+    toggle = lambda name: F.max(F.when((F.col("name") == name) & now, ~F.coalesce(attribute("w:val"), F.lit("1")).isin("0", "false", "off")))
+    of = {k: F.max(F.when(F.col("node_id") == F.col("_of"), F.try_element_at("within", F.lit(k))["node_id"])) for k in ("w:p", *CHANGES)}
+    rows = inner.groupBy("doc_id", F.col("_of").alias("node_id")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(shown.isNotNull(), F.struct("node_id", shown.alias("s"))))), lambda x: x["s"]), "").alias("text"),
+        toggle("w:b").alias("bold"), toggle("w:i").alias("italic"), value("w:u").alias("underline"), value("w:sz").cast("int").alias("size_half_points"), value("w:color").alias("color"), value("w:rFonts", "w:ascii").alias("font"),
+        of["w:p"].alias("paragraph_id"), F.greatest(*(of[k] for k in CHANGES)).alias("_change"),
+    )
+    marks = n.where(F.col("name").isin(*CHANGES)).select(F.col("doc_id").alias("_d"), F.col("node_id").alias("_m"), attribute("w:id").cast("int").alias("revision_id"), _change_kind().alias("revision"))
+    rows = rows.join(marks, (F.col("doc_id") == F.col("_d")) & (F.col("_change") == F.col("_m")), "left")
+    idx = F.row_number().over(Window.partitionBy("doc_id", "paragraph_id").orderBy("node_id")) - 1
+    return rows.select("doc_id", "paragraph_id", idx.alias("run_idx"), "node_id", "text", "bold", "italic", "underline", "size_half_points", "color", "font", "revision_id", "revision")
 
 
 def relationships(nodes: DataFrame) -> DataFrame:
@@ -161,22 +240,38 @@ def comments(nodes: DataFrame) -> DataFrame:
     return inner.groupBy("doc_id", "_of").agg(own("w:id").cast("int").alias("id"), own("w:author").alias("author"), F.to_timestamp(own("w:date")).alias("date"), text.alias("text")).drop("_of")
 
 
+# The elements that mark changes to content, and to formatting.
+CHANGES = {"w:ins": "insertion", "w:del": "deletion", "w:moveFrom": "moveFrom", "w:moveTo": "moveTo"}
+FORMAT_CHANGES = {"w:rPrChange": "formatting", "w:pPrChange": "paragraphChange", "w:sectPrChange": "sectionChange", "w:tblPrChange": "tableChange"}
+
+
+def _change_kind() -> Column:
+    kinds = CHANGES | FORMAT_CHANGES
+    return F.element_at(F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair)), F.col("name"))
+
+
 def revisions(nodes: DataFrame) -> DataFrame:
-    """(doc_id, part_path, id, kind, author, text) of insertions and deletions in all parts."""
-    out = None
-    for kind, name in (("insertion", "w:ins"), ("deletion", "w:del")):
-        inner = _inside(nodes, name).where("_of IS NOT NULL")
-        own = lambda a, name=name: F.max(F.when(F.col("name") == name, attribute(a)))
-        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "text", F.struct("node_id", "text")))), lambda x: x["text"]), "")
-        rows = inner.groupBy("doc_id", "part_path", "_of").agg(own("w:id").cast("int").alias("id"), F.lit(kind).alias("kind"), own("w:author").alias("author"), text.alias("text")).drop("_of")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """(doc_id, part_path, id, kind, author, date, paragraph_index, text) of tracked changes in all parts.
+
+    Kinds are insertion, deletion, moveFrom, moveTo and changes of formatting; a deletion and moveFrom hold the text
+    that was, the others that which is. paragraph_index is the place of the paragraph in its part, null for a mark
+    outside of all.
+    """
+    marks = [*CHANGES, *FORMAT_CHANGES]
+    rows = nodes.withColumn("_p", F.try_element_at("within", F.lit("w:p"))["node_id"])
+    place = rows.where("name = 'w:p'").select("doc_id", "part_path", F.col("node_id").alias("_p"), (F.row_number().over(Window.partitionBy("doc_id", "part_path").orderBy("node_id")) - 1).alias("paragraph_index"))
+    held = rows.select("doc_id", "part_path", "node_id", "kind", "text", F.explode(F.filter(F.map_values(F.map_filter("within", lambda k, v: k.isin(*marks))), lambda v: v.isNotNull())).alias("_in")).where("kind = 'text'")
+    text = held.groupBy("doc_id", "part_path", F.col("_in.node_id").alias("node_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "text"))), lambda x: x["text"]), "").alias("_text"))
+    own = rows.where(F.col("name").isin(*marks)).select("doc_id", "part_path", "node_id", "_p", attribute("w:id").cast("int").alias("id"), _change_kind().alias("kind"), attribute("w:author").alias("author"), F.to_timestamp(attribute("w:date")).alias("date"))
+    out = own.join(text, ["doc_id", "part_path", "node_id"], "left").join(place, ["doc_id", "part_path", "_p"], "left")
+    return out.select("doc_id", "part_path", "id", "kind", "author", "date", "paragraph_index", F.coalesce("_text", F.lit("")).alias("text"))
 
 
 def fingerprints(nodes: DataFrame) -> DataFrame:
-    """(doc_id, part_path, fingerprint): a hash of each part's tree without revision-save ids and namespace declarations, attributes sorted by name."""
-    kept = F.array_sort(F.filter("attrs", lambda x: ~x["name"].rlike("^(w:rsid|xmlns)")))
-    line = F.to_json(F.struct("depth", "kind", "name", kept.alias("attrs"), "text"))
+    """(doc_id, part_path, fingerprint): a hash of each part's tree without revision-save ids and namespace declarations, attributes sorted by name. Names count by their namespace, not by the prefix that a part binds it to."""
+    kept = F.array_sort(F.transform(F.filter("attrs", lambda x: ~x["name"].rlike("^(w:rsid|xmlns)")), lambda x: F.struct(x["name"].alias("name"), x["value"].alias("value"))))
+    known = F.col("ns_uri").isin(*PREFIXES)
+    line = F.to_json(F.struct("depth", "kind", F.when(known | F.col("ns_uri").isNull(), F.col("name")).otherwise(F.col("local_name")).alias("name"), F.when(~known, F.col("ns_uri")).alias("ns"), kept.alias("attrs"), "text"))
     rows = nodes.groupBy("doc_id", "part_path").agg(F.array_sort(F.collect_list(F.struct("node_id", line.alias("line")))).alias("lines"))
     return rows.select("doc_id", "part_path", F.sha2(F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), 256).alias("fingerprint"))
 
@@ -210,9 +305,20 @@ def html_node_counts(pages: DataFrame) -> DataFrame:
 
 
 def image_size(content: Column) -> Column:
-    """struct<width,height> of PNG bytes from the header's big-endian integers; null for other bytes."""
+    """struct<width,height> of PNG or JPEG bytes, from the header's big-endian integers; null for other bytes.
+
+    A JPEG's size stands in its first frame header (markers C0 to CF without C4, C8 and CC), found by stepping over the segments before it.
+    """
     number = lambda at: F.conv(F.hex(F.substring(content, at, 4)), 16, 10).cast("long")
-    return F.when(F.hex(F.substring(content, 1, 8)) == "89504E470D0A1A0A", F.struct(number(17).alias("width"), number(21).alias("height")))
+    short = lambda at: F.conv(F.hex(content.substr(at, F.lit(2))), 16, 10).cast("int")
+    png = F.struct(number(17).alias("width"), number(21).alias("height"))
+    # each step: the place after the segment that begins at `at`, and once a frame header is reached, that place for good
+    marker = lambda at: F.hex(content.substr(at + 1, F.lit(1)))
+    frame = lambda at: marker(at).isin(*(f"C{d}" for d in "01235679ABDEF"))
+    step = lambda at, _: F.when(frame(at) | (F.hex(content.substr(at, F.lit(1))) != "FF"), at).otherwise(at + 2 + short(at + 2))
+    at = F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.lit(3), step)
+    jpeg = F.transform(F.array(at), lambda x: F.when(frame(x), F.struct(short(x + 7).cast("long").alias("width"), short(x + 5).cast("long").alias("height"))))[0]
+    return F.when(F.hex(F.substring(content, 1, 8)) == "89504E470D0A1A0A", png).when(F.hex(F.substring(content, 1, 2)) == "FFD8", jpeg)
 
 
 def read_oplog(spark: SparkSession, path: str) -> DataFrame:

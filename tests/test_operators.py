@@ -10,14 +10,48 @@ LOG = "doc_id int, seq long, element string, op string, value string, ts string"
 
 def test_replay_of_a_prefix_and_its_tail(spark):
     ops = "doc_id string, seq int, op string, target string, element string, text string"
-    base = spark.createDataFrame([("d", k, e, e.upper(), None) for k, e in enumerate("abc")], replay.SCHEMA)
-    steps = [("d", 1, "insertAfter", "a", "x", "new"), ("d", 2, "move", "c", None, None), ("d", 3, "setText", "b", None, "bee"), ("d", 4, "remove", "a", None, None), ("d", 5, "append", None, "z", "end"), ("d", 6, "setStyle", "z", None, "H1")]
+    base = spark.createDataFrame([("d", k, e, e.upper(), None, None) for k, e in enumerate("abc")], replay.SCHEMA)
+    ops += ", style string"
+    steps = [("d", 1, "insertAfter", "a", "x", "new", None), ("d", 2, "move", "c", None, None, None), ("d", 3, "setText", "b", None, "bee", None), ("d", 4, "remove", "a", None, None, None), ("d", 5, "append", None, "z", "end", None), ("d", 6, "setStyle", "z", None, None, "H1")]
     whole = replay.replay(spark.createDataFrame(steps, ops), base).orderBy("ord").collect()
     part = replay.replay(spark.createDataFrame(steps[3:], ops), replay.replay(spark.createDataFrame(steps[:3], ops), base)).orderBy("ord").collect()
     assert whole == part
     assert [(r["element"], r["text"], r["style"]) for r in whole] == [("c", "C", None), ("x", "new", None), ("b", "bee", None), ("z", "end", "H1")]
     with pytest.raises(Exception, match="no element"):
-        replay.replay(spark.createDataFrame([("d", 1, "remove", "q", None, None)], ops), base).collect()
+        replay.replay(spark.createDataFrame([("d", 1, "remove", "q", None, None, None)], ops), base).collect()
+    odd = spark.createDataFrame([("d", 1, "shuffle", "a", None, None, None)], ops)
+    with pytest.raises(Exception, match="does not know"):
+        replay.replay(odd, base).collect()
+    assert replay.replay(odd, base, ("shuffle",)).count() == 3
+
+
+def test_replay_is_a_plain_fold(spark):
+    """A random log against list edits."""
+    import random
+
+    rng, order, steps, n = random.Random(4), ["a", "b"], [], 0
+    for seq in range(400):
+        kind = rng.choice(["insertAfter", "insertBefore", "append", "remove", "move"])
+        if kind == "append" or not order:
+            order.append(f"n{n}")
+            steps.append(("d", seq, "append", None, f"n{n}", "t"))
+            n += 1
+        elif kind in ("insertAfter", "insertBefore"):
+            at = rng.choice(order)
+            order.insert(order.index(at) + (kind == "insertAfter"), f"n{n}")
+            steps.append(("d", seq, kind, at, f"n{n}", "t"))
+            n += 1
+        elif kind == "remove":
+            order.remove(gone := rng.choice(order))
+            steps.append(("d", seq, kind, gone, None, None))
+        elif len(order) > 1:
+            moved, to = rng.sample(order, 2)
+            order.remove(moved)
+            order.insert(order.index(to) + 1, moved)
+            steps.append(("d", seq, kind, moved, to, None))
+    base = spark.createDataFrame([("d", k, e, "", None, None) for k, e in enumerate("ab")], replay.SCHEMA)
+    got = replay.replay(spark.createDataFrame(steps, "doc_id string, seq int, op string, target string, element string, text string"), base)
+    assert [r["element"] for r in got.orderBy("ord").collect()] == order
 
 
 def test_undo_then_redo_is_the_identity(spark):

@@ -51,7 +51,7 @@ def test_numbering(nodes):
 
 def test_links_and_marks(nodes):
     assert rows(T.hyperlinks(nodes), "ord", "text", "url", "anchor", "kind") == {(0, "site", "http://x", None, "external"), (1, "up", None, "top", "internal")}
-    assert rows(T.bookmarks(nodes), "name", "paragraph_index") == {("top", 0), ("cell", -1), ("late", 2)}
+    assert rows(T.bookmarks(nodes), "name", "paragraph_index") == {("top", 0), ("late", 2)}
 
 
 def test_sections_controls_notes_properties(nodes):
