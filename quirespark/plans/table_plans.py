@@ -201,6 +201,9 @@ SQL = {
         FROM {_PARTS} GROUP BY doc_id""",
     "part_hash": f"SELECT doc_id, part_path, sha256(content) AS sha256 FROM {_PARTS}",
     "fingerprint_groups": "SELECT sha256(text) AS fingerprint, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1",
+    "html_node_counts": r"""
+        WITH b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?(?:-->|\z)', '', 'g'), '(?is)(<script\b[^>]*>).*?(?:</script\s*>|\z)', '\1', 'g'), '(?is)(<style\b[^>]*>).*?(?:</style\s*>|\z)', '\1', 'g') AS h FROM pages)
+        SELECT page_id, lower(tag) AS tag, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(h, '<([A-Za-z][^\s/>]*)', 1)) AS tag FROM b) GROUP BY 1, 2""",
     "word_diff": """
         WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS ord FROM documents),
         p AS (SELECT *, contains(text, 'en') AS known FROM l),
