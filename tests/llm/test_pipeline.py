@@ -69,3 +69,19 @@ def test_stages_take_empty_tables(spark, sf_dir, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf_dir)
         assert docs.count() == 0
+
+
+def test_stages_take_odd_rows(spark, sf_dir):
+    """Nulls, repeated ids and rows, and extra columns under names that the operators use: each stage's rows are what its docstring says."""
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(1, a, "en", "s", 5, "x"), (1, a, "en", "s", 5, "x"), (1, b, None, None, None, "y"), (2, a + "  ", "en", "s", 1, None), (None, b, "de", "t", 1, "z"), (3, None, None, None, None, None), (None, "", None, "s", 0, "w"), (4, a.replace("a30 ", "new "), "en", "s", 1, "v")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _times string")
+    out = {name: stage(spark, df, sf_dir) for name, stage in corpus_pipeline.STAGES}
+    assert all(d.columns == df.columns for name, d in out.items() if name != "encoding")
+    key = lambda r: (r["doc_id"], (r["text"] or "").split(" ")[0][:1], len((r["text"] or "").split()))
+    assert out["toxicity"].count() == len(rows)
+    assert sorted(map(key, out["exact dedup"].collect()), key=str) == sorted([(1, "a", 60), (1, "b", 60), (3, "", 0), (4, "a", 60), (2, "a", 60)], key=str)
+    assert sorted(map(key, out["near dedup"].collect()), key=str) == sorted([(1, "a", 60), (1, "b", 60), (3, "", 0), (None, "", 0)], key=str)
+    taken = sum(r["taken"] for r in mix(df).collect())
+    assert sum(len(r["text"].split()) for r in out["mixing"].collect()) == taken > 0
+    assert out["encoding"].count() == len(rows)
