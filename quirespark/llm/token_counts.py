@@ -135,7 +135,7 @@ def token_counts(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", te
     """Tokens of every text, and what its prefix table says of `limit`.
 
     Returns id_col, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit), fit_chars (code points of the longest
-    prefix of at most `limit` tokens) and, with_prefixes, prefix_deltas: a small number per code point of the
+    prefix of at most `limit` tokens) and, with_prefixes, prefix_deltas: a signed byte per code point of the
     text, whose running sums from the first are the token counts of all its non-empty prefixes.
 
     A null text counts as empty; an empty text has no tokens. Rows are independent: null or repeated ids, repeated
@@ -143,7 +143,7 @@ def token_counts(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", te
     text takes memory for its own table only.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"_id {kind}, n_bytes long, n_tokens long, over_limit boolean, fit_chars long" + (", prefix_deltas array<tinyint>" if with_prefixes else "")
+    schema = f"_id {kind}, n_bytes long, n_tokens long, over_limit boolean, fit_chars long" + (", prefix_deltas binary" if with_prefixes else "")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = counter(model_path)
@@ -159,18 +159,18 @@ def token_counts(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", te
                     table = deltas[1:].copy()
                     if len(table):
                         table[0] += deltas[0]
-                    tables.append(table)
+                    tables.append(table.tobytes())
             columns = [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_()), pa.array(fit, pa.int64())]
             names = ["_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"]
             if with_prefixes:
-                offsets = np.cumsum([0, *map(len, tables)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int8), *tables])))
-                columns, names = [*columns, lists], [*names, "prefix_deltas"]
+                columns, names = [*columns, pa.array(tables, pa.binary())], [*names, "prefix_deltas"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return id_and_text(docs, id_col, text_col).mapInArrow(count, schema).withColumnRenamed("_id", id_col)
 
 
 def tokens_of_prefix(deltas, n_chars) -> F.Column:
-    """Tokens of the first `n_chars` code points, from a stored prefix_deltas column: a sum in a Spark expression, no encoding."""
-    return F.aggregate(F.slice(deltas, 1, n_chars), F.lit(0).cast("long"), lambda total, x: total + x)
+    """Tokens of the first `n_chars` code points, from a stored prefix_deltas column: a sum of bytes in a Spark expression, no encoding."""
+    digits = F.hex(F.substring(deltas, 1, n_chars))
+    codes = F.transform(F.sequence(F.lit(1), F.length(digits) - 1, F.lit(2)), lambda k: F.conv(F.substring(digits, k, F.lit(2)), 16, 10).cast("long"))
+    return F.when(F.length(digits) == 0, F.lit(0).cast("long")).otherwise(F.aggregate(codes, F.lit(0).cast("long"), lambda total, x: total + F.when(x > 127, x - 256).otherwise(x)))
