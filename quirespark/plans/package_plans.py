@@ -13,6 +13,7 @@ from ..operators import tree as T
 from ..operators.styles import chains, heading_levels
 from ..sources import package_tables as X
 from ..sources import packages as P
+from ..sources import snapshots as N
 from ..sources.scratch import stored
 from ..sources.tables import table
 
@@ -237,10 +238,19 @@ def package_page_setup(spark, sf_dir):
     return rows.select("doc_id", "width", "height", "landscape", F.col("margins.top").alias("top"), F.col("margins.left").alias("left"))
 
 
+def package_snapshots(spark, sf_dir):
+    """Every third package changes after it was saved: one part of it, and all of its log's later half is still to come."""
+    parts = package_parts(spark, sf_dir).where(F.col("part_path").isin(DOC, STYLES, "docProps/core.xml"))
+    log = table(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / DOC_ROWS).cast("string").alias("doc_id"), F.col("c_custkey").alias("seq"), F.col("c_custkey").cast("string").alias("op_id"), F.when(F.col("c_custkey") % 2 == 0, "swift").otherwise("word").alias("source"))
+    saved = stored(N.snapshots(parts, P.xml_nodes(parts), log.where(f"seq % {DOC_ROWS} < 20"), "2024-01-01 00:00:00"), "snapshots")
+    later = parts.withColumn("content", F.when((F.col("doc_id").cast("int") % 3 == 0) & (F.col("part_path") == STYLES), F.lit(b"<x/>")).otherwise(F.col("content")))
+    return N.checked(saved, later, log).select("doc_id", "state", F.array_join("changed", ",").alias("changed"), "tail")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        package_paragraphs, package_runs, package_styles, package_style_chain, package_semantics, package_relationships, package_hyperlinks, package_bookmarks, package_comments, package_revisions, package_bullets, package_unused_numbering,
+        package_snapshots, package_paragraphs, package_runs, package_styles, package_style_chain, package_semantics, package_relationships, package_hyperlinks, package_bookmarks, package_comments, package_revisions, package_bullets, package_unused_numbering,
         package_sections, package_notes, package_fields, package_cells, package_properties, package_round_trip, package_accept, package_reject, package_set_style, package_insert, package_delete_table, package_move, package_delete_marks, package_page_setup,
     )
 }
@@ -251,6 +261,7 @@ _OLD = "c_name || CASE WHEN c % 11 = 0 THEN ' gone' ELSE '' END || CASE WHEN c %
 _TABLE_CELLS = f"(SELECT d, k // 10 AS t, r, x, CASE WHEN x = 0 AND r = 0 THEN CAST(c AS VARCHAR) WHEN x = 0 THEN '' WHEN r = 0 THEN seg ELSE CAST(nk AS VARCHAR) END AS text FROM {_C}, (SELECT unnest([0, 1]) AS r) a, (SELECT unnest([0, 1]) AS x) b WHERE c % 10 = 9)"
 _CHAINS = "(VALUES ('AUTOMOBILE', 0, 'AUTOMOBILE'), ('BUILDING', 1, 'AUTOMOBILE'), ('FURNITURE', 2, 'AUTOMOBILE'), ('HOUSEHOLD', 0, 'HOUSEHOLD')) v(id, depth, root)"
 SQL = {
+    "package_snapshots": f"SELECT d AS doc_id, CASE WHEN CAST(d AS INT) % 3 = 0 THEN 'changed' ELSE 'same' END AS state, CASE WHEN CAST(d AS INT) % 3 = 0 THEN 'word/styles.xml' ELSE '' END AS changed, count(*) - 20 AS tail FROM {_C} GROUP BY d",
     "package_paragraphs": f"""
         SELECT d AS doc_id, k + 4 * (k // 10) AS ord, false AS in_table, seg AS style, CASE WHEN c % 4 = 0 THEN nk END AS num_id, CASE WHEN c % 4 = 0 THEN 1 END AS ilvl, 'P' || c AS para_id, {_TEXT} AS text FROM {_C}
         UNION ALL SELECT d, 14 * t + 10 + 2 * r + x, true, NULL, NULL, NULL, NULL, text FROM {_TABLE_CELLS}""",
