@@ -16,13 +16,20 @@ def element_state(events: DataFrame) -> DataFrame:
 
 
 def streamed_state(spark: SparkSession, path: str) -> DataFrame:
-    """Runs all events at `path` through a stream to its end and returns the state, kept as a table by a sink that replaces it whole in each batch."""
+    """Runs all events at `path` through a stream to its end and returns the state.
+
+    Each batch adds the elements it changed, under its number: a batch that runs again replaces its own rows. The state
+    is each element's row of its last batch, so no batch writes more than it changed.
+    """
     out, mark = scratch_path(spark, "stream-state"), scratch_path(spark, "stream-checkpoint")
     events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)  # path may be a pattern
 
-    def keep(state: DataFrame, batch: int) -> None:
-        state.write.mode("overwrite").parquet(out)
+    def keep(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
-    query = element_state(events).writeStream.outputMode("complete").option("checkpointLocation", mark).trigger(availableNow=True).foreachBatch(keep).start()
+    changes = element_state(events)
+    keep(spark.createDataFrame([], changes.schema), -1)  # so that there is a table even without events
+    query = changes.writeStream.outputMode("update").option("checkpointLocation", mark).trigger(availableNow=True).foreachBatch(keep).start()
     query.awaitTermination()
-    return spark.read.parquet(out)
+    last = spark.read.parquet(out).groupBy("doc_id", "element").agg(F.max_by(F.struct("value", "operations"), "batch").alias("x"))
+    return last.select("doc_id", "element", "x.value", "x.operations")
