@@ -96,7 +96,7 @@ def operation_inline(spark, sf_dir):
 
 
 def operation_cells(spark, sf_dir):
-    return L.cell_texts(log_of(events(spark, sf_dir), view=("setCellText", _named(table=F.col("e"), row=F.col("event_id") % 3, column=F.col("event_id") % 2, text=_of("v")))))
+    return L.cell_texts(log_of(events(spark, sf_dir), view=("setCellText", _named(table=F.col("e"), row=F.col("event_id") % 3, column=F.col("event_id") % 2, text=_of("v"))))).withColumns({c: F.col(c).cast("long") for c in ("row", "column")})
 
 
 def operation_run_formats(spark, sf_dir):
@@ -116,7 +116,7 @@ def operation_parts(spark, sf_dir):
 def operation_marks(spark, sf_dir):
     rows = log_of(events(spark, sf_dir), view=("insertBookmark", _named(at=F.col("e"), bookmarkId=F.col("event_id"), name=_of("n"))), click=("insertComment", _named(anchor=F.col("e"), commentId=F.col("event_id"), text=_of("t"), author="ann")))
     marks = L.bookmarks_inserted(rows).select("doc_id", "element", "id", F.col("name").alias("text"), F.lit("bookmark").alias("kind"))
-    return marks.unionByName(L.comments_inserted(rows).select("doc_id", "element", "id", "text", F.lit("comment").alias("kind")))
+    return marks.unionByName(L.comments_inserted(rows).select("doc_id", "element", "id", "text", F.lit("comment").alias("kind"))).withColumn("id", F.col("id").cast("long"))
 
 
 def operation_components(spark, sf_dir):

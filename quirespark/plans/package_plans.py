@@ -91,7 +91,7 @@ def package_paragraphs(spark, sf_dir):
 
 
 def package_runs(spark, sf_dir):
-    return P.runs(nodes_of(spark, sf_dir, DOC)).where("size_half_points IS NOT NULL OR revision IS NOT NULL").select("doc_id", F.col("run_idx").cast("long").alias("run_idx"), "text", "bold", "size_half_points", "revision_id", "revision")
+    return P.runs(nodes_of(spark, sf_dir, DOC)).where("size_half_points IS NOT NULL OR revision IS NOT NULL").select("doc_id", F.col("run_idx").cast("long").alias("run_idx"), "text", "bold", "size_half_points", F.col("revision_id").cast("long").alias("revision_id"), "revision")
 
 
 def package_styles(spark, sf_dir):
@@ -118,12 +118,12 @@ def package_hyperlinks(spark, sf_dir):
 
 
 def package_bookmarks(spark, sf_dir):
-    return X.bookmarks(nodes_of(spark, sf_dir, DOC)).select("doc_id", "id", "name", "paragraph_index")
+    return X.bookmarks(nodes_of(spark, sf_dir, DOC)).select("doc_id", F.col("id").cast("long").alias("id"), "name", F.col("paragraph_index").cast("long").alias("paragraph_index"))
 
 
 def package_comments(spark, sf_dir):
     nodes = nodes_of(spark, sf_dir, DOC, "word/comments.xml", "word/commentsExtended.xml")
-    return P.comments(nodes).join(X.comment_anchors(nodes), ["doc_id", "id"]).join(X.comment_threads(nodes).select("doc_id", "id", "done"), ["doc_id", "id"]).select("doc_id", "id", "author", "text", "paragraph_index", "done")
+    return P.comments(nodes).join(X.comment_anchors(nodes), ["doc_id", "id"]).join(X.comment_threads(nodes).select("doc_id", "id", "done"), ["doc_id", "id"]).select("doc_id", F.col("id").cast("long").alias("id"), "author", "text", F.col("paragraph_index").cast("long").alias("paragraph_index"), "done")
 
 
 def package_revisions(spark, sf_dir):
@@ -144,7 +144,7 @@ def package_sections(spark, sf_dir):
 
 
 def package_notes(spark, sf_dir):
-    return X.notes(nodes_of(spark, sf_dir, "word/footnotes.xml"))
+    return X.notes(nodes_of(spark, sf_dir, "word/footnotes.xml")).withColumn("id", F.col("id").cast("long"))
 
 
 def package_fields(spark, sf_dir):
@@ -266,13 +266,13 @@ SQL = {
         SELECT d AS doc_id, k + 4 * (k // 10) AS ord, false AS in_table, seg AS style, CASE WHEN c % 4 = 0 THEN nk END AS num_id, CASE WHEN c % 4 = 0 THEN 1 END AS ilvl, 'P' || c AS para_id, {_TEXT} AS text FROM {_C}
         UNION ALL SELECT d, 14 * t + 10 + 2 * r + x, true, NULL, NULL, NULL, NULL, text FROM {_TABLE_CELLS}""",
     "package_runs": f"""
-        SELECT d AS doc_id, 0 AS run_idx, c_name AS text, rich AS bold, 24 AS size_half_points, NULL AS revision_id, NULL AS revision FROM {_C}
+        SELECT d AS doc_id, CAST(0 AS BIGINT) AS run_idx, c_name AS text, rich AS bold, 24 AS size_half_points, NULL AS revision_id, NULL AS revision FROM {_C}
         UNION ALL SELECT d, 1, ' added', NULL, NULL, c, 'insertion' FROM {_C} WHERE c % 7 = 0
         UNION ALL SELECT d, CASE WHEN c % 7 = 0 THEN 2 ELSE 1 END, ' gone', NULL, NULL, c * 10 + 9, 'deletion' FROM {_C} WHERE c % 11 = 0""",
     "package_styles": f"""
         SELECT d AS doc_id, id, name, 'paragraph' AS type, based_on FROM (SELECT DISTINCT d FROM {_C}) x,
         (VALUES ('AUTOMOBILE', 'heading 2', NULL), ('BUILDING', 'plain', 'AUTOMOBILE'), ('FURNITURE', 'other', 'BUILDING'), ('HOUSEHOLD', 'list', 'Missing')) v(id, name, based_on)""",
-    "package_style_chain": f"SELECT d AS doc_id, id, depth, root FROM (SELECT DISTINCT d FROM {_C}) x, {_CHAINS}",
+    "package_style_chain": f"SELECT d AS doc_id, id, CAST(depth AS BIGINT) AS depth, root FROM (SELECT DISTINCT d FROM {_C}) x, {_CHAINS}",
     "package_semantics": f"""
         WITH p AS (SELECT d, seg, CASE WHEN seg IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE') THEN 'heading' WHEN c % 4 = 0 THEN CASE WHEN n_regionkey % 2 = 0 THEN 'bulletListItem' ELSE 'numberedListItem' END ELSE 'paragraph' END AS kind
                    FROM {_C} JOIN nation ON n_nationkey = nk UNION ALL SELECT d, NULL, 'paragraph' FROM {_TABLE_CELLS})
@@ -289,7 +289,7 @@ SQL = {
     "package_sections": f"SELECT DISTINCT d AS doc_id, CAST(d AS INT) + 10000 AS width, 9000 AS height, false AS landscape, 1 AS columns, 'nextPage' AS break_type FROM {_C}",
     "package_notes": f"SELECT d AS doc_id, 'footnote' AS kind, c AS id, 'note ' || c AS text FROM {_C} WHERE c % 17 = 0 AND c > 0",
     "package_fields": rf"SELECT d AS doc_id, 'SEQ Figure \* ARABIC' AS code, CAST(c AS VARCHAR) AS result, 'spread' AS form, true AS closed, 0 AS depth, 'SEQ' AS kind, 'Figure' AS argument, 'ARABIC' AS format FROM {_C} WHERE c % 3 = 0",
-    "package_cells": f"SELECT d AS doc_id, t AS table_no, r AS row, x AS col, CASE WHEN x = 0 AND r = 0 THEN 'restart' WHEN x = 0 THEN 'continue' END AS v_merge, 0 AS nest_depth, text FROM {_TABLE_CELLS}",
+    "package_cells": f"SELECT d AS doc_id, t AS table_no, CAST(r AS BIGINT) AS row, CAST(x AS BIGINT) AS col, CASE WHEN x = 0 AND r = 0 THEN 'restart' WHEN x = 0 THEN 'continue' END AS v_merge, 0 AS nest_depth, text FROM {_TABLE_CELLS}",
     "package_properties": f"SELECT DISTINCT d AS doc_id, 'Document ' || d AS title, CAST(d AS INT) % 2 = 0 AS track_changes FROM {_C}",
     "package_round_trip": f"""
         SELECT unnest(['word/document.xml', 'word/_rels/document.xml.rels', 'word/comments.xml', 'word/commentsExtended.xml', 'word/footnotes.xml', 'word/numbering.xml', 'word/styles.xml', 'word/settings.xml', 'docProps/core.xml']) AS part_path,
