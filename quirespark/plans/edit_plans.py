@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import edits as E
 from ..sources.tables import paragraphs, table
-
-P = "(SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS ord FROM documents)"
+from .text_plans import PARAGRAPHS as P
 
 
 def paras(spark, sf_dir):
