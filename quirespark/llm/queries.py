@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .fingerprints import fingerprints
 from .mixing import mix
 from .near_dedup import near_dedup
+from .prefix_trie import branched, conversation_trie, turns
 from .quality import fit_quality, quality_scores
 from .shared import table
 from .suffix_dedup import suffix_dedup
@@ -71,12 +72,24 @@ def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(branched(turns(table(spark, sf_dir, "conversations"))))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
+#: crc32 in SQL: its table, and the value of a string of ASCII characters.
+_CRC_TABLE = "SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END), i)) AS tab"
+
+
+def _crc(text: str) -> str:
+    return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_sentencepiece": op2_sentencepiece,
@@ -89,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_near_dedup": op10_near_dedup,
     "op12_top_k": op12_top_k,
+    "op13_prefix_trie": op13_prefix_trie,
     "pipeline": pipeline,
 }
 SQL: dict[str, str] = {
@@ -118,6 +132,21 @@ SQL: dict[str, str] = {
         s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op13_prefix_trie": f"""
+        WITH crc AS ({_CRC_TABLE}),
+        o AS (SELECT conv_id AS c, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, ''))) AS t
+              FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+        h AS (SELECT c, t, CAST({_crc("CAST(c AS VARCHAR)")} % 9 AS INTEGER) AS h FROM o, crc),
+        r AS (SELECT h.c, list_concat(coalesce(list_slice(b.t, 1, h.h), []), list_slice(h.t, h.h + 1, len(h.t))) AS t FROM h LEFT JOIN o b ON b.c = h.c - h.c % 5),
+        p AS (SELECT c, len(t) AS n, t, unnest(range(len(t) + 1)) AS d FROM r),
+        k AS (SELECT c, n, d, list_slice(t, 1, d) AS k, CASE WHEN d > 0 THEN list_slice(t, 1, d - 1) END AS up, CASE WHEN d > 0 THEN strlen(t[d].text) ELSE 0 END AS b FROM p),
+        v AS (SELECT d, k, any_value(up) AS up, any_value(b) AS b, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = d), '')) AS ends FROM k GROUP BY d, k),
+        ch AS (SELECT up AS k, count(*) AS n FROM v WHERE d > 0 GROUP BY 1),
+        w AS (SELECT v.*, coalesce(ch.n, 0) AS n_children FROM v LEFT JOIN ch ON ch.k = v.k),
+        s AS (SELECT x.k, CAST(sum((w.n_convs - 1) * w.b) AS BIGINT) AS saved, count(*) FILTER (w.n_children = 0) AS leaves
+              FROM w, (SELECT DISTINCT k FROM w) x WHERE list_slice(w.k, 1, len(x.k)) = x.k AND len(w.k) >= len(x.k) GROUP BY 1)
+        SELECT w.conv_id, w.d AS depth, u.conv_id AS parent_conv_id, w.n_convs, w.n_children, s.leaves AS n_leaves, s.saved AS saved_tokens, w.ends AS ends_sha256
+        FROM w JOIN s ON s.k = w.k LEFT JOIN w u ON u.k = w.up AND w.d > 0""",
 }
 
 
