@@ -19,9 +19,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import numbered
 from .shared import written
 
 DIGEST = 32  # hex digits of a turn's digest
@@ -246,15 +247,9 @@ def conversation_trie(keys: DataFrame, bucket: int = BUCKET) -> DataFrame:
     splitters: list[str] = []
     if buckets > 1:
         drawn = runs.where(F.pmod(F.xxhash64("conv_id"), F.lit(total)) < (size * 20 * buckets).cast("long")).select("key")
-        placed = written(drawn.repartitionByRange("key").sortWithinPartitions("key").withColumn("at", F.monotonically_increasing_id()), "sample")
-        counts = {r["p"]: r["count"] for r in placed.groupBy(F.shiftright("at", 33).alias("p")).count().collect()}
-        before, starts = 0, {}
-        for p in sorted(counts):
-            starts[p], before = before, before + counts[p]
-        step = max(1, before // buckets)
-        offset = F.element_at(F.create_map(*(F.lit(x) for p, s in starts.items() for x in (p, s))), F.shiftright("at", 33)) if starts else F.lit(0)
-        nth = offset + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
-        splitters = sorted(r["key"] for r in placed.where((nth % step == 0) & (nth > 0)).select("key").collect())
+        nth = numbered(drawn, ["key"], "sample")
+        step = max(1, nth.count() // buckets)
+        splitters = sorted(r["key"] for r in nth.where((F.col("pos") % step == 0) & (F.col("pos") > 0)).select("key").collect())
     bounds = spark.sparkContext.broadcast(splitters)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

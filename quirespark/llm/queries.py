@@ -14,6 +14,7 @@ from .mixing import mix
 from .near_dedup import near_dedup
 from .prefix_trie import branched, conversation_trie, turns
 from .quality import fit_quality, quality_scores
+from .repair import damaged, repair
 from .shared import table
 from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
@@ -68,6 +69,11 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), size=4)
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return repair(damaged(conversations), conversations)
+
+
 def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
@@ -101,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_warc": op9_warc,
     "op10_near_dedup": op10_near_dedup,
+    "op11_repair": op11_repair,
     "op12_top_k": op12_top_k,
     "op13_prefix_trie": op13_prefix_trie,
     "pipeline": pipeline,
@@ -126,6 +133,32 @@ SQL: dict[str, str] = {
         reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN both_ways l ON l.a = r.other)
         SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, r.c AS component_id, d.doc_id = r.c AS kept
         FROM documents d JOIN (SELECT doc_id, min(other) AS c FROM reach GROUP BY 1) r USING (doc_id) LEFT JOIN n USING (doc_id)""",
+    "op11_repair": rf"""
+        WITH RECURSIVE crc AS ({_CRC_TABLE}),
+        x AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS at FROM conversations),
+        y AS (SELECT x.*, {_crc("at")} % 20 AS f FROM x, crc),
+        d AS (SELECT conv_id, coalesce(CAST(conv_id AS VARCHAR), '~') AS c, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                     unnest(CASE WHEN f = 3 THEN [0, 1] ELSE [0] END) AS copy FROM y WHERE f <> 0),
+        o AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, sha256(strlen(role) || ':' || role || text), copy) AS i FROM d),
+        n AS (SELECT *, row_number() OVER (PARTITION BY c, role, text ORDER BY i) AS nth, left(role, 1) AS ini, lag(left(role, 1)) OVER (PARTITION BY c ORDER BY i) AS prev FROM o),
+        t AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'b' WHEN nth > 1 THEN 'd' WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 't' ELSE 'k' END AS fault FROM n),
+        stats AS (SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+                         count(*) FILTER (i > 1 AND prev || ini NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM t GROUP BY c),
+        fits(st, ini, nx) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)),
+        ins(st, mid, added, lines) AS (VALUES (0, 0, '', CAST([] AS VARCHAR[])), (1, 1, '', []), (2, 2, '', []), (3, 3, '', []), (0, 2, 'I', ['user:']), (1, 2, 'I', ['user:']), (2, 3, 'I', ['assistant:']), (3, 2, 'I', ['user:']),
+                                       (0, 3, 'II', ['user:', 'assistant:']), (1, 3, 'II', ['user:', 'assistant:']), (2, 2, 'II', ['assistant:', 'user:']), (3, 3, 'II', ['user:', 'assistant:'])),
+        ops(st, ini, nx, op, cost, role) AS (SELECT st, ini, nx, 'K', 0, NULL FROM fits UNION ALL SELECT st, NULL, nx, 'R', 2, CASE ini WHEN 'u' THEN 'user' ELSE 'assistant' END FROM fits WHERE ini <> 's' UNION ALL SELECT unnest([0, 1, 2, 3]), NULL, -1, 'D', 3, NULL),
+        w AS (SELECT c, CAST(0 AS BIGINT) AS i, 0 AS st, 0 AS cost, '' AS audit, CAST([] AS VARCHAR[]) AS lines FROM stats
+              UNION ALL
+              SELECT c, i, st, min(cost), arg_min(audit, {{'c': cost, 'a': audit}}), arg_min(lines, {{'c': cost, 'a': audit}})
+              FROM (SELECT w.c, t.i, CASE WHEN op = 'D' THEN mid ELSE nx END AS st, w.cost + ops.cost + 2 * len(added) + CASE WHEN fault = 't' AND op <> 'D' THEN 1 ELSE 0 END AS cost, w.audit || added || op AS audit,
+                           list_concat(list_concat(w.lines, ins.lines), CASE op WHEN 'D' THEN CAST([] AS VARCHAR[]) ELSE [coalesce(ops.role, t.role) || ':' || t.text] END) AS lines
+                    FROM w JOIN t ON t.c = w.c AND t.i = w.i + 1 JOIN ins ON ins.st = w.st JOIN ops ON ops.st = ins.mid AND (ops.ini IS NULL OR ops.ini = t.ini) AND (op = 'D' OR fault IN ('t', 'k'))) q GROUP BY c, i, st),
+        e AS (SELECT w.c, w.cost + 2 * len(added) AS cost, w.audit || added AS audit, list_concat(w.lines, ins.lines) AS lines FROM w JOIN stats s ON s.c = w.c AND s.n = w.i JOIN ins ON ins.st = w.st WHERE ins.mid IN (0, 3)),
+        b AS (SELECT c, min(cost) AS cost, arg_min(audit, {{'c': cost, 'a': audit}}) AS audit, arg_min(lines, {{'c': cost, 'a': audit}}) AS lines FROM e GROUP BY c)
+        SELECT p.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost,
+               coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id, coalesce(CAST(conv_id AS VARCHAR), '~') AS c FROM conversations) p LEFT JOIN stats USING (c) LEFT JOIN b USING (c)""",
     "op12_top_k": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
                    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
