@@ -135,8 +135,8 @@ SQL: dict[str, str] = {
         FROM documents d JOIN (SELECT doc_id, min(other) AS c FROM reach GROUP BY 1) r USING (doc_id) LEFT JOIN n USING (doc_id)""",
     "op11_repair": rf"""
         WITH RECURSIVE crc AS ({_CRC_TABLE}),
-        x AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS at FROM conversations),
-        y AS (SELECT x.*, {_crc("at")} % 20 AS f FROM x, crc),
+        x AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS tag FROM conversations),
+        y AS (SELECT x.*, {_crc("tag")} % 20 AS f FROM x, crc),
         d AS (SELECT conv_id, coalesce(CAST(conv_id AS VARCHAR), '~') AS c, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
                      unnest(CASE WHEN f = 3 THEN [0, 1] ELSE [0] END) AS copy FROM y WHERE f <> 0),
         o AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, sha256(strlen(role) || ':' || role || text), copy) AS i FROM d),
