@@ -54,7 +54,7 @@ def set_property(tree: DataFrame, prop: str, changes: DataFrame) -> DataFrame:
     # told by the fragment's reader: a condition that raises could be asked below the join, of elements that no change names
     wrong = F.concat(F.lit(f"{T.REFUSED}{prop} belongs to {owner}, not to "), "_owner")
     checked = changes.join(kinds, [*KEY, "path"]).withColumn("xml", F.when(F.col("_owner") != owner, wrong).otherwise(F.col("xml"))).drop("_owner")
-    return T.set_child(tree, checked, holder, name)
+    return T.set_child(tree, checked, holder, name, owner)
 
 
 # Templates: XML columns of what is inserted.

@@ -3,7 +3,7 @@
 A tree row is (doc_id, part_path, path, kind, name, attrs, text), as the node table of `sources.packages` has them. A
 path holds the places of a node and its ancestors among their siblings; paths sort in document order, and a node's
 subtree is what begins with its path. Places are numbers with fractions, so a new sibling goes between two others and
-no other row changes. Edits name their nodes by (doc_id, part_path, path) and work on any number of documents at once;
+no other row changes; where a gap is too small to be halved on, the siblings get whole numbers anew (`roomy`). Edits name their nodes by (doc_id, part_path, path) and work on any number of documents at once;
 what names no node changes nothing. An edit that reads its tree more than once writes it first (to the shared folder),
 so that a chain of edits computes each step once.
 """
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..sources.packages import ATTRIBUTES, PREFIXES, _xml_rows
 from ..sources.scratch import stored
+from .sequence import later, sequence_of
 from .text import escape_xml
 
 KEY = ["doc_id", "part_path"]
@@ -71,17 +72,48 @@ def _repathed(tree: DataFrame, moves: DataFrame) -> DataFrame:
     return rest.unionByName(moved.withColumn("path", F.col("_to")).drop("_to"))
 
 
+#: The least gap between siblings that is halved once more.
+LEAST_GAP = 2.0**-20
+
+
+def _gaps(tree: DataFrame) -> DataFrame:
+    """(_d, _part, _at, _up, _own, _before, _after) of every node: its place and those of its neighbours."""
+    row = Window.partitionBy("_d", "_part", "_up").orderBy("_own")
+    sides = tree.select(F.col("doc_id").alias("_d"), F.col("part_path").alias("_part"), F.col("path").alias("_at"), F.slice("path", 1, F.size("path") - 1).alias("_up"), F.element_at("path", -1).alias("_own"))
+    return sides.withColumn("_before", F.lag("_own").over(row)).withColumn("_after", F.lead("_own").over(row))
+
+
+def roomy(tree: DataFrame, targets: DataFrame, *paths: str) -> tuple[DataFrame, DataFrame]:
+    """The tree and the targets, with whole places anew for the children of nodes where a gap has become too small; columns `paths` of the targets follow."""
+    tree, targets = stored(tree, "tree"), stored(targets, "targets")  # targets are often found in a tree that isn't written yet
+    parents = targets.select(*KEY, F.explode(F.array(*(F.slice(p, 1, F.size(p) - 1) for p in paths), *paths)).alias("_up")).distinct()
+    while True:
+        here = tree.withColumn("_up", F.slice("path", 1, F.size("path") - 1)).join(parents, [*KEY, "_up"], "left_semi")
+        near = _gaps(here).where((F.col("_after") - F.col("_own") < LEAST_GAP) & (F.size("_up") > 0))
+        if near.isEmpty():
+            return tree, targets
+        tight = stored(near.select(F.col("_d").alias("doc_id"), F.col("_part").alias("part_path"), "_up").distinct(), "tight")
+        inner = _prefixes(tight.withColumnRenamed("_up", "path"), "_above").where(F.size("_above") < F.size("path"))
+        outer = tight.join(inner.join(tight.withColumnRenamed("_up", "_above"), [*KEY, "_above"], "left_semi").select(*KEY, F.col("path").alias("_up")), [*KEY, "_up"], "left_anti")
+        nth = (F.row_number().over(Window.partitionBy(*KEY, "_up").orderBy("path")) - 1).cast("double")
+        moves = tree.select(*KEY, "path", F.slice("path", 1, F.size("path") - 1).alias("_up")).join(outer, [*KEY, "_up"], "left_semi").withColumn("new_path", F.concat("_up", F.array(nth))).drop("_up")
+        moves = stored(moves, "moves")
+        tree = stored(_repathed(tree, moves), "tree")
+        for p in paths:
+            begins = _prefixes(targets.select(*KEY, F.col(p).alias("path")).distinct())
+            found = begins.join(_named(moves, F.col("new_path").alias("_new")), _is("_up")).select(*KEY, F.col("path").alias("_from"), F.concat("_new", F.slice("path", F.size("_at") + 1, F.greatest(F.size("path") - F.size("_at"), F.lit(0)))).alias("_to")).distinct()
+            targets = stored(targets.withColumn("_from", F.col(p)).join(found, [*KEY, "_from"], "left").withColumn(p, F.coalesce("_to", "_from")).drop("_from", "_to"), "targets")
+        parents = targets.select(*KEY, F.explode(F.array(*(F.slice(p, 1, F.size(p) - 1) for p in paths), *paths)).alias("_up")).distinct()
+
+
 def placed(tree: DataFrame, edits: DataFrame, order: list[str | Column]) -> DataFrame:
     """Edits (doc_id, part_path, path, where, ...) with `new_path`: a free place beside the node `path` (where is before or after) or in it (first or last).
 
-    It lies between the neighbours that stand there now; several edits at one place stand by `order`. Halving a gap some
-    fifty times uses a number's digits up: parts written and read again have whole numbers anew.
+    It lies between the neighbours that stand there now; several edits at one place stand by `order`. A place that the
+    numbers' digits no longer tell from a neighbour's is an error; `roomy` keeps that from happening.
     """
-    last = F.element_at("path", -1)
     up = F.slice("path", 1, F.size("path") - 1)
-    row = Window.partitionBy("_d", "_part", "_up").orderBy("_own")
-    sides = tree.select(F.col("doc_id").alias("_d"), F.col("part_path").alias("_part"), F.col("path").alias("_at"), up.alias("_up"), last.alias("_own"))
-    sides = sides.withColumn("_before", F.lag("_own").over(row)).withColumn("_after", F.lead("_own").over(row))
+    sides = _gaps(tree)
     ends = sides.groupBy("_d", "_part", F.col("_up").alias("_at")).agg(F.min("_own").alias("_least"), F.max("_own").alias("_most"))
     beside = edits.where("where IN ('before', 'after')").join(sides.drop("_up"), _is()).drop("_d", "_part", "_at").withColumn("_least", F.lit(None).cast("double")).withColumn("_most", F.lit(None).cast("double"))
     inside = edits.where("where IS NULL OR where NOT IN ('before', 'after')").join(ends, _is(), "left").drop("_d", "_part", "_at")
@@ -92,13 +124,15 @@ def placed(tree: DataFrame, edits: DataFrame, order: list[str | Column]) -> Data
     low = F.when(F.col("where") == "before", (F.coalesce("_before", F.col("_own") - 1) + F.col("_own")) / 2).when(F.col("where") == "after", F.col("_own")).when(F.col("where") == "first", F.coalesce("_least", F.lit(0.0)) - 1).when(F.col("where") == "last", F.coalesce("_most", F.lit(0.0)))
     high = F.when(F.col("where") == "before", F.col("_own")).when(F.col("where") == "after", (F.col("_own") + F.coalesce("_after", F.col("_own") + 1)) / 2).when(F.col("where") == "first", F.coalesce("_least", F.lit(0.0))).when(F.col("where") == "last", F.coalesce("_most", F.lit(0.0)) + 1)
     base = F.when(F.col("where").isin("before", "after"), up).otherwise(F.col("path"))
-    known = F.when(F.col("where").isin(*WHERE), F.concat(base, F.array(low + (high - low) * k))).otherwise(F.raise_error(F.concat(F.lit("no such place: "), F.coalesce("where", F.lit("null")))))
-    return both.withColumn("new_path", known).drop("_own", "_before", "_after", "_least", "_most")
+    both = both.withColumns({"_low": low, "_high": high, "_place": low + (high - low) * k})
+    free = F.when((F.col("_place") > F.col("_low")) & (F.col("_place") < F.col("_high")), F.col("_place")).otherwise(F.raise_error(F.lit("no place left between two siblings")).cast("double"))
+    known = F.when(F.col("where").isin(*WHERE), F.concat(base, F.array(free))).otherwise(F.raise_error(F.concat(F.lit("no such place: "), F.coalesce("where", F.lit("null")))))
+    return both.withColumn("new_path", known).drop("_own", "_before", "_after", "_least", "_most", "_low", "_high", "_place")
 
 
 def move(tree: DataFrame, moves: DataFrame, order: list[str | Column]) -> DataFrame:
     """Moves subtrees. moves(doc_id, part_path, path, to, where, ...): the subtree `path` comes to stand at `where` of the node `to`. A node can't be moved into itself: that is an error."""
-    tree = stored(tree, "tree")
+    tree, moves = roomy(tree, moves, "path", "to")
     into = F.slice(F.col("to"), 1, F.size("path")) == F.col("path")
     checked = moves.where(F.when(into & ~((F.col("to") == F.col("path")) & F.col("where").isin("before", "after")), F.raise_error(F.lit("a node can't be moved into itself")).cast("boolean")).otherwise(True))
     spots = placed(tree, checked.withColumnRenamed("path", "_from").withColumnRenamed("to", "path"), order)
@@ -157,9 +191,14 @@ def fragments(edits: DataFrame) -> DataFrame:
 
 
 def insert(tree: DataFrame, edits: DataFrame, order: list[str | Column]) -> DataFrame:
-    """Inserts fragments: edits(doc_id, part_path, path, where, xml, ...), several at one place by `order`. Edits that name no node are left out."""
-    tree = stored(tree, "tree")
+    """Inserts fragments: edits(doc_id, part_path, path, where, xml, ...), several at one place by `order`. Edits that name no node are left out. What comes last in a body stands before its section."""
+    tree, edits = roomy(tree, edits, "path")
     known = edits.join(tree.select(*KEY, "path"), [*KEY, "path"], "left_semi")
+    up = F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0)))
+    sections = tree.where("name = 'w:sectPr'").select(*KEY, F.col("path").alias("_section"), up.alias("path")).join(tree.where("name = 'w:body'").select(*KEY, "path"), [*KEY, "path"], "left_semi")
+    known = known.join(sections.groupBy(*KEY, "path").agg(F.max("_section").alias("_section")), [*KEY, "path"], "left")
+    before = (F.col("where") == "last") & F.col("_section").isNotNull()
+    known = known.withColumn("path", F.when(before, F.col("_section")).otherwise(F.col("path"))).withColumn("where", F.when(before, "before").otherwise(F.col("where"))).drop("_section")
     return tree.unionByName(fragments(placed(tree, known, order)))
 
 
@@ -179,26 +218,44 @@ def children(tree: DataFrame, parents: DataFrame, name: str) -> DataFrame:
     return up.join(_named(parents).distinct(), _is("parent"), "left_semi")
 
 
-def set_child(tree: DataFrame, changes: DataFrame, holder: str | None, name: str) -> DataFrame:
+def _in_sequence(tree: DataFrame, targets: DataFrame, holder: str | None, name: str) -> DataFrame:
+    """Targets (doc_id, part_path, path, ...) as edits for `placed`: a child `name` comes before the first child that the format has behind it, or last. Its own path is in `parent` afterwards."""
+    if holder is None:
+        return targets.withColumn("parent", F.col("path")).withColumn("where", F.lit("last"))
+    up = F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0)))
+    behind = tree.where(later(holder, name)).select(*KEY, "path", up.alias("_up")).join(targets.select(*KEY, F.col("path").alias("_up")), [*KEY, "_up"], "left_semi")
+    first = behind.groupBy(*KEY, "_up").agg(F.min("path").alias("_next")).withColumnRenamed("_up", "path")
+    out = targets.join(first, [*KEY, "path"], "left").withColumn("parent", F.col("path"))
+    return out.withColumn("where", F.when(F.col("_next").isNull(), "last").otherwise("before")).withColumn("path", F.coalesce("_next", "path")).drop("_next")
+
+
+def set_child(tree: DataFrame, changes: DataFrame, holder: str | None, name: str, owner: str | None = None) -> DataFrame:
     """Gives each target an element `name` in its `holder` child (made where there is none; None: in the target itself), in place of what it has of that name.
 
     changes(doc_id, part_path, path, xml): xml is the new element, null takes the old one away. One change a target.
+    Where there was none, the element stands where the format's sequence has it (see `sequence`); owner is the targets'
+    element name, needed for that where there is no holder, and for the holder's own place.
     """
-    tree = stored(tree, "tree")
+    tree, changes = roomy(tree, changes, "path")
     changes = changes.join(tree.select(*KEY, "path"), [*KEY, "path"], "left_semi")
     if holder is not None:
         have = children(tree, changes, holder).select(*KEY, F.col("parent").alias("path"))
-        missing = changes.where("xml IS NOT NULL").join(have, [*KEY, "path"], "left_anti")
-        spots = placed(tree, missing.withColumn("where", F.lit("first")), ["path"])
+        missing = changes.where("xml IS NOT NULL").join(have, [*KEY, "path"], "left_anti").select(*KEY, "path")
+        if owner is None or holder not in sequence_of(owner):
+            edits = missing.withColumn("where", F.lit("first"))
+        else:
+            edits = _in_sequence(tree, missing, owner, holder)
+        spots = placed(tree, edits, ["path"])
         made = spots.select(*KEY, F.col("new_path").alias("path"), F.lit("element").alias("kind"), F.lit(holder).alias("name"), F.array().cast(ATTRIBUTES).alias("attrs"), F.lit(None).cast("string").alias("text"))
         tree = stored(tree.unionByName(made), "tree")
         spots = children(tree, changes, holder)
         changes = spots.join(changes.withColumnRenamed("path", "parent"), [*KEY, "parent"]).drop("parent")
     old = children(tree, changes, name)
     slot = old.groupBy(*KEY, F.col("parent").alias("path")).agg(F.min("path").alias("_slot"))
-    fresh = placed(tree, changes.where("xml IS NOT NULL").withColumn("where", F.lit("last")), ["path"]).join(slot, [*KEY, "path"], "left")
-    new = fragments(fresh.select(*KEY, F.coalesce("_slot", "new_path").alias("new_path"), "xml"))
-    return remove(tree, old).unionByName(new)
+    fresh = changes.where("xml IS NOT NULL").join(slot, [*KEY, "path"], "left")
+    kept = fresh.where("_slot IS NOT NULL").select(*KEY, F.col("_slot").alias("new_path"), "xml")
+    new = placed(tree, _in_sequence(tree, fresh.where("_slot IS NULL").drop("_slot"), holder or owner, name), ["parent"]).select(*KEY, "new_path", "xml")
+    return remove(tree, old).unionByName(fragments(kept.unionByName(new)))
 
 
 def part_bytes(tree: DataFrame) -> DataFrame:

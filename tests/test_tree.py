@@ -220,3 +220,61 @@ def test_headings_and_semantics(spark, nodes, tree):
     assert [(r["kind"], r["level"]) for r in rows] == [("heading", 2), ("bulletListItem", 1), ("paragraph", None)]
     with pytest.raises(Exception, match="0 to 8"):
         D.set_property(tree, "paragraph_numbering", paragraph(tree, 1).select(*T.KEY, "path", D.numbering_xml(3, 9).alias("xml"))).collect()
+
+
+def _one(spark, xml):
+    """A tree of one part with this XML inside a document's root."""
+    doc = f'<w:document xmlns:w="{NS}" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:pic="http://schemas.openxmlformats.org/drawingml/2006/picture">{xml}</w:document>'
+    return T.tree_of(P.xml_nodes(spark.createDataFrame([("d", "word/document.xml", doc.encode())], SCHEMA)))
+
+
+def test_every_property_has_its_place(spark):
+    """For every property the children behind which it comes, and those before which, are those of its holder's sequence."""
+    from quirespark.operators.sequence import later, sequence_of
+
+    wanted, checks = {}, []
+    for owner, holder, name in set(D.PROPERTIES.values()):
+        order = sequence_of(holder or owner)
+        assert name in order, (holder, owner, name)
+        wanted[owner, holder, name] = order[order.index(name) + 1 :]
+        checks.append(F.array_compact(F.array(*(F.when(later(holder or owner, name, F.lit(n)), n) for n in order))).alias(str(len(checks))))
+    assert [list(x) for x in spark.range(1).select(*checks).first()] == list(wanted.values())
+
+
+@pytest.mark.parametrize("prop, name", [("paragraph_style", "w:pStyle"), ("paragraph_alignment", "w:jc")])
+def test_properties_stand_in_sequence(spark, prop, name):
+    tree = _one(spark, "<w:p><w:pPr><w:keepNext/><w:ind/><w:outlineLvl/></w:pPr></w:p><w:p/>")
+    tree = D.set_property(tree, prop, D.elements(tree, "w:p").select(*T.KEY, "path", T.element(name).alias("xml")))
+    names = [r["name"] for r in tree.orderBy("path").collect()][3:]
+    assert names == sorted(names[:4], key=["w:pStyle", "w:keepNext", "w:ind", "w:jc", "w:outlineLvl"].index) + ["w:p", "w:pPr", name]
+
+
+def test_holders_stand_in_sequence(spark):
+    """A holder that is made stands where the format has it: a cell's and a picture's properties before and behind the rest."""
+    tree = _one(spark, "<w:tc><w:p/></w:tc><pic:pic><pic:blipFill/></pic:pic><w:tbl><w:tblGrid/></w:tbl>")
+    for owner, prop, xml in (("w:tc", "cell_span", T.element("w:gridSpan", w_val="2")), ("pic:pic", "image_line", T.element("a:ln")), ("w:tbl", "table_indent", T.element("w:tblInd"))):
+        tree = D.set_property(tree, prop, D.elements(tree, owner).select(*T.KEY, "path", xml.alias("xml")))
+    names = [r["name"] for r in tree.orderBy("path").collect()]
+    assert names == ["w:document", "w:tc", "w:tcPr", "w:gridSpan", "w:p", "pic:pic", "pic:blipFill", "pic:spPr", "a:ln", "w:tbl", "w:tblPr", "w:tblInd", "w:tblGrid"]
+
+
+def test_many_inserts_at_one_place(spark, monkeypatch):
+    """Each insert after the first node leaves a quarter of the gap; siblings get new numbers when it is used up, and no two share a path."""
+    monkeypatch.setattr(T, "LEAST_GAP", 2.0**-3)
+    tree = _one(spark, "<w:body><w:p/><w:p><w:r/></w:p><w:sectPr/></w:body>")
+    for k in range(6):
+        at = tree.where((F.col("name") == "w:p") & (F.size("path") == 3)).groupBy(*T.KEY).agg(F.min("path").alias("path"))
+        tree = T.insert(tree, at.select(*T.KEY, "path", F.lit("after").alias("where"), T.element("w:p", w_n=str(k)).alias("xml")), ["path"])
+    rows = tree.orderBy("path").collect()
+    assert len({tuple(r["path"]) for r in rows}) == len(rows)
+    assert [r["attrs"][0]["value"] for r in rows if r["attrs"] and r["attrs"][0]["name"] == "w:n"] == [str(k) for k in range(5, -1, -1)]
+    assert [r["name"] for r in rows][-3:] == ["w:p", "w:r", "w:sectPr"]
+    places = [r["path"][2] for r in rows if len(r["path"]) == 3]
+    assert min(b - a for a, b in zip(places, places[1:], strict=False)) > 2.0**-5
+
+
+def test_last_in_a_body_stands_before_its_section(spark):
+    tree = _one(spark, "<w:body><w:p/><w:sectPr/></w:body>")
+    body = tree.where("name = 'w:body'").select(*T.KEY, "path", F.lit("last").alias("where"))
+    tree = T.insert(tree, body.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("k")).withColumn("xml", T.element("w:tbl", w_n=F.col("k"))), ["k"])
+    assert [r["name"] for r in tree.orderBy("path").collect()] == ["w:document", "w:body", "w:p", "w:tbl", "w:tbl", "w:sectPr"]
