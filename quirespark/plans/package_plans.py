@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import document_edits as D
+from ..operators import reduction as R
 from ..operators import tree as T
 from ..operators.styles import chains, heading_levels
 from ..sources import package_tables as X
@@ -238,6 +239,35 @@ def package_page_setup(spark, sf_dir):
     return rows.select("doc_id", "width", "height", "landscape", F.col("margins.top").alias("top"), F.col("margins.left").alias("left"))
 
 
+def package_log(spark, sf_dir) -> DataFrame:
+    """A log of an operation a customer on the packages: texts, styles, paragraphs beside others that came before, removals, runs, undo."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("c"), (F.col("c_custkey") % 10).alias("m"))
+    at = lambda prefix, back=0: F.concat(F.lit(prefix), (F.col("c") - back).cast("string"))
+    ops = {
+        0: ("insertRun", {"in": at("w14:paraId=P"), "position": F.lit(0), "run": F.struct(at("R").alias("text"))}),
+        1: ("setText", {"target": at("w14:paraId=P"), "text": at("T")}),
+        2: ("insertParagraphAfter", {"after": at("w14:paraId=P"), "paragraph": F.struct(at("new").alias("text"), at("N").alias("paraId"), F.lit("NS").alias("styleId"))}),
+        3: ("removeParagraph", {"id": at("w14:paraId=P")}),
+        4: ("setParagraphStyle", {"target": at("w14:paraId=P"), "styleId": F.concat(F.lit("ST"), (F.col("c") % 7).cast("string"))}),
+        5: ("insertParagraphBefore", {"before": at("w14:paraId=N", 3), "paragraph": F.struct(at("before").alias("text"), at("M").alias("paraId"))}),
+        6: ("setText", {"target": at("w14:paraId=N", 4), "text": at("edited")}),
+        7: ("appendParagraph", {"in": F.lit(None).cast("string"), "paragraph": F.struct(at("end").alias("text"), at("E").alias("paraId"))}),
+        8: ("undo", {"targetOpID": at("op", 7)}),
+        9: ("updateAttribute", {"target": at("w14:paraId=P"), "prefix": F.lit("w14"), "localName": F.lit("textId"), "value": at("A")}),
+    }
+    kind, payload = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for m, (name, fields) in ops.items():
+        kind = F.when(F.col("m") == m, name).otherwise(kind)
+        payload = F.when(F.col("m") == m, F.to_json(F.struct(*(v.alias(k) for k, v in fields.items())))).otherwise(payload)
+    return c.select(F.floor(F.col("c") / DOC_ROWS).cast("string").alias("doc_id"), F.col("c").alias("seq"), at("op").alias("op_id"), kind.alias("op_type"), F.parse_json(payload).alias("payload"))
+
+
+def operation_tree(spark, sf_dir):
+    """The packages after their logs: all paragraphs, read from the bytes of the parts."""
+    parts = R.materialised_parts(package_parts(spark, sf_dir).where(F.col("part_path") == DOC), package_log(spark, sf_dir))
+    return P.paragraphs(P.xml_nodes(parts)).select("doc_id", F.col("ord").cast("long").alias("ord"), "in_table", "style", "para_id", "text")
+
+
 def package_snapshots(spark, sf_dir):
     """Every third package changes after it was saved: one part of it, and all of its log's later half is still to come."""
     parts = package_parts(spark, sf_dir).where(F.col("part_path").isin(DOC, STYLES, "docProps/core.xml"))
@@ -250,7 +280,7 @@ def package_snapshots(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        package_snapshots, package_paragraphs, package_runs, package_styles, package_style_chain, package_semantics, package_relationships, package_hyperlinks, package_bookmarks, package_comments, package_revisions, package_bullets, package_unused_numbering,
+        operation_tree, package_snapshots, package_paragraphs, package_runs, package_styles, package_style_chain, package_semantics, package_relationships, package_hyperlinks, package_bookmarks, package_comments, package_revisions, package_bullets, package_unused_numbering,
         package_sections, package_notes, package_fields, package_cells, package_properties, package_round_trip, package_accept, package_reject, package_set_style, package_insert, package_delete_table, package_move, package_delete_marks, package_page_setup,
     )
 }
@@ -261,6 +291,15 @@ _OLD = "c_name || CASE WHEN c % 11 = 0 THEN ' gone' ELSE '' END || CASE WHEN c %
 _TABLE_CELLS = f"(SELECT d, k // 10 AS t, r, x, CASE WHEN x = 0 AND r = 0 THEN CAST(c AS VARCHAR) WHEN x = 0 THEN '' WHEN r = 0 THEN seg ELSE CAST(nk AS VARCHAR) END AS text FROM {_C}, (SELECT unnest([0, 1]) AS r) a, (SELECT unnest([0, 1]) AS x) b WHERE c % 10 = 9)"
 _CHAINS = "(VALUES ('AUTOMOBILE', 0, 'AUTOMOBILE'), ('BUILDING', 1, 'AUTOMOBILE'), ('FURNITURE', 2, 'AUTOMOBILE'), ('HOUSEHOLD', 0, 'HOUSEHOLD')) v(id, depth, root)"
 SQL = {
+    "operation_tree": f"""
+        WITH n AS (SELECT *, c % 10 AS m FROM {_C}), top AS (SELECT max(c) AS last FROM n),
+        r AS (SELECT d, 0 AS z, c, 0 AS g, false AS in_table, CASE WHEN m = 4 THEN 'ST' || (c % 7) ELSE seg END AS style, 'P' || c AS para_id,
+                     CASE WHEN m = 0 THEN 'R' || c ELSE '' END || CASE WHEN m = 1 AND c + 7 > last THEN 'T' || c ELSE {_TEXT} END AS text FROM n, top WHERE m <> 3
+              UNION ALL SELECT d, 0, c - 3, 1, false, NULL, 'M' || c, 'before' || c FROM n WHERE m = 5
+              UNION ALL SELECT d, 0, c, 2, false, 'NS', 'N' || c, CASE WHEN c + 4 > last THEN 'new' || c ELSE 'edited' || (c + 4) END FROM n, top WHERE m = 2
+              UNION ALL SELECT d, 1, c, 0, false, NULL, 'E' || c, 'end' || c FROM n WHERE m = 7
+              UNION ALL SELECT d, 0, CAST(d AS BIGINT) * 50 + t * 10 + 9, 3 + 2 * r + x, true, NULL, NULL, text FROM {_TABLE_CELLS})
+        SELECT d AS doc_id, row_number() OVER (PARTITION BY d ORDER BY z, c, g) - 1 AS ord, in_table, style, para_id, text FROM r""",
     "package_snapshots": f"SELECT d AS doc_id, CASE WHEN CAST(d AS INT) % 3 = 0 THEN 'changed' ELSE 'same' END AS state, CASE WHEN CAST(d AS INT) % 3 = 0 THEN 'word/styles.xml' ELSE '' END AS changed, count(*) - 20 AS tail FROM {_C} GROUP BY d",
     "package_paragraphs": f"""
         SELECT d AS doc_id, k + 4 * (k // 10) AS ord, false AS in_table, seg AS style, CASE WHEN c % 4 = 0 THEN nk END AS num_id, CASE WHEN c % 4 = 0 THEN 1 END AS ilvl, 'P' || c AS para_id, {_TEXT} AS text FROM {_C}
