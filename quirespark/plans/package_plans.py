@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import document_edits as D
+from ..operators import inline as I
 from ..operators import reduction as R
 from ..operators import tree as T
 from ..operators.styles import chains, heading_levels
@@ -230,6 +231,39 @@ def package_delete_marks(spark, sf_dir):
     return left.where(names).groupBy("doc_id", "name").agg(F.count("*").alias("n"))
 
 
+def package_replace(spark, sf_dir):
+    """A pattern that begins in a paragraph's first run and ends in the one after it, an insertion: all paragraphs, and the text of their first run."""
+    tree = T.tree_of(nodes_of(spark, sf_dir, DOC))
+    nodes = stored(P.xml_nodes(T.part_bytes(I.replace_in_runs(tree, r"0(\d) a", "X$1Y", regex=True))), "nodes")
+    first = P.runs(nodes).where("run_idx = 0").select("doc_id", F.col("paragraph_id").alias("node_id"), F.col("text").alias("first_run"))
+    return P.paragraphs(nodes).join(first, ["doc_id", "node_id"], "left").select("doc_id", F.col("ord").cast("long").alias("ord"), "para_id", "text", "first_run")
+
+
+def _tracked(nodes: DataFrame) -> DataFrame:
+    marks = P.revisions(nodes).where("id >= 100000000").select("doc_id", F.col("paragraph_index").alias("ord"), F.col("kind"), F.col("text").alias("changed"))
+    return P.paragraphs(nodes).join(marks, ["doc_id", "ord"], "left").select("doc_id", F.col("ord").cast("long").alias("ord"), "para_id", "text", "kind", "changed")
+
+
+def _spots(tree: DataFrame, rest: int) -> DataFrame:
+    """The paragraphs of customers whose number leaves this rest by 4, as surfaces, with a revision's id, author and date."""
+    at = D.elements(tree, "w:p", depth=3).withColumn("c", F.substring(D.value_of("w14:paraId"), 2, 20).cast("int")).where(F.col("c") % 4 == rest)
+    return at.select(*T.KEY, F.col("path").alias("surface"), "c", (F.col("c") + 100_000_000).alias("id"), F.lit("ann").alias("author"), F.lit("2024-01-02T03:04:05Z").alias("date"))
+
+
+def package_delete_revision(spark, sf_dir):
+    """Characters 3 to 8 of every fourth paragraph, inside its first run, are deleted as a tracked change."""
+    tree = T.tree_of(nodes_of(spark, sf_dir, DOC))
+    tree = I.delete_text(tree, _spots(tree, 1).withColumns({"start": F.lit(3), "end": F.lit(8)}))
+    return _tracked(stored(P.xml_nodes(T.part_bytes(tree)), "nodes"))
+
+
+def package_insert_revision(spark, sf_dir):
+    """Text comes into every fourth paragraph after its fifth character, inside its first run, as a tracked change."""
+    tree = T.tree_of(nodes_of(spark, sf_dir, DOC))
+    tree = I.insert_text(tree, _spots(tree, 2).withColumns({"position": F.lit(5), "text": F.concat(F.lit("<"), F.col("c").cast("string"), F.lit(">"))}))
+    return _tracked(stored(P.xml_nodes(T.part_bytes(tree)), "nodes"))
+
+
 def package_page_setup(spark, sf_dir):
     tree = T.tree_of(nodes_of(spark, sf_dir, DOC))
     at = D.elements(tree, "w:sectPr")
@@ -280,7 +314,7 @@ def package_snapshots(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        operation_tree, package_snapshots, package_paragraphs, package_runs, package_styles, package_style_chain, package_semantics, package_relationships, package_hyperlinks, package_bookmarks, package_comments, package_revisions, package_bullets, package_unused_numbering,
+        operation_tree, package_replace, package_delete_revision, package_insert_revision, package_snapshots, package_paragraphs, package_runs, package_styles, package_style_chain, package_semantics, package_relationships, package_hyperlinks, package_bookmarks, package_comments, package_revisions, package_bullets, package_unused_numbering,
         package_sections, package_notes, package_fields, package_cells, package_properties, package_round_trip, package_accept, package_reject, package_set_style, package_insert, package_delete_table, package_move, package_delete_marks, package_page_setup,
     )
 }
@@ -290,7 +324,20 @@ _TEXT = "c_name || CASE WHEN c % 7 = 0 THEN ' added' ELSE '' END || CASE WHEN c
 _OLD = "c_name || CASE WHEN c % 11 = 0 THEN ' gone' ELSE '' END || CASE WHEN c % 5 = 0 THEN ' link' ELSE '' END || CASE WHEN c % 3 = 0 THEN CAST(c AS VARCHAR) ELSE '' END"
 _TABLE_CELLS = f"(SELECT d, k // 10 AS t, r, x, CASE WHEN x = 0 AND r = 0 THEN CAST(c AS VARCHAR) WHEN x = 0 THEN '' WHEN r = 0 THEN seg ELSE CAST(nk AS VARCHAR) END AS text FROM {_C}, (SELECT unnest([0, 1]) AS r) a, (SELECT unnest([0, 1]) AS x) b WHERE c % 10 = 9)"
 _CHAINS = "(VALUES ('AUTOMOBILE', 0, 'AUTOMOBILE'), ('BUILDING', 1, 'AUTOMOBILE'), ('FURNITURE', 2, 'AUTOMOBILE'), ('HOUSEHOLD', 0, 'HOUSEHOLD')) v(id, depth, root)"
+_AFTER = "CASE WHEN c % 5 = 0 THEN ' link' ELSE '' END || CASE WHEN c % 3 = 0 THEN CAST(c AS VARCHAR) ELSE '' END"
+_ADDED = "CASE WHEN c % 7 = 0 THEN ' added' ELSE '' END"
 SQL = {
+    "package_replace": rf"""
+        SELECT d AS doc_id, k + 4 * (k // 10) AS ord, 'P' || c AS para_id, regexp_replace(c_name || {_ADDED}, '0(\d) a', 'X\1Y') || {_AFTER} AS text, CASE WHEN c % 7 = 0 THEN regexp_replace(c_name, '0(\d)$', 'X\1Y') ELSE c_name END AS first_run FROM {_C}
+        UNION ALL SELECT d, 14 * t + 10 + 2 * r + x, NULL, text, CASE WHEN r = 1 AND x = 0 THEN NULL ELSE text END FROM {_TABLE_CELLS}""",
+    "package_delete_revision": f"""
+        SELECT d AS doc_id, k + 4 * (k // 10) AS ord, 'P' || c AS para_id, CASE WHEN c % 4 = 1 THEN left(c_name, 3) || substr(c_name, 9) ELSE c_name END || {_ADDED} || {_AFTER} AS text,
+               CASE WHEN c % 4 = 1 THEN 'deletion' END AS kind, CASE WHEN c % 4 = 1 THEN substr(c_name, 4, 5) END AS changed FROM {_C}
+        UNION ALL SELECT d, 14 * t + 10 + 2 * r + x, NULL, text, NULL, NULL FROM {_TABLE_CELLS}""",
+    "package_insert_revision": f"""
+        SELECT d AS doc_id, k + 4 * (k // 10) AS ord, 'P' || c AS para_id, CASE WHEN c % 4 = 2 THEN left(c_name, 5) || '<' || c || '>' || substr(c_name, 6) ELSE c_name END || {_ADDED} || {_AFTER} AS text,
+               CASE WHEN c % 4 = 2 THEN 'insertion' END AS kind, CASE WHEN c % 4 = 2 THEN '<' || c || '>' END AS changed FROM {_C}
+        UNION ALL SELECT d, 14 * t + 10 + 2 * r + x, NULL, text, NULL, NULL FROM {_TABLE_CELLS}""",
     "operation_tree": f"""
         WITH n AS (SELECT *, c % 10 AS m FROM {_C}), top AS (SELECT max(c) AS last FROM n),
         r AS (SELECT d, 0 AS z, c, 0 AS g, false AS in_table, CASE WHEN m = 4 THEN 'ST' || (c % 7) ELSE seg END AS style, 'P' || c AS para_id,
