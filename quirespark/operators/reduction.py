@@ -20,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.packages import ATTRIBUTES
+from ..sources.packages import ATTRIBUTES, xml_nodes
 from ..sources.scratch import stored
 from . import tree as T
 from .operations import ELEMENT_OF, carried_parts, elements, field, of_kind, roots, styles_defined, taking_part
 from .payloads import brings
 from .sequence import sequence_of
+from .splice import spliced
 from .styles import chains
 from .tree import KEY, TREE
 
@@ -413,23 +414,22 @@ def materialised(tree: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def materialised_parts(parts: DataFrame, log: DataFrame) -> DataFrame:
-    """(doc_id, part_path, content) of packages after their logs: parts of trees that an operation concerns written anew, others byte for byte, carried parts as they came.
+    """(doc_id, part_path, content) of packages after their logs: of parts that an operation concerns the elements that are new or changed are written anew, all else stays byte for byte; carried parts are as they came.
 
     A prolog that the log sets begins the document's part.
     """
-    from ..sources.packages import xml_nodes
-
     active = stored(taking_part(log), "log")
     docs = active.where(~F.col("op_type").isin("carryPart", "carryBinaryPart", "beginComponent", "endComponent")).select("doc_id").distinct()
-    tree = stored(T.tree_of(xml_nodes(parts.join(docs, "doc_id", "left_semi"))), "tree")
+    nodes = stored(xml_nodes(parts.join(docs, "doc_id", "left_semi")), "nodes")
+    tree = T.tree_of(nodes)
     after = stored(materialised(tree, active), "tree")
     line = F.struct("kind", "name", "attrs", "text")
     print_of = lambda df, c: df.groupBy(*KEY).agg(F.sha2(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("path", line.alias("x")))), lambda r: F.struct(F.size(r["path"]).alias("d"), r["x"].alias("x")))), 256).alias(c))
     prologs = roots(active).where("prolog IS NOT NULL").select("doc_id", F.lit(DOCUMENT).alias("part_path"), "prolog")
     same = print_of(tree, "_a").join(print_of(after, "_b"), KEY).where("_a = _b").select(*KEY).join(prologs.select(*KEY), KEY, "left_anti")
-    new = T.part_bytes(after.join(same, KEY, "left_anti")).join(prologs, KEY, "left")
-    text = F.decode("content", "UTF-8")
-    begun = F.when(F.col("prolog").isNull(), F.col("content")).otherwise(F.encode(F.concat("prolog", F.substring(text, len(T.DECLARATION) + 1, 2**31 - 1)), "UTF-8"))
+    new = spliced(parts, nodes, after.join(same, KEY, "left_anti")).join(prologs, KEY, "left")
+    # a declaration and what stands before the first element
+    begun = F.when(F.col("prolog").isNull(), F.col("content")).otherwise(F.encode(F.concat("prolog", F.regexp_replace(F.decode("content", "UTF-8"), r"^(<\?.*?\?>|<!--(?s:.*?)-->|\s|\x{FEFF})*", "")), "UTF-8"))
     new = new.select(*KEY, begun.alias("content"))
     carried = carried_parts(active).select(*KEY, "content")
     kept = parts.select(*KEY, "content").join(new.select(*KEY).unionByName(carried.select(*KEY)), KEY, "left_anti")

@@ -258,24 +258,32 @@ def set_child(tree: DataFrame, changes: DataFrame, holder: str | None, name: str
     return remove(tree, old).unionByName(fragments(kept.unionByName(new)))
 
 
-def part_bytes(tree: DataFrame) -> DataFrame:
-    """(doc_id, part_path, content) of the trees: well-formed UTF-8 XML with a declaration.
+#: Usual prefixes and the first of the namespaces that each stands for.
+USUAL = {p: uri for uri, p in reversed(PREFIXES.items()) if p}
+
+
+def used_prefixes(tree: DataFrame) -> DataFrame:
+    """(doc_id, part_path, used): the usual prefixes in the names of elements and attributes."""
+    prefix = lambda c: F.nullif(F.regexp_extract(c, "^([^:]+):", 1), F.lit(""))
+    used = tree.where("kind = 'element'").select(*KEY, F.explode(F.array_distinct(F.concat(F.array(prefix(F.col("name"))), F.transform("attrs", lambda x: prefix(x["name"]))))).alias("_prefix"))
+    return used.where(F.col("_prefix").isin(*USUAL)).groupBy(*KEY).agg(F.array_sort(F.collect_set("_prefix")).alias("used"))
+
 
-    Each node is one or two pieces, the start tag or text at its path and the end tag behind all that begins with its
-    path; a part is its pieces in order, gathered in one group, as large as the part. Names are written under the usual
-    prefixes; the root declares those that are in use, and keeps its other declarations.
+def pieces_of(tree: DataFrame, all_declarations: bool = False) -> DataFrame:
+    """(doc_id, part_path, p struct<path,s>): the text of each node, one or two pieces: the start tag or text at its path, and the end tag behind all that begins with its path.
+
+    Names are written under the usual prefixes; a root declares those that are in use, and keeps its other declarations
+    (all_declarations: also those of known namespaces under other prefixes).
     """
     tree = stored(tree, "tree")
     root = F.size("path") == 1
-    prefix = lambda c: F.nullif(F.regexp_extract(c, "^([^:]+):", 1), F.lit(""))
-    used = tree.where("kind = 'element'").select(*KEY, F.explode(F.array_distinct(F.concat(F.array(prefix(F.col("name"))), F.transform("attrs", lambda x: prefix(x["name"]))))).alias("_prefix")).where("_prefix IS NOT NULL")
-    usual = F.create_map(*(F.lit(x) for p, uri in {p: uri for uri, p in reversed(PREFIXES.items()) if p}.items() for x in (p, uri)))
-    declared = used.groupBy(*KEY).agg(F.filter(F.array_sort(F.collect_set("_prefix")), lambda p: F.map_contains_key(usual, p)).alias("_used"))
+    usual = F.create_map(*(F.lit(x) for p, uri in USUAL.items() for x in (p, uri)))
+    declared = used_prefixes(tree).withColumnRenamed("used", "_used")
     tags = tree.join(declared, KEY, "left")
     bound = F.transform(F.coalesce("_used", F.array().cast("array<string>")), lambda p: F.struct(F.concat(F.lit("xmlns:"), p).alias("name"), F.element_at(usual, p).alias("value"), F.concat(F.lit("xmlns:"), p).alias("raw")))
     # a declaration of a known namespace under another prefix goes; one of an unknown namespace stays, also under a usual prefix
     known = [u for u, p in PREFIXES.items() if p]
-    own = F.filter("attrs", lambda x: ~(x["name"].rlike("^xmlns(:|$)") & x["value"].isin(*known)))
+    own = F.col("attrs") if all_declarations else F.filter("attrs", lambda x: ~(x["name"].rlike("^xmlns(:|$)") & x["value"].isin(*known)))
     bound = F.filter(bound, lambda x: ~F.exists(own, lambda y: y["name"] == x["name"]))
     attrs = F.when(root, F.concat(bound, own)).otherwise(own)
     quoted = lambda v: F.replace(F.replace(F.replace(escape_xml(v), F.lit("\n"), F.lit("&#10;")), F.lit("\t"), F.lit("&#9;")), F.lit("\r"), F.lit("&#13;"))
@@ -289,7 +297,12 @@ def part_bytes(tree: DataFrame) -> DataFrame:
         .when(F.col("kind") == "comment", F.array(piece(F.col("path"), F.concat(F.lit("<!--"), F.col("text"), F.lit("-->")))))
         .otherwise(F.array(piece(F.col("path"), F.concat(F.lit("<?"), F.col("name"), F.lit(" "), F.coalesce("text", F.lit("")), F.lit("?>")))))
     )
-    rows = tags.select(*KEY, F.explode(pieces).alias("p")).groupBy(*KEY).agg(F.array_sort(F.collect_list("p")).alias("p"))
+    return tags.select(*KEY, F.explode(pieces).alias("p"))
+
+
+def part_bytes(tree: DataFrame) -> DataFrame:
+    """(doc_id, part_path, content) of the trees: well-formed UTF-8 XML with a declaration. A part is its pieces in order (see `pieces_of`), gathered in one group, as large as the part."""
+    rows = pieces_of(tree).groupBy(*KEY).agg(F.array_sort(F.collect_list("p")).alias("p"))
     return rows.select(*KEY, F.encode(F.concat(F.lit(DECLARATION), F.array_join(F.transform("p", lambda x: x["s"]), "")), "UTF-8").alias("content"))
 
 

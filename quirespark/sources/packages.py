@@ -104,7 +104,10 @@ def _xml_rows(doc: str, part: str, data: bytes) -> list[tuple]:
         counts.append(0)
 
     def end(name: str) -> None:
-        rows[stack.pop()][11] = data.find(b">", parser.CurrentByteIndex) + 1
+        at, own = parser.CurrentByteIndex, stack.pop()
+        # of an empty-element tag the end is reported behind it, of others where the end tag begins
+        empty = own == len(rows) - 1 and data[at - 2 : at] == b"/>"
+        rows[own][11] = at if empty else data.find(b">", at) + 1
         for x in (counts, within, scopes, path):
             x.pop()
 
