@@ -90,6 +90,35 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, with_text: bool) -
     return rows.mapInArrow(hash_texts, f"_id {kind}, _n long, _h1 long, _h2 long, " + ("_text binary" if with_text else "_sha string, _raw long"))
 
 
+def dealt_shares(texts: DataFrame, kind: str) -> DataFrame:
+    """(_id, KEY, _lead, _text, _salt) of texts(_id, KEY, _lead, _text, _salts): members dealt out over their group's shares, and for each share a copy of the first text.
+
+    Many rows can have the first id, null for one. Of those that one task meets the first is copied to all shares; the
+    others are members like any, dealt out in turn, so copies grow with tasks and shares and not with rows. A task
+    remembers groups of more than one share only.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        led: set[tuple] = set()
+        turn = 0
+        for batch in batches:
+            rows, salts, leads = [], [], []
+            for k, (*key, lead, n) in enumerate(zip(*(batch.column(j).to_pylist() for j in (1, 2, 3, 4, 6)), strict=True)):
+                first = lead and (n == 1 or tuple(key) not in led)
+                if first and n > 1:
+                    led.add(tuple(key))
+                to = range(n) if first else (turn % n,)
+                turn += not first
+                rows += [k] * len(to)
+                salts += to
+                leads += [bool(first)] * len(to)
+            for a in range(0, max(len(rows), 1), 1000):
+                part = batch.take(pa.array(rows[a : a + 1000], pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(part.column(j) for j in range(4)), pa.array(leads[a : a + 1000], pa.bool_()), part.column(5), pa.array(salts[a : a + 1000], pa.int32())], ["_id", *KEY, "_lead", "_text", "_salt"])
+
+    return texts.mapInArrow(deal, f"_id {kind}, _n long, _h1 long, _h2 long, _lead boolean, _text binary, _salt int")
+
+
 def differing(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Of the rows that share a fingerprint, those whose text is not that of their group's first row: _id and KEY, once each.
 
@@ -104,9 +133,7 @@ def differing(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> D
     )
     texts = fingerprints(docs, id_col, text_col, with_text=True)
     texts = texts.join(members, [F.col("_id").eqNullSafe(F.col("_member")), *(F.col(k) == F.col(f"{k}_") for k in KEY)])
-    shares = texts.select(
-        "_id", *KEY, "_lead", "_text", F.explode(F.when(F.col("_lead"), F.sequence(F.lit(0), F.col("_salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("_id"), "_salts").cast("int")))).alias("_salt")
-    )
+    shares = dealt_shares(texts.select("_id", *KEY, "_lead", "_text", "_salts"), kind)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         share, first = None, b""
@@ -121,8 +148,7 @@ def differing(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> D
                     out.append(k)
             yield pa.RecordBatch.from_arrays([c.take(pa.array(out, pa.int64())) for c in columns[:4]], ["_id", *KEY])
 
-    dealt = shares.repartition(*KEY, "_salt").sortWithinPartitions(*KEY, "_salt", F.col("_lead").desc())
-    return dealt.mapInArrow(compare, f"_id {kind}, _n long, _h1 long, _h2 long").distinct()
+    return shares.repartition(*KEY, "_salt").sortWithinPartitions(*KEY, "_salt", F.col("_lead").desc()).mapInArrow(compare, f"_id {kind}, _n long, _h1 long, _h2 long").distinct()
 
 
 def grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -284,3 +284,17 @@ def test_parities_never_rule_out_a_link():
             x, y = (np.unpackbits(np.frombuffer(parities(s), np.uint8)) for s in (a, b))
             assert (x != y).sum() <= differ
             assert differ or (x == y).all()
+
+
+def test_many_rows_of_one_id_are_dealt_once(spark):
+    """5,000 rows with a null id and one text: each is dealt to one share, but for a first row a task and share."""
+    from quirespark.llm import exact_dedup as E
+
+    rows = spark.createDataFrame([(None, "one text", None)] * 5000 + [(1, "other", None), (2, "other", None)], "doc_id long, text string, lang string").repartition(4)
+    texts = E.fingerprints(rows, "doc_id", "text", with_text=True).selectExpr("_id", *E.KEY, "_id IS NULL OR _id = 1 AS _lead", "_text", "if(_id IS NULL, 5, 1) AS _salts")
+    dealt = E.dealt_shares(texts, "bigint").groupBy("_n", "_salt").agg({"_lead": "count", "*": "count"}).collect()
+    assert sum(r["count(1)"] for r in dealt) <= 5002 + 4 * 5 and len(dealt) == 6
+    assert max(r["count(1)"] for r in dealt) < 1200
+    got = E.exact_dedup(rows).where("kept").collect()
+    assert sorted((r["doc_id"], r["group_size"]) for r in got if r["doc_id"]) == [(1, 2)] and [r["group_size"] for r in got if r["doc_id"] is None] == [5000]
+    assert E.without_copies(rows).count() == 2
