@@ -61,12 +61,24 @@ def records_in(plain: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
         at = end + 4 + size + 4
 
 
+#: Names by which Hadoop knows stores that the reader of files knows by another.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "gcs": "gs"}
+
+
+def file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    """The store and the path in it of a URI as Spark writes it: local files, S3, Google and Azure storage, HDFS (which needs libhdfs on each worker); dbfs:/ stands for its mount, /dbfs."""
+    scheme, _, rest = uri.partition(":")
+    if scheme == "dbfs":
+        return fs.LocalFileSystem(), "/dbfs/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
+
+
 class Bundle:
     """An open bundle. It is written under a name of its own attempt and gets its final name when it is whole."""
 
     def __init__(self, uri: str) -> None:
         self.uri = uri
-        self.files, self.path = fs.FileSystem.from_uri(uri)
+        self.files, self.path = file_system(uri)
         self.files.create_dir(self.path.rpartition("/")[0], recursive=True)
         self.out = self.files.open_output_stream(self.path + ".part")
         self.frames: list[tuple[int, int]] = []
@@ -99,6 +111,11 @@ class Bundle:
         return self.done
 
 
+    def abandon(self) -> None:
+        self.out.close()
+        self.files.delete_file(self.path + ".part")
+
+
 def seek_table(data: pa.NativeFile, size: int) -> list[tuple[int, int, int]]:
     """(offset, compressed size, plain size) of each frame, from the end of an open bundle."""
     data.seek(size - 9)
@@ -130,22 +147,30 @@ def write_warc(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
     rows = rows.withColumn("_key", F.when(F.octet_length("_payload") >= LEAST_REVISIT, F.sha2("_payload", 256)))
     groups = rows.where("_key IS NOT NULL").groupBy(F.col("_key").alias("_of")).agg(F.max("_id").alias("_first"), F.count("*").alias("_size")).where("_size > 1").drop("_size")
     refers = F.when(~F.col("_id").eqNullSafe(F.col("_first")), F.col("_first"))
-    rows = rows.join(groups, F.col("_key") == F.col("_of"), "left").select("_id", "_url", F.when(refers.isNull(), F.col("_payload")).alias("_body"), F.sha1("_payload").alias("_sha"), F.octet_length("_payload").alias("_bytes"), refers.alias("_refers"))
+    # small payloads have no key: in a join all of them would go to one task
+    small = rows.where("_key IS NULL").withColumn("_first", F.lit(None).cast(groups.schema["_first"].dataType))
+    keyed = rows.where("_key IS NOT NULL").join(groups, F.col("_key") == F.col("_of"), "left").drop("_of")
+    rows = keyed.unionByName(small).select("_id", "_url", F.when(refers.isNull(), F.col("_payload")).alias("_body"), F.sha1("_payload").alias("_sha"), F.octet_length("_payload").alias("_bytes"), refers.alias("_refers"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bundle = None
-        for batch in batches:
-            ended = []
-            for page, url, body, sha, size, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                bundle = bundle or Bundle(f"{path}/{uuid.uuid4().hex}.warc.zst")
-                bundle.add((f"{URN}{page}",), record(page, url, (body or "").encode(), sha, size, refers_to))
-                if bundle.at >= BUNDLE_BYTES:
-                    ended += bundle.close()
-                    bundle = None
-            if ended:
+        try:
+            for batch in batches:
+                ended = []
+                for page, url, body, sha, size, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    bundle = bundle or Bundle(f"{path}/{uuid.uuid4().hex}.warc.zst")
+                    bundle.add((f"{URN}{page}",), record(page, url, (body or "").encode(), sha, size, refers_to))
+                    if bundle.at >= BUNDLE_BYTES:
+                        ended += bundle.close()
+                        bundle = None
+                if ended:
+                    yield as_index(ended)
+            if bundle:
+                ended, bundle = bundle.close(), None
                 yield as_index(ended)
-        if bundle:
-            yield as_index(bundle.close())
+        finally:
+            if bundle:  # the task fails
+                bundle.abandon()
 
     def as_index(found: list[tuple]) -> pa.RecordBatch:
         names = [x.split()[0] for x in INDEX.split(", ")]
@@ -166,7 +191,7 @@ def read_warc(index: DataFrame, *, with_payload: bool = False) -> DataFrame:
         for batch in batches:
             out = []
             for uri in batch.column(0).to_pylist():
-                files, path = fs.FileSystem.from_uri(uri)
+                files, path = file_system(uri)
                 with files.open_input_file(path) as f:
                     out += [(uri, at, packed, plain) for at, packed, plain in seek_table(f, f.size())]
             if out:
@@ -179,7 +204,7 @@ def read_warc(index: DataFrame, *, with_payload: bool = False) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri, at, packed, plain in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                files, path = fs.FileSystem.from_uri(uri)
+                files, path = file_system(uri)
                 with files.open_input_file(path) as f:
                     f.seek(at)
                     data = zstandard.ZstdDecompressor().decompress(f.read(packed), max_output_size=plain)
@@ -206,7 +231,7 @@ def fetch(index: DataFrame, record_ids: list[str]) -> dict[str, bytes]:
     """The plain records of a few identifiers, by their frames alone."""
     out = {}
     for r in index.where(F.col("record_id").isin(record_ids)).collect():
-        files, path = fs.FileSystem.from_uri(r["bundle"])
+        files, path = file_system(r["bundle"])
         with files.open_input_file(path) as f:
             f.seek(r["frame_at"])
             plain = zstandard.ZstdDecompressor().decompress(f.read(r["frame_size"]))

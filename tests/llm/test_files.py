@@ -169,3 +169,26 @@ def test_shared_folder(spark, monkeypatch):
 def test_bundles_go_where_spark_takes_the_path(pages, tmp_path):
     index = A.write_warc(pages, path=f"{tmp_path}/plain")
     assert {r["bundle"][:8] for r in index.collect()} == {"file:///"} and A.read_warc(index).count() == pages.count()
+
+
+def test_schemes_of_stores():
+    from pyarrow import fs
+
+    from quirespark.llm.warc import file_system
+
+    assert file_system("file:///tmp/x/y") == (fs.LocalFileSystem(), "/tmp/x/y")
+    assert file_system("dbfs:/tmp/x") == (fs.LocalFileSystem(), "/dbfs/tmp/x")
+    store, path = file_system("s3a://bucket/a/b?region=us-east-1")
+    assert store.type_name == "s3" and path == "bucket/a/b"
+
+
+def test_small_pages_are_written_where_they_are_read(spark):
+    """Pages without a key take no part in a shuffle: as many tasks write them as read them."""
+    from pyspark.sql import functions as F
+
+    from quirespark.llm.warc import write_warc
+
+    pages = spark.range(0, 4000, 1, 8).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 4 == 0, F.repeat(F.col("id").cast("string"), 400)).otherwise("small").alias("html"))
+    index = write_warc(pages)
+    per_bundle = [r["count"] for r in index.groupBy("bundle").count().collect()]
+    assert sum(per_bundle) == 4000 and max(per_bundle) < 1500
