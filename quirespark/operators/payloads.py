@@ -30,7 +30,7 @@ def tag(name: str, inner: str = "", **attrs: object) -> str:
 
 def _tag(name: str, inner: str, attrs: dict) -> str:
     written = "".join(f" {k}={quoteattr(str(v))}" for k, v in attrs.items() if v is not None)
-    return f"<{name}{written}>{inner}</{name}>"
+    return f"<{name}{written}>{inner}</{name}>" if inner else f"<{name}{written}/>"
 
 
 def properties(table: tuple, payload: dict) -> str:
@@ -64,11 +64,11 @@ def inline(item: dict) -> str:
     return tag("w:hyperlink", inner, r_id=link["relationshipId"]) if link["targetKind"] == "external" else tag("w:hyperlink", inner, w_anchor=link["target"])
 
 
-def paragraph(p: dict, content: str | None = None) -> str:
-    """A paragraph with its text as one run, or with the content given."""
+def paragraph(p: dict, content: str | None = None, last: str = "") -> str:
+    """A paragraph with its text as one run, or with the content given; `last` is what its properties end with."""
     number = properties((("w:ilvl", {"numLevel": "w:val"}), ("w:numId", {"numId": "w:val"})), p)
     marks = properties(RUN_PROPERTIES, p.get("paragraphMarkRun") or {})
-    head = (tag("w:pStyle", w_val=p["styleId"]) if p.get("styleId") else "") + (f"<w:numPr>{number}</w:numPr>" if number else "") + properties(PARAGRAPH_PROPERTIES, p) + (f"<w:rPr>{marks}</w:rPr>" if marks else "")
+    head = (tag("w:pStyle", w_val=p["styleId"]) if p.get("styleId") else "") + (f"<w:numPr>{number}</w:numPr>" if number else "") + properties(PARAGRAPH_PROPERTIES, p) + (f"<w:rPr>{marks}</w:rPr>" if marks else "") + last
     body = tag("w:r", tag("w:t", escape(p.get("text", "")))) if content is None else content
     return tag("w:p", (f"<w:pPr>{head}</w:pPr>" if head else "") + body, w14_paraId=p.get("paraId") or None, w14_textId=p.get("textId"), w_rsidR=p.get("rsidR"), w_rsidRPr=p.get("rsidRPr"), w_rsidRDefault=p.get("rsidRDefault"), w_rsidP=p.get("rsidP"))
 

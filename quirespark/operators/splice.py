@@ -71,6 +71,9 @@ def spliced(parts: DataFrame, nodes: DataFrame, tree: DataFrame) -> DataFrame:
     # the end tag bears the name as the start tag writes it
     written = lambda a: F.regexp_extract(F.decode(F.substring("_content", (a + 1).cast("int"), F.lit(300)), "UTF-8"), r"^<([^\s/>]+)", 1)
     opened = lambda x: F.when((F.size(x["path"]) == 1) & (F.col("_more") != "") & (x["b"] < F.col("_last")), F.concat(cut(x["a"], x["b"] - 1), _hex(F.concat("_more", F.lit(">"))))).otherwise(cut(x["a"], x["b"]))
-    text = lambda x: F.when(x["s"].isNull(), opened(x)).when(x["a"].isNotNull(), _hex(F.concat(F.lit("</"), written(x["a"]), F.lit(">")))).otherwise(_hex(x["s"]))
+    fresh = lambda x: x["s"].isNotNull() & x["a"].isNull()
+    before_end = lambda i: F.coalesce(fresh(F.get("p", i)), F.lit(False))
+    own = lambda x, i: F.when(fresh(x) & (before_end(i - 1) | before_end(i + 1)), T.short(x, i)).otherwise(x["s"])
+    text = lambda x, i: F.when(x["s"].isNull(), opened(x)).when(x["a"].isNotNull(), _hex(F.concat(F.lit("</"), written(x["a"]), F.lit(">")))).otherwise(_hex(own(x, i)))
     start, stop = F.when(F.col("_first").isNull(), _hex(F.lit(T.DECLARATION))).otherwise(cut(F.lit(0), F.col("_first"))), F.when(F.col("_last").isNull(), "").otherwise(cut(F.col("_last"), F.length("_content")))
     return rows.select(*KEY, F.unhex(F.concat(start, F.array_join(F.transform("p", text), ""), stop)).alias("content"))

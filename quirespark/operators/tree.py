@@ -300,10 +300,18 @@ def pieces_of(tree: DataFrame, all_declarations: bool = False) -> DataFrame:
     return tags.select(*KEY, F.explode(pieces).alias("p"))
 
 
+def short(x: Column, i: Column) -> Column:
+    """The text of the i-th piece of an array `p` (see `pieces_of`); an element that holds nothing is one tag."""
+    end = lambda path: F.concat(path, F.array(F.lit(float("inf"))))
+    holds_nothing = F.coalesce(F.get("p", i + 1)["path"] == end(x["path"]), F.lit(False))
+    is_its_end = F.coalesce(x["path"] == end(F.get("p", i - 1)["path"]), F.lit(False))
+    return F.when(holds_nothing, F.concat(F.substring(x["s"], F.lit(1), F.length(x["s"]) - 1), F.lit("/>"))).when(is_its_end, "").otherwise(x["s"])
+
+
 def part_bytes(tree: DataFrame) -> DataFrame:
     """(doc_id, part_path, content) of the trees: well-formed UTF-8 XML with a declaration. A part is its pieces in order (see `pieces_of`), gathered in one group, as large as the part."""
     rows = pieces_of(tree).groupBy(*KEY).agg(F.array_sort(F.collect_list("p")).alias("p"))
-    return rows.select(*KEY, F.encode(F.concat(F.lit(DECLARATION), F.array_join(F.transform("p", lambda x: x["s"]), "")), "UTF-8").alias("content"))
+    return rows.select(*KEY, F.encode(F.concat(F.lit(DECLARATION), F.array_join(F.transform("p", short), "")), "UTF-8").alias("content"))
 
 
 def edited_parts(parts: DataFrame, tree: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import document_edits as D
 from ..operators import inline as I
 from ..operators import reduction as R
+from ..operators import reverse as V
 from ..operators import tree as T
 from ..operators.styles import chains, heading_levels
 from ..sources import package_tables as X
@@ -302,6 +303,22 @@ def operation_tree(spark, sf_dir):
     return P.paragraphs(P.xml_nodes(parts)).select("doc_id", F.col("ord").cast("long").alias("ord"), "in_table", "style", "para_id", "text")
 
 
+_LEAN = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:w14="http://schemas.microsoft.com/office/word/2010/wordml"'
+
+
+def package_reversed(spark, sf_dir):
+    """Packages of one part turned into logs and these replayed on nothing: what comes back, and how many operations say it. Every second document has a tab, which no operation says, in its first paragraph."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("c"), "c_name", "c_mktsegment", F.floor(F.col("c_custkey") / DOC_ROWS).alias("d"))
+    tab = F.when((F.col("d") % 2 == 1) & (F.col("c") % DOC_ROWS == 0), "<w:r><w:tab/></w:r>").otherwise("")
+    xml = F.format_string('<w:p w14:paraId="P%s"><w:pPr><w:pStyle w:val="%s"/></w:pPr><w:r><w:rPr><w:b/></w:rPr><w:t>%s</w:t></w:r>%s</w:p>', F.col("c").cast("string"), F.col("c_mktsegment"), F.col("c_name"), tab)
+    body = c.withColumn("x", xml).groupBy("d").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c", "x"))), lambda s: s["x"]), "").alias("body"))
+    parts = stored(body.select(F.col("d").cast("string").alias("doc_id"), F.lit(DOC).alias("part_path"), F.encode(F.concat(F.lit(f"<w:document {_LEAN}><w:body>"), "body", F.lit("</w:body></w:document>")), "UTF-8").alias("content")), "parts")
+    log = stored(V.reversed_log(parts), "log")
+    back = R.materialised_parts(V.skeleton(parts), log).select("doc_id", F.sha2("content", 256).alias("sha256"))
+    share = V.typed_share(parts, log)
+    return back.join(share, "doc_id").select("doc_id", "sha256", (F.col("typed_bytes") == F.col("bytes")).alias("typed"), "operations")
+
+
 def package_snapshots(spark, sf_dir):
     """Every third package changes after it was saved: one part of it, and all of its log's later half is still to come."""
     parts = package_parts(spark, sf_dir).where(F.col("part_path").isin(DOC, STYLES, "docProps/core.xml"))
@@ -314,7 +331,7 @@ def package_snapshots(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        operation_tree, package_replace, package_delete_revision, package_insert_revision, package_snapshots, package_paragraphs, package_runs, package_styles, package_style_chain, package_semantics, package_relationships, package_hyperlinks, package_bookmarks, package_comments, package_revisions, package_bullets, package_unused_numbering,
+        operation_tree, package_reversed, package_replace, package_delete_revision, package_insert_revision, package_snapshots, package_paragraphs, package_runs, package_styles, package_style_chain, package_semantics, package_relationships, package_hyperlinks, package_bookmarks, package_comments, package_revisions, package_bullets, package_unused_numbering,
         package_sections, package_notes, package_fields, package_cells, package_properties, package_round_trip, package_accept, package_reject, package_set_style, package_insert, package_delete_table, package_move, package_delete_marks, package_page_setup,
     )
 }
@@ -327,6 +344,10 @@ _CHAINS = "(VALUES ('AUTOMOBILE', 0, 'AUTOMOBILE'), ('BUILDING', 1, 'AUTOMOBILE'
 _AFTER = "CASE WHEN c % 5 = 0 THEN ' link' ELSE '' END || CASE WHEN c % 3 = 0 THEN CAST(c AS VARCHAR) ELSE '' END"
 _ADDED = "CASE WHEN c % 7 = 0 THEN ' added' ELSE '' END"
 SQL = {
+    "package_reversed": f"""
+        SELECT d AS doc_id, sha256('<w:document {_LEAN}><w:body>' || string_agg('<w:p w14:paraId="P' || c || '"><w:pPr><w:pStyle w:val="' || seg || '"/></w:pPr><w:r><w:rPr><w:b/></w:rPr><w:t>' || c_name || '</w:t></w:r>'
+                   || CASE WHEN CAST(d AS INT) % 2 = 1 AND k = 0 THEN '<w:r><w:tab/></w:r>' ELSE '' END || '</w:p>', '' ORDER BY c) || '</w:body></w:document>') AS sha256,
+               CAST(d AS INT) % 2 = 0 AS typed, CASE WHEN CAST(d AS INT) % 2 = 0 THEN 2 + 2 * count(*) ELSE 1 END AS operations FROM {_C} GROUP BY d""",
     "package_replace": rf"""
         SELECT d AS doc_id, k + 4 * (k // 10) AS ord, 'P' || c AS para_id, regexp_replace(c_name || {_ADDED}, '0(\d) a', 'X\1Y') || {_AFTER} AS text, CASE WHEN c % 7 = 0 THEN regexp_replace(c_name, '0(\d)$', 'X\1Y') ELSE c_name END AS first_run FROM {_C}
         UNION ALL SELECT d, 14 * t + 10 + 2 * r + x, NULL, text, CASE WHEN r = 1 AND x = 0 THEN NULL ELSE text END FROM {_TABLE_CELLS}""",

@@ -61,7 +61,7 @@ def test_new_elements_and_new_parts(parts, nodes):
     got = {(r["doc_id"], r["part_path"]): bytes(r["content"]).decode() for r in splice.spliced(parts, nodes, tree.unionByName(other)).collect()}
     document = got["d", "word/document.xml"]
     declared = HEAD.replace("<x:body >", "").rstrip(">") + f' xmlns:w="{NS}"><x:body >'
-    assert document.startswith(declared + ONE + "\n  " + TWO + '<w:p w:rsidP="9"></w:p>' + SAME) and document.endswith(SAME + "<!-- c -->" + SAME + TAIL.replace("</x:document >", "</x:document>"))
+    assert document.startswith(declared + ONE + "\n  " + TWO + '<w:p w:rsidP="9"/>' + SAME) and document.endswith(SAME + "<!-- c -->" + SAME + TAIL.replace("</x:document >", "</x:document>"))
     assert got["e", "word/document.xml"] == DOC and got["e", "word/new.xml"].startswith(T.DECLARATION)
     again = P.paragraphs(P.xml_nodes(parts.limit(0).unionByName(parts.sparkSession.createDataFrame([("d", "word/document.xml", document.encode())], parts.schema))))
     assert [r["text"] for r in again.orderBy("ord").collect()] == ["a & <b>", "two", "", "é", "é"]
