@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -35,6 +36,8 @@ DOCUMENT = "word/document.xml"
 APART = ("carryPart", "carryBinaryPart", "beginComponent", "endComponent", "setDocumentRoot", "setDocumentProlog", "updateAttribute", "moveNode")
 #: Kinds for which the element's name decides what comes.
 BY_NAME = ("setText", "insertTab", "insertBreak", "insertNoBreakHyphen", "removeTable")
+#: Kinds that edit the list that their element stands in.
+BESIDE = ("insertParagraphAfter", "insertParagraphBefore", "removeParagraph", "insertTable", "removeTable", "insertSiblingAfter", "removeNode", "wrapWithHyperlink", "moveNode")
 #: Kinds whose element must be a paragraph, or a run.
 ON = {"insertRun": "w:p", "insertBookmark": "w:p", "insertComment": "w:p", "setRuns": "w:p", "setParagraphContent": "w:p", "setParagraphStyle": "w:p", "setRunFormat": "w:r", "setCellText": "w:tbl"}
 #: Kinds whose new element is known by its operation where it has no id of its own.
@@ -153,71 +156,8 @@ def _cells(base: DataFrame, wanted: DataFrame) -> DataFrame:
     return _check(missing, F.col("x.path").isNull(), F.lit("no such cell")).select("doc_id", "seq", "x.*")
 
 
-def materialised(tree: DataFrame, log: DataFrame) -> DataFrame:
-    """The tree rows (TREE) of all parts after the log (doc_id, seq, op_id, op_type, payload VARIANT), undone operations left out.
-
-    An element is known by its own id (w14:paraId=.., w:id=.. and so on) or, new ones without any, as lib: and the id of the
-    operation that brought it. A name that no node has at that time, an element that has been taken out of its list, a
-    place beyond the end of a list, a kind of element that an operation is not for: each is an error. Operations on what
-    stands inside a removed element have no effect. Cells are those of the table as it came. A part that an operation
-    needs (styles, relationships) must be there; a comment's definition goes to the comments part if there is one. Unknown
-    kinds have no effect; carried parts and prologs are not trees, see `materialised_parts`.
-    """
-    tree = stored(tree.select(*TREE), "tree")
-    active = stored(taking_part(log), "log")
-    attrs = of_kind(active, "updateAttribute")
-    ops = elements(of_kind(active, *(k for k in ELEMENT_OF if k not in ("undo", "redo", "batchBegin", "batchEnd", "carryPart", "carryBinaryPart", "beginComponent", "endComponent", "setDocumentRoot", "setDocumentProlog", "defineStyle", "addRelationship"))))
-    single = styles_defined(active).select("doc_id", "style_id")
-    have = tree.where("part_path = 'word/styles.xml' AND name = 'w:style'").select("doc_id", F.get(F.filter("attrs", lambda x: x["name"] == "w:styleId"), 0)["value"].alias("style_id"))
-    first = of_kind(active, "defineStyle").withColumn("style_id", field("payload.styleId")).join(single.join(have, ["doc_id", "style_id"], "left_anti"), ["doc_id", "style_id"], "left_semi")
-    once = F.row_number().over(T.Window.partitionBy("doc_id", "style_id").orderBy("seq")) == 1
-    first = first.withColumn("_1", once).where("_1").drop("_1", "style_id")
-    links = of_kind(active, "addRelationship")
-    link_once = F.row_number().over(T.Window.partitionBy("doc_id", field("part"), field("id"), field("type"), field("target")).orderBy("seq")) == 1
-    links = links.withColumn("_1", link_once).where("_1").drop("_1")
-    ops = ops.unionByName(first.unionByName(links).withColumn("element", F.lit(None).cast("string")))
-    at = F.coalesce(field("position", "int"), field("destinationIndex", "int"))
-    ops = stored(ops.select("doc_id", "seq", "op_id", "op_type", "element", F.to_json("payload").alias("p"), field("destinationParent").alias("to"), at.alias("at"), field("part").alias("rels"), field("row", "int").alias("row"), field("column", "int").alias("column")), "operations")
-
-    # what operations bring, and the nodes that names stand for
-    early = ops.where(~F.col("op_type").isin(*BY_NAME, *APART)).withColumn("target", F.coalesce(*(F.when(F.col("op_type") == k, n) for k, n in ON.items())))
-    brought = stored(_brought(early), "brought")
-    pieces = stored(_parsed(brought), "pieces")
-    born = F.coalesce(F.nullif(F.regexp_extract("part_path", r"^\+(\d+)\.", 1), F.lit("")).cast("long"), F.lit(-1))
-    known = tree.where("kind = 'element'").unionByName(pieces.where("kind = 'element'")).select("*", identity().alias("id"), born.alias("born"))
-    by_op = pieces.where(F.size("path") == 1).where(identity().isNull()).select("*", born.alias("seq")).join(ops.where(F.col("op_type").isin(*NAMED_BY_OPERATION)).select("doc_id", "seq", "op_id"), ["doc_id", "seq"])
-    runs = of_kind(active, "setParagraphContent").select("doc_id", "seq", F.posexplode(field("items", "array<variant>")).alias("sub", "item")).select("doc_id", _piece().alias("part_path"), F.try_variant_get("item", "$.runID", "string").alias("run_id")).where("run_id IS NOT NULL")
-    by_run = pieces.where(F.size("path") == 1).join(runs, ["doc_id", "part_path"])
-    node = lambda df, i: df.select("doc_id", "part_path", "path", "name", i.alias("id"), born.alias("born"))
-    known = node(known, F.col("id")).unionByName(node(by_op, F.concat(F.lit("lib:"), "op_id"))).unionByName(node(by_run, F.concat(F.lit("lib:"), "run_id")))
-    refs = ops.where("element IS NOT NULL").select("doc_id", "seq", F.lit("main").alias("role"), F.col("element").alias("id")).unionByName(ops.where("to IS NOT NULL").select("doc_id", "seq", F.lit("to").alias("role"), F.col("to").alias("id")))
-    nodes = stored(_latest(refs, known), "named")
-    main = nodes.where("role = 'main'").drop("role")
-    kinds = ops.select("doc_id", "seq", "op_type").join(main, ["doc_id", "seq"])
-    must = F.coalesce(*(F.when(F.col("op_type") == k, n) for k, n in ON.items()))
-    late = ops.where(F.col("op_type").isin(*BY_NAME)).join(main.select("doc_id", "seq", F.col("name").alias("target")), ["doc_id", "seq"])
-    late = stored(_brought(late), "brought")
-    pieces = pieces.unionByName(_parsed(late))
-    kinds = _check(kinds, must.isNotNull() & (F.col("name") != must), F.concat("op_type", F.lit(" can't be done on "), "name"))
-    main = kinds.drop("op_type")
-    brought = brought.unionByName(late)
-
-    # lists that are known at once
-    top = tree.where((F.size("path") == 1) & (F.col("kind") == "element")).select("doc_id", F.col("part_path").alias("part"), "path")
-    body = tree.where((F.col("part_path") == DOCUMENT) & (F.col("name") == "w:body") & (F.size("path") == 2)).select("doc_id", F.col("part_path").alias("part"), "path")
-    edit = brought.select("doc_id", "seq", "sub", "parent", "how")
-    at_self = edit.where("parent = 'self'").join(main.drop("name"), ["doc_id", "seq"])
-    at_body = edit.where("parent = 'body'").join(body, "doc_id", "left")
-    fixed = edit.where("parent IN ('styles', 'comments')").withColumn("part", F.concat(F.lit("word/"), "parent", F.lit(".xml"))).join(top, ["doc_id", "part"], "left").where("parent = 'styles' OR path IS NOT NULL")
-    rels = edit.where("parent = 'rels'").join(ops.select("doc_id", "seq", F.col("rels").alias("part")), ["doc_id", "seq"]).join(top, ["doc_id", "part"], "left")
-    in_cell = edit.where("parent = 'cell'").join(_cells(tree.unionByName(pieces), main.join(ops.where("op_type = 'setCellText'").select("doc_id", "seq", "row", "column"), ["doc_id", "seq"]).drop("name")), ["doc_id", "seq"])
-    shape = ["doc_id", "seq", "sub", "parent", "how", "part", "path"]
-    direct = at_self.select(shape)
-    for more in (at_body, fixed, rels, in_cell):
-        direct = direct.unionByName(more.select(shape))
-    direct = _check(direct, F.col("path").isNull(), F.concat(F.lit("there is no part for "), "how"))
-
-    # lists of neighbours: where a node stands that an operation put beside another one
+def _neighbours(ops: DataFrame, nodes: DataFrame, main: DataFrame, edit: DataFrame, direct: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the edits beside a node: (doc_id, seq, x_part, x_path, x_name, part, path), the node and the list that it stands in at that time; and of what is moved or wrapped (going) also where to, whether that is the same list, and whether it is wrapped."""
     moves = ops.where("op_type = 'moveNode'").select("doc_id", "seq").join(main, ["doc_id", "seq"]).join(nodes.where("role = 'to'").select("doc_id", "seq", F.col("part").alias("to_part"), F.col("path").alias("to_path")), ["doc_id", "seq"])
     wraps = ops.where("op_type = 'wrapWithHyperlink'").select("doc_id", "seq").join(main, ["doc_id", "seq"]).withColumns({"to_part": F.concat(F.lit("+"), F.col("seq").cast("string"), F.lit(".0")), "to_path": F.array(F.lit(0.0))})
     changes = stored(moves.unionByName(wraps), "moves")
@@ -230,22 +170,11 @@ def materialised(tree: DataFrame, log: DataFrame) -> DataFrame:
     last = stored(last, "neighbours")
     chain = chains(last.select("doc_id", F.col("seq").alias("id"), F.col("by").alias("parent")), ["doc_id"]).select("doc_id", F.col("id").alias("seq"), F.col("root").alias("_root"))
     found = last.drop("own").join(chain, ["doc_id", "seq"]).join(last.select("doc_id", F.col("seq").alias("_root"), "own"), ["doc_id", "_root"])
-    found = _check(found, F.col("n").isNull(), F.concat(F.lit("no such element: "), "id"))
-    return found.select("doc_id", "seq", "role", F.col("n.part_path").alias("part"), F.col("n.path").alias("path"), F.col("n.name").alias("name"))
-
-
-def _cells(base: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, seq, part, path): the first paragraph of a cell, of wanted(doc_id, seq, part, path of the table, row, column)."""
-    inner = base.where("name IN ('w:tr', 'w:tc', 'w:p')").select("doc_id", F.col("part_path").alias("part"), F.col("path").alias("_kid"), "name", _up().alias("path"))
-    nth = F.row_number().over(T.Window.partitionBy("doc_id", "part", "path", "name").orderBy("_kid")) - 1
-    inner = inner.withColumn("_n", nth)
-    at = wanted
-    for name, which in (("w:tr", F.col("row")), ("w:tc", F.col("column")), ("w:p", F.lit(0))):
-        at = at.join(inner.where(F.col("name") == name).drop("name"), ["doc_id", "part", "path"], "left").where(F.col("_n").isNull() | (F.col("_n") == which))
-        at = at.withColumn("path", F.col("_kid")).drop("_kid", "_n")
-    found = at.groupBy("doc_id", "seq").agg(F.max(F.struct("part", "path")).alias("x"))
-    missing = wanted.join(found, ["doc_id", "seq"], "left")
-    return _check(missing, F.col("x.path").isNull(), F.lit("no such cell")).select("doc_id", "seq", "x.*")
+    # of both sides of the join, or it would be asked below it
+    found = _check(found, F.col("own").isNull() & F.col("seq").isNotNull(), F.lit("a part's root has no neighbours")).select("doc_id", "seq", F.col("part").alias("x_part"), F.col("path").alias("x_path"), F.col("name").alias("x_name"), F.col("own.part").alias("part"), F.col("own.path").alias("path"))
+    found = stored(found, "found")
+    going = found.join(changes.drop("part", "path", "name"), ["doc_id", "seq"]).withColumn("same", _key("part", "path") == _key("to_part", "to_path")).withColumn("wraps", F.col("to_part") == F.concat(F.lit("+"), F.col("seq").cast("string"), F.lit(".0")))
+    return found, going
 
 
 def materialised(tree: DataFrame, log: DataFrame) -> DataFrame:
@@ -260,17 +189,19 @@ def materialised(tree: DataFrame, log: DataFrame) -> DataFrame:
     """
     tree = stored(tree.select(*TREE), "tree")
     active = stored(taking_part(log), "log")
-    attrs = of_kind(active, "updateAttribute")
+    # most logs have few kinds of operations: only what these need is planned
+    there = {r["op_type"] for r in active.select("op_type").distinct().where(F.col("op_type").isin(*ELEMENT_OF)).collect()}
     ops = elements(of_kind(active, *(k for k in ELEMENT_OF if k not in ("undo", "redo", "batchBegin", "batchEnd", "carryPart", "carryBinaryPart", "beginComponent", "endComponent", "setDocumentRoot", "setDocumentProlog", "defineStyle", "addRelationship"))))
-    single = styles_defined(active).select("doc_id", "style_id")
-    have = tree.where("part_path = 'word/styles.xml' AND name = 'w:style'").select("doc_id", F.get(F.filter("attrs", lambda x: x["name"] == "w:styleId"), 0)["value"].alias("style_id"))
-    first = of_kind(active, "defineStyle").withColumn("style_id", field("payload.styleId")).join(single.join(have, ["doc_id", "style_id"], "left_anti"), ["doc_id", "style_id"], "left_semi")
-    once = F.row_number().over(T.Window.partitionBy("doc_id", "style_id").orderBy("seq")) == 1
-    first = first.withColumn("_1", once).where("_1").drop("_1", "style_id")
-    links = of_kind(active, "addRelationship")
-    link_once = F.row_number().over(T.Window.partitionBy("doc_id", field("part"), field("id"), field("type"), field("target")).orderBy("seq")) == 1
-    links = links.withColumn("_1", link_once).where("_1").drop("_1")
-    ops = ops.unionByName(first.unionByName(links).withColumn("element", F.lit(None).cast("string")))
+    alone = []
+    if "defineStyle" in there:
+        have = tree.where("part_path = 'word/styles.xml' AND name = 'w:style'").select("doc_id", F.get(F.filter("attrs", lambda x: x["name"] == "w:styleId"), 0)["value"].alias("style_id"))
+        new_styles = styles_defined(active).select("doc_id", "style_id").join(have, ["doc_id", "style_id"], "left_anti")
+        alone.append((of_kind(active, "defineStyle").withColumn("style_id", field("payload.styleId")).join(new_styles, ["doc_id", "style_id"], "left_semi"), [F.col("style_id")]))
+    if "addRelationship" in there:
+        alone.append((of_kind(active, "addRelationship"), [field("part"), field("id"), field("type"), field("target")]))
+    for rows, keys in alone:  # the first of its kind
+        nth = F.row_number().over(T.Window.partitionBy("doc_id", *keys).orderBy("seq"))
+        ops = ops.unionByName(rows.withColumn("_n", nth).where("_n = 1").withColumn("element", F.lit(None).cast("string")).select(*ops.columns))
     at = F.coalesce(field("position", "int"), field("destinationIndex", "int"))
     ops = stored(ops.select("doc_id", "seq", "op_id", "op_type", "element", F.to_json("payload").alias("p"), field("destinationParent").alias("to"), at.alias("at"), field("part").alias("rels"), field("row", "int").alias("row"), field("column", "int").alias("column")), "operations")
 
@@ -281,87 +212,84 @@ def materialised(tree: DataFrame, log: DataFrame) -> DataFrame:
     born = F.coalesce(F.nullif(F.regexp_extract("part_path", r"^\+(\d+)\.", 1), F.lit("")).cast("long"), F.lit(-1))
     known = tree.where("kind = 'element'").unionByName(pieces.where("kind = 'element'")).select("*", identity().alias("id"), born.alias("born"))
     by_op = pieces.where(F.size("path") == 1).where(identity().isNull()).select("*", born.alias("seq")).join(ops.where(F.col("op_type").isin(*NAMED_BY_OPERATION)).select("doc_id", "seq", "op_id"), ["doc_id", "seq"])
-    runs = of_kind(active, "setParagraphContent").select("doc_id", "seq", F.posexplode(field("items", "array<variant>")).alias("sub", "item")).select("doc_id", _piece().alias("part_path"), F.try_variant_get("item", "$.runID", "string").alias("run_id")).where("run_id IS NOT NULL")
-    by_run = pieces.where(F.size("path") == 1).join(runs, ["doc_id", "part_path"])
     node = lambda df, i: df.select("doc_id", "part_path", "path", "name", i.alias("id"), born.alias("born"))
-    known = node(known, F.col("id")).unionByName(node(by_op, F.concat(F.lit("lib:"), "op_id"))).unionByName(node(by_run, F.concat(F.lit("lib:"), "run_id")))
+    known = node(known, F.col("id")).unionByName(node(by_op, F.concat(F.lit("lib:"), "op_id")))
+    if "setParagraphContent" in there:
+        runs = of_kind(active, "setParagraphContent").select("doc_id", "seq", F.posexplode(field("items", "array<variant>")).alias("sub", "item")).select("doc_id", _piece().alias("part_path"), F.try_variant_get("item", "$.runID", "string").alias("run_id")).where("run_id IS NOT NULL")
+        by_run = pieces.where(F.size("path") == 1).join(runs, ["doc_id", "part_path"])
+        known = known.unionByName(node(by_run, F.concat(F.lit("lib:"), "run_id")))
     refs = ops.where("element IS NOT NULL").select("doc_id", "seq", F.lit("main").alias("role"), F.col("element").alias("id")).unionByName(ops.where("to IS NOT NULL").select("doc_id", "seq", F.lit("to").alias("role"), F.col("to").alias("id")))
     nodes = stored(_latest(refs, known), "named")
     main = nodes.where("role = 'main'").drop("role")
     kinds = ops.select("doc_id", "seq", "op_type").join(main, ["doc_id", "seq"])
     must = F.coalesce(*(F.when(F.col("op_type") == k, n) for k, n in ON.items()))
-    late = ops.where(F.col("op_type").isin(*BY_NAME)).join(main.select("doc_id", "seq", F.col("name").alias("target")), ["doc_id", "seq"])
-    late = stored(_brought(late), "brought")
-    pieces = pieces.unionByName(_parsed(late))
+    if there & set(BY_NAME):
+        late = ops.where(F.col("op_type").isin(*BY_NAME)).join(main.select("doc_id", "seq", F.col("name").alias("target")), ["doc_id", "seq"])
+        late = stored(_brought(late), "brought")
+        pieces = pieces.unionByName(_parsed(late))
+        brought = brought.unionByName(late)
     kinds = _check(kinds, must.isNotNull() & (F.col("name") != must), F.concat("op_type", F.lit(" can't be done on "), "name"))
-    main = kinds.drop("op_type")
-    brought = brought.unionByName(late)
+    main = stored(kinds.drop("op_type"), "named")
 
     # lists that are known at once
     top = tree.where((F.size("path") == 1) & (F.col("kind") == "element")).select("doc_id", F.col("part_path").alias("part"), "path")
     body = tree.where((F.col("part_path") == DOCUMENT) & (F.col("name") == "w:body") & (F.size("path") == 2)).select("doc_id", F.col("part_path").alias("part"), "path")
     edit = brought.select("doc_id", "seq", "sub", "parent", "how")
-    at_self = edit.where("parent = 'self'").join(main.drop("name"), ["doc_id", "seq"])
-    at_body = edit.where("parent = 'body'").join(body, "doc_id", "left")
-    fixed = edit.where("parent IN ('styles', 'comments')").withColumn("part", F.concat(F.lit("word/"), "parent", F.lit(".xml"))).join(top, ["doc_id", "part"], "left").where("parent = 'styles' OR path IS NOT NULL")
-    rels = edit.where("parent = 'rels'").join(ops.select("doc_id", "seq", F.col("rels").alias("part")), ["doc_id", "seq"]).join(top, ["doc_id", "part"], "left")
-    in_cell = edit.where("parent = 'cell'").join(_cells(tree.unionByName(pieces), main.join(ops.where("op_type = 'setCellText'").select("doc_id", "seq", "row", "column"), ["doc_id", "seq"]).drop("name")), ["doc_id", "seq"])
     shape = ["doc_id", "seq", "sub", "parent", "how", "part", "path"]
-    direct = at_self.select(shape)
-    for more in (at_body, fixed, rels, in_cell):
-        direct = direct.unionByName(more.select(shape))
+    direct = edit.where("parent = 'self'").join(main.drop("name"), ["doc_id", "seq"]).select(shape)
+    if there & {"appendParagraph", "appendTable", "appendBlockMarker", "setSectionProperties"}:
+        direct = direct.unionByName(edit.where("parent = 'body'").join(body, "doc_id", "left").select(shape))
+    if there & {"defineStyle", "insertComment"}:
+        fixed = edit.where("parent IN ('styles', 'comments')").withColumn("part", F.concat(F.lit("word/"), "parent", F.lit(".xml"))).join(top, ["doc_id", "part"], "left")
+        direct = direct.unionByName(fixed.where("parent = 'styles' OR path IS NOT NULL").select(shape))
+    if "addRelationship" in there:
+        direct = direct.unionByName(edit.where("parent = 'rels'").join(ops.select("doc_id", "seq", F.col("rels").alias("part")), ["doc_id", "seq"]).join(top, ["doc_id", "part"], "left").select(shape))
+    if "setCellText" in there:
+        wanted = main.join(ops.where("op_type = 'setCellText'").select("doc_id", "seq", "row", "column"), ["doc_id", "seq"]).drop("name")
+        direct = direct.unionByName(edit.where("parent = 'cell'").join(_cells(tree.unionByName(pieces), wanted), ["doc_id", "seq"]).select(shape))
     direct = _check(direct, F.col("path").isNull(), F.concat(F.lit("there is no part for "), "how"))
 
     # lists of neighbours: where a node stands that an operation put beside another one
-    moves = ops.where("op_type = 'moveNode'").select("doc_id", "seq").join(main, ["doc_id", "seq"]).join(nodes.where("role = 'to'").select("doc_id", "seq", F.col("part").alias("to_part"), F.col("path").alias("to_path")), ["doc_id", "seq"])
-    wraps = ops.where("op_type = 'wrapWithHyperlink'").select("doc_id", "seq").join(main, ["doc_id", "seq"]).withColumns({"to_part": F.concat(F.lit("+"), F.col("seq").cast("string"), F.lit(".0")), "to_path": F.array(F.lit(0.0))})
-    changes = stored(moves.unionByName(wraps), "moves")
-    asked = edit.where("parent = 'beside'").select("doc_id", "seq").unionByName(moves.select("doc_id", "seq")).distinct().join(main, ["doc_id", "seq"])
-    last = asked.join(changes.select("doc_id", "part", "path", F.col("seq").alias("_at"), "to_part", "to_path"), ["doc_id", "part", "path"], "left").groupBy("doc_id", "seq", "part", "path", "name").agg(F.max(F.when(F.col("_at") < F.col("seq"), F.struct("_at", "to_part", "to_path"))).alias("m"))
-    explicit = F.when(F.col("m").isNotNull(), F.struct(F.col("m.to_part").alias("part"), F.col("m.to_path").alias("path"))).when(F.size("path") > 1, F.struct("part", _up().alias("path")))
-    last = last.withColumn("own", explicit).withColumn("by", F.when(F.col("own").isNull(), F.nullif(F.regexp_extract("part", r"^\+(\d+)\.", 1), F.lit("")).cast("long")))
-    last = last.join(direct.select("doc_id", _piece().alias("part"), F.struct(F.col("part").alias("part"), F.col("path").alias("path")).alias("there")), ["doc_id", "part"], "left")
-    last = last.withColumn("own", F.coalesce("own", F.when(F.col("by").isNotNull(), F.col("there")))).withColumn("by", F.when(F.col("own").isNull(), F.col("by"))).drop("there", "m")
-    last = stored(last, "neighbours")
-    chain = chains(last.select("doc_id", F.col("seq").alias("id"), F.col("by").alias("parent")), ["doc_id"]).select("doc_id", F.col("id").alias("seq"), F.col("root").alias("_root"))
-    found = last.drop("own").join(chain, ["doc_id", "seq"]).join(last.select("doc_id", F.col("seq").alias("_root"), "own"), ["doc_id", "_root"])
-    import os
-    if os.environ.get("DBG"):
-        found.where("own IS NULL").show(5, False); last.show(40, False); chain.show(30)
-    # of both sides of the join, or it would be asked below it
-    found = _check(found, F.col("own").isNull() & F.col("seq").isNotNull(), F.lit("a part's root has no neighbours")).select("doc_id", "seq", F.col("part").alias("x_part"), F.col("path").alias("x_path"), F.col("name").alias("x_name"), F.col("own.part").alias("part"), F.col("own.path").alias("path"))
-    found = stored(found, "found")
-    beside = edit.where("parent = 'beside'").join(found, ["doc_id", "seq"]).withColumn("anchor", _key("x_part", "x_path"))
+    every = []
     item = F.struct(_key("x_part", "x_path").alias("k"), F.col("x_name").alias("c"))
-    going = found.join(changes.drop("part", "path", "name"), ["doc_id", "seq"]).withColumn("same", _key("part", "path") == _key("to_part", "to_path")).withColumn("wraps", F.col("to_part") == F.concat(F.lit("+"), F.col("seq").cast("string"), F.lit(".0")))
+    nothing = F.lit(None).cast("string")
 
-    # property elements, made where there are none
-    props = edit.where("parent IN ('pPr', 'rPr')").join(main.drop("name"), ["doc_id", "seq"]).withColumn("holder", F.concat(F.lit("w:"), "parent"))
-    kids = tree.unionByName(pieces).where("name IN ('w:pPr', 'w:rPr')").select("doc_id", F.col("part_path").alias("part"), F.col("path").alias("_hold"), _up().alias("path"), F.col("name").alias("holder"))
-    props = props.join(kids.groupBy("doc_id", "part", "path", "holder").agg(F.min("_hold").alias("_hold")), ["doc_id", "part", "path", "holder"], "left")
-    made = props.where("_hold IS NULL AND how LIKE 'put %'").groupBy("doc_id", "part", "path", "holder").agg(F.min("seq").alias("_first"))
-    props = stored(props.join(made, ["doc_id", "part", "path", "holder"], "left").where("_hold IS NOT NULL OR seq >= _first"), "properties")
-    piece = F.concat(F.lit("+"), F.col("_first").cast("string"), F.lit(".h"))
-    new = props.where("_hold IS NULL").select("doc_id", piece.alias("part_path"), "holder", "part", "path", "_first").distinct()
-    holders = new.select("doc_id", "part_path", F.array(F.lit(0.0)).alias("path"), F.lit("element").alias("kind"), F.col("holder").alias("name"), F.array().cast(ATTRIBUTES).alias("attrs"), F.lit(None).cast("string").alias("text"))
-    pieces = stored(pieces.unionByName(holders), "pieces")
-    nothing, none = F.lit(None).cast("string"), F.lit(None).cast("int")
-    at_holder = props.select("doc_id", "seq", "sub", "how", F.when(F.col("_hold").isNull(), piece).otherwise(F.col("part")).alias("part"), F.when(F.col("_hold").isNull(), F.array(F.lit(0.0))).otherwise(F.col("_hold")).alias("path"), nothing.alias("anchor"), F.lit(None).cast("struct<k:string,c:string>").alias("item"), "holder")
-
-    # all edits of all lists
-    def edits(df: DataFrame, how: Column | None = None, anchor: Column = nothing, moved: Column | None = None, sub: Column | None = None) -> DataFrame:
+    def edits(df: DataFrame, how: Column | None = None, anchor: Column = nothing, moved: Column | None = None, sub: Column | None = None, holder: Column = nothing) -> None:
         moved = F.lit(None).cast("struct<k:string,c:string>") if moved is None else moved
-        return df.select("doc_id", "seq", (F.col("sub") if sub is None else sub).cast("int").alias("sub"), (F.col("how") if how is None else how).alias("how"), "part", "path", anchor.alias("anchor"), moved.alias("item"), nothing.alias("holder"))
+        every.append(df.select("doc_id", "seq", (F.col("sub") if sub is None else sub).cast("int").alias("sub"), (F.col("how") if how is None else how).alias("how"), "part", "path", anchor.alias("anchor"), moved.alias("item"), holder.alias("holder")))
+
+    edits(direct)
+    if there & set(BESIDE):
+        found, going = _neighbours(ops, nodes, main, edit, direct)
+        edits(edit.where("parent = 'beside'").join(found, ["doc_id", "seq"]), anchor=item["k"])
+        if there & {"moveNode", "wrapWithHyperlink"}:
+            to = going.withColumns({"part": F.col("to_part"), "path": F.col("to_path")})
+            edits(going.where("same AND NOT wraps"), F.lit("move"), item["k"], sub=F.lit(0))
+            edits(going.where("NOT same AND NOT wraps"), F.lit("remove"), item["k"], sub=F.lit(0))
+            edits(to.where("NOT same AND NOT wraps"), F.lit("at"), moved=item, sub=F.lit(0))
+            edits(to.where("wraps"), F.lit("end"), moved=item, sub=F.lit(0))
 
-    to = going.withColumns({"part": F.col("to_part"), "path": F.col("to_path")})
-    every = edits(direct).unionByName(edits(beside, anchor=F.col("anchor")))
-    every = every.unionByName(edits(going.where("same AND NOT wraps"), F.lit("move"), item["k"], sub=F.lit(0))).unionByName(edits(going.where("NOT same AND NOT wraps"), F.lit("remove"), item["k"], sub=F.lit(0)))
-    every = every.unionByName(edits(to.where("NOT same AND NOT wraps"), F.lit("at"), moved=item, sub=F.lit(0))).unionByName(edits(to.where("wraps"), F.lit("end"), moved=item, sub=F.lit(0)))
-    hold = F.struct(_key("part_path", "_zero").alias("k"), F.col("holder").alias("c"))
-    every = every.unionByName(at_holder).unionByName(edits(new.withColumn("_zero", F.array(F.lit(0.0))).withColumnRenamed("_first", "seq"), F.lit("hold"), moved=hold, sub=F.lit(-1)))
+    # property elements, made where there are none
+    if there & {"setParagraphStyle", "setRunFormat", "setSectionProperties"}:
+        props = edit.where("parent IN ('pPr', 'rPr')").join(main.drop("name"), ["doc_id", "seq"]).withColumn("holder", F.concat(F.lit("w:"), "parent"))
+        kids = tree.unionByName(pieces).where("name IN ('w:pPr', 'w:rPr')").select("doc_id", F.col("part_path").alias("part"), F.col("path").alias("_hold"), _up().alias("path"), F.col("name").alias("holder"))
+        props = props.join(kids.groupBy("doc_id", "part", "path", "holder").agg(F.min("_hold").alias("_hold")), ["doc_id", "part", "path", "holder"], "left")
+        made = props.where("_hold IS NULL AND how LIKE 'put %'").groupBy("doc_id", "part", "path", "holder").agg(F.min("seq").alias("_first"))
+        props = stored(props.join(made, ["doc_id", "part", "path", "holder"], "left").where("_hold IS NOT NULL OR seq >= _first"), "properties")
+        piece, zero = F.concat(F.lit("+"), F.col("_first").cast("string"), F.lit(".h")), F.array(F.lit(0.0))
+        new = props.where("_hold IS NULL").select("doc_id", piece.alias("part_path"), "holder", "part", "path", "_first").distinct()
+        holders = new.select("doc_id", "part_path", zero.alias("path"), F.lit("element").alias("kind"), F.col("holder").alias("name"), F.array().cast(ATTRIBUTES).alias("attrs"), F.lit(None).cast("string").alias("text"))
+        pieces = pieces.unionByName(holders)
+        edits(props.withColumns({"part": F.when(F.col("_hold").isNull(), piece).otherwise(F.col("part")), "path": F.when(F.col("_hold").isNull(), zero).otherwise(F.col("_hold"))}), holder=F.col("holder"))
+        hold = F.struct(_key("part_path", "_zero").alias("k"), F.col("holder").alias("c"))
+        edits(new.withColumn("_zero", zero).withColumnRenamed("_first", "seq"), F.lit("hold"), moved=hold, sub=F.lit(-1))
+    pieces = stored(pieces, "pieces")
+    every = reduce(DataFrame.unionByName, every)
 
     whole = tree.unionByName(pieces)
-    marked = T._prefixes(whole.where("name = 'w:commentReference'").select(*KEY, "path")).select("doc_id", F.col("part_path").alias("part"), F.col("_up").alias("path"), F.lit(True).alias("_mark")).distinct()
+    # only a paragraph's new text asks for runs that hold a comment's reference
+    marks = whole.where("name = 'w:commentReference'" if "setText" in there else "false").select(*KEY, "path")
+    marked = T._prefixes(marks).select("doc_id", F.col("part_path").alias("part"), F.col("_up").alias("path"), F.lit(True).alias("_mark")).distinct()
     class_ = F.when(F.col("kind") != "element", "").when((F.col("name") == "w:r") & F.col("_mark"), "w:r#").otherwise(F.col("name"))
     with_class = lambda df: df.join(marked, ["doc_id", "part", "path"], "left").select("doc_id", "part", "path", _key("part", "path").alias("k"), class_.alias("c"))
     tops = stored(with_class(pieces.where(F.size("path") == 1).select("doc_id", F.col("part_path").alias("part"), "path", "kind", "name")), "tops")
@@ -402,10 +330,15 @@ def materialised(tree: DataFrame, log: DataFrame) -> DataFrame:
     out = rows.unionByName(tree.join(parts, KEY, "left_anti").select("*", *origin))
 
     # attributes: the last word on each
-    name = F.concat(F.coalesce(F.concat(field("prefix"), F.lit(":")), F.lit("")), field("localName"))
-    words = attrs.select("doc_id", "seq", name.alias("name"), field("value").alias("value")).join(main.drop("name"), ["doc_id", "seq"])
-    words = words.join(out.select("doc_id", F.col("_part0").alias("part"), F.col("_path0").alias("path"), F.col("part_path").alias("_p"), F.col("path").alias("_q")), ["doc_id", "part", "path"])
-    final = T.set_attributes(out.select(*TREE), words.select("doc_id", F.col("_p").alias("part_path"), F.col("_q").alias("path"), "name", "value", "seq"))
+    final = out.select(*TREE)
+    if "updateAttribute" in there:
+        attrs = of_kind(active, "updateAttribute")
+        name = F.concat(F.coalesce(F.concat(field("prefix"), F.lit(":")), F.lit("")), field("localName"))
+        words = attrs.select("doc_id", "seq", name.alias("name"), field("value").alias("value")).join(main.drop("name"), ["doc_id", "seq"])
+        words = words.join(out.select("doc_id", F.col("_part0").alias("part"), F.col("_path0").alias("path"), F.col("part_path").alias("_p"), F.col("path").alias("_q")), ["doc_id", "part", "path"])
+        final = T.set_attributes(out.select(*TREE), words.select("doc_id", F.col("_p").alias("part_path"), F.col("_q").alias("path"), "name", "value", "seq"))
+    if "setDocumentRoot" not in there:
+        return final
     listed = roots(active).where("attributes IS NOT NULL").select(F.col("doc_id").alias("_d"), F.from_json("attributes", "array<struct<prefix:string,localName:string,value:string>>").alias("_new"))
     final = final.join(listed, (F.col("doc_id") == F.col("_d")) & (F.col("part_path") == DOCUMENT) & (F.size("path") == 1) & (F.col("kind") == "element"), "left")
     full = lambda x: F.concat(F.coalesce(F.concat(x["prefix"], F.lit(":")), F.lit("")), x["localName"])
