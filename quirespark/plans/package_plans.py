@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import document_edits as D
+from ..operators import field_update as U
 from ..operators import inline as I
 from ..operators import reduction as R
 from ..operators import reverse as V
@@ -265,6 +266,12 @@ def package_insert_revision(spark, sf_dir):
     return _tracked(stored(P.xml_nodes(T.part_bytes(tree)), "nodes"))
 
 
+def package_update_fields(spark, sf_dir):
+    """The figures of every document numbered from 1 in the fields' results: all paragraphs."""
+    tree = U.update_fields(nodes_of(spark, sf_dir, DOC, "word/footnotes.xml"))
+    return _after(tree).select("doc_id", F.col("ord").cast("long").alias("ord"), "para_id", "text")
+
+
 def package_page_setup(spark, sf_dir):
     tree = T.tree_of(nodes_of(spark, sf_dir, DOC))
     at = D.elements(tree, "w:sectPr")
@@ -331,7 +338,7 @@ def package_snapshots(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        operation_tree, package_reversed, package_replace, package_delete_revision, package_insert_revision, package_snapshots, package_paragraphs, package_runs, package_styles, package_style_chain, package_semantics, package_relationships, package_hyperlinks, package_bookmarks, package_comments, package_revisions, package_bullets, package_unused_numbering,
+        operation_tree, package_update_fields, package_reversed, package_replace, package_delete_revision, package_insert_revision, package_snapshots, package_paragraphs, package_runs, package_styles, package_style_chain, package_semantics, package_relationships, package_hyperlinks, package_bookmarks, package_comments, package_revisions, package_bullets, package_unused_numbering,
         package_sections, package_notes, package_fields, package_cells, package_properties, package_round_trip, package_accept, package_reject, package_set_style, package_insert, package_delete_table, package_move, package_delete_marks, package_page_setup,
     )
 }
@@ -344,6 +351,9 @@ _CHAINS = "(VALUES ('AUTOMOBILE', 0, 'AUTOMOBILE'), ('BUILDING', 1, 'AUTOMOBILE'
 _AFTER = "CASE WHEN c % 5 = 0 THEN ' link' ELSE '' END || CASE WHEN c % 3 = 0 THEN CAST(c AS VARCHAR) ELSE '' END"
 _ADDED = "CASE WHEN c % 7 = 0 THEN ' added' ELSE '' END"
 SQL = {
+    "package_update_fields": f"""
+        SELECT d AS doc_id, k + 4 * (k // 10) AS ord, 'P' || c AS para_id, c_name || {_ADDED} || CASE WHEN c % 5 = 0 THEN ' link' ELSE '' END || CASE WHEN c % 3 = 0 THEN CAST(sum(CASE WHEN c % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY d ORDER BY c) AS VARCHAR) ELSE '' END AS text FROM {_C}
+        UNION ALL SELECT d, 14 * t + 10 + 2 * r + x, NULL, text FROM {_TABLE_CELLS}""",
     "package_reversed": f"""
         SELECT d AS doc_id, sha256('<w:document {_LEAN}><w:body>' || string_agg('<w:p w14:paraId="P' || c || '"><w:pPr><w:pStyle w:val="' || seg || '"/></w:pPr><w:r><w:rPr><w:b/></w:rPr><w:t>' || c_name || '</w:t></w:r>'
                    || CASE WHEN CAST(d AS INT) % 2 = 1 AND k = 0 THEN '<w:r><w:tab/></w:r>' ELSE '' END || '</w:p>', '' ORDER BY c) || '</w:body></w:document>') AS sha256,
