@@ -95,7 +95,7 @@ def package_paragraphs(spark, sf_dir):
 
 
 def package_runs(spark, sf_dir):
-    return P.runs(nodes_of(spark, sf_dir, DOC)).where("size_half_points IS NOT NULL OR revision IS NOT NULL").select("doc_id", F.col("run_idx").cast("long").alias("run_idx"), "text", "bold", "size_half_points", F.col("revision_id").cast("long").alias("revision_id"), "revision")
+    return P.runs(nodes_of(spark, sf_dir, DOC)).select("doc_id", F.col("run_idx").cast("long").alias("run_idx"), "text", "bold", "size_half_points", F.col("revision_id").cast("long").alias("revision_id"), "revision")
 
 
 def package_styles(spark, sf_dir):
@@ -181,12 +181,12 @@ def _after(tree: DataFrame) -> DataFrame:
 
 def package_accept(spark, sf_dir):
     tree = D.settle_revisions(T.tree_of(nodes_of(spark, sf_dir, DOC)), True)
-    return _after(tree).where("NOT in_table").select("doc_id", "para_id", "text")
+    return _after(tree).select("doc_id", F.col("ord").cast("long").alias("ord"), "para_id", "text")
 
 
 def package_reject(spark, sf_dir):
     tree = D.settle_revisions(T.tree_of(nodes_of(spark, sf_dir, DOC)), False)
-    return _after(tree).where("NOT in_table").select("doc_id", "para_id", "text")
+    return _after(tree).select("doc_id", F.col("ord").cast("long").alias("ord"), "para_id", "text")
 
 
 def package_set_style(spark, sf_dir):
@@ -195,7 +195,7 @@ def package_set_style(spark, sf_dir):
     at = D.elements(tree, "w:p", depth=3)
     style = F.when(F.col("ord") % 3 == 0, T.element("w:pStyle", w_val=F.concat(F.lit("S"), "ord")))
     tree = D.set_property(tree, "paragraph_style", at.where("ord % 3 = 0 OR ord % 4 = 0").select(*T.KEY, "path", style.alias("xml")))
-    return _after(tree).where("NOT in_table").select("doc_id", "para_id", "style")
+    return _after(tree).select("doc_id", F.col("ord").cast("long").alias("ord"), "para_id", "style")
 
 
 def package_insert(spark, sf_dir):
@@ -219,7 +219,7 @@ def package_move(spark, sf_dir):
     tree = T.tree_of(nodes_of(spark, sf_dir, DOC))
     at = D.elements(tree, "w:p", depth=3)
     ends = at.groupBy(*T.KEY).agg(F.max_by("path", "ord").alias("path"), F.min_by("path", "ord").alias("to")).withColumn("where", F.lit("before"))
-    return _after(T.move(tree, ends, ["path"])).where("ord < 3").select("doc_id", F.col("ord").cast("long").alias("ord"), "para_id")
+    return _after(T.move(tree, ends, ["path"])).select("doc_id", F.col("ord").cast("long").alias("ord"), "para_id")
 
 
 def package_delete_marks(spark, sf_dir):
@@ -383,9 +383,15 @@ SQL = {
         SELECT d AS doc_id, k + 4 * (k // 10) AS ord, false AS in_table, seg AS style, CASE WHEN c % 4 = 0 THEN nk END AS num_id, CASE WHEN c % 4 = 0 THEN 1 END AS ilvl, 'P' || c AS para_id, {_TEXT} AS text FROM {_C}
         UNION ALL SELECT d, 14 * t + 10 + 2 * r + x, true, NULL, NULL, NULL, NULL, text FROM {_TABLE_CELLS}""",
     "package_runs": f"""
-        SELECT d AS doc_id, CAST(0 AS BIGINT) AS run_idx, c_name AS text, rich AS bold, 24 AS size_half_points, NULL AS revision_id, NULL AS revision FROM {_C}
-        UNION ALL SELECT d, 1, ' added', NULL, NULL, c, 'insertion' FROM {_C} WHERE c % 7 = 0
-        UNION ALL SELECT d, CASE WHEN c % 7 = 0 THEN 2 ELSE 1 END, ' gone', NULL, NULL, c * 10 + 9, 'deletion' FROM {_C} WHERE c % 11 = 0""",
+        WITH r AS (SELECT d, c, unnest(list_concat(list_concat(list_concat(list_concat(list_concat(
+                     [{{'t': c_name, 'b': rich, 's': 24, 'i': NULL, 'r': NULL}}],
+                     CASE WHEN c % 7 = 0 THEN [{{'t': ' added', 'b': NULL, 's': NULL, 'i': c, 'r': 'insertion'}}] ELSE [] END),
+                     CASE WHEN c % 11 = 0 THEN [{{'t': ' gone', 'b': NULL, 's': NULL, 'i': c * 10 + 9, 'r': 'deletion'}}] ELSE [] END),
+                     CASE WHEN c % 5 = 0 THEN [{{'t': ' link', 'b': NULL, 's': NULL, 'i': NULL, 'r': NULL}}] ELSE [] END),
+                     CASE WHEN c % 3 = 0 THEN list_transform(['', '', '', CAST(c AS VARCHAR), ''], lambda x: {{'t': x, 'b': CAST(NULL AS BOOLEAN), 's': CAST(NULL AS INTEGER), 'i': CAST(NULL AS BIGINT), 'r': CAST(NULL AS VARCHAR)}}) ELSE [] END),
+                     CASE WHEN c % 17 = 0 THEN [{{'t': '', 'b': NULL, 's': NULL, 'i': NULL, 'r': NULL}}] ELSE [] END)) AS x, generate_subscripts(range(CAST(1 + (c % 7 = 0)::INT + (c % 11 = 0)::INT + (c % 5 = 0)::INT + 5 * (c % 3 = 0)::INT + (c % 17 = 0)::INT AS BIGINT)), 1) - 1 AS n FROM {_C})
+        SELECT d AS doc_id, CAST(n AS BIGINT) AS run_idx, x.t AS text, x.b AS bold, x.s AS size_half_points, x.i AS revision_id, x.r AS revision FROM r
+        UNION ALL SELECT d, 0, text, NULL, NULL, NULL, NULL FROM {_TABLE_CELLS} WHERE r = 0 OR x = 1""",
     "package_styles": f"""
         SELECT d AS doc_id, id, name, 'paragraph' AS type, based_on FROM (SELECT DISTINCT d FROM {_C}) x,
         (VALUES ('AUTOMOBILE', 'heading 2', NULL), ('BUILDING', 'plain', 'AUTOMOBILE'), ('FURNITURE', 'other', 'BUILDING'), ('HOUSEHOLD', 'list', 'Missing')) v(id, name, based_on)""",
@@ -411,14 +417,18 @@ SQL = {
     "package_round_trip": f"""
         SELECT unnest(['word/document.xml', 'word/_rels/document.xml.rels', 'word/comments.xml', 'word/commentsExtended.xml', 'word/footnotes.xml', 'word/numbering.xml', 'word/styles.xml', 'word/settings.xml', 'docProps/core.xml']) AS part_path,
                count(DISTINCT d) AS parts, count(DISTINCT d) AS same FROM {_C}""",
-    "package_accept": f"SELECT d AS doc_id, 'P' || c AS para_id, {_TEXT} AS text FROM {_C}",
-    "package_reject": f"SELECT d AS doc_id, 'P' || c AS para_id, {_OLD} AS text FROM {_C}",
-    "package_set_style": f"SELECT d AS doc_id, 'P' || c AS para_id, CASE WHEN k % 3 = 0 THEN 'S' || k WHEN k % 4 = 0 THEN NULL ELSE seg END AS style FROM {_C}",
+    "package_accept": f"SELECT d AS doc_id, k + 4 * (k // 10) AS ord, 'P' || c AS para_id, {_TEXT} AS text FROM {_C} UNION ALL SELECT d, 14 * t + 10 + 2 * r + x, NULL, text FROM {_TABLE_CELLS}",
+    "package_reject": f"SELECT d AS doc_id, k + 4 * (k // 10) AS ord, 'P' || c AS para_id, {_OLD} AS text FROM {_C} UNION ALL SELECT d, 14 * t + 10 + 2 * r + x, NULL, text FROM {_TABLE_CELLS}",
+    "package_set_style": f"""
+        SELECT d AS doc_id, k + 4 * (k // 10) AS ord, 'P' || c AS para_id, CASE WHEN k % 3 = 0 THEN 'S' || k WHEN k % 4 = 0 THEN NULL ELSE seg END AS style FROM {_C}
+        UNION ALL SELECT d, 14 * t + 10 + 2 * r + x, NULL, NULL FROM {_TABLE_CELLS}""",
     "package_insert": f"""
         SELECT d AS doc_id, k + 4 * (k // 10) + 3 * ((k + 4) // 5) + 1 + n AS ord, n > 0 AS in_table, CASE n WHEN 0 THEN 'after ' || k WHEN 1 THEN 'x' ELSE 'y' END AS text FROM {_C}, (SELECT unnest([0, 1, 2]) AS n) a WHERE k % 5 = 0
         UNION ALL SELECT d, 14 * t + 10 + 6 * (t + 1) + 2 * r + x, true, text FROM {_TABLE_CELLS}""",
     "package_delete_table": f"SELECT d AS doc_id, count(*) + 8 AS paragraphs, CAST(8 AS BIGINT) AS in_tables FROM {_C} GROUP BY 1",
-    "package_move": f"SELECT d AS doc_id, CASE WHEN k = 49 THEN 0 ELSE k + 1 END AS ord, 'P' || c AS para_id FROM {_C} WHERE k IN (0, 1, 49)",
+    "package_move": f"""
+        SELECT d AS doc_id, CASE WHEN k = 49 THEN 0 ELSE k + 4 * (k // 10) + 1 END AS ord, 'P' || c AS para_id FROM {_C}
+        UNION ALL SELECT d, 14 * t + 10 + 2 * r + x + CASE WHEN t < 4 THEN 1 ELSE 0 END, NULL FROM {_TABLE_CELLS}""",
     "package_delete_marks": f"""
         SELECT d AS doc_id, 'w:bookmarkStart' AS name, count(*) AS n FROM {_C} WHERE c % 2 = 1 GROUP BY 1 UNION ALL SELECT d, 'w:bookmarkEnd', count(*) FROM {_C} WHERE c % 2 = 1 GROUP BY 1
         UNION ALL SELECT DISTINCT d, 'w:footnote', CASE WHEN d = '0' THEN 2 ELSE 1 END FROM {_C} UNION ALL SELECT '0', 'w:footnoteReference', 1""",
