@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .ordering import numbered
 from .shared import written
 
-SEGMENT = 8  # bits: 256 turns
+SEGMENT = 10  # bits: 1,024 turns
 FAN = 5  # bits: 32 matrices
 BATCH = 20_000  # turns
 BLANKS = " \t\n\x0b\x0c\r"

@@ -83,7 +83,7 @@ def talks(rng, n, longest=12):
     return [(c, t * rng.choice([1, 1, 2]) if rng.random() < 0.9 else None, rng.choice(["user", "assistant", "user", "assistant", "system", "tool", None]), rng.choice(texts)) for c in range(n) for t in range(rng.randrange(1, longest))]
 
 
-@pytest.mark.parametrize("bits", [1, 8])
+@pytest.mark.parametrize("bits", [1, 10])
 def test_brute_force(spark, monkeypatch, bits):
     """With segments of two turns and two matrices at a time the ways go through many levels."""
     monkeypatch.setattr(R, "SEGMENT", bits)
