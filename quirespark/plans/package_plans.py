@@ -84,7 +84,7 @@ def package_parts(spark, sf_dir) -> DataFrame:
 def nodes_of(spark, sf_dir, *parts: str) -> DataFrame:
     """The nodes of these parts, or of all: written, as most queries read them more than once."""
     made = package_parts(spark, sf_dir)
-    return stored(P.xml_nodes(made.where(F.col("part_path").isin(*parts)) if parts else made), "nodes")
+    return stored(P.xml_nodes(made.where(F.col("part_path").isin(*parts)) if parts else made, dealt=True), "nodes")
 
 
 DOC, RELS, STYLES, NUMBERS = "word/document.xml", "word/_rels/document.xml.rels", "word/styles.xml", "word/numbering.xml"
@@ -171,12 +171,12 @@ def package_properties(spark, sf_dir):
 def package_round_trip(spark, sf_dir):
     """Every part parsed, written, parsed again: the same tree."""
     nodes = nodes_of(spark, sf_dir)
-    new = P.fingerprints(P.xml_nodes(T.part_bytes(T.tree_of(nodes)))).withColumnRenamed("fingerprint", "new")
+    new = P.fingerprints(P.xml_nodes(T.part_bytes(T.tree_of(nodes)), dealt=True)).withColumnRenamed("fingerprint", "new")
     return P.fingerprints(nodes).join(new, ["doc_id", "part_path"], "full_outer").groupBy("part_path").agg(F.count("*").alias("parts"), F.count_if(F.col("fingerprint") == F.col("new")).alias("same"))
 
 
 def _after(tree: DataFrame) -> DataFrame:
-    return P.paragraphs(P.xml_nodes(T.part_bytes(tree)))
+    return P.paragraphs(P.xml_nodes(T.part_bytes(tree), dealt=True))
 
 
 def package_accept(spark, sf_dir):
@@ -228,7 +228,7 @@ def package_delete_marks(spark, sf_dir):
     tree = T.tree_of(nodes)
     tree = D.delete_bookmarks(tree, X.bookmarks(nodes).where("id % 2 = 0"))
     tree = D.delete_notes(D.delete_comments(tree, P.comments(nodes)), X.notes(nodes))
-    left = P.xml_nodes(T.part_bytes(tree)).where("kind = 'element'")
+    left = P.xml_nodes(T.part_bytes(tree), dealt=True).where("kind = 'element'")
     names = "name IN ('w:bookmarkStart', 'w:bookmarkEnd', 'w:comment', 'w:commentRangeStart', 'w:commentRangeEnd', 'w:footnote', 'w:footnoteReference')"
     return left.where(names).groupBy("doc_id", "name").agg(F.count("*").alias("n"))
 
@@ -256,14 +256,14 @@ def package_delete_revision(spark, sf_dir):
     """Characters 3 to 8 of every fourth paragraph, inside its first run, are deleted as a tracked change."""
     tree = T.tree_of(nodes_of(spark, sf_dir, DOC))
     tree = I.delete_text(tree, _spots(tree, 1).withColumns({"start": F.lit(3), "end": F.lit(8)}))
-    return _tracked(stored(P.xml_nodes(T.part_bytes(tree)), "nodes"))
+    return _tracked(stored(P.xml_nodes(T.part_bytes(tree), dealt=True), "nodes"))
 
 
 def package_insert_revision(spark, sf_dir):
     """Text comes into every fourth paragraph after its fifth character, inside its first run, as a tracked change."""
     tree = T.tree_of(nodes_of(spark, sf_dir, DOC))
     tree = I.insert_text(tree, _spots(tree, 2).withColumns({"position": F.lit(5), "text": F.concat(F.lit("<"), F.col("c").cast("string"), F.lit(">"))}))
-    return _tracked(stored(P.xml_nodes(T.part_bytes(tree)), "nodes"))
+    return _tracked(stored(P.xml_nodes(T.part_bytes(tree), dealt=True), "nodes"))
 
 
 def package_update_fields(spark, sf_dir):
@@ -277,7 +277,7 @@ def package_page_setup(spark, sf_dir):
     at = D.elements(tree, "w:sectPr")
     tree = D.set_property(tree, "page_margins", at.select(*T.KEY, "path", T.element("w:pgMar", w_top="700", w_left="800").alias("xml")))
     tree = D.turned(tree, at.where("doc_id % 3 = 0"), False)
-    rows = X.sections(P.xml_nodes(T.part_bytes(tree)))
+    rows = X.sections(P.xml_nodes(T.part_bytes(tree), dealt=True))
     return rows.select("doc_id", "width", "height", "landscape", F.col("margins.top").alias("top"), F.col("margins.left").alias("left"))
 
 

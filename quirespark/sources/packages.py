@@ -134,7 +134,7 @@ _NODE_COLUMNS = pa.schema(
 )
 
 
-def xml_nodes(parts: DataFrame) -> DataFrame:
+def xml_nodes(parts: DataFrame, dealt: bool = False) -> DataFrame:
     """The node table of all XML parts: an adjacency list in document order, with attributes in their order and the bytes of each element.
 
     `name` is the element's name under the usual prefix of its namespace, so operators find w:p whatever prefix a part
@@ -142,8 +142,11 @@ def xml_nodes(parts: DataFrame) -> DataFrame:
     places of a node and its ancestors among their siblings, from the root down, so that paths sort in document order.
     `within` names, for each kind of element that is open at a node (itself included), the innermost one and how many of its kind it stands in.
     White space is kept, CDATA is text, entities are decoded. A part with a document type declaration or nested deeper
-    than MOST_DEPTH is an error, as is one that isn't well formed.
+    than MOST_DEPTH is an error, as is one that isn't well formed. dealt: parts that were made by a query go to as many
+    tasks as shuffles have partitions first; a shuffle of few bytes would bring them to one task, and parsing is work.
     """
+    if dealt:
+        parts = parts.repartition(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id", "part_path")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
