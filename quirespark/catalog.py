@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import edit_plans, log_plans, operation_plans, package_plans, table_plans, text_plans
+from .plans import edit_plans, formula_plans, log_plans, operation_plans, package_plans, table_plans, text_plans
 
-MODULES = (text_plans, table_plans, log_plans, edit_plans, package_plans, operation_plans)
+MODULES = (text_plans, table_plans, log_plans, edit_plans, package_plans, operation_plans, formula_plans)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
