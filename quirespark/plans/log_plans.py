@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..operators import oplog as L
 from ..operators import ordered as O
+from ..sources.scratch import scratch_path
 from ..sources.tables import oplog, table
 from ..streaming.oplog_stream import streamed_state
+from ..streaming.undo_stream import streamed_texts
 
 SETS = "op IN ('view', 'click')"
 LOG = """(SELECT user_id AS doc_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, CAST(json_extract_string(props, '$.k') AS BIGINT) % 7 AS element,
@@ -42,6 +44,20 @@ def oplog_undo_redo(spark, sf_dir):
     return L.materialized(L.active(all_.where(SETS), controls))
 
 
+def oplog_stream_undo(spark, sf_dir):
+    """oplog_undo_redo as a stream: controls name operations by their ids, in files of no order, four files a batch."""
+    all_ = log(spark, sf_dir)
+    is_set, op = F.expr(SETS), F.col("event_id").cast("string")
+    target = O.nearest_before(all_, ["doc_id", "element"], "seq", F.when(is_set, F.col("seq")))
+    named = all_.select("doc_id", F.col("seq").alias("_named"), op.alias("target"))
+    rows = all_.withColumn("_named", F.when(F.col("op").isin("error", "signup"), target)).where(is_set | F.col("_named").isNotNull()).join(named, ["doc_id", "_named"], "left")
+    kind = F.when(is_set, "setText").when(F.col("op") == "error", "undo").otherwise("redo")
+    flat = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "seq", op.alias("op_id"), kind.alias("op_type"), F.when(is_set, F.col("element").cast("string")).alias("element"), F.when(is_set, F.col("value").cast("string")).alias("value"), "target")
+    path = scratch_path(spark, "undo-log")
+    flat.write.parquet(path)
+    return streamed_texts(spark, path, files=4).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("element").cast("long").alias("element"), F.col("value").cast("double").alias("value"), "seq")
+
+
 def oplog_batch_members(spark, sf_dir):
     found = O.nested_pairs(log(spark, sf_dir), ["doc_id"], "seq", F.col("op") == "signup", F.col("op") == "error")
     return found.select("doc_id", "begin", "end", (F.col("end") - F.col("begin") - 1).alias("members"))
@@ -164,7 +180,7 @@ def oplog_stream_state(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        oplog_materialize, oplog_state_at_index, oplog_state_at_time, oplog_undo_redo, oplog_batch_members, oplog_blame, oplog_previous_value, define_style_first, conflict_detect, conflict_swift_wins, conflict_word_wins,
+        oplog_materialize, oplog_state_at_index, oplog_state_at_time, oplog_undo_redo, oplog_stream_undo, oplog_batch_members, oplog_blame, oplog_previous_value, define_style_first, conflict_detect, conflict_swift_wins, conflict_word_wins,
         seq_counter, seq_final_value, field_parse_seq, if_field, date_field, style_ref_nearest, adjacent_run_groups, revisions_by_author, revisions_by_type, accept_revisions, reject_revisions, oplog_resumed, cell_text_state, run_format_state, touches_element, oplog_stream_state,
     )
 }
@@ -227,3 +243,4 @@ SQL = {
         SELECT user_id AS doc_id, element, arg_max(value, (ts, event_id)) AS value, count(*) AS operations
         FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) % 7 AS element FROM events WHERE event_type IN ('view', 'click')) GROUP BY 1, 2""",
 }
+SQL["oplog_stream_undo"] = SQL["oplog_undo_redo"]
