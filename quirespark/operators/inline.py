@@ -64,9 +64,14 @@ def matches(tree: DataFrame, find: str, replacement: str, regex: bool = False, m
     A literal is found from left to right without overlaps. In a pattern $1 and so on of the replacement stand for its
     groups. A pattern that matches nothing at all is an error; an empty literal is found nowhere.
     """
+    flat = pieces(tree).groupBy(*KEY, "surface").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "text"))), lambda x: x["text"]), "").alias("flat"))
+    return matches_in(flat, find, replacement, regex, match_case)
+
+
+def matches_in(flat: DataFrame, find: str, replacement: str, regex: bool = False, match_case: bool = True) -> DataFrame:
+    """`matches` of flat(doc_id, part_path, surface, flat), the texts themselves."""
     if regex and re.search(find, "") is not None:
         raise ValueError("the pattern matches an empty text")
-    flat = pieces(tree).groupBy(*KEY, "surface").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "text"))), lambda x: x["text"]), "").alias("flat"))
     if not find:
         return flat.select(*KEY, "surface", F.array().cast("array<struct<s:int,e:int,r:string>>").alias("edits")).limit(0)
     pattern = ("" if match_case else "(?iu)") + (find if regex else "".join(c if c.isalnum() or c.isspace() or ord(c) > 127 else "\\" + c for c in find))
