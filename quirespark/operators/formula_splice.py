@@ -42,7 +42,7 @@ def splice(tree: DataFrame, splices: DataFrame, properties: str = "all") -> Data
     splices(id, doc_id, part_path, path, source_doc, source_part, source_path, index, where, anchor, instance): formula
     `index` of the source paragraph comes to stand in the paragraph `path`, at its start (behind its properties) or end, or before or after the
     instance-th place (from 1, overlapping ones count) where `anchor` stands in the text of its own runs, which are split there. Several at
-    one place stand by id. properties of a formula's run: all, formula (KEPT) or none. A target that is no paragraph, a
+    one place stand by id, which tells the splices of a paragraph apart. properties of a formula's run: all, formula (KEPT) or none. A target that is no paragraph, a
     source without formulas, an index or an anchor that isn't there: each is an error.
     """
     if properties not in ("all", "formula", "none"):
@@ -81,9 +81,9 @@ def splice(tree: DataFrame, splices: DataFrame, properties: str = "all") -> Data
     spans = I.pieces(tree).groupBy(*KEY, F.col("surface").alias("path"), "run").agg(F.min("start").alias("_a"), F.max(F.col("start") + F.length("text")).alias("_b"))
     near = rows.where(by_text).withColumn("_at", at).join(spans, [*KEY, "path"])
     near = near.groupBy("id", *KEY, "path", "where").agg(F.max(F.when(F.col("_b") <= F.col("_at"), F.col("run"))).alias("_behind"), F.min(F.when(F.col("_a") >= F.col("_at"), F.col("run"))).alias("_next"))
-    beside = near.select("id", F.when((F.col("where") == "after") | F.col("_next").isNull(), F.col("_behind")).otherwise(F.col("_next")).alias("_to"), F.when((F.col("where") == "after") | F.col("_next").isNull(), "after").otherwise("before").alias("_where"))
+    beside = near.select("id", *KEY, "path", F.when((F.col("where") == "after") | F.col("_next").isNull(), F.col("_behind")).otherwise(F.col("_next")).alias("_to"), F.when((F.col("where") == "after") | F.col("_next").isNull(), "after").otherwise("before").alias("_where"))
     heads = tree.where("name = 'w:pPr'").select(*KEY, _up().alias("path"), F.col("path").alias("_head"))
-    edits = rows.join(beside, "id", "left").join(heads, [*KEY, "path"], "left")
+    edits = rows.join(beside, ["id", *KEY, "path"], "left").join(heads, [*KEY, "path"], "left")
     start = F.col("where") == "start"
     edits = edits.select(
         "id", *KEY, F.coalesce("_to", F.when(start, F.col("_head")), "path").alias("path"), F.coalesce("_where", F.when(start & F.col("_head").isNotNull(), "after"), F.when(start, "first"), F.lit("last")).alias("where"),

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import formula_splice as S
 from ..operators import formulas as M
+from ..operators import tree as T
 from ..sources import packages as P
 from ..sources.scratch import stored
 from ..sources.tables import table
@@ -51,7 +53,41 @@ def formula_components(spark, sf_dir):
     return rows.groupBy("doc_id", "kind", F.col("depth").cast("long").alias("depth")).agg(F.count("*").alias("n"), F.count_if(F.col("parent_id").isNull()).alias("outermost"), F.array_join(F.array_sort(F.collect_set("text")), " ").alias("texts"))
 
 
-QUERIES = {f.__name__: f for f in (package_formula_text, formula_components)}
+def _places(nodes: DataFrame) -> DataFrame:
+    """(doc_id, part_path, path, ord) of paragraphs."""
+    order = F.row_number().over(P.Window.partitionBy("doc_id").orderBy("path")) - 1
+    return nodes.where("name = 'w:p'").select("doc_id", "part_path", "path", order.cast("long").alias("ord"))
+
+
+def _read(tree: DataFrame) -> DataFrame:
+    """(doc_id, ord, text) of the parts' bytes."""
+    nodes = stored(P.xml_nodes(T.part_bytes(tree), dealt=True), "nodes")
+    texts = M.display_texts(nodes)
+    return texts.select("doc_id", (F.row_number().over(P.Window.partitionBy("doc_id").orderBy("node_id")) - 1).cast("long").alias("ord"), "text")
+
+
+def package_formula_splice(spark, sf_dir):
+    """Documents 2n and 2n + 1 give each other's paragraphs their formulas, behind the first word, and the count of these."""
+    nodes = formula_nodes(spark, sf_dir)
+    tree = stored(T.tree_of(nodes), "tree")
+    places = stored(_places(nodes), "places")
+    source = S.carriers(tree).join(places, ["doc_id", "part_path", "path"])
+    source = source.select(F.col("doc_id").alias("source_doc"), F.col("part_path").alias("source_part"), F.col("path").alias("source_path"), "index", "ord", F.col("doc_id").cast("long").bitwiseXOR(F.lit(1)).cast("string").alias("doc_id"))
+    splices = source.join(places, ["doc_id", "ord"]).withColumns({"id": F.struct("ord", "index"), "where": F.lit("after"), "anchor": F.lit("see"), "instance": F.lit(1)})
+    after = stored(S.splice(tree, splices), "spliced")
+    given = splices.groupBy("doc_id", "ord").agg(F.count("*").alias("spliced"))
+    return _read(after).join(given, ["doc_id", "ord"], "left").select("doc_id", "ord", "text", F.coalesce("spliced", F.lit(0)).alias("spliced"))
+
+
+def package_formula_replace(spark, sf_dir):
+    """A word, and a digit with what follows it: where that digit is a formula's the text stays."""
+    nodes = formula_nodes(spark, sf_dir)
+    tree, refused = S.replace_beside_formulas(nodes, "see|[0-9] end", "X", regex=True)
+    refused = refused.withColumnRenamed("surface", "path").join(_places(nodes), ["doc_id", "part_path", "path"]).select("doc_id", "ord", F.col("n").cast("long").alias("refused"))
+    return _read(tree).join(refused, ["doc_id", "ord"], "left").select("doc_id", "ord", "text", F.coalesce("refused", F.lit(0)).alias("refused"))
+
+
+QUERIES = {f.__name__: f for f in (package_formula_text, formula_components, package_formula_splice, package_formula_replace)}
 
 _P = "(SELECT p_partkey AS k, CAST(p_partkey AS VARCHAR) AS n, CAST(p_size AS VARCHAR) AS s, p_brand AS b, CASE WHEN p_size % 3 = 0 THEN '∏' ELSE '∑' END AS sign, p_size % 2 = 0 AS hidden, CAST(p_partkey // 50 AS VARCHAR) AS d FROM part)"
 _ROOT_TEXT, _SUM_TEXT = "CASE WHEN hidden THEN n ELSE s || n END", "sign || n || s || b"
@@ -61,7 +97,14 @@ _ROWS = (
     (5, "m:r", 2, "n"), (5, "m:r", 2, "CASE WHEN NOT hidden THEN s END"), (5, "m:r", 2, "n"), (5, "m:r", 2, "s"), (5, "m:r", 2, "b"), (6, "m:acc", 0, "n"), (6, "m:r", 1, "n"), (7, "m:r", 0, "s"),
 )
 _COMPONENTS = " UNION ALL ".join(f"SELECT d, '{kind}' AS kind, {depth} AS depth, {text} AS text FROM {_P} WHERE k % 8 = {shape}" for shape, kind, depth, text in _ROWS)
+_FORMULA = f"CASE k % 8 WHEN 0 THEN n || s WHEN 1 THEN b || n || s WHEN 2 THEN {_ROOT_TEXT} WHEN 3 THEN {_SUM_TEXT} WHEN 4 THEN n || s || n || s || b WHEN 5 THEN {_ROOT_TEXT} || b || {_SUM_TEXT} ELSE '' END"
+_TAIL = "CASE k % 8 WHEN 6 THEN 'link ' || n WHEN 7 THEN s ELSE '' END"
 SQL = {
+    "package_formula_splice": f"""
+        WITH f AS (SELECT k, CAST(d AS BIGINT) AS d, k % 50 AS ord, {_FORMULA} AS own, {_TAIL} AS tail FROM {_P})
+        SELECT CAST(f.d AS VARCHAR) AS doc_id, f.ord, 'see' || coalesce(g.own, '') || ' ' || f.own || ' end' || f.tail AS text, CAST(CASE WHEN g.k % 8 < 6 THEN 1 ELSE 0 END AS BIGINT) AS spliced
+        FROM f LEFT JOIN f g ON g.d = xor(f.d, 1) AND g.ord = f.ord""",
+    "package_formula_replace": f"SELECT d AS doc_id, k % 50 AS ord, 'X ' || {_FORMULA} || ' end' || {_TAIL} AS text, CAST(CASE WHEN k % 8 < 6 THEN 1 ELSE 0 END AS BIGINT) AS refused FROM {_P}",
     "package_formula_text": f"""
         SELECT d AS doc_id, k % 50 AS ord, CASE k % 8 WHEN 6 THEN 'see  endlink ' || n WHEN 7 THEN 'see  end' || s ELSE 'see ' || CASE k % 8 WHEN 0 THEN n || s WHEN 1 THEN b || n || s WHEN 2 THEN {_ROOT_TEXT}
                WHEN 3 THEN {_SUM_TEXT} WHEN 4 THEN n || s || n || s || b ELSE {_ROOT_TEXT} || b || {_SUM_TEXT} END || ' end' END AS text FROM {_P}""",

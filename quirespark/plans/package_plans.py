@@ -16,9 +16,10 @@ from ..operators import reverse as V
 from ..operators import tree as T
 from ..operators.styles import chains, heading_levels
 from ..sources import package_tables as X
+from ..sources import generations as G
 from ..sources import packages as P
 from ..sources import snapshots as N
-from ..sources.scratch import stored
+from ..sources.scratch import scratch_path, stored
 from ..sources.tables import table
 
 DOC_ROWS = 50
@@ -335,10 +336,31 @@ def package_snapshots(spark, sf_dir):
     return N.checked(saved, later, log).select("doc_id", "state", F.array_join("changed", ",").alias("changed"), "tail")
 
 
+def package_commits(spark, sf_dir):
+    """Three writers have read the first commit of all packages: one changes every third, one others, and the last is refused as it changes the first one's. Then all is compacted."""
+    parts = package_parts(spark, sf_dir).where(F.col("part_path").isin("docProps/core.xml", STYLES))
+    log = table(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / DOC_ROWS).cast("string").alias("doc_id"), F.col("c_custkey").alias("seq"), F.col("c_custkey").cast("string").alias("op_id"), F.lit("swift").alias("source"))
+    parts, log = stored(parts, "parts"), stored(log, "log")
+    root, at = scratch_path(spark, "packages"), "2024-01-01 00:00:00"
+    first = G.commit(spark, root, parts, log.where(f"seq % {DOC_ROWS} < 10"), 0, at)
+    refused = 0
+    for nth in (0, 1, 0):
+        mine = F.col("doc_id").cast("int") % 3 == nth
+        changed = parts.where(mine & (F.col("part_path") == STYLES) if nth else mine)
+        try:
+            G.commit(spark, root, changed, log.where(mine), first, at)
+        except G.Conflict:
+            refused += 1
+    G.compact(spark, root, at)
+    old, new = G.read(spark, root, 2), G.read(spark, root)
+    counts = new["parts"].groupBy("doc_id").agg(F.count("*").alias("parts")).join(new["snapshots"].select("doc_id", F.col("op_count").alias("operations"), F.size("pending").cast("long").alias("pending")), "doc_id")
+    return counts.join(old["documents"].select("doc_id", F.col("commit").alias("second")), "doc_id").join(new["documents"], "doc_id").select("doc_id", "second", "commit", "parts", "operations", "pending", F.lit(refused).cast("long").alias("refused"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        operation_tree, package_update_fields, package_reversed, package_replace, package_delete_revision, package_insert_revision, package_snapshots, package_paragraphs, package_runs, package_styles, package_style_chain, package_semantics, package_relationships, package_hyperlinks, package_bookmarks, package_comments, package_revisions, package_bullets, package_unused_numbering,
+        package_commits, operation_tree, package_update_fields, package_reversed, package_replace, package_delete_revision, package_insert_revision, package_snapshots, package_paragraphs, package_runs, package_styles, package_style_chain, package_semantics, package_relationships, package_hyperlinks, package_bookmarks, package_comments, package_revisions, package_bullets, package_unused_numbering,
         package_sections, package_notes, package_fields, package_cells, package_properties, package_round_trip, package_accept, package_reject, package_set_style, package_insert, package_delete_table, package_move, package_delete_marks, package_page_setup,
     )
 }
@@ -435,4 +457,7 @@ SQL = {
     "package_page_setup": f"""
         SELECT DISTINCT d AS doc_id, CASE WHEN CAST(d AS INT) % 3 = 0 THEN 9000 ELSE CAST(d AS INT) + 10000 END AS width, CASE WHEN CAST(d AS INT) % 3 = 0 THEN CAST(d AS INT) + 10000 ELSE 9000 END AS height, false AS landscape,
                700 AS top, 800 AS "left" FROM {_C}""",
+    "package_commits": f"""
+        SELECT d AS doc_id, CAST(CASE WHEN CAST(d AS INT) % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS second, CAST(4 AS BIGINT) AS commit, CAST(CASE WHEN CAST(d AS INT) % 3 = 1 THEN 1 ELSE 2 END AS BIGINT) AS parts,
+               count(*) FILTER (WHERE CAST(d AS INT) % 3 < 2 OR k < 10) AS operations, count(*) FILTER (WHERE CAST(d AS INT) % 3 < 2 OR k < 10) AS pending, CAST(1 AS BIGINT) AS refused FROM {_C} GROUP BY d""",
 }

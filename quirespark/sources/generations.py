@@ -113,7 +113,7 @@ def read(spark: SparkSession, root: str, number: int | None = None) -> dict[str,
     known = known[first:]
     order = F.create_map(*(F.lit(x) for n, id_, _ in known for x in (id_, n)))
     rows = lambda name: spark.read.parquet(*(f"{root}/data/{id_}/{name}" for _, id_, _ in known))
-    documents = rows("documents").withColumn("commit", F.element_at(order, F.col("commit_id")))
+    documents = rows("documents").withColumn("commit", F.element_at(order, F.col("commit_id")).cast("long"))
     documents = documents.groupBy("doc_id").agg(F.max_by(F.struct("commit", "commit_id", "here"), "commit").alias("x")).where("x.here").select("doc_id", "x.commit", "x.commit_id")
     now = documents.select(F.col("doc_id").alias("_d"), F.col("commit_id").alias("_c"))
     of = lambda name: rows(name).join(now, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("commit_id") == F.col("_c")), "left_semi").drop("commit_id")

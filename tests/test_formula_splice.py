@@ -59,6 +59,14 @@ def test_places(spark):
     assert bodies(after)["a"] == bodies(tree)["a"]
 
 
+def test_ids_are_a_paragraphs_own(spark):
+    """Equal ids in different paragraphs and documents mix nothing up."""
+    tree = T.tree_of(nodes_of(spark, a=SOURCE, b=f"<w:p>{t('a')}</w:p><w:p>{t('a')}</w:p>", c=f"<w:p>{t('a')}</w:p>")).cache()
+    rows = splices(spark, (0, 0, "after", "a", 1), (1, 1, "after", "a", 1), (0, 1, "before", "a", 1)).withColumn("doc_id", F.when(F.col("id") == 2, "c").otherwise("b")).withColumn("id", F.lit(0))
+    after = shown(S.splice(tree, rows))
+    assert after["b"] == ["ax", "ay"] and after["c"] == ["ya"]
+
+
 def test_properties_of_the_run(spark):
     tree = T.tree_of(nodes_of(spark, a=SOURCE, b="<w:p/>")).cache()
     held = {mode: bodies(S.splice(tree, splices(spark, (0, 1, "end", None, None)), mode))["b"] for mode in ("all", "formula", "none")}
