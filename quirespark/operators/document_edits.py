@@ -308,11 +308,22 @@ def merge_column_cells(tree: DataFrame, merges: DataFrame) -> DataFrame:
     return T.set_child(tree, hit.select(*KEY, "path", xml.alias("xml")), "w:tcPr", "w:vMerge")
 
 
+def _rows_gone(tree: DataFrame, marks: DataFrame) -> DataFrame:
+    """(doc_id, part_path, path) of the rows in whose properties one of these marks stands, and of the tables that have only such rows."""
+    holders = tree.where("name = 'w:trPr'").select(*KEY, F.col("path").alias("_up"))
+    up = lambda n: F.slice("path", 1, F.greatest(F.size("path") - n, F.lit(0)))
+    rows = marks.withColumn("_up", up(1)).join(holders, [*KEY, "_up"], "left_semi").select(*KEY, up(2).alias("path")).distinct()
+    every = tree.where("name = 'w:tr'").select(*KEY, "path", up(1).alias("_table")).join(rows.withColumn("_gone", F.lit(True)), [*KEY, "path"], "left")
+    tables = every.groupBy(*KEY, F.col("_table").alias("path")).agg(F.every(F.coalesce("_gone", F.lit(False))).alias("_all")).where("_all").drop("_all")
+    return rows.unionByName(tables)
+
+
 def settle_revisions(tree: DataFrame, accept: bool, ids: DataFrame | None = None) -> DataFrame:
     """Accepts or rejects tracked changes, all or those of ids(doc_id, id).
 
     Accepting keeps insertions and what was moved here, and drops deletions and what was moved away; rejecting is the
-    reverse, and deleted text becomes text again. Accepted changes of formatting leave the new properties, rejected ones
+    reverse, and deleted text becomes text again. A row whose own mark is dropped goes with what is in it, and so does a
+    table that has no other row. Accepted changes of formatting leave the new properties, rejected ones
     bring the old back.
     """
     tree = stored(tree, "tree")
@@ -331,7 +342,8 @@ def settle_revisions(tree: DataFrame, accept: bool, ids: DataFrame | None = None
     else:
         tree = T.remove(tree, change)
     back = T.subtrees(tree, content.where(F.col("name").isin(*stays))).where("name IN ('w:delText', 'w:delInstrText')").select(*KEY, F.col("path"), F.lit(True).alias("_back")) if not accept else None
-    tree = T.remove(tree, content.where(~F.col("name").isin(*stays)))
+    gone = content.where(~F.col("name").isin(*stays)).select(*KEY, "path")
+    tree = T.remove(tree, gone.unionByName(_rows_gone(tree, gone)))
     if back is not None:
         plain = F.when(F.col("name") == "w:delText", "w:t").otherwise("w:instrText")
         tree = tree.join(back, [*KEY, "path"], "left").withColumn("name", F.when(F.col("_back"), plain).otherwise(F.col("name"))).select(*T.TREE)

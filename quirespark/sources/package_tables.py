@@ -56,7 +56,7 @@ def semantics(paragraphs: DataFrame, levels: DataFrame, bullets: DataFrame) -> D
     """(doc_id, ord, kind, level) of paragraphs as packages.paragraphs gives them.
 
     levels is (doc_id, id, level) of operators.styles.heading_levels, bullets that of bullet_lists. A heading's style
-    says so, or one that it is based on; then come title and subtitle by the style's id, list items with their level, page
+    says so, or one that it is based on; then come titles by the style's id (Subtitle is one), list items with their level, page
     breaks, formulas and images.
     """
     p = paragraphs.join(levels.select("doc_id", F.col("id").alias("style"), F.col("level").alias("_heading")), ["doc_id", "style"], "left")
@@ -64,7 +64,7 @@ def semantics(paragraphs: DataFrame, levels: DataFrame, bullets: DataFrame) -> D
     style = F.lower("style")
     heading = F.coalesce("_heading", heading_number(F.col("style")))  # a style without a definition counts by its id
     kind = (
-        F.when(heading.isNotNull(), "heading").when(style.contains("subtitle") & (style != "title") & ~style.rlike("(?<!sub)title"), "subtitle").when(style.contains("title"), "title")
+        F.when(heading.isNotNull(), "heading").when(style.contains("title"), "title")
         .when(F.col("num_id").isNotNull(), F.when(F.coalesce("is_bullet", F.lit(False)), "bulletListItem").otherwise("numberedListItem"))
         .when(F.col("page_break_before"), "pageBreak").when(F.col("has_formula"), "formula").when(F.col("has_drawing"), "image").otherwise("paragraph")
     )
@@ -76,8 +76,6 @@ def heading_number(name: Column) -> Column:
     return F.nullif(F.regexp_extract(F.lower(name), "^heading([1-9])$", 1), F.lit("")).cast("int")
 
 
-
-
 def unused_numbering(nodes: DataFrame, num: DataFrame) -> DataFrame:
     """Numbering definitions that nothing in the body, headers or footers refers to."""
     parts = F.col("part_path").rlike(r"^word/(document|header[0-9]*|footer[0-9]*)\.xml$")

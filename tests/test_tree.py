@@ -278,3 +278,15 @@ def test_last_in_a_body_stands_before_its_section(spark):
     body = tree.where("name = 'w:body'").select(*T.KEY, "path", F.lit("last").alias("where"))
     tree = T.insert(tree, body.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("k")).withColumn("xml", T.element("w:tbl", w_n=F.col("k"))), ["k"])
     assert [r["name"] for r in tree.orderBy("path").collect()] == ["w:document", "w:body", "w:p", "w:tbl", "w:tbl", "w:sectPr"]
+
+
+def test_rows_go_with_their_own_mark(spark):
+    """A row marked as deleted goes when that is accepted, an inserted one when it is rejected; a table goes with its last row."""
+    row = lambda text, mark="": f"<w:tr>{f'<w:trPr><w:{mark} w:id={chr(39)}1{chr(39)}/></w:trPr>' if mark else ''}<w:tc><w:p><w:r><w:t>{text}</w:t></w:r></w:p></w:tc></w:tr>"
+    body = f"<w:tbl>{row('a')}{row('b', 'del')}{row('c', 'ins')}</w:tbl><w:p><w:r><w:t>between</w:t></w:r></w:p><w:tbl>{row('d', 'del')}</w:tbl>"
+    xml = f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>'.encode()
+    tree = T.tree_of(P.xml_nodes(spark.createDataFrame([("x", "word/document.xml", xml)], "doc_id string, part_path string, content binary"))).cache()
+    accepted, rejected = T.part_bytes(D.settle_revisions(tree, True)).first(), T.part_bytes(D.settle_revisions(tree, False)).first()
+    shown = lambda part: bytes(part["content"]).decode()
+    assert [t for t in "abcd" if f">{t}<" in shown(accepted)] == ["a", "c"] and shown(accepted).count("<w:tbl>") == 1
+    assert [t for t in "abcd" if f">{t}<" in shown(rejected)] == ["a", "b", "d"] and "w:ins" not in shown(rejected) and "w:del" not in shown(rejected)
