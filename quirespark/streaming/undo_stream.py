@@ -31,7 +31,7 @@ def flat(log: DataFrame) -> DataFrame:
 
 
 class _Replay(StatefulProcessor):
-    """One document's log. Without a control in a batch each operation costs a look at its element; with one, the document's sets are read once.
+    """One document's log. A batch reads the document's controls and edges once. Without a new one among its rows each operation costs a look at its element; with one, the document's sets are read once too.
 
     depth: only about so many of the newest sets (depth to 2 * depth) can still be undone or redone; older ones are folded
     into their elements' values, which bounds the state by depth and the number of elements. None keeps all.
