@@ -47,16 +47,27 @@ def _is(path: str = "path") -> list[Column]:
     return [F.col("doc_id") == F.col("_d"), F.col("part_path") == F.col("_part"), F.col(path) == F.col("_at")]
 
 
+def _held(tree: DataFrame, targets: DataFrame, *more: str) -> DataFrame:
+    """Rows with `_at`, the path of the outermost of the targets that they stand in or are, and `more` columns of that target; null where there is none.
+
+    One pass over each part in document order: of the ends of all targets that have begun the greatest is that of the
+    outermost one that is still open, if any is.
+    """
+    begun = targets.select(*KEY, "path", F.struct(F.concat("path", F.array(F.lit(float("inf")))).alias("end"), *more).alias("_begun"))
+    order = Window.partitionBy(*KEY).orderBy("path", F.col("_begun").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = tree.withColumn("_begun", F.lit(None).cast(begun.schema["_begun"].dataType)).unionByName(begun, allowMissingColumns=True).withColumn("_open", F.max("_begun").over(order)).where("_begun IS NULL")
+    here = F.col("_open.end") > F.col("path")
+    return rows.select(*tree.columns, F.when(here, F.slice("_open.end", 1, F.size("_open.end") - 1)).alias("_at"), *(F.when(here, F.col(f"_open.{c}")).alias(c) for c in more))
+
+
 def subtrees(tree: DataFrame, targets: DataFrame) -> DataFrame:
     """The rows of the targets and of all that stands in them."""
-    hit = _prefixes(tree).join(_named(targets).distinct(), _is("_up"), "left_semi")
-    return hit.drop("_up").dropDuplicates([*KEY, "path"])
+    return _held(tree, targets).where("_at IS NOT NULL").drop("_at")
 
 
 def remove(tree: DataFrame, targets: DataFrame) -> DataFrame:
     """Without the targets and all that stands in them."""
-    tree = stored(tree, "tree")
-    return tree.join(subtrees(tree, targets).select(*KEY, "path"), [*KEY, "path"], "left_anti")
+    return _held(stored(tree, "tree"), targets).where("_at IS NULL").drop("_at")
 
 
 def unwrap(tree: DataFrame, targets: DataFrame) -> DataFrame:
@@ -66,10 +77,8 @@ def unwrap(tree: DataFrame, targets: DataFrame) -> DataFrame:
 
 def _repathed(tree: DataFrame, moves: DataFrame) -> DataFrame:
     """Rows in a subtree `path` of moves(doc_id, part_path, path, new_path) get new_path for the beginning of theirs. Targets must not stand in each other."""
-    tree = stored(tree, "tree")
-    moved = _prefixes(tree).join(_named(moves, F.col("new_path").alias("_new")), _is("_up")).select(*TREE, F.concat("_new", F.slice("path", F.size("_at") + 1, F.greatest(F.size("path") - F.size("_at"), F.lit(0)))).alias("_to"))
-    rest = tree.join(moved.select(*KEY, "path"), [*KEY, "path"], "left_anti")
-    return rest.unionByName(moved.withColumn("path", F.col("_to")).drop("_to"))
+    rows = _held(stored(tree, "tree"), moves.withColumnRenamed("new_path", "_new"), "_new")
+    return rows.withColumn("path", F.when(F.col("_at").isNull(), F.col("path")).otherwise(F.concat("_new", F.slice("path", F.size("_at") + 1, F.greatest(F.size("path") - F.size("_at"), F.lit(0)))))).select(*TREE)
 
 
 #: The least gap between siblings that is halved once more.
@@ -204,12 +213,10 @@ def insert(tree: DataFrame, edits: DataFrame, order: list[str | Column]) -> Data
 
 def set_text(tree: DataFrame, targets: DataFrame) -> DataFrame:
     """Replaces all that stands in the target elements by a text: targets(doc_id, part_path, path, text)."""
-    tree = stored(tree, "tree")
-    at = _named(targets, F.col("text").alias("_text")).dropDuplicates(["_d", "_part", "_at"])
-    gone = subtrees(tree, targets).join(at, _is(), "left_anti")
-    left = tree.join(gone.select(*KEY, "path"), [*KEY, "path"], "left_anti")
-    new = tree.join(at, _is()).select(*KEY, F.concat("path", F.array(F.lit(0.0))).alias("path"), F.lit("text").alias("kind"), F.lit(None).cast("string").alias("name"), F.array().cast(ATTRIBUTES).alias("attrs"), F.col("_text").alias("text"))
-    return left.unionByName(new)
+    rows = _held(stored(tree, "tree"), targets.withColumnRenamed("text", "_text"), "_text").where("_at IS NULL OR path = _at")
+    rows = rows.withColumn("_new", F.explode(F.when(F.col("_at").isNull(), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
+    new = {"path": F.concat("path", F.array(F.lit(0.0))), "kind": F.lit("text"), "name": F.lit(None).cast("string"), "attrs": F.array().cast(ATTRIBUTES), "text": F.col("_text")}
+    return rows.select(*KEY, *(F.when(F.col("_new"), v).otherwise(F.col(c)).alias(c) for c, v in new.items()))
 
 
 def children(tree: DataFrame, parents: DataFrame, name: str) -> DataFrame:
@@ -279,7 +286,8 @@ def pieces_of(tree: DataFrame, all_declarations: bool = False) -> DataFrame:
     root = F.size("path") == 1
     usual = F.create_map(*(F.lit(x) for p, uri in USUAL.items() for x in (p, uri)))
     declared = used_prefixes(tree).withColumnRenamed("used", "_used")
-    tags = tree.join(declared, KEY, "left")
+    # only roots, one a part, need them
+    tags = tree.where(root).join(declared, KEY, "left").unionByName(tree.where(~root).withColumn("_used", F.lit(None).cast("array<string>")))
     bound = F.transform(F.coalesce("_used", F.array().cast("array<string>")), lambda p: F.struct(F.concat(F.lit("xmlns:"), p).alias("name"), F.element_at(usual, p).alias("value"), F.concat(F.lit("xmlns:"), p).alias("raw")))
     # a declaration of a known namespace under another prefix goes; one of an unknown namespace stays, also under a usual prefix
     known = [u for u, p in PREFIXES.items() if p]

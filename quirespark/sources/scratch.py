@@ -26,11 +26,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows of `df` as a table written in the shared folder, so that what reads them more than once computes them once; a table written so before is taken as it is."""
+    """The rows of `df` as a table written in the shared folder, so that what reads them more than once computes them once; a table written so before is taken as it is.
+
+    Joins with it sort and merge. Spark would judge by the size of its files whether to broadcast it, and paths and tags,
+    of which most are alike, take some fifty times as much in memory; and what is made of it is often more than it is.
+    """
     if df in _stored:
         return df
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path).hint("merge")
     _stored.add(out)
     return out
