@@ -118,7 +118,8 @@ def split_runs(tree: DataFrame, cuts: DataFrame) -> DataFrame:
     bounds = F.concat(F.array(F.lit(0)), F.col("cuts"), F.array(F.col("n")))
     wanted = stored(wanted.join(gaps, [*KEY, "path"]).select(*KEY, F.col("path").alias("_run"), "first", "gap", bounds.alias("bounds")), "cuts")
     part = lambda j: F.concat(F.slice("_run", 1, F.size("_run") - 1), F.array(F.element_at("_run", -1) + F.col("gap") * j / (F.size("bounds") - 1)))
-    inside = T._prefixes(tree).join(wanted.withColumn("_up", F.col("_run")), [*KEY, "_up"]).drop("_up")
+    chosen = wanted.select(*KEY, F.col("_run").alias("path"))
+    inside = T._prefixes(T.subtrees(tree, chosen)).join(wanted.withColumn("_up", F.col("_run")), [*KEY, "_up"]).drop("_up")
     kid = F.when(F.size("path") > F.size("_run"), F.slice("path", 1, F.size("_run") + 1))
     spans = own.select(*KEY, F.col("path_").alias("_kid"), (F.col("start")).alias("_start"), F.length("text").alias("_n"), "text", "atom").withColumnRenamed("text", "_whole")
     # what is no text stands where the text before it ends
@@ -144,16 +145,17 @@ def split_runs(tree: DataFrame, cuts: DataFrame) -> DataFrame:
         *KEY, F.concat(part(F.col("_j")), F.slice("path", F.size("_run") + 1, F.greatest(F.size("path") - F.size("_run"), F.lit(0)))).alias("path"), "kind", "name",
         F.when(F.col("_broken") & (F.col("name") == "w:t"), F.concat(others, keep)).otherwise(F.col("attrs")).alias("attrs"), F.when(F.col("_broken") & (F.col("kind") == "text"), cut).otherwise(F.col("text")).alias("text"),
     )
-    return tree.join(inside.select(*KEY, "path"), [*KEY, "path"], "left_anti").unionByName(new)
+    return T.remove(tree, chosen).unionByName(new)
 
 
 def _cut(tree: DataFrame, ranges: DataFrame) -> DataFrame:
     """The tree with runs split at both ends of ranges(doc_id, part_path, surface, start, end); a range that is not inside its surface is an error."""
-    total = pieces(tree).groupBy(*KEY, "surface").agg(F.max(F.col("start") + F.length("text")).alias("n"))
+    own = stored(pieces(tree), "pieces")
+    total = own.groupBy(*KEY, "surface").agg(F.max(F.col("start") + F.length("text")).alias("n"))
     checked = ranges.join(total, [*KEY, "surface"], "left")
     wrong = (F.col("start") < 0) | (F.col("end") < F.col("start")) | (F.col("end") > F.coalesce("n", F.lit(0)))
     checked = checked.where(F.when(wrong, F.raise_error(F.lit("a range that is not in its text")).cast("boolean")).otherwise(True)).drop("n")
-    spans = pieces(tree).groupBy(*KEY, "surface", "run").agg(F.min("start").alias("_a"), F.max(F.col("start") + F.length("text")).alias("_b"))
+    spans = own.groupBy(*KEY, "surface", "run").agg(F.min("start").alias("_a"), F.max(F.col("start") + F.length("text")).alias("_b"))
     ends = checked.select(*KEY, "surface", F.explode(F.array("start", "end")).alias("_at")).distinct()
     cuts = spans.join(ends, [*KEY, "surface"]).where("_at > _a AND _at < _b").select(*KEY, F.col("run").alias("path"), (F.col("_at") - F.col("_a")).alias("at"))
     return stored(split_runs(tree, cuts), "tree")
