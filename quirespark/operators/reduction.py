@@ -144,7 +144,7 @@ def _latest(refs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _cells(base: DataFrame, wanted: DataFrame) -> DataFrame:
     """(doc_id, seq, part, path): the first paragraph of a cell, of wanted(doc_id, seq, part, path of the table, row, column)."""
-    inner = base.where("name IN ('w:tr', 'w:tc', 'w:p')").select("doc_id", F.col("part_path").alias("part"), F.col("path").alias("_kid"), "name", _up().alias("path"))
+    inner = base.hint("merge").where("name IN ('w:tr', 'w:tc', 'w:p')").select("doc_id", F.col("part_path").alias("part"), F.col("path").alias("_kid"), "name", _up().alias("path"))
     nth = F.row_number().over(T.Window.partitionBy("doc_id", "part", "path", "name").orderBy("_kid")) - 1
     inner = inner.withColumn("_n", nth)
     at = wanted
@@ -219,7 +219,7 @@ def materialised(tree: DataFrame, log: DataFrame) -> DataFrame:
         by_run = pieces.where(F.size("path") == 1).join(runs, ["doc_id", "part_path"])
         known = known.unionByName(node(by_run, F.concat(F.lit("lib:"), "run_id")))
     refs = ops.where("element IS NOT NULL").select("doc_id", "seq", F.lit("main").alias("role"), F.col("element").alias("id")).unionByName(ops.where("to IS NOT NULL").select("doc_id", "seq", F.lit("to").alias("role"), F.col("to").alias("id")))
-    nodes = stored(_latest(refs, known), "named")
+    nodes = stored(_latest(refs, known.hint("merge")), "named")
     main = nodes.where("role = 'main'").drop("role")
     kinds = ops.select("doc_id", "seq", "op_type").join(main, ["doc_id", "seq"])
     must = F.coalesce(*(F.when(F.col("op_type") == k, n) for k, n in ON.items()))
@@ -272,7 +272,7 @@ def materialised(tree: DataFrame, log: DataFrame) -> DataFrame:
     # property elements, made where there are none
     if there & {"setParagraphStyle", "setRunFormat", "setSectionProperties"}:
         props = edit.where("parent IN ('pPr', 'rPr')").join(main.drop("name"), ["doc_id", "seq"]).withColumn("holder", F.concat(F.lit("w:"), "parent"))
-        kids = tree.unionByName(pieces).where("name IN ('w:pPr', 'w:rPr')").select("doc_id", F.col("part_path").alias("part"), F.col("path").alias("_hold"), _up().alias("path"), F.col("name").alias("holder"))
+        kids = tree.unionByName(pieces).hint("merge").where("name IN ('w:pPr', 'w:rPr')").select("doc_id", F.col("part_path").alias("part"), F.col("path").alias("_hold"), _up().alias("path"), F.col("name").alias("holder"))
         props = props.join(kids.groupBy("doc_id", "part", "path", "holder").agg(F.min("_hold").alias("_hold")), ["doc_id", "part", "path", "holder"], "left")
         made = props.where("_hold IS NULL AND how LIKE 'put %'").groupBy("doc_id", "part", "path", "holder").agg(F.min("seq").alias("_first"))
         props = stored(props.join(made, ["doc_id", "part", "path", "holder"], "left").where("_hold IS NOT NULL OR seq >= _first"), "properties")
@@ -284,9 +284,9 @@ def materialised(tree: DataFrame, log: DataFrame) -> DataFrame:
         hold = F.struct(_key("part_path", "_zero").alias("k"), F.col("holder").alias("c"))
         edits(new.withColumn("_zero", zero).withColumnRenamed("_first", "seq"), F.lit("hold"), moved=hold, sub=F.lit(-1))
     pieces = stored(pieces, "pieces")
-    every = reduce(DataFrame.unionByName, every)
+    every = reduce(DataFrame.unionByName, every).hint("merge")
 
-    whole = tree.unionByName(pieces)
+    whole = tree.unionByName(pieces).hint("merge")
     # only a paragraph's new text asks for runs that hold a comment's reference
     marks = whole.where("name = 'w:commentReference'" if "setText" in there else "false").select(*KEY, "path")
     marked = T._prefixes(marks).select("doc_id", F.col("part_path").alias("part"), F.col("_up").alias("path"), F.lit(True).alias("_mark")).distinct()
@@ -321,7 +321,7 @@ def materialised(tree: DataFrame, log: DataFrame) -> DataFrame:
         way = stored(way.where("up IS NULL").unionByName(joined.select("doc_id", "k", F.col("_up").alias("up"), F.concat("_path", "path").alias("path"), F.col("_part").alias("part"))), "ways")
     spots = units.join(way.select("doc_id", "k", F.col("part").alias("_to_part"), F.col("path").alias("_to")), ["doc_id", "k"], "left")
     parts = units.select("doc_id", F.col("part").alias("part_path")).distinct()
-    rows = whole.join(parts, KEY, "left_semi")
+    rows = whole.join(parts, KEY, "left_semi").hint("merge")
     near = T._prefixes(rows.select(*KEY, "path"), "_pre").join(spots.select("doc_id", F.col("part").alias("part_path"), F.col("path").alias("_pre"), "_to_part", "_to"), [*KEY, "_pre"])
     near = near.groupBy(*KEY, "path").agg(F.max(F.struct(F.size("_pre").alias("n"), "_to_part", "_to")).alias("u"))
     rows = rows.join(near, [*KEY, "path"], "left").where("u IS NULL OR u._to IS NOT NULL").where("u IS NOT NULL OR NOT part_path LIKE '+%'")

@@ -38,7 +38,7 @@ def spliced(parts: DataFrame, nodes: DataFrame, tree: DataFrame) -> DataFrame:
     edit changes its own range only. What stands before and behind the root stays too. A part is one row, as large as it is.
     """
     tree = stored(tree.select(*T.TREE), "tree")
-    nodes = nodes.join(tree.select(*KEY).distinct(), KEY, "left_semi")
+    nodes = nodes.join(tree.select(*KEY).distinct(), KEY, "left_semi").hint("merge")
     old = nodes.select(*T.TREE, "src_start", "src_end")
     before = subtree_hashes(old).join(old.where("kind = 'element'").select(*KEY, "path", "src_start", "src_end"), [*KEY, "path"])
     before = before.select(*KEY, "rows", "h1", "h2", F.col("path").alias("_old"), "src_start", "src_end")
@@ -47,8 +47,7 @@ def spliced(parts: DataFrame, nodes: DataFrame, tree: DataFrame) -> DataFrame:
     pick = F.min(F.struct((F.col("_old") != F.col("path")).alias("far"), F.col("_old"), F.col("src_start"), F.col("src_end")))
     clean = after.join(before, [*KEY, "rows", "h1", "h2"]).groupBy(*KEY, "path").agg(pick.alias("x"))
     clean = stored(clean.select(*KEY, "path", F.col("x.src_start").alias("src_start"), F.col("x.src_end").alias("src_end")), "clean")
-    inside = T._prefixes(tree.select(*KEY, "path")).join(clean.select(*KEY, F.col("path").alias("_up")), [*KEY, "_up"], "left_semi").where(F.size("_up") < F.size("path")).select(*KEY, "path").distinct()
-    rest = tree.join(inside, [*KEY, "path"], "left_anti").join(clean, [*KEY, "path"], "left")
+    rest = T._held(tree, clean, "src_start", "src_end").where("_at IS NULL OR path = _at").drop("_at")
     # dirty elements whose start tag is as it was: from their first byte to that of their first child
     kids = old.where(F.size("path") > 1).groupBy(*KEY, F.slice("path", 1, F.size("path") - 1).alias("path")).agg(F.min("src_start").alias("_inner"))
     same = old.where("kind = 'element'").select(*KEY, "path", F.col("name").alias("_name"), F.col("attrs").alias("_attrs"), F.col("src_start").alias("_begin")).join(kids, [*KEY, "path"])

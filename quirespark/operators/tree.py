@@ -35,8 +35,8 @@ def tree_of(nodes: DataFrame) -> DataFrame:
 
 
 def _prefixes(tree: DataFrame, name: str = "_up") -> DataFrame:
-    """Each row once for itself and each of its ancestors, with the path of that in `name`."""
-    return tree.withColumn(name, F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda k: F.slice("path", 1, k))))
+    """Each row once for itself and each of its ancestors, with the path of that in `name`. Many times the rows of the tree: joins with it sort and merge, see `stored`."""
+    return tree.withColumn(name, F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda k: F.slice("path", 1, k)))).hint("merge")
 
 
 def _named(targets: DataFrame, *more: str) -> DataFrame:

@@ -33,3 +33,11 @@ def test_subtree_edits_pass_once_without_a_row_for_each_ancestor(spark):
     # of targets in each other the outermost counts, also for what comes after the inner one's end
     kept = T.set_text(t, at.withColumn("text", F.lit("new")))
     assert sorted(r.name or r.text for r in kept.where("doc_id = '0'").collect()) == ["a", "b", "b", "new", "new"]
+
+
+def test_rows_for_each_ancestor_are_not_broadcast(spark):
+    """Trees put together from written ones have no sizes of their own either, and a row for each ancestor is more than the tree."""
+    t = tree(spark, "<a><b/><c/></a>")
+    both = t.unionByName(t.withColumn("part_path", F.lit("+1.0")))
+    plan = plan_of(T._prefixes(both).join(both.where("name = 'b'").select(*T.KEY, F.col("path").alias("_up")), [*T.KEY, "_up"], "left_semi"))
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
