@@ -30,8 +30,8 @@ REFUSED = "\x00"  # begins a fragment that is a message: why there can't be one
 
 
 def tree_of(nodes: DataFrame) -> DataFrame:
-    """Tree rows of the node table; names are those under the usual prefixes, see `part_bytes`."""
-    return nodes.select(*TREE)
+    """Tree rows of the node table; names are those under the usual prefixes, see `part_bytes`. A table of these columns alone is taken as it is, and not written again."""
+    return nodes if nodes.columns == TREE else nodes.select(*TREE)
 
 
 def _prefixes(tree: DataFrame, name: str = "_up") -> DataFrame:

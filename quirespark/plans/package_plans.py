@@ -82,10 +82,15 @@ def package_parts(spark, sf_dir) -> DataFrame:
     return docs.select(F.col("d").cast("string").alias("doc_id"), F.explode(parts).alias("s")).select("doc_id", F.col("s.p").alias("part_path"), F.encode("s.x", "UTF-8").alias("content"))
 
 
-def nodes_of(spark, sf_dir, *parts: str) -> DataFrame:
-    """The nodes of these parts, or of all: written, as most queries read them more than once."""
+def nodes_of(spark, sf_dir, *parts: str, columns=None, within=None) -> DataFrame:
+    """The nodes of these parts, or of all: written, as most queries read them more than once. columns, within: what the query reads of them, see `xml_nodes`."""
     made = package_parts(spark, sf_dir)
-    return stored(P.xml_nodes(made.where(F.col("part_path").isin(*parts)) if parts else made, dealt=True), "nodes")
+    return stored(P.xml_nodes(made.where(F.col("part_path").isin(*parts)) if parts else made, True, columns, within), "nodes")
+
+
+def tree_rows(spark, sf_dir) -> DataFrame:
+    """The trees of the bodies, written."""
+    return T.tree_of(nodes_of(spark, sf_dir, DOC, columns=T.TREE))
 
 
 DOC, RELS, STYLES, NUMBERS = "word/document.xml", "word/_rels/document.xml.rels", "word/styles.xml", "word/numbering.xml"
@@ -109,7 +114,7 @@ def package_style_chain(spark, sf_dir):
 
 
 def package_semantics(spark, sf_dir):
-    nodes = nodes_of(spark, sf_dir, DOC, STYLES, NUMBERS)
+    nodes = nodes_of(spark, sf_dir, DOC, STYLES, NUMBERS, columns=P.READ, within=(*P.OF_PARAGRAPHS, "w:style", "w:num", "w:abstractNum", "w:lvl"))
     rows = X.semantics(P.paragraphs(nodes), heading_levels(P.styles(nodes)), X.bullet_lists(*X.numbering(nodes)))
     return rows.groupBy("doc_id", "kind", "level").agg(F.count("*").alias("n"))
 
@@ -132,7 +137,7 @@ def package_comments(spark, sf_dir):
 
 
 def package_revisions(spark, sf_dir):
-    return P.revisions(nodes_of(spark, sf_dir, DOC)).select("doc_id", F.col("id").cast("long").alias("id"), "kind", "author", "text", F.col("paragraph_index").cast("long").alias("paragraph_index"))
+    return P.revisions(nodes_of(spark, sf_dir, DOC, columns=P.READ, within=P.OF_REVISIONS)).select("doc_id", F.col("id").cast("long").alias("id"), "kind", "author", "text", F.col("paragraph_index").cast("long").alias("paragraph_index"))
 
 
 def package_bullets(spark, sf_dir):
@@ -153,7 +158,7 @@ def package_notes(spark, sf_dir):
 
 
 def package_fields(spark, sf_dir):
-    f = X.fields(nodes_of(spark, sf_dir, DOC))
+    f = X.fields(nodes_of(spark, sf_dir, DOC, columns=P.READ, within=("w:fldSimple", "w:instrText", "w:t")))
     return f.withColumn("p", X.parsed_code(F.col("code"))).select("doc_id", "code", "result", "form", "closed", "depth", F.col("p.kind").alias("kind"), F.col("p.argument").alias("argument"), F.col("p.format").alias("format"))
 
 
@@ -171,28 +176,29 @@ def package_properties(spark, sf_dir):
 
 def package_round_trip(spark, sf_dir):
     """Every part parsed, written, parsed again: the same tree."""
-    nodes = nodes_of(spark, sf_dir)
-    new = P.fingerprints(P.xml_nodes(T.part_bytes(T.tree_of(nodes)), dealt=True)).withColumnRenamed("fingerprint", "new")
+    read = (*T.TREE, "node_id", "depth", "local_name", "ns_uri")
+    nodes = nodes_of(spark, sf_dir, columns=read)
+    new = P.fingerprints(P.xml_nodes(T.part_bytes(T.tree_of(nodes)), True, read)).withColumnRenamed("fingerprint", "new")
     return P.fingerprints(nodes).join(new, ["doc_id", "part_path"], "full_outer").groupBy("part_path").agg(F.count("*").alias("parts"), F.count_if(F.col("fingerprint") == F.col("new")).alias("same"))
 
 
 def _after(tree: DataFrame) -> DataFrame:
-    return P.paragraphs(P.xml_nodes(T.part_bytes(tree), dealt=True))
+    return P.paragraphs(P.xml_nodes(T.part_bytes(tree), True, P.READ, P.OF_PARAGRAPHS))
 
 
 def package_accept(spark, sf_dir):
-    tree = D.settle_revisions(T.tree_of(nodes_of(spark, sf_dir, DOC)), True)
+    tree = D.settle_revisions(tree_rows(spark, sf_dir), True)
     return _after(tree).select("doc_id", F.col("ord").cast("long").alias("ord"), "para_id", "text")
 
 
 def package_reject(spark, sf_dir):
-    tree = D.settle_revisions(T.tree_of(nodes_of(spark, sf_dir, DOC)), False)
+    tree = D.settle_revisions(tree_rows(spark, sf_dir), False)
     return _after(tree).select("doc_id", F.col("ord").cast("long").alias("ord"), "para_id", "text")
 
 
 def package_set_style(spark, sf_dir):
     """Every third paragraph of a body gets another style, every fourth none."""
-    tree = T.tree_of(nodes_of(spark, sf_dir, DOC))
+    tree = tree_rows(spark, sf_dir)
     at = D.elements(tree, "w:p", depth=3)
     style = F.when(F.col("ord") % 3 == 0, T.element("w:pStyle", w_val=F.concat(F.lit("S"), "ord")))
     tree = D.set_property(tree, "paragraph_style", at.where("ord % 3 = 0 OR ord % 4 = 0").select(*T.KEY, "path", style.alias("xml")))
@@ -201,7 +207,7 @@ def package_set_style(spark, sf_dir):
 
 def package_insert(spark, sf_dir):
     """A paragraph and a table after every fifth paragraph of a body."""
-    tree = T.tree_of(nodes_of(spark, sf_dir, DOC))
+    tree = tree_rows(spark, sf_dir)
     at = D.elements(tree, "w:p", depth=3).where("ord % 5 = 0").select(*T.KEY, "path", F.lit("after").alias("where"), "ord")
     new = F.array(F.struct(F.lit(0).alias("k"), D.paragraph_xml(F.concat(F.lit("after "), "ord")).alias("xml")), F.struct(F.lit(1).alias("k"), D.table_xml(F.array(F.array(F.lit("x"), F.lit("y")))).alias("xml")))
     tree = T.insert(tree, at.select("*", F.explode(new).alias("n")).select(*T.KEY, "path", "where", "n.k", "n.xml"), ["k"])
@@ -210,14 +216,14 @@ def package_insert(spark, sf_dir):
 
 
 def package_delete_table(spark, sf_dir):
-    tree = T.tree_of(nodes_of(spark, sf_dir, DOC))
+    tree = tree_rows(spark, sf_dir)
     tree = T.remove(tree, D.elements(tree, "w:tbl").where("ord % 2 = 0"))
     return _after(tree).groupBy("doc_id").agg(F.count("*").alias("paragraphs"), F.count_if("in_table").alias("in_tables"))
 
 
 def package_move(spark, sf_dir):
     """Each body's last paragraph comes first."""
-    tree = T.tree_of(nodes_of(spark, sf_dir, DOC))
+    tree = tree_rows(spark, sf_dir)
     at = D.elements(tree, "w:p", depth=3)
     ends = at.groupBy(*T.KEY).agg(F.max_by("path", "ord").alias("path"), F.min_by("path", "ord").alias("to")).withColumn("where", F.lit("before"))
     return _after(T.move(tree, ends, ["path"])).select("doc_id", F.col("ord").cast("long").alias("ord"), "para_id")
@@ -225,19 +231,19 @@ def package_move(spark, sf_dir):
 
 def package_delete_marks(spark, sf_dir):
     """Bookmarks of every other customer, all comments and all footnotes go."""
-    nodes = nodes_of(spark, sf_dir, DOC, "word/comments.xml", "word/footnotes.xml")
+    nodes = nodes_of(spark, sf_dir, DOC, "word/comments.xml", "word/footnotes.xml", columns=(*P.READ, "path"), within=("w:p", "w:tbl", "w:comment", "w:footnote", "w:endnote", "w:t"))
     tree = T.tree_of(nodes)
     tree = D.delete_bookmarks(tree, X.bookmarks(nodes).where("id % 2 = 0"))
     tree = D.delete_notes(D.delete_comments(tree, P.comments(nodes)), X.notes(nodes))
-    left = P.xml_nodes(T.part_bytes(tree), dealt=True).where("kind = 'element'")
+    left = P.xml_nodes(T.part_bytes(tree), True, ("doc_id", "kind", "name")).where("kind = 'element'")
     names = "name IN ('w:bookmarkStart', 'w:bookmarkEnd', 'w:comment', 'w:commentRangeStart', 'w:commentRangeEnd', 'w:footnote', 'w:footnoteReference')"
     return left.where(names).groupBy("doc_id", "name").agg(F.count("*").alias("n"))
 
 
 def package_replace(spark, sf_dir):
     """A pattern that begins in a paragraph's first run and ends in the one after it, an insertion: all paragraphs, and the text of their first run."""
-    tree = T.tree_of(nodes_of(spark, sf_dir, DOC))
-    nodes = stored(P.xml_nodes(T.part_bytes(I.replace_in_runs(tree, r"0(\d) a", "X$1Y", regex=True))), "nodes")
+    tree = tree_rows(spark, sf_dir)
+    nodes = stored(P.xml_nodes(T.part_bytes(I.replace_in_runs(tree, r"0(\d) a", "X$1Y", regex=True)), True, P.READ, {*P.OF_PARAGRAPHS, *P.OF_RUNS}), "nodes")
     first = P.runs(nodes).where("run_idx = 0").select("doc_id", F.col("paragraph_id").alias("node_id"), F.col("text").alias("first_run"))
     return P.paragraphs(nodes).join(first, ["doc_id", "node_id"], "left").select("doc_id", F.col("ord").cast("long").alias("ord"), "para_id", "text", "first_run")
 
@@ -255,30 +261,30 @@ def _spots(tree: DataFrame, rest: int) -> DataFrame:
 
 def package_delete_revision(spark, sf_dir):
     """Characters 3 to 8 of every fourth paragraph, inside its first run, are deleted as a tracked change."""
-    tree = T.tree_of(nodes_of(spark, sf_dir, DOC))
+    tree = tree_rows(spark, sf_dir)
     tree = I.delete_text(tree, _spots(tree, 1).withColumns({"start": F.lit(3), "end": F.lit(8)}))
-    return _tracked(stored(P.xml_nodes(T.part_bytes(tree), dealt=True), "nodes"))
+    return _tracked(stored(P.xml_nodes(T.part_bytes(tree), True, P.READ, {*P.OF_PARAGRAPHS, *P.OF_REVISIONS}), "nodes"))
 
 
 def package_insert_revision(spark, sf_dir):
     """Text comes into every fourth paragraph after its fifth character, inside its first run, as a tracked change."""
-    tree = T.tree_of(nodes_of(spark, sf_dir, DOC))
+    tree = tree_rows(spark, sf_dir)
     tree = I.insert_text(tree, _spots(tree, 2).withColumns({"position": F.lit(5), "text": F.concat(F.lit("<"), F.col("c").cast("string"), F.lit(">"))}))
-    return _tracked(stored(P.xml_nodes(T.part_bytes(tree), dealt=True), "nodes"))
+    return _tracked(stored(P.xml_nodes(T.part_bytes(tree), True, P.READ, {*P.OF_PARAGRAPHS, *P.OF_REVISIONS}), "nodes"))
 
 
 def package_update_fields(spark, sf_dir):
     """The figures of every document numbered from 1 in the fields' results: all paragraphs."""
-    tree = U.update_fields(nodes_of(spark, sf_dir, DOC, "word/footnotes.xml"))
+    tree = U.update_fields(nodes_of(spark, sf_dir, DOC, "word/footnotes.xml", columns=(*P.READ, "path"), within=("w:fldSimple", "w:instrText", "w:t")))
     return _after(tree).select("doc_id", F.col("ord").cast("long").alias("ord"), "para_id", "text")
 
 
 def package_page_setup(spark, sf_dir):
-    tree = T.tree_of(nodes_of(spark, sf_dir, DOC))
+    tree = tree_rows(spark, sf_dir)
     at = D.elements(tree, "w:sectPr")
     tree = D.set_property(tree, "page_margins", at.select(*T.KEY, "path", T.element("w:pgMar", w_top="700", w_left="800").alias("xml")))
     tree = D.turned(tree, at.where("doc_id % 3 = 0"), False)
-    rows = X.sections(P.xml_nodes(T.part_bytes(tree), dealt=True))
+    rows = X.sections(P.xml_nodes(T.part_bytes(tree), True, P.READ, ("w:sectPr",)))
     return rows.select("doc_id", "width", "height", "landscape", F.col("margins.top").alias("top"), F.col("margins.left").alias("left"))
 
 

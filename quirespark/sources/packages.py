@@ -7,8 +7,8 @@ after that is DataFrame work on (doc_id, part_path, content) or on the node tabl
 import io
 import re
 import zipfile
-from collections.abc import Iterable, Iterator, Sized
-from itertools import accumulate
+from collections.abc import Iterable, Iterator, Sequence, Sized
+from itertools import accumulate, chain
 from xml.parsers import expat
 
 import pyarrow as pa
@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 
 MOST_DEPTH = 1024
 ATTRIBUTES = "array<struct<name:string,value:string,raw:string>>"
-NODES = (
-    f"doc_id string, part_path string, node_id long, parent_id long, ord int, depth int, kind string, name string, attrs {ATTRIBUTES}, text string, src_start long, src_end long, "
-    "within map<string,struct<node_id:long,nest:int>>, prefix string, local_name string, ns_uri string, path array<double>"
-)
+_TYPES = {
+    "doc_id": "string", "part_path": "string", "node_id": "long", "parent_id": "long", "ord": "int", "depth": "int", "kind": "string", "name": "string", "attrs": ATTRIBUTES, "text": "string", "src_start": "long", "src_end": "long",
+    "within": "map<string,struct<node_id:long,nest:int>>", "prefix": "string", "local_name": "string", "ns_uri": "string", "path": "array<double>",
+}
+NODES = ", ".join(f"{name} {kind}" for name, kind in _TYPES.items())
 # Namespaces of the format and the prefixes by which operators name them, whatever prefix a part binds them to.
 PREFIXES = {
     "http://schemas.openxmlformats.org/wordprocessingml/2006/main": "w",
@@ -75,68 +76,124 @@ def named(name: str, scope: dict[str, str], element: bool) -> tuple[str, str, st
     return (f"{usual}:{local}" if usual else local), prefix, local, uri
 
 
+class _Parsed:
+    """The nodes of a part in document order, a list for each column; attributes of all nodes lie end to end. `around` has the elements of `within` by their node_id."""
+
+    def __init__(self, doc: str, part: str, data: bytes, within: frozenset[str] | None = None):
+        self.doc, self.part = doc, part
+        self.parent, self.ord, self.depth, self.kind, self.names, self.text, self.start, self.end, self.path, self.around, self.nest = [], [], [], [], [], [], [], [], [], [], []
+        self.attributes, self.attribute_names, self.attribute_values, self.attribute_raws = [], [], [], []
+        stack: list[int] = []
+        counts: list[int] = [0]
+        open_of: dict[str, list[int]] = {}  # the open elements of each name
+        around: list[tuple[int, ...]] = [()]
+        scopes: list[dict[str, str]] = [{}]
+        known: list[tuple[dict[str, tuple], dict[str, str]]] = [({}, {})]  # names of elements and attributes met in the scope
+        paths: list[tuple[float, ...]] = [()]
+        parser = expat.ParserCreate()
+        parser.ordered_attributes, parser.buffer_text = True, False
+
+        def open_(kind: str, of: tuple, text: str | None, nest: int = 0, attributes: int = 0) -> None:
+            if len(stack) >= MOST_DEPTH:
+                raise ValueError(f"{part} of {doc} is nested deeper than {MOST_DEPTH}")
+            self.parent.append(stack[-1] if stack else None)
+            self.ord.append(counts[-1])
+            self.depth.append(len(stack))
+            self.kind.append(kind)
+            self.names.append(of)
+            self.text.append(text)
+            self.start.append(parser.CurrentByteIndex)
+            self.end.append(None)
+            self.path.append((*paths[-1], float(counts[-1])))
+            self.around.append(around[-1])
+            self.nest.append(nest)
+            self.attributes.append(attributes)
+            counts[-1] += 1
+
+        def start(name: str, attrs: list[str]) -> None:
+            bound = {a.partition(":")[2]: v for a, v in zip(attrs[::2], attrs[1::2]) if a.startswith("xmlns") and (a == "xmlns" or a[5] == ":")} if attrs else None
+            scopes.append(scopes[-1] | bound if bound else scopes[-1])
+            known.append(({}, {}) if bound else known[-1])
+            of_elements, of_attributes = known[-1]
+            of = of_elements.get(name)
+            if of is None:
+                of = of_elements[name] = named(name, scopes[-1], True)
+            if attrs:
+                for raw in attrs[::2]:
+                    usual = of_attributes.get(raw)
+                    if usual is None:
+                        usual = of_attributes[raw] = named(raw, scopes[-1], False)[0]
+                    self.attribute_names.append(usual)
+                self.attribute_raws += attrs[::2]
+                self.attribute_values += attrs[1::2]
+            own, nest = len(self.kind), 0
+            if within is None or of[0] in within:
+                same = open_of.setdefault(of[0], [])
+                nest = len(same)
+                around.append(tuple(own if x == same[-1] else x for x in around[-1]) if same else (*around[-1], own))
+                same.append(own)
+            else:
+                around.append(around[-1])
+            open_("element", of, None, nest, len(attrs) // 2)
+            paths.append(self.path[-1])
+            stack.append(own)
+            counts.append(0)
+
+        def end(name: str) -> None:
+            at, own = parser.CurrentByteIndex, stack.pop()
+            # of an empty-element tag the end is reported behind it, of others where the end tag begins
+            empty = own == len(self.kind) - 1 and data[at - 2 : at] == b"/>"
+            self.end[own] = at if empty else data.find(b">", at) + 1
+            usual = self.names[own][0]
+            if within is None or usual in within:
+                open_of[usual].pop()
+            for x in (counts, around, scopes, known, paths):
+                x.pop()
+
+        def text(value: str) -> None:
+            if self.kind and self.kind[-1] == "text" and self.parent[-1] == (stack[-1] if stack else None):
+                self.text[-1] += value
+            else:
+                open_("text", (None,) * 4, value)
+
+        def no_dtd(*_: object) -> None:
+            raise ValueError(f"{part} of {doc} has a document type declaration")
+
+        parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler, parser.StartDoctypeDeclHandler = start, end, text, no_dtd
+        parser.CommentHandler = lambda value: open_("comment", (None,) * 4, value)
+        parser.ProcessingInstructionHandler = lambda name, value: open_("instruction", (name, None, name, None), value)
+        parser.Parse(data, True)
+
+    def column(self, name: str) -> pa.Array:
+        """A column of the node table; lists and maps are laid end to end, which is several times as fast as a conversion of each."""
+        n = len(self.kind)
+        if name in ("name", "prefix", "local_name", "ns_uri"):
+            k = ("name", "prefix", "local_name", "ns_uri").index(name)
+            return pa.array([x[k] for x in self.names], pa.string())
+        if name == "attrs":
+            lists = [self.attribute_names, self.attribute_values, self.attribute_raws]
+            return pa.ListArray.from_arrays(pa.array([0, *accumulate(self.attributes)], pa.int32()), pa.StructArray.from_arrays([pa.array(x, pa.string()) for x in lists], ["name", "value", "raw"]))
+        if name == "within":
+            ids = pa.array(list(chain.from_iterable(self.around)), pa.int64())
+            nest = pa.array(self.nest, pa.int32()).take(ids)
+            return pa.MapArray.from_arrays(_offsets(self.around), self.column("name").take(ids), pa.StructArray.from_arrays([ids, nest], ["node_id", "nest"]))
+        if name == "path":
+            return pa.ListArray.from_arrays(_offsets(self.path), pa.array(list(chain.from_iterable(self.path)), pa.float64()))
+        if name in ("doc_id", "part_path"):
+            return pa.repeat(pa.scalar(self.doc if name == "doc_id" else self.part, pa.string()), n)
+        plain = {"node_id": range(n), "parent_id": self.parent, "ord": self.ord, "depth": self.depth, "kind": self.kind, "text": self.text, "src_start": self.start, "src_end": self.end}
+        return pa.array(plain[name], _NODE_COLUMNS.field(name).type)
+
+
 def _xml_rows(doc: str, part: str, data: bytes) -> list[list]:
-    """The rows of a part as NODES has them, but `within` a dict of pairs (shared by the nodes that stand in the same element)."""
-    rows: list[list] = []
-    stack: list[int] = []
-    counts: list[int] = [0]
-    within: list[dict[str, tuple[int, int]]] = [{}]
-    scopes: list[dict[str, str]] = [{}]
-    known: list[tuple[dict[str, tuple], dict[str, str]]] = [({}, {})]  # names of elements and attributes met in the scope
-    path: list[float] = []
-    parser = expat.ParserCreate()
-    parser.ordered_attributes, parser.buffer_text = True, False
-
-    def open_(kind: str, of: tuple, attrs: list[dict], text: str | None) -> None:
-        if len(stack) >= MOST_DEPTH:
-            raise ValueError(f"{part} of {doc} is nested deeper than {MOST_DEPTH}")
-        name, prefix, local, uri = of
-        rows.append([doc, part, len(rows), stack[-1] if stack else None, counts[-1], len(stack), kind, name, attrs, text, parser.CurrentByteIndex, None, within[-1], prefix, local, uri, [*path, float(counts[-1])]])
-        counts[-1] += 1
-
-    def start(name: str, attrs: list[str]) -> None:
-        bound = {a.partition(":")[2]: v for a, v in zip(attrs[::2], attrs[1::2]) if a.startswith("xmlns") and (a == "xmlns" or a[5] == ":")}
-        scopes.append(scopes[-1] | bound if bound else scopes[-1])
-        known.append(({}, {}) if bound else known[-1])
-        of_elements, of_attributes = known[-1]
-        of = of_elements.get(name)
-        if of is None:
-            of = of_elements[name] = named(name, scopes[-1], True)
-        pairs = []
-        for raw, value in zip(attrs[::2], attrs[1::2]):
-            usual = of_attributes.get(raw)
-            if usual is None:
-                usual = of_attributes[raw] = named(raw, scopes[-1], False)[0]
-            pairs.append({"name": usual, "value": value, "raw": raw})
-        above = within[-1].get(of[0])
-        within.append(within[-1] | {of[0]: (len(rows), above[1] + 1 if above else 0)})
-        open_("element", of, pairs, None)
-        path.append(float(counts[-1] - 1))
-        stack.append(len(rows) - 1)
-        counts.append(0)
-
-    def end(name: str) -> None:
-        at, own = parser.CurrentByteIndex, stack.pop()
-        # of an empty-element tag the end is reported behind it, of others where the end tag begins
-        empty = own == len(rows) - 1 and data[at - 2 : at] == b"/>"
-        rows[own][11] = at if empty else data.find(b">", at) + 1
-        for x in (counts, within, scopes, known, path):
-            x.pop()
-
-    def text(value: str) -> None:
-        if rows and rows[-1][6] == "text" and rows[-1][3] == (stack[-1] if stack else None):
-            rows[-1][9] += value
-        else:
-            open_("text", (None,) * 4, [], value)
-
-    def no_dtd(*_: object) -> None:
-        raise ValueError(f"{part} of {doc} has a document type declaration")
-
-    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler, parser.StartDoctypeDeclHandler = start, end, text, no_dtd
-    parser.CommentHandler = lambda value: open_("comment", (None,) * 4, [], value)
-    parser.ProcessingInstructionHandler = lambda name, value: open_("instruction", (name, None, name, None), [], value)
-    parser.Parse(data, True)
-    return rows
+    """The rows of a part as NODES has them, but `within` a dict of pairs."""
+    p = _Parsed(doc, part, data)
+    ends = list(accumulate(p.attributes))
+    attrs = [{"name": a, "value": v, "raw": r} for a, v, r in zip(p.attribute_names, p.attribute_values, p.attribute_raws, strict=True)]
+    return [
+        [doc, part, k, p.parent[k], p.ord[k], p.depth[k], p.kind[k], p.names[k][0], attrs[ends[k] - p.attributes[k] : ends[k]], p.text[k], p.start[k], p.end[k], {p.names[x][0]: (x, p.nest[x]) for x in p.around[k]}, *p.names[k][1:], list(p.path[k])]
+        for k in range(len(p.kind))
+    ]
 
 
 _NODE_COLUMNS = pa.schema(
@@ -144,26 +201,14 @@ _NODE_COLUMNS = pa.schema(
     + [("attrs", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string()), ("raw", pa.string())]))), ("text", pa.string()), ("src_start", pa.int64()), ("src_end", pa.int64())]
     + [("within", pa.map_(pa.string(), pa.struct([("node_id", pa.int64()), ("nest", pa.int32())]))), ("prefix", pa.string()), ("local_name", pa.string()), ("ns_uri", pa.string()), ("path", pa.list_(pa.float64()))]
 )
+_BATCH_ROWS = 8192
 
 
 def _offsets(lists: Iterable[Sized]) -> pa.Array:
     return pa.array([0, *accumulate(map(len, lists))], pa.int32())
 
 
-def _node_batch(rows: list[list]) -> pa.RecordBatch:
-    """The rows of a part as a batch; lists and maps are laid end to end, which is several times as fast as a conversion of each."""
-    columns = list(zip(*rows, strict=True))
-    attrs = [a for x in columns[8] for a in x]
-    pairs = [v for x in columns[12] for v in x.values()]
-    nested = {
-        8: lambda: pa.ListArray.from_arrays(_offsets(columns[8]), pa.StructArray.from_arrays([pa.array([a[k] for a in attrs], pa.string()) for k in ("name", "value", "raw")], ["name", "value", "raw"])),
-        12: lambda: pa.MapArray.from_arrays(_offsets(columns[12]), pa.array([k for x in columns[12] for k in x], pa.string()), pa.StructArray.from_arrays([pa.array([i for i, _ in pairs], pa.int64()), pa.array([n for _, n in pairs], pa.int32())], ["node_id", "nest"])),
-        16: lambda: pa.ListArray.from_arrays(_offsets(columns[16]), pa.array([v for x in columns[16] for v in x], pa.float64())),
-    }
-    return pa.RecordBatch.from_arrays([nested[k]() if k in nested else pa.array(c, f.type) for k, (c, f) in enumerate(zip(columns, _NODE_COLUMNS, strict=True))], schema=_NODE_COLUMNS)
-
-
-def xml_nodes(parts: DataFrame, dealt: bool = False) -> DataFrame:
+def xml_nodes(parts: DataFrame, dealt: bool = False, columns: Sequence[str] | None = None, within: Iterable[str] | None = None) -> DataFrame:
     """The node table of all XML parts: an adjacency list in document order, with attributes in their order and the bytes of each element.
 
     `name` is the element's name under the usual prefix of its namespace, so operators find w:p whatever prefix a part
@@ -173,16 +218,29 @@ def xml_nodes(parts: DataFrame, dealt: bool = False) -> DataFrame:
     White space is kept, CDATA is text, entities are decoded. A part with a document type declaration or nested deeper
     than MOST_DEPTH is an error, as is one that isn't well formed. dealt: parts that were made by a query go to as many
     tasks as shuffles have partitions first; a shuffle of few bytes would bring them to one task, and parsing is work.
+    columns: only these are made; within: only these kinds of elements are named there (both: all, where not given).
+    A row of all columns has a dozen entries in `within` alone, so what reads few of them should say so.
     """
     if dealt:
         parts = parts.repartition(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id", "part_path")
+    wanted = list(columns or _TYPES)
+    kinds = None if within is None else frozenset(within)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready, n = [], 0
         for batch in batches:
             for doc, part, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                yield _node_batch(_xml_rows(doc, part, data))
+                p = _Parsed(doc, part, data, kinds)
+                ready.append(pa.RecordBatch.from_arrays([p.column(c) for c in wanted], wanted))
+                n += len(p.kind)
+                if n >= _BATCH_ROWS:
+                    yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
+                    ready, n = [], 0
+        if ready:
+            yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
 
-    return parts.where(F.col("part_path").rlike(r"\.(xml|rels)$")).select("doc_id", "part_path", "content").mapInArrow(parse, NODES)
+    rows = parts.where(F.col("part_path").rlike(r"\.(xml|rels)$")).select("doc_id", "part_path", "content")
+    return rows.mapInArrow(parse, ", ".join(f"{c} {_TYPES[c]}" for c in wanted))
 
 
 def attribute(name: str) -> Column:
@@ -276,6 +334,11 @@ def comments(nodes: DataFrame) -> DataFrame:
 # The elements that mark changes to content, and to formatting.
 CHANGES = {"w:ins": "insertion", "w:del": "deletion", "w:moveFrom": "moveFrom", "w:moveTo": "moveTo"}
 FORMAT_CHANGES = {"w:rPrChange": "formatting", "w:pPrChange": "paragraphChange", "w:sectPrChange": "sectionChange", "w:tblPrChange": "tableChange"}
+#: What `paragraphs`, `runs` and `revisions` read of the node table, its columns and the kinds of elements in `within`; see `xml_nodes`.
+READ = ("doc_id", "part_path", "node_id", "kind", "name", "attrs", "text", "within")
+OF_PARAGRAPHS = ("w:p", "w:t", "w:tabs", "w:pPrChange", "w:tbl")
+OF_RUNS = ("w:r", "w:p", "w:t", "w:delText", "w:rPrChange", *CHANGES)
+OF_REVISIONS = ("w:p", *CHANGES, *FORMAT_CHANGES)
 
 
 def _change_kind() -> Column:

@@ -41,3 +41,17 @@ def test_rows_for_each_ancestor_are_not_broadcast(spark):
     both = t.unionByName(t.withColumn("part_path", F.lit("+1.0")))
     plan = plan_of(T._prefixes(both).join(both.where("name = 'b'").select(*T.KEY, F.col("path").alias("_up")), [*T.KEY, "_up"], "left_semi"))
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_only_the_columns_that_are_read_are_made(spark):
+    """A row of all columns has a dozen entries in `within` alone: queries name what they read, and the trees made so are not written again."""
+    xml = b'<w:a xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:p w:x="1"><w:r><w:p>t</w:p></w:r></w:p><!--c--></w:a>'
+    parts = spark.createDataFrame([(str(k), "word/document.xml", xml) for k in range(3)], "doc_id string, part_path string, content binary")
+    every, few = xml_nodes(parts), xml_nodes(parts, columns=["doc_id", "node_id", "within", "path"], within=["w:p"])
+    assert few.columns == ["doc_id", "node_id", "within", "path"] and few.count() == every.count() == 18
+    kept = F.map_filter("within", lambda k, v: k == "w:p")
+    want = {(r.doc_id, r.node_id): (r.path, r.w) for r in every.select("doc_id", "node_id", "path", kept.alias("w")).collect()}
+    assert {(r.doc_id, r.node_id): (r.path, r.within) for r in few.collect()} == want
+    assert max(r.w["w:p"].nest for r in every.select(kept.alias("w")).collect() if r.w) == 1
+    t = stored(xml_nodes(parts, columns=T.TREE), "tree")
+    assert stored(T.tree_of(t), "tree") is t
