@@ -28,7 +28,7 @@ def chains(nodes: DataFrame, keys: list[str]) -> DataFrame:
             *(F.col(f"a.{k}").alias(k) for k in keys), F.col("a.id").alias("id"), F.coalesce("b.far", "a.far").alias("far"), (F.col("a.depth") + F.coalesce("b.depth", F.lit(0))).alias("depth"), F.col("b.far").isNotNull().alias("moved")
         )
         joined.write.parquet(path := scratch_path(spark, "chains"))
-        stored = spark.read.parquet(path)
+        stored = spark.read.parquet(path).hint("merge")  # as in `scratch.stored`
         up = stored.drop("moved")
         step *= 2
         if stored.where("moved").isEmpty():
@@ -54,7 +54,7 @@ def heading_levels(styles: DataFrame) -> DataFrame:
         a, b = rows.alias("a"), rows.alias("b")
         joined = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.up") == F.col("b.id")), "left").select("a.doc_id", "a.id", F.coalesce("a.level", "b.level").alias("level"), F.when(F.col("b.level").isNull(), F.col("b.up")).alias("up"))
         joined.write.parquet(path := scratch_path(spark, "headings"))
-        rows, step = spark.read.parquet(path), step * 2
+        rows, step = spark.read.parquet(path).hint("merge"), step * 2
         if rows.where("up IS NOT NULL").isEmpty():
             break
         largest = largest or styles.groupBy("doc_id").count().agg(F.max("count")).first()[0]
