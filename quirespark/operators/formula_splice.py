@@ -36,6 +36,17 @@ def carriers(tree: DataFrame) -> DataFrame:
     return found.join(paragraphs, [*KEY, "_p"], "left_semi").select(*KEY, F.col("_p").alias("path"), index.alias("index"), "carrier", "in_run")
 
 
+def _carried(tree: DataFrame, carriers: DataFrame) -> DataFrame:
+    """The rows of the tree once for each carrier (doc_id, part_path, path, in_run) that they stand in or are, its path in `_up`. A pass takes the outermost carriers, the next one those that stand in these (in text boxes)."""
+    left, out = stored(carriers.distinct(), "carriers"), None
+    while True:
+        rows = T._held(tree, left, "in_run").where("_at IS NOT NULL").withColumnRenamed("_at", "_up")
+        out = rows if out is None else out.unionByName(rows)
+        left = stored(T._held(left, left).where("_at <> path").drop("_at"), "carriers")
+        if left.isEmpty():
+            return out
+
+
 def splice(tree: DataFrame, splices: DataFrame, properties: str = "all") -> DataFrame:
     """The tree with copies of formulas.
 
@@ -47,7 +58,7 @@ def splice(tree: DataFrame, splices: DataFrame, properties: str = "all") -> Data
     """
     if properties not in ("all", "formula", "none"):
         raise ValueError(f"no such properties: {properties}")
-    tree, splices = stored(tree.select(*TREE), "tree"), stored(splices, "splices")
+    tree, splices = stored(T.tree_of(tree), "tree"), stored(splices, "splices")
     known = carriers(tree).select(F.col("doc_id").alias("source_doc"), F.col("part_path").alias("source_part"), F.col("path").alias("source_path"), "index", "carrier", "in_run")
     counts = known.groupBy(*_SOURCE).agg(F.count("*").alias("_n"))
     targets = tree.where("name = 'w:p'").select(*KEY, "path", F.lit(True).alias("_there"))
@@ -64,7 +75,7 @@ def splice(tree: DataFrame, splices: DataFrame, properties: str = "all") -> Data
     rows = stored(rows.where(F.when(fail.isNotNull(), F.raise_error(fail).cast("boolean")).otherwise(True)), "splices")
 
     # what is copied, before runs of the targets are split
-    content = T._prefixes(tree).join(rows.select(F.col("source_doc").alias("doc_id"), F.col("source_part").alias("part_path"), F.col("carrier").alias("_up"), "in_run").distinct(), [*KEY, "_up"])
+    content = _carried(tree, rows.select(F.col("source_doc").alias("doc_id"), F.col("source_part").alias("part_path"), F.col("carrier").alias("path"), "in_run"))
     tail = F.slice("path", F.size("_up") + 1, F.greatest(F.size("path") - F.size("_up"), F.lit(0)))
     content = content.select(F.col("doc_id").alias("source_doc"), F.col("part_path").alias("source_part"), F.col("_up").alias("carrier"), tail.alias("tail"), "in_run", "kind", "name", "attrs", "text")
     if properties != "all":
@@ -97,7 +108,7 @@ def splice(tree: DataFrame, splices: DataFrame, properties: str = "all") -> Data
 
 def contexts(tree: DataFrame, pairs: DataFrame) -> DataFrame:
     """Splices for every formula of the source paragraphs of pairs(id, doc_id, part_path, path, source_doc, source_part, source_path): after what the target has of the CONTEXT characters of text before it, at the end where there are none. Formulas of a source paragraph keep their order (id is that of the pair and the index)."""
-    tree = stored(tree.select(*TREE), "tree")
+    tree = stored(T.tree_of(tree), "tree")
     known = carriers(tree).join(pairs.select(F.col("source_doc").alias("doc_id"), F.col("source_part").alias("part_path"), F.col("source_path").alias("path")).distinct(), [*KEY, "path"], "left_semi")
     texts = I.pieces(tree).select(*KEY, F.col("surface").alias("path"), "run", F.struct(F.col("path").alias("p"), "text").alias("t"))
     before = known.join(texts, [*KEY, "path"], "left").groupBy(*KEY, "path", "index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("run") < F.col("carrier"), F.col("t")))), lambda x: x["text"]), "").alias("_before"))

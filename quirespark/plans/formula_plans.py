@@ -30,6 +30,11 @@ _SHAPES = (
 )
 
 
+#: What the queries read of the nodes.
+COLUMNS = (*P.READ, "path", "ord")
+WITHIN = ("w:p", "w:t", "w:tabs", "m:oMath", "mc:Choice", *M.HOLDERS)
+
+
 def formula_nodes(spark, sf_dir) -> DataFrame:
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("s"), "p_brand")
     args = [F.col("k").cast("string"), F.col("s").cast("string"), F.col("p_brand"), F.when(F.col("s") % 3 == 0, "∏").when(F.col("s") % 3 == 1, "?").otherwise("∑"), (F.col("s") % 2 == 0).cast("int").cast("string")]
@@ -37,7 +42,7 @@ def formula_nodes(spark, sf_dir) -> DataFrame:
     xml = F.concat(F.lit("<w:p><w:r><w:t>see </w:t></w:r>"), shape, F.lit("<w:r><w:t> end</w:t></w:r></w:p>"))
     docs = p.select(F.floor(F.col("k") / DOC_ROWS).cast("string").alias("doc_id"), "k", xml.alias("x")).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda r: r["x"]), "").alias("body"))
     content = F.encode(F.concat(F.lit(f"<w:document {_NS}><w:body>"), "body", F.lit("</w:body></w:document>")), "UTF-8")
-    return stored(P.xml_nodes(docs.select("doc_id", F.lit("word/document.xml").alias("part_path"), content.alias("content")), dealt=True), "nodes")
+    return stored(P.xml_nodes(docs.select("doc_id", F.lit("word/document.xml").alias("part_path"), content.alias("content")), True, COLUMNS, WITHIN), "nodes")
 
 
 def package_formula_text(spark, sf_dir):
@@ -61,7 +66,7 @@ def _places(nodes: DataFrame) -> DataFrame:
 
 def _read(tree: DataFrame) -> DataFrame:
     """(doc_id, ord, text) of the parts' bytes."""
-    nodes = stored(P.xml_nodes(T.part_bytes(tree), dealt=True), "nodes")
+    nodes = stored(P.xml_nodes(T.part_bytes(tree), True, COLUMNS, WITHIN), "nodes")
     texts = M.display_texts(nodes)
     return texts.select("doc_id", (F.row_number().over(P.Window.partitionBy("doc_id").orderBy("node_id")) - 1).cast("long").alias("ord"), "text")
 

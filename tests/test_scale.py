@@ -55,3 +55,14 @@ def test_only_the_columns_that_are_read_are_made(spark):
     assert max(r.w["w:p"].nest for r in every.select(kept.alias("w")).collect() if r.w) == 1
     t = stored(xml_nodes(parts, columns=T.TREE), "tree")
     assert stored(T.tree_of(t), "tree") is t
+
+
+def test_formulas_are_copied_without_a_row_for_each_ancestor(spark):
+    from quirespark.operators import formula_splice as S
+
+    t = tree(spark, "<a><b><c><b><d/></b></c></b><b/></a>")
+    at = t.where("name = 'b' AND size(path) <> 1").select(*T.KEY, "path", F.lit(True).alias("in_run"))
+    got = S._carried(t, at)
+    assert sorted((len(r._up), r.name) for r in got.collect()) == [(2, "b"), (2, "b"), (2, "b"), (2, "c"), (2, "d"), (4, "b"), (4, "d")]
+    plan = plan_of(got)
+    assert "Generate" not in plan and "Join" not in plan
