@@ -312,7 +312,7 @@ def materialised(tree: DataFrame, log: DataFrame) -> DataFrame:
     ups = done.select("doc_id", "part", "path").withColumn("_pre", F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda n: F.slice("path", 1, n))))
     ups = ups.join(units.select("doc_id", "part", F.col("path").alias("_pre"), F.col("k").alias("_unit")), ["doc_id", "part", "_pre"]).groupBy("doc_id", "part", "path").agg(F.max(F.struct(F.size("_pre").alias("n"), "_unit")).alias("u"))
     ups = ups.select("doc_id", F.col("part").alias("_part"), F.col("path").alias("_path"), F.col("u._unit").alias("up"), F.col("u.n").alias("n"))
-    way = placed.join(ups, ["doc_id", "_part", "_path"], "left")
+    way = placed.join(ups.hint("merge"), ["doc_id", "_part", "_path"], "left")
     rel = F.concat(F.slice("_path", F.coalesce("n", F.lit(0)) + 1, F.size("_path") - F.coalesce("n", F.lit(0))), F.array(F.col("ord").cast("double")))
     way = stored(way.select("doc_id", "k", "up", rel.alias("path"), F.when(F.col("up").isNull(), F.col("_part")).alias("part")), "ways")
     while not way.where("up IS NOT NULL").isEmpty():
@@ -335,12 +335,12 @@ def materialised(tree: DataFrame, log: DataFrame) -> DataFrame:
         attrs = of_kind(active, "updateAttribute")
         name = F.concat(F.coalesce(F.concat(field("prefix"), F.lit(":")), F.lit("")), field("localName"))
         words = attrs.select("doc_id", "seq", name.alias("name"), field("value").alias("value")).join(main.drop("name"), ["doc_id", "seq"])
-        words = words.join(out.select("doc_id", F.col("_part0").alias("part"), F.col("_path0").alias("path"), F.col("part_path").alias("_p"), F.col("path").alias("_q")), ["doc_id", "part", "path"])
+        words = words.join(out.select("doc_id", F.col("_part0").alias("part"), F.col("_path0").alias("path"), F.col("part_path").alias("_p"), F.col("path").alias("_q")).hint("merge"), ["doc_id", "part", "path"])
         final = T.set_attributes(out.select(*TREE), words.select("doc_id", F.col("_p").alias("part_path"), F.col("_q").alias("path"), "name", "value", "seq"))
     if "setDocumentRoot" not in there:
         return final
     listed = roots(active).where("attributes IS NOT NULL").select(F.col("doc_id").alias("_d"), F.from_json("attributes", "array<struct<prefix:string,localName:string,value:string>>").alias("_new"))
-    final = final.join(listed, (F.col("doc_id") == F.col("_d")) & (F.col("part_path") == DOCUMENT) & (F.size("path") == 1) & (F.col("kind") == "element"), "left")
+    final = final.join(listed.hint("merge"), (F.col("doc_id") == F.col("_d")) & (F.col("part_path") == DOCUMENT) & (F.size("path") == 1) & (F.col("kind") == "element"), "left")
     full = lambda x: F.concat(F.coalesce(F.concat(x["prefix"], F.lit(":")), F.lit("")), x["localName"])
     changed = F.transform("_new", lambda x: F.struct(full(x).alias("name"), x["value"].alias("value"), full(x).alias("raw")))
     return final.select(*(F.coalesce(changed, F.col("attrs")).alias("attrs") if c == "attrs" else c for c in TREE))
@@ -360,10 +360,10 @@ def materialised_parts(parts: DataFrame, log: DataFrame) -> DataFrame:
     print_of = lambda df, c: df.groupBy(*KEY).agg(F.sha2(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("path", line.alias("x")))), lambda r: F.struct(F.size(r["path"]).alias("d"), r["x"].alias("x")))), 256).alias(c))
     prologs = roots(active).where("prolog IS NOT NULL").select("doc_id", F.lit(DOCUMENT).alias("part_path"), "prolog")
     same = print_of(tree, "_a").join(print_of(after, "_b"), KEY).where("_a = _b").select(*KEY).join(prologs.select(*KEY), KEY, "left_anti")
-    new = spliced(parts, nodes, after.join(same, KEY, "left_anti")).join(prologs, KEY, "left")
+    new = spliced(parts, nodes, after.join(same, KEY, "left_anti")).join(prologs.hint("merge"), KEY, "left")
     # a declaration and what stands before the first element
     begun = F.when(F.col("prolog").isNull(), F.col("content")).otherwise(F.encode(F.concat("prolog", F.regexp_replace(F.decode("content", "UTF-8"), r"^(<\?.*?\?>|<!--(?s:.*?)-->|\s|\x{FEFF})*", "")), "UTF-8"))
     new = new.select(*KEY, begun.alias("content"))
-    carried = carried_parts(active).select(*KEY, "content")
-    kept = parts.select(*KEY, "content").join(new.select(*KEY).unionByName(carried.select(*KEY)), KEY, "left_anti")
+    carried = carried_parts(active).select(*KEY, "content").hint("merge")
+    kept = parts.select(*KEY, "content").join(new.select(*KEY).unionByName(carried.select(*KEY)).hint("merge"), KEY, "left_anti")
     return kept.unionByName(new.join(carried.select(*KEY), KEY, "left_anti")).unionByName(carried)

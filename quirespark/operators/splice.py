@@ -41,7 +41,7 @@ def spliced(parts: DataFrame, nodes: DataFrame, tree: DataFrame) -> DataFrame:
     nodes = nodes.join(tree.select(*KEY).distinct(), KEY, "left_semi").hint("merge")
     old = nodes.select(*T.TREE, "src_start", "src_end")
     before = subtree_hashes(old).join(old.where("kind = 'element'").select(*KEY, "path", "src_start", "src_end"), [*KEY, "path"])
-    before = before.select(*KEY, "rows", "h1", "h2", F.col("path").alias("_old"), "src_start", "src_end")
+    before = before.select(*KEY, "rows", "h1", "h2", F.col("path").alias("_old"), "src_start", "src_end").hint("merge")
     after = subtree_hashes(tree).join(tree.where("kind = 'element'").select(*KEY, "path"), [*KEY, "path"])
     # of several old elements alike, the one at the same place, else the first
     pick = F.min(F.struct((F.col("_old") != F.col("path")).alias("far"), F.col("_old"), F.col("src_start"), F.col("src_end")))
@@ -50,7 +50,7 @@ def spliced(parts: DataFrame, nodes: DataFrame, tree: DataFrame) -> DataFrame:
     rest = T._held(tree, clean, "src_start", "src_end").where("_at IS NULL OR path = _at").drop("_at")
     # dirty elements whose start tag is as it was: from their first byte to that of their first child
     kids = old.where(F.size("path") > 1).groupBy(*KEY, F.slice("path", 1, F.size("path") - 1).alias("path")).agg(F.min("src_start").alias("_inner"))
-    same = old.where("kind = 'element'").select(*KEY, "path", F.col("name").alias("_name"), F.col("attrs").alias("_attrs"), F.col("src_start").alias("_begin")).join(kids, [*KEY, "path"])
+    same = old.where("kind = 'element'").select(*KEY, "path", F.col("name").alias("_name"), F.col("attrs").alias("_attrs"), F.col("src_start").alias("_begin")).join(kids, [*KEY, "path"]).hint("merge")
     rest = stored(rest.join(same, [*KEY, "path"], "left").withColumn("_kept", F.coalesce((F.col("kind") == "element") & F.col("src_start").isNull() & (F.col("name") == F.col("_name")) & (F.to_json("attrs") == F.to_json("_attrs")), F.lit(False))), "dirty")
     root = old.where((F.size("path") == 1) & (F.col("kind") == "element")).select(*KEY, F.col("src_start").alias("_first"), F.col("src_end").alias("_last"), F.transform("attrs", lambda x: x["name"]).alias("_bound"))
     # beside the root stands what the old bytes before and behind it hold
@@ -65,7 +65,7 @@ def spliced(parts: DataFrame, nodes: DataFrame, tree: DataFrame) -> DataFrame:
     tags = rest.where("_kept").select(*KEY, F.explode(F.array(F.struct("path", F.lit(None).cast("string").alias("s"), F.col("_begin").alias("a"), F.col("_inner").alias("b")), F.struct(end.alias("path"), F.lit("</>").alias("s"), F.col("_begin").alias("a"), F.lit(None).cast("long").alias("b")))).alias("p"))
     nothing = F.lit(None).cast("long")
     every = new.select(*KEY, F.struct(F.col("p.path").alias("path"), F.col("p.s").alias("s"), nothing.alias("a"), nothing.alias("b")).alias("p")).unionByName(taken).unionByName(tags)
-    rows = every.groupBy(*KEY).agg(F.array_sort(F.collect_list("p")).alias("p")).join(parts.select(*KEY, F.col("content").alias("_content")), KEY, "left").join(root, KEY, "left")
+    rows = every.groupBy(*KEY).agg(F.array_sort(F.collect_list("p")).alias("p")).join(parts.select(*KEY, F.col("content").alias("_content")).hint("merge"), KEY, "left").join(root.hint("merge"), KEY, "left")
     cut = lambda a, b: F.hex(F.substring("_content", (a + 1).cast("int"), (b - a).cast("int")))
     # the end tag bears the name as the start tag writes it
     written = lambda a: F.regexp_extract(F.decode(F.substring("_content", (a + 1).cast("int"), F.lit(300)), "UTF-8"), r"^<([^\s/>]+)", 1)

@@ -40,7 +40,8 @@ def _prefixes(tree: DataFrame, name: str = "_up") -> DataFrame:
 
 
 def _named(targets: DataFrame, *more: str) -> DataFrame:
-    return targets.select(F.col("doc_id").alias("_d"), F.col("part_path").alias("_part"), F.col("path").alias("_at"), *more)
+    """Targets under names of their own, for joins with a tree by `_is`: these sort and merge, as targets may be as many as its rows."""
+    return targets.select(F.col("doc_id").alias("_d"), F.col("part_path").alias("_part"), F.col("path").alias("_at"), *more).hint("merge")
 
 
 def _is(path: str = "path") -> list[Column]:
@@ -287,7 +288,7 @@ def pieces_of(tree: DataFrame, all_declarations: bool = False) -> DataFrame:
     usual = F.create_map(*(F.lit(x) for p, uri in USUAL.items() for x in (p, uri)))
     declared = used_prefixes(tree).withColumnRenamed("used", "_used")
     # only roots, one a part, need them
-    tags = tree.where(root).join(declared, KEY, "left").unionByName(tree.where(~root).withColumn("_used", F.lit(None).cast("array<string>")))
+    tags = tree.where(root).join(declared.hint("merge"), KEY, "left").unionByName(tree.where(~root).withColumn("_used", F.lit(None).cast("array<string>")))
     bound = F.transform(F.coalesce("_used", F.array().cast("array<string>")), lambda p: F.struct(F.concat(F.lit("xmlns:"), p).alias("name"), F.element_at(usual, p).alias("value"), F.concat(F.lit("xmlns:"), p).alias("raw")))
     # a declaration of a known namespace under another prefix goes; one of an unknown namespace stays, also under a usual prefix
     known = [u for u, p in PREFIXES.items() if p]

@@ -330,7 +330,7 @@ def package_reversed(spark, sf_dir):
     log = stored(V.reversed_log(parts), "log")
     back = R.materialised_parts(V.skeleton(parts), log).select("doc_id", F.sha2("content", 256).alias("sha256"))
     share = V.typed_share(parts, log)
-    return back.join(share, "doc_id").select("doc_id", "sha256", (F.col("typed_bytes") == F.col("bytes")).alias("typed"), "operations")
+    return back.join(share.hint("merge"), "doc_id").select("doc_id", "sha256", (F.col("typed_bytes") == F.col("bytes")).alias("typed"), "operations")
 
 
 def package_snapshots(spark, sf_dir):

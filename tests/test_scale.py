@@ -66,3 +66,36 @@ def test_formulas_are_copied_without_a_row_for_each_ancestor(spark):
     assert sorted((len(r._up), r.name) for r in got.collect()) == [(2, "b"), (2, "b"), (2, "b"), (2, "c"), (2, "d"), (4, "b"), (4, "d")]
     plan = plan_of(got)
     assert "Generate" not in plan and "Join" not in plan
+
+
+def broadcasts(spark, work):
+    """The broadcasts of all queries that ran meanwhile, as their plans describe them."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    done = {store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())}
+    work()
+    out = []
+    for i in range(store.executionsList().size()):
+        execution = store.executionsList().apply(i).executionId()
+        if execution not in done:
+            nodes = store.planGraph(execution).allNodes()
+            out += [nodes.apply(k).desc() for k in range(nodes.size()) if nodes.apply(k).name().startswith("BroadcastExchange")]
+    return out
+
+
+def test_logs_are_replayed_and_reversed_without_a_broadcast(spark):
+    """A list for each paragraph of all documents is as much as the documents: written small, it would fill the driver."""
+    from quirespark.operators import reduction as R
+    from quirespark.operators import reverse as V
+
+    w = f'<w:document xmlns:w="{V.USUAL["w"]}" xmlns:w14="{V.USUAL["w14"]}"><w:body>'
+    xml = [f'{w}<w:p w14:paraId="A{k}"><w:pPr><w:pStyle w:val="S"/></w:pPr><w:r>{tab}<w:t>t</w:t></w:r></w:p></w:body></w:document>' for k, tab in enumerate(("", "<w:tab/>"))]
+    parts = stored(spark.createDataFrame([(str(k), "word/document.xml", x.encode()) for k, x in enumerate(xml)], "doc_id string, part_path string, content binary"), "parts")
+    back = []
+
+    def work():
+        log = stored(V.reversed_log(parts), "log")
+        back.extend(R.materialised_parts(V.skeleton(parts), log).collect())
+        V.typed_share(parts, log).collect()
+
+    assert broadcasts(spark, work) == []
+    assert {r.doc_id: bytes(r.content).decode() for r in back} == {str(k): x for k, x in enumerate(xml)}
