@@ -58,14 +58,18 @@ def _spliced(text: Column, start: Column, edits: Column) -> Column:
     return F.aggregate(met, begin, one, lambda acc: F.concat(acc["out"], part(acc["at"], end)))
 
 
+def _flat(own: DataFrame) -> DataFrame:
+    """(doc_id, part_path, surface, flat): the texts of surfaces, of their pieces."""
+    return own.groupBy(*KEY, "surface").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "text"))), lambda x: x["text"]), "").alias("flat"))
+
+
 def matches(tree: DataFrame, find: str, replacement: str, regex: bool = False, match_case: bool = True) -> DataFrame:
     """(doc_id, part_path, surface, edits array<struct<s,e,r>>) of the surfaces in which `find` occurs: from where to where, and what comes instead.
 
     A literal is found from left to right without overlaps. In a pattern $1 and so on of the replacement stand for its
     groups. A pattern that matches nothing at all is an error; an empty literal is found nowhere.
     """
-    flat = pieces(tree).groupBy(*KEY, "surface").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "text"))), lambda x: x["text"]), "").alias("flat"))
-    return matches_in(flat, find, replacement, regex, match_case)
+    return matches_in(_flat(pieces(tree)), find, replacement, regex, match_case)
 
 
 def matches_in(flat: DataFrame, find: str, replacement: str, regex: bool = False, match_case: bool = True) -> DataFrame:
@@ -87,25 +91,26 @@ def matches_in(flat: DataFrame, find: str, replacement: str, regex: bool = False
     return rows.select(*KEY, "surface", F.aggregate(lengths, zero, step, lambda acc: acc["out"]).alias("edits"))
 
 
-def rewritten(tree: DataFrame, edits: DataFrame) -> DataFrame:
-    """The tree after edits(doc_id, part_path, surface, edits array<struct<s,e,r>>), which lie side by side. New text has the formatting of the run in which the old began; other runs lose what was covered, and stay."""
+def rewritten(tree: DataFrame, edits: DataFrame, own: DataFrame | None = None) -> DataFrame:
+    """The tree after edits(doc_id, part_path, surface, edits array<struct<s,e,r>>), which lie side by side. New text has the formatting of the run in which the old began; other runs lose what was covered, and stay. own: the tree's `pieces`, where they are known. What is changed is changed in one pass."""
     tree = stored(tree, "tree")
-    hit = pieces(tree).join(edits, [*KEY, "surface"]).withColumn("new", _spliced(F.col("text"), F.col("start"), F.col("edits")))
-    hit = stored(hit.where("new <> text").select(*KEY, "path", "atom", "new"), "rewritten")
-    gone = hit.where("atom AND new = ''")
-    kept = hit.join(gone.select(*KEY, "path"), [*KEY, "path"], "left_anti")
-    tree = T.set_text(T.remove(tree, gone), kept.select(*KEY, "path", F.col("new").alias("text")))
-    tree = stored(tree, "tree")
-    spaced = kept.where(F.col("new").rlike(r"^\s|\s$")).select(*KEY, "path", F.lit("xml:space").alias("name"), F.lit("preserve").alias("value"))
-    atoms = kept.where("atom").select(*KEY, "path", F.lit(True).alias("_atom"))
-    named = tree.join(atoms, [*KEY, "path"], "left").withColumn("name", F.when(F.col("_atom"), "w:t").otherwise(F.col("name"))).select(*TREE)
-    return T.set_attributes(named, spaced)
+    hit = (pieces(tree) if own is None else own).join(edits, [*KEY, "surface"]).withColumn("new", _spliced(F.col("text"), F.col("start"), F.col("edits")))
+    hit = hit.where("new <> text").select(*KEY, "path", F.col("atom").alias("_atom"), F.col("new").alias("_text"))
+    rows = T._held(tree, hit, "_atom", "_text").where("_at IS NULL OR (path = _at AND NOT (_atom AND _text = ''))")
+    rows = rows.withColumn("_new", F.explode(F.when(F.col("_at").isNull(), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
+    there, keep = F.exists("attrs", lambda x: x["name"] == "xml:space"), F.lit("preserve").alias("value")
+    kept = F.transform("attrs", lambda x: F.when(x["name"] == "xml:space", F.struct(x["name"].alias("name"), keep, x["raw"].alias("raw"))).otherwise(x))
+    spaced = F.when(there, kept).otherwise(F.array_append("attrs", F.struct(F.lit("xml:space").alias("name"), keep, F.lit("xml:space").alias("raw"))))
+    own_row = {"path": F.col("path"), "kind": F.col("kind"), "name": F.when(F.col("_atom"), "w:t").otherwise(F.col("name")), "attrs": F.when(F.col("_text").rlike(r"^\s|\s$"), spaced).otherwise(F.col("attrs")), "text": F.col("text")}
+    new = {"path": F.concat("path", F.array(F.lit(0.0))), "kind": F.lit("text"), "name": F.lit(None).cast("string"), "attrs": F.array().cast(ATTRIBUTES), "text": F.col("_text")}
+    return rows.select(*KEY, *(F.when(F.col("_new"), new[c]).otherwise(own_row[c]).cast(tree.schema[c].dataType).alias(c) for c in new))
 
 
 def replace_in_runs(tree: DataFrame, find: str, replacement: str, regex: bool = False, match_case: bool = True) -> DataFrame:
     """Replaces text in all surfaces, also where it runs over several runs; see `matches` and `rewritten`."""
     tree = stored(tree, "tree")
-    return rewritten(tree, matches(tree, find, replacement, regex, match_case))
+    own = stored(pieces(tree), "pieces")
+    return rewritten(tree, matches_in(_flat(own), find, replacement, regex, match_case), own)
 
 
 def split_runs(tree: DataFrame, cuts: DataFrame) -> DataFrame:
