@@ -50,11 +50,15 @@ def set_property(tree: DataFrame, prop: str, changes: DataFrame) -> DataFrame:
     """Sets a property of PROPERTIES: changes(doc_id, part_path, path, xml), path being the owner's and xml the property's element; null takes the property away. Owners that aren't of the right kind are an error."""
     tree = stored(tree, "tree")
     owner, holder, name = PROPERTIES[prop]
-    kinds = tree.where("kind = 'element'").select(*KEY, "path", F.col("name").alias("_owner"))
-    # told by the fragment's reader: a condition that raises could be asked below the join, of elements that no change names
-    wrong = F.concat(F.lit(f"{T.REFUSED}{prop} belongs to {owner}, not to "), "_owner")
-    checked = changes.join(kinds, [*KEY, "path"]).withColumn("xml", F.when(F.col("_owner") != owner, wrong).otherwise(F.col("xml"))).drop("_owner")
-    return T.set_child(tree, checked, holder, name, owner)
+    owners = tree.where((F.col("kind") == "element") & (F.col("name") == owner)).select(*KEY, "path", F.lit(True).alias("_right"))
+    checked = stored(changes.join(owners, [*KEY, "path"], "left"), "changes")
+    right, others = checked.where("_right").drop("_right"), checked.where("_right IS NULL").drop("_right")
+    if not others.isEmpty():
+        kinds = tree.where("kind = 'element'").select(*KEY, "path", F.col("name").alias("_owner"))
+        # told by the fragment's reader: a condition that raises could be asked below the join, of elements that no change names
+        wrong = F.concat(F.lit(f"{T.REFUSED}{prop} belongs to {owner}, not to "), "_owner")
+        right = right.unionByName(others.join(kinds, [*KEY, "path"]).withColumn("xml", wrong).drop("_owner"))
+    return T.set_child(tree, right, holder, name, owner, known=True)
 
 
 # Templates: XML columns of what is inserted.
@@ -339,11 +343,12 @@ def settle_revisions(tree: DataFrame, accept: bool, ids: DataFrame | None = None
         moves = old.select(*KEY, "path", F.slice("_mark", 1, F.size("_mark") - 1).alias("_around"))
         kept = T._repathed(T.subtrees(tree, moves), moves.select(*KEY, "path", F.col("_around").alias("new_path")))
         tree = T.remove(tree, change.select(*KEY, F.slice("path", 1, F.size("path") - 1).alias("path"))).unionByName(kept)
-    else:
-        tree = T.remove(tree, change)
     back = T.subtrees(tree, content.where(F.col("name").isin(*stays))).where("name IN ('w:delText', 'w:delInstrText')").select(*KEY, F.col("path"), F.lit(True).alias("_back")) if not accept else None
     gone = content.where(~F.col("name").isin(*stays)).select(*KEY, "path")
-    tree = T.remove(tree, gone.unionByName(_rows_gone(tree, gone)))
+    gone = gone.unionByName(_rows_gone(tree, gone))
+    tree = T.remove(tree, gone.unionByName(change.select(*KEY, "path")) if accept else gone)
+    if accept and ids is None:  # of every such name: no join has to tell which
+        return tree.where(~F.coalesce(F.col("name").isin(*stays), F.lit(False)))
     if back is not None:
         plain = F.when(F.col("name") == "w:delText", "w:t").otherwise("w:instrText")
         tree = tree.join(back, [*KEY, "path"], "left").withColumn("name", F.when(F.col("_back"), plain).otherwise(F.col("name"))).select(*T.TREE)

@@ -26,6 +26,7 @@ KEY = ["doc_id", "part_path"]
 TREE = [*KEY, "path", "kind", "name", "attrs", "text"]
 DECLARATION = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
 WHERE = ("before", "after", "first", "last")
+MARK = "\x01"  # where a root's declarations come
 REFUSED = "\x00"  # begins a fragment that is a message: why there can't be one
 
 
@@ -96,6 +97,8 @@ def _gaps(tree: DataFrame) -> DataFrame:
 def roomy(tree: DataFrame, targets: DataFrame, *paths: str) -> tuple[DataFrame, DataFrame]:
     """The tree and the targets, with whole places anew for the children of nodes where a gap has become too small; columns `paths` of the targets follow."""
     tree, targets = stored(tree, "tree"), stored(targets, "targets")  # targets are often found in a tree that isn't written yet
+    if tree.where(F.element_at("path", -1) % 1 != 0).isEmpty():
+        return tree, targets  # whole places are a unit apart, as those of a tree that was read
     parents = targets.select(*KEY, F.explode(F.array(*(F.slice(p, 1, F.size(p) - 1) for p in paths), *paths)).alias("_up")).distinct()
     while True:
         here = tree.withColumn("_up", F.slice("path", 1, F.size("path") - 1)).join(parents, [*KEY, "_up"], "left_semi")
@@ -122,8 +125,11 @@ def placed(tree: DataFrame, edits: DataFrame, order: list[str | Column]) -> Data
     It lies between the neighbours that stand there now; several edits at one place stand by `order`. A place that the
     numbers' digits no longer tell from a neighbour's is an error; `roomy` keeps that from happening.
     """
+    edits = stored(edits, "edits")
     up = F.slice("path", 1, F.size("path") - 1)
-    sides = _gaps(tree)
+    # only the lists that get something are put in order
+    lists = edits.select(*KEY, F.when(F.col("where").isin("before", "after"), up).otherwise(F.col("path")).alias("_up")).distinct()
+    sides = _gaps(tree.select(*KEY, "path", up.alias("_up")).join(lists, [*KEY, "_up"], "left_semi").drop("_up"))
     ends = sides.groupBy("_d", "_part", F.col("_up").alias("_at")).agg(F.min("_own").alias("_least"), F.max("_own").alias("_most"))
     beside = edits.where("where IN ('before', 'after')").join(sides.drop("_up"), _is()).drop("_d", "_part", "_at").withColumn("_least", F.lit(None).cast("double")).withColumn("_most", F.lit(None).cast("double"))
     inside = edits.where("where IS NULL OR where NOT IN ('before', 'after')").join(ends, _is(), "left").drop("_d", "_part", "_at")
@@ -237,43 +243,58 @@ def _in_sequence(tree: DataFrame, targets: DataFrame, holder: str | None, name:
     return out.withColumn("where", F.when(F.col("_next").isNull(), "last").otherwise("before")).withColumn("path", F.coalesce("_next", "path")).drop("_next")
 
 
-def set_child(tree: DataFrame, changes: DataFrame, holder: str | None, name: str, owner: str | None = None) -> DataFrame:
+def _replaced(tree: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """The tree without the subtrees `old` and with the rows `new`, which may stand at their places: one pass, after which the rows of a part are together."""
+    rows = tree.withColumn("_new", F.lit(False)).unionByName(new.withColumn("_new", F.lit(True)))
+    return _held(rows, old).where("_at IS NULL OR _new").select(*TREE)
+
+
+def set_child(tree: DataFrame, changes: DataFrame, holder: str | None, name: str, owner: str | None = None, known: bool = False) -> DataFrame:
     """Gives each target an element `name` in its `holder` child (made where there is none; None: in the target itself), in place of what it has of that name.
 
     changes(doc_id, part_path, path, xml): xml is the new element, null takes the old one away. One change a target.
     Where there was none, the element stands where the format's sequence has it (see `sequence`); owner is the targets'
-    element name, needed for that where there is no holder, and for the holder's own place.
+    element name, needed for that where there is no holder, and for the holder's own place. known: all targets are there.
     """
     tree, changes = roomy(tree, changes, "path")
-    changes = changes.join(tree.select(*KEY, "path"), [*KEY, "path"], "left_semi")
+    if not known:
+        changes = changes.join(tree.select(*KEY, "path"), [*KEY, "path"], "left_semi")
     if holder is not None:
         have = children(tree, changes, holder).select(*KEY, F.col("parent").alias("path"))
-        missing = changes.where("xml IS NOT NULL").join(have, [*KEY, "path"], "left_anti").select(*KEY, "path")
-        if owner is None or holder not in sequence_of(owner):
-            edits = missing.withColumn("where", F.lit("first"))
-        else:
-            edits = _in_sequence(tree, missing, owner, holder)
-        spots = placed(tree, edits, ["path"])
-        made = spots.select(*KEY, F.col("new_path").alias("path"), F.lit("element").alias("kind"), F.lit(holder).alias("name"), F.array().cast(ATTRIBUTES).alias("attrs"), F.lit(None).cast("string").alias("text"))
-        tree = stored(tree.unionByName(made), "tree")
+        missing = stored(changes.where("xml IS NOT NULL").join(have, [*KEY, "path"], "left_anti").select(*KEY, "path"), "missing")
+        if not missing.isEmpty():  # most trees have them all; else the tree is gone through for their places
+            if owner is None or holder not in sequence_of(owner):
+                edits = missing.withColumn("where", F.lit("first"))
+            else:
+                edits = _in_sequence(tree, missing, owner, holder)
+            spots = placed(tree, edits, ["path"])
+            made = spots.select(*KEY, F.col("new_path").alias("path"), F.lit("element").alias("kind"), F.lit(holder).alias("name"), F.array().cast(ATTRIBUTES).alias("attrs"), F.lit(None).cast("string").alias("text"))
+            tree = stored(tree.unionByName(made), "tree")
         spots = children(tree, changes, holder)
-        changes = spots.join(changes.withColumnRenamed("path", "parent"), [*KEY, "parent"]).drop("parent")
-    old = children(tree, changes, name)
+        changes = stored(spots.join(changes.withColumnRenamed("path", "parent"), [*KEY, "parent"]).drop("parent"), "changes")
+    old = stored(children(tree, changes, name), "old")
     slot = old.groupBy(*KEY, F.col("parent").alias("path")).agg(F.min("path").alias("_slot"))
-    fresh = changes.where("xml IS NOT NULL").join(slot, [*KEY, "path"], "left")
-    kept = fresh.where("_slot IS NOT NULL").select(*KEY, F.col("_slot").alias("new_path"), "xml")
-    new = placed(tree, _in_sequence(tree, fresh.where("_slot IS NULL").drop("_slot"), holder or owner, name), ["parent"]).select(*KEY, "new_path", "xml")
-    return remove(tree, old).unionByName(fragments(kept.unionByName(new)))
+    fresh = stored(changes.where("xml IS NOT NULL").join(slot, [*KEY, "path"], "left"), "fresh")
+    comes = fresh.where("_slot IS NOT NULL").select(*KEY, F.col("_slot").alias("new_path"), "xml")
+    lacking = fresh.where("_slot IS NULL").drop("_slot")
+    if not lacking.isEmpty():
+        comes = comes.unionByName(placed(tree, _in_sequence(tree, lacking, holder or owner, name), ["parent"]).select(*KEY, "new_path", "xml"))
+    return _replaced(tree, old, fragments(comes))
 
 
 #: Usual prefixes and the first of the namespaces that each stands for.
 USUAL = {p: uri for uri, p in reversed(PREFIXES.items()) if p}
 
 
+def _prefixes_in() -> Column:
+    """The prefixes in the names of a row and its attributes."""
+    prefix = lambda c: F.when(F.contains(c, F.lit(":")), F.substring_index(c, ":", 1))
+    return F.array_distinct(F.concat(F.array(prefix(F.col("name"))), F.transform("attrs", lambda x: prefix(x["name"]))))
+
+
 def used_prefixes(tree: DataFrame) -> DataFrame:
     """(doc_id, part_path, used): the usual prefixes in the names of elements and attributes."""
-    prefix = lambda c: F.nullif(F.regexp_extract(c, "^([^:]+):", 1), F.lit(""))
-    used = tree.where("kind = 'element'").select(*KEY, F.explode(F.array_distinct(F.concat(F.array(prefix(F.col("name"))), F.transform("attrs", lambda x: prefix(x["name"]))))).alias("_prefix"))
+    used = tree.where("kind = 'element'").select(*KEY, F.explode(_prefixes_in()).alias("_prefix"))
     return used.where(F.col("_prefix").isin(*USUAL)).groupBy(*KEY).agg(F.array_sort(F.collect_set("_prefix")).alias("used"))
 
 
@@ -285,28 +306,41 @@ def pieces_of(tree: DataFrame, all_declarations: bool = False) -> DataFrame:
     """
     tree = stored(tree, "tree")
     root = F.size("path") == 1
-    usual = F.create_map(*(F.lit(x) for p, uri in USUAL.items() for x in (p, uri)))
     declared = used_prefixes(tree).withColumnRenamed("used", "_used")
     # only roots, one a part, need them
     tags = tree.where(root).join(declared.hint("merge"), KEY, "left").unionByName(tree.where(~root).withColumn("_used", F.lit(None).cast("array<string>")))
-    bound = F.transform(F.coalesce("_used", F.array().cast("array<string>")), lambda p: F.struct(F.concat(F.lit("xmlns:"), p).alias("name"), F.element_at(usual, p).alias("value"), F.concat(F.lit("xmlns:"), p).alias("raw")))
-    # a declaration of a known namespace under another prefix goes; one of an unknown namespace stays, also under a usual prefix
+    own = _own_attributes(all_declarations)
+    return tags.select(*KEY, F.explode(_pieces(_declarations(F.col("_used"), F.transform(own, lambda x: x["name"])), own)).alias("p"))
+
+
+def _own_attributes(all_declarations: bool = False) -> Column:
+    """A row's attributes as they are written: a declaration of a known namespace under another prefix goes; one of an unknown namespace stays, also under a usual prefix."""
     known = [u for u, p in PREFIXES.items() if p]
-    own = F.col("attrs") if all_declarations else F.filter("attrs", lambda x: ~(x["name"].rlike("^xmlns(:|$)") & x["value"].isin(*known)))
-    bound = F.filter(bound, lambda x: ~F.exists(own, lambda y: y["name"] == x["name"]))
-    attrs = F.when(root, F.concat(bound, own)).otherwise(own)
+    return F.col("attrs") if all_declarations else F.filter("attrs", lambda x: ~(x["name"].startswith("xmlns") & x["name"].rlike("^xmlns(:|$)") & x["value"].isin(*known)))
+
+
+def _declarations(used: Column, names: Column) -> Column:
+    """The declarations of the prefixes in use that are not among a root's own attributes, as text."""
+    uri = F.create_map(*(F.lit(x) for pair in USUAL.items() for x in pair))
+    none = F.array().cast("array<string>")
+    lacking = F.filter(F.coalesce(used, none), lambda p: ~F.array_contains(F.coalesce(names, none), F.concat(F.lit("xmlns:"), p)))
+    return F.array_join(F.transform(lacking, lambda p: F.concat(F.lit(" xmlns:"), p, F.lit('="'), F.element_at(uri, p), F.lit('"'))), "")
+
+
+def _pieces(declared: Column, own: Column) -> Column:
+    """The pieces of a row with these attributes, see `pieces_of`; a root has `declared` behind its name."""
     quoted = lambda v: F.replace(F.replace(F.replace(escape_xml(v), F.lit("\n"), F.lit("&#10;")), F.lit("\t"), F.lit("&#9;")), F.lit("\r"), F.lit("&#13;"))
-    written = F.array_join(F.transform(attrs, lambda x: F.concat(F.lit(" "), x["name"], F.lit('="'), quoted(x["value"]), F.lit('"'))), "")
+    written = F.array_join(F.transform(own, lambda x: F.concat(F.lit(" "), x["name"], F.lit('="'), quoted(x["value"]), F.lit('"'))), "")
+    written = F.concat(F.when(F.size("path") == 1, declared).otherwise(""), written)
     plain = F.replace(F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit("\r"), F.lit("&#13;"))
     piece = lambda path, s: F.struct(path.alias("path"), s.alias("s"))
     end = F.concat("path", F.array(F.lit(float("inf"))))
-    pieces = (
+    return (
         F.when(F.col("kind") == "element", F.array(piece(F.col("path"), F.concat(F.lit("<"), F.col("name"), written, F.lit(">"))), piece(end, F.concat(F.lit("</"), F.col("name"), F.lit(">")))))
         .when(F.col("kind") == "text", F.array(piece(F.col("path"), plain)))
         .when(F.col("kind") == "comment", F.array(piece(F.col("path"), F.concat(F.lit("<!--"), F.col("text"), F.lit("-->")))))
         .otherwise(F.array(piece(F.col("path"), F.concat(F.lit("<?"), F.col("name"), F.lit(" "), F.coalesce("text", F.lit("")), F.lit("?>")))))
     )
-    return tags.select(*KEY, F.explode(pieces).alias("p"))
 
 
 def short(x: Column, i: Column) -> Column:
@@ -318,14 +352,28 @@ def short(x: Column, i: Column) -> Column:
 
 
 def part_bytes(tree: DataFrame) -> DataFrame:
-    """(doc_id, part_path, content) of the trees: well-formed UTF-8 XML with a declaration. A part is its pieces in order (see `pieces_of`), gathered in one group, as large as the part."""
-    rows = pieces_of(tree).groupBy(*KEY).agg(F.array_sort(F.collect_list("p")).alias("p"))
-    return rows.select(*KEY, F.encode(F.concat(F.lit(DECLARATION), F.array_join(F.transform("p", short), "")), "UTF-8").alias("content"))
+    """(doc_id, part_path, content) of the trees: well-formed UTF-8 XML with a declaration. A part is its pieces in order (see `pieces_of`), gathered in one group, as large as the part.
+
+    The tree is read once: what a root declares is gathered along with the pieces, and comes into its tag at a mark, which is no character of XML.
+    """
+    own, element = _own_attributes(), F.col("kind") == "element"
+    rows = tree.select(*KEY, _pieces(F.lit(MARK), own).alias("_pieces"), F.when(element, _prefixes_in()).alias("_used"), F.when(element & (F.size("path") == 1), F.transform(own, lambda x: x["name"])).alias("_names"))
+    # the rows of a part are one group, and all pieces of them in order
+    parts = rows.groupBy(*KEY).agg(F.array_sort(F.flatten(F.collect_list("_pieces"))).alias("p"), F.flatten(F.collect_set("_used")).alias("_used"), F.first("_names", ignorenulls=True).alias("_names"))
+    used = F.array_sort(F.array_distinct(F.filter("_used", lambda p: p.isin(*USUAL))))
+    parts = parts.select(*KEY, "p", _declarations(used, F.col("_names")).alias("_declared"))
+    # texts are escaped, so an end tag right behind a start tag is told by how they begin
+    begins = lambda s: s.startswith("<") & ~F.substring(s, 2, 1).isin("/", "!", "?")
+    next_ends = lambda i: F.coalesce(F.get("p", i + 1)["s"].startswith("</"), F.lit(False))
+    own_end = lambda s, i: s.startswith("</") & F.coalesce(begins(F.get("p", i - 1)["s"]), F.lit(False))
+    tag = lambda s, i: F.when(own_end(s, i), "").when(begins(s) & next_ends(i), F.concat(F.substring(s, F.lit(1), F.length(s) - 1), F.lit("/>"))).otherwise(s)
+    text = lambda x, i: F.when(F.size(x["path"]) == 1, F.regexp_replace(tag(x["s"], i), F.lit(f"^(<[^{MARK}]*){MARK}"), F.concat(F.lit("$1"), "_declared"))).otherwise(tag(x["s"], i))
+    return parts.select(*KEY, F.encode(F.concat(F.lit(DECLARATION), F.array_join(F.transform("p", text), "")), "UTF-8").alias("content"))
 
 
 def edited_parts(parts: DataFrame, tree: DataFrame) -> DataFrame:
     """The parts of packages with those of `tree` written anew (and new ones added); all others stay byte for byte."""
-    new = part_bytes(tree)
+    new = part_bytes(stored(tree, "tree"))
     return parts.select(*KEY, "content").join(new.select(*KEY), KEY, "left_anti").unionByName(new)
 
 

@@ -11,6 +11,7 @@ from collections.abc import Iterable, Iterator, Sequence, Sized
 from itertools import accumulate, chain
 from xml.parsers import expat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -76,93 +77,161 @@ def named(name: str, scope: dict[str, str], element: bool) -> tuple[str, str, st
     return (f"{usual}:{local}" if usual else local), prefix, local, uri
 
 
+def _declares(attribute: str) -> bool:
+    return attribute.startswith("xmlns") and (attribute == "xmlns" or attribute[5] == ":")
+
+
 class _Parsed:
-    """The nodes of a part in document order, a list for each column; attributes of all nodes lie end to end. `around` has the elements of `within` by their node_id."""
+    """The nodes of a part in document order, a list for each column; attributes of all nodes lie end to end. `around` has the elements of `within` by their node_id.
+
+    Handlers only note what comes, as they run for each node; parents and places among siblings follow from the depths, see `_layout`.
+    wanted: the columns that are read of it, where not all are. Without src_start and src_end the parser joins texts itself.
+    """
 
-    def __init__(self, doc: str, part: str, data: bytes, within: frozenset[str] | None = None):
+    def __init__(self, doc: str, part: str, data: bytes, within: frozenset[str] | None = None, wanted: Sequence[str] | None = None):
         self.doc, self.part = doc, part
-        self.parent, self.ord, self.depth, self.kind, self.names, self.text, self.start, self.end, self.path, self.around, self.nest = [], [], [], [], [], [], [], [], [], [], []
+        self.depth, self.kind, self.names, self.text, self.start, self.end, self.around, self.nest = [], [], [], [], [], [], [], []
         self.attributes, self.attribute_names, self.attribute_values, self.attribute_raws = [], [], [], []
-        stack: list[int] = []
-        counts: list[int] = [0]
         open_of: dict[str, list[int]] = {}  # the open elements of each name
         around: list[tuple[int, ...]] = [()]
-        scopes: list[dict[str, str]] = [{}]
-        known: list[tuple[dict[str, tuple], dict[str, str]]] = [({}, {})]  # names of elements and attributes met in the scope
-        paths: list[tuple[float, ...]] = [()]
+        scopes: list[tuple[int, dict[str, str], dict, dict]] = [(-1, {}, {}, {})]  # depth, bindings, names of elements and attributes met in them
+        stack: list[tuple] = []  # names of the open elements
+        lasts: list[int] = []  # and their node_ids, where their ends are asked for
+        depths, kinds, names, texts = self.depth, self.kind, self.names, self.text
+        owners: list[int] = []  # the elements that have attributes
+        lengths: list[int] = []
+        add_depth, add_kind, add_name, add_text, push, pop = depths.append, kinds.append, names.append, texts.append, stack.append, stack.pop
+        surrounded = wanted is None or "within" in wanted
+        placed = wanted is None or "src_start" in wanted or "src_end" in wanted
+        attributed = wanted is None or "attrs" in wanted
         parser = expat.ParserCreate()
-        parser.ordered_attributes, parser.buffer_text = True, False
+        parser.ordered_attributes, parser.buffer_text = True, not placed
+        none = (None,) * 4
+        add_names, add_raws, add_values = self.attribute_names.extend, self.attribute_raws.extend, self.attribute_values.extend
 
-        def open_(kind: str, of: tuple, text: str | None, nest: int = 0, attributes: int = 0) -> None:
+        def open_(kind: str, of: tuple, text: str | None) -> None:
             if len(stack) >= MOST_DEPTH:
                 raise ValueError(f"{part} of {doc} is nested deeper than {MOST_DEPTH}")
-            self.parent.append(stack[-1] if stack else None)
-            self.ord.append(counts[-1])
-            self.depth.append(len(stack))
-            self.kind.append(kind)
-            self.names.append(of)
-            self.text.append(text)
-            self.start.append(parser.CurrentByteIndex)
-            self.end.append(None)
-            self.path.append((*paths[-1], float(counts[-1])))
-            self.around.append(around[-1])
-            self.nest.append(nest)
-            self.attributes.append(attributes)
-            counts[-1] += 1
+            add_depth(len(stack))
+            add_kind(kind)
+            add_name(of)
+            add_text(text)
+            if placed:
+                self.start.append(parser.CurrentByteIndex)
+                self.end.append(None)
+            if surrounded:
+                self.around.append(around[-1])
+                self.nest.append(0)
+
+        def bind(attrs: list[str]) -> None:
+            """What an element's attributes bind, and the names of those that are new in its scope. Declarations have no entry, so that each is seen."""
+            bound = {a.partition(":")[2]: v for a, v in zip(attrs[::2], attrs[1::2]) if _declares(a)}
+            if bound:
+                scopes.append((len(stack), scopes[-1][1] | bound, {}, {}))
+            _, scope, _, of_attributes = scopes[-1]
+            for raw in attrs[::2]:
+                if raw not in of_attributes and not _declares(raw):
+                    of_attributes[raw] = named(raw, scope, False)[0]
 
         def start(name: str, attrs: list[str]) -> None:
-            bound = {a.partition(":")[2]: v for a, v in zip(attrs[::2], attrs[1::2]) if a.startswith("xmlns") and (a == "xmlns" or a[5] == ":")} if attrs else None
-            scopes.append(scopes[-1] | bound if bound else scopes[-1])
-            known.append(({}, {}) if bound else known[-1])
-            of_elements, of_attributes = known[-1]
+            if attrs:
+                raws = attrs[::2]
+                try:
+                    usual = list(map(scopes[-1][3].__getitem__, raws))
+                except KeyError:
+                    bind(attrs)
+                    _, scope, _, of_attributes = scopes[-1]
+                    usual = [of_attributes[a] if a in of_attributes else named(a, scope, False)[0] for a in raws]
+                if attributed:
+                    add_names(usual)
+                    add_raws(raws)
+                    add_values(attrs[1::2])
+                    owners.append(len(kinds))
+                    lengths.append(len(raws))
+            of_elements = scopes[-1][2]
             of = of_elements.get(name)
             if of is None:
-                of = of_elements[name] = named(name, scopes[-1], True)
-            if attrs:
-                for raw in attrs[::2]:
-                    usual = of_attributes.get(raw)
-                    if usual is None:
-                        usual = of_attributes[raw] = named(raw, scopes[-1], False)[0]
-                    self.attribute_names.append(usual)
-                self.attribute_raws += attrs[::2]
-                self.attribute_values += attrs[1::2]
-            own, nest = len(self.kind), 0
-            if within is None or of[0] in within:
-                same = open_of.setdefault(of[0], [])
-                nest = len(same)
-                around.append(tuple(own if x == same[-1] else x for x in around[-1]) if same else (*around[-1], own))
-                same.append(own)
+                of = of_elements[name] = named(name, scopes[-1][1], True)
+            if not surrounded and not placed and len(stack) < MOST_DEPTH:  # as `open_` does, without a call for each element
+                add_depth(len(stack))
+                add_kind("element")
+                add_name(of)
+                add_text(None)
+                push(of)
+                return
+            own = len(kinds)
+            if surrounded:
+                nest = 0
+                if within is None or of[0] in within:
+                    same = open_of.setdefault(of[0], [])
+                    nest = len(same)
+                    around.append(tuple(own if x == same[-1] else x for x in around[-1]) if same else (*around[-1], own))
+                    same.append(own)
+                else:
+                    around.append(around[-1])
+                open_("element", of, None)
+                self.nest[own] = nest
             else:
-                around.append(around[-1])
-            open_("element", of, None, nest, len(attrs) // 2)
-            paths.append(self.path[-1])
-            stack.append(own)
-            counts.append(0)
+                open_("element", of, None)
+            push(of)
+            if placed:
+                lasts.append(own)
 
         def end(name: str) -> None:
-            at, own = parser.CurrentByteIndex, stack.pop()
-            # of an empty-element tag the end is reported behind it, of others where the end tag begins
-            empty = own == len(self.kind) - 1 and data[at - 2 : at] == b"/>"
-            self.end[own] = at if empty else data.find(b">", at) + 1
-            usual = self.names[own][0]
-            if within is None or usual in within:
-                open_of[usual].pop()
-            for x in (counts, around, scopes, known, paths):
-                x.pop()
+            of = pop()
+            if placed:
+                # of an empty-element tag the end is reported behind it, of others where the end tag begins
+                at, own = parser.CurrentByteIndex, lasts.pop()
+                empty = own == len(kinds) - 1 and data[at - 2 : at] == b"/>"
+                self.end[own] = at if empty else data.find(b">", at) + 1
+            if surrounded:
+                around.pop()
+                if within is None or of[0] in within:
+                    open_of[of[0]].pop()
+            if scopes[-1][0] == len(stack):
+                scopes.pop()
 
         def text(value: str) -> None:
-            if self.kind and self.kind[-1] == "text" and self.parent[-1] == (stack[-1] if stack else None):
-                self.text[-1] += value
+            # a text that came right before at this depth is the same one
+            if kinds and kinds[-1] == "text" and depths[-1] == len(stack):
+                texts[-1] += value
             else:
-                open_("text", (None,) * 4, value)
+                open_("text", none, value)
 
         def no_dtd(*_: object) -> None:
             raise ValueError(f"{part} of {doc} has a document type declaration")
 
         parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler, parser.StartDoctypeDeclHandler = start, end, text, no_dtd
-        parser.CommentHandler = lambda value: open_("comment", (None,) * 4, value)
+        parser.CommentHandler = lambda value: open_("comment", none, value)
         parser.ProcessingInstructionHandler = lambda name, value: open_("instruction", (name, None, name, None), value)
         parser.Parse(data, True)
+        counts = np.zeros(len(kinds), np.int64)
+        counts[owners] = lengths
+        self.attributes = counts.tolist()
+        self._places: tuple | None = None
+
+    def _layout(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Parents (-1: none), places among siblings, and paths laid end to end with their bounds. A level at a time: the ancestor of a node at a level is the last node that stands there."""
+        if self._places is None:
+            depth = np.array(self.depth, np.int32)
+            ends = np.cumsum(depth + 1, dtype=np.int64)
+            begins = ends - depth - 1
+            parent, ord_, paths = np.full(len(depth), -1, np.int64), np.zeros(len(depth), np.int32), np.empty(int(ends[-1]) if len(ends) else 0)
+            deep, level = np.arange(len(depth)), 0
+            while len(deep):
+                here = depth[deep] == level
+                own = deep[here]
+                up, nth = parent[own], np.arange(len(own))
+                first = np.ones(len(own), bool)
+                first[1:] = up[1:] != up[:-1]
+                ord_[own] = nth - np.maximum.accumulate(np.where(first, nth, 0))
+                ancestor = np.maximum.accumulate(np.where(here, deep, 0))
+                paths[begins[deep] + level] = ord_[ancestor]
+                below = ~here
+                parent[deep[below]] = ancestor[below]
+                deep, level = deep[below], level + 1
+            self._places = parent, ord_, paths, np.concatenate([[0], ends])
+        return self._places
 
     def column(self, name: str) -> pa.Array:
         """A column of the node table; lists and maps are laid end to end, which is several times as fast as a conversion of each."""
@@ -178,10 +247,18 @@ class _Parsed:
             nest = pa.array(self.nest, pa.int32()).take(ids)
             return pa.MapArray.from_arrays(_offsets(self.around), self.column("name").take(ids), pa.StructArray.from_arrays([ids, nest], ["node_id", "nest"]))
         if name == "path":
-            return pa.ListArray.from_arrays(_offsets(self.path), pa.array(list(chain.from_iterable(self.path)), pa.float64()))
+            _, _, paths, bounds = self._layout()
+            return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(paths, pa.float64()))
         if name in ("doc_id", "part_path"):
             return pa.repeat(pa.scalar(self.doc if name == "doc_id" else self.part, pa.string()), n)
-        plain = {"node_id": range(n), "parent_id": self.parent, "ord": self.ord, "depth": self.depth, "kind": self.kind, "text": self.text, "src_start": self.start, "src_end": self.end}
+        if name == "node_id":
+            return pa.array(np.arange(n), pa.int64())
+        if name == "parent_id":
+            parent = self._layout()[0]
+            return pa.array(parent, pa.int64(), mask=parent < 0)
+        if name == "ord":
+            return pa.array(self._layout()[1], pa.int32())
+        plain = {"depth": self.depth, "kind": self.kind, "text": self.text, "src_start": self.start, "src_end": self.end}
         return pa.array(plain[name], _NODE_COLUMNS.field(name).type)
 
 
@@ -190,8 +267,9 @@ def _xml_rows(doc: str, part: str, data: bytes) -> list[list]:
     p = _Parsed(doc, part, data)
     ends = list(accumulate(p.attributes))
     attrs = [{"name": a, "value": v, "raw": r} for a, v, r in zip(p.attribute_names, p.attribute_values, p.attribute_raws, strict=True)]
+    parent, ord_, paths, bounds = (x.tolist() for x in p._layout())
     return [
-        [doc, part, k, p.parent[k], p.ord[k], p.depth[k], p.kind[k], p.names[k][0], attrs[ends[k] - p.attributes[k] : ends[k]], p.text[k], p.start[k], p.end[k], {p.names[x][0]: (x, p.nest[x]) for x in p.around[k]}, *p.names[k][1:], list(p.path[k])]
+        [doc, part, k, parent[k] if parent[k] >= 0 else None, ord_[k], p.depth[k], p.kind[k], p.names[k][0], attrs[ends[k] - p.attributes[k] : ends[k]], p.text[k], p.start[k], p.end[k], {p.names[x][0]: (x, p.nest[x]) for x in p.around[k]}, *p.names[k][1:], paths[bounds[k] : bounds[k + 1]]]
         for k in range(len(p.kind))
     ]
 
@@ -230,7 +308,7 @@ def xml_nodes(parts: DataFrame, dealt: bool = False, columns: Sequence[str] | No
         ready, n = [], 0
         for batch in batches:
             for doc, part, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                p = _Parsed(doc, part, data, kinds)
+                p = _Parsed(doc, part, data, kinds, wanted)
                 ready.append(pa.RecordBatch.from_arrays([p.column(c) for c in wanted], wanted))
                 n += len(p.kind)
                 if n >= _BATCH_ROWS:

@@ -99,3 +99,56 @@ def test_logs_are_replayed_and_reversed_without_a_broadcast(spark):
 
     assert broadcasts(spark, work) == []
     assert {r.doc_id: bytes(r.content).decode() for r in back} == {str(k): x for k, x in enumerate(xml)}
+
+
+def test_only_what_is_read_of_a_part_is_noted(spark):
+    """Most queries read neither bytes nor what stands around a node; noting it costs as much as the parse."""
+    from quirespark.sources import packages as P
+
+    xml = b'<w:p xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:r w:x="1">a&amp;b<!--c--></w:r>d<w:t/></w:p>'
+    few, every = P._Parsed("d", "p.xml", xml, frozenset(), ("path", "ord", "parent_id", "name", "attrs", "text")), P._Parsed("d", "p.xml", xml)
+    assert not few.start and not few.end and not few.around
+    for c in ("path", "ord", "parent_id", "name", "attrs", "text"):
+        assert few.column(c).equals(every.column(c)), c
+    assert every.column("path").to_pylist() == [[0], [0, 0], [0, 0, 0], [0, 0, 1], [0, 1], [0, 2]]
+
+
+def test_edited_parts_are_written_in_the_pass_that_edits_them(spark):
+    """Rows of a part that an edit has brought together are not shuffled or written again for their bytes."""
+    t = tree(spark, '<a x="1"><b>t</b><c/></a>', '<w:a xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><b/></w:a>')
+    parts = T.part_bytes(T.remove(t, t.where("name = 'b'").select(*T.KEY, "path")))
+    assert plan_of(parts).count("Exchange hashpartitioning") == 1 and "Join" not in plan_of(parts)
+    wrote = {r.doc_id: bytes(r.content).decode().partition("\n")[2] for r in parts.collect()}
+    assert wrote == {"0": '<a x="1"><c/></a>', "1": '<w:a xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"/>'}
+
+
+def test_properties_that_are_there_are_replaced_in_one_pass(spark):
+    from quirespark.operators import document_edits as D
+
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    t = tree(spark, f'<w:a {w}><w:p><w:pPr><w:pStyle w:val="x"/><w:jc/></w:pPr></w:p><w:p><w:pPr><w:pStyle w:val="y"/></w:pPr></w:p></w:a>')
+    style = F.when(F.element_at("path", -1) == 0, T.element("w:pStyle", w_val="z"))
+    out = D.set_property(t, "paragraph_style", t.where("name = 'w:p'").select(*T.KEY, "path", style.alias("xml")))
+    assert "Join" not in plan_of(out)
+    assert bytes(T.part_bytes(out).first().content).decode().endswith('<w:p><w:pPr><w:pStyle w:val="z"/><w:jc/></w:pPr></w:p><w:p><w:pPr/></w:p></w:a>')
+
+
+def test_accepted_changes_go_in_one_pass(spark):
+    from quirespark.operators import document_edits as D
+
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    t = tree(spark, f"<w:p {w}><w:ins><w:r>a</w:r></w:ins><w:del><w:r>b</w:r></w:del><w:r><w:rPr><w:rPrChange><w:b/></w:rPrChange></w:rPr></w:r></w:p>")
+    out = D.settle_revisions(t, True)
+    assert plan_of(out).count("SortMergeJoin") == 3  # of rows with marks of their own (twice), and of their tables; none of the tree
+    assert bytes(T.part_bytes(out).first().content).decode().endswith("<w:r>a</w:r><w:r><w:rPr/></w:r></w:p>")
+
+
+def test_texts_are_rewritten_in_one_pass(spark):
+    from quirespark.operators import inline as I
+
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    t = tree(spark, f'<w:p {w}><w:r><w:t xml:space="default">one</w:t><w:tab/></w:r><w:r><w:t>two</w:t></w:r></w:p>')
+    own = stored(I.pieces(t), "pieces")
+    out = I.rewritten(t, I.matches_in(I._flat(own), "e\ttw", " x "), own)
+    assert plan_of(out).count("SortMergeJoin") == 1  # pieces and edits
+    assert bytes(T.part_bytes(out).first().content).decode().endswith('<w:p xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:r><w:t xml:space="preserve">on x </w:t></w:r><w:r><w:t>o</w:t></w:r></w:p>')
