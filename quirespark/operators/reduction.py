@@ -1,180 +1,71 @@
-"""A log's operations applied to the trees of packages, in the log's order, as joins and folds over any number of documents.
+"""A log's operations applied to the trees of packages, in the log's order, over any number of documents.
 
-Each operation edits lists of children: it puts something beside a node, takes a node out, replaces a paragraph's content,
-sets an element of a property element. What depends on order is only what happens in one list, and which list that is.
-So: (1) the names that operations use are resolved to nodes, of the trees or of what earlier operations brought; (2) the
-list of each edit is found, by pointer doubling where a node stands beside one that stands beside another; (3) each list
-is folded over its own edits in order (an array in, an array out); (4) nodes get the paths that the lists give them, from
-the inside out by doubling again. Nodes that stand in no list any more are gone, with all that is in them.
-
-What an operation brings is a tree of its own until (4), under the part name "+seq.sub". No step holds more than one
-list of one document in a row.
+Documents are dealt out with their logs and sorted, so that a task reads one after the other: a document's trees, then
+its operations, each done on the trees in memory as it comes (`documents`). So the job is one shuffle, and a task holds
+one document at a time, whose parts are as large as they are; of its log it holds one batch of rows.
 """
 
 from __future__ import annotations
 
+import base64
 import json
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.packages import ATTRIBUTES, xml_nodes
-from ..sources.scratch import stored
-from . import tree as T
-from .operations import ELEMENT_OF, carried_parts, elements, field, of_kind, roots, styles_defined, taking_part
-from .payloads import brings
-from .sequence import sequence_of
-from .splice import spliced
-from .styles import chains
+from ..sources.packages import ATTRIBUTES
+from .documents import DOCUMENT, Document, Node
+from .operations import taking_part
 from .tree import KEY, TREE
 
-DOCUMENT = "word/document.xml"
-#: Kinds that edit no list of children, or none at all.
-APART = ("carryPart", "carryBinaryPart", "beginComponent", "endComponent", "setDocumentRoot", "setDocumentProlog", "updateAttribute", "moveNode")
-#: Kinds for which the element's name decides what comes.
-BY_NAME = ("setText", "insertTab", "insertBreak", "insertNoBreakHyphen", "removeTable")
-#: Kinds that edit the list that their element stands in.
-BESIDE = ("insertParagraphAfter", "insertParagraphBefore", "removeParagraph", "insertTable", "removeTable", "insertSiblingAfter", "removeNode", "wrapWithHyperlink", "moveNode")
-#: Kinds whose element must be a paragraph, or a run.
-ON = {"insertRun": "w:p", "insertBookmark": "w:p", "insertComment": "w:p", "setRuns": "w:p", "setParagraphContent": "w:p", "setParagraphStyle": "w:p", "setRunFormat": "w:r", "setCellText": "w:tbl"}
-#: Kinds whose new element is known by its operation where it has no id of its own.
-NAMED_BY_OPERATION = ("insertParagraphAfter", "insertParagraphBefore", "appendParagraph", "insertTable", "appendTable", "insertRun", "insertNode")
-#: Attributes by which elements are known, the first that is there counts.
-IDENTITIES = ("w14:paraId", "w:bookmarkId", "w:id", "r:id", "w14:textId")
-#: Children of a paragraph that its text replaces.
-CONTENT = ("w:r", "w:hyperlink", "w:fldSimple", "w:sdt", "w:smartTag", "w:t", "")
-
-ITEMS = "array<struct<k:string,c:string>>"
-
-
-def identity() -> Column:
-    """The id by which operations know a tree row, null if it has none."""
-    value = lambda name: F.get(F.filter("attrs", lambda x: x["name"] == name), 0)["value"]
-    return F.coalesce(*(F.concat(F.lit(f"{n}="), value(n)) for n in IDENTITIES))
-
-
-def _key(part: str = "part_path", path: str = "path") -> Column:
-    return F.concat(part, F.lit("|"), F.array_join(F.transform(path, lambda x: x.cast("string")), ","))
-
-
-def _up(path: str = "path") -> Column:
-    return F.slice(path, 1, F.greatest(F.size(path) - 1, F.lit(0)))
+#: Kinds that concern no tree: a document without others is not read.
+ASIDE = ("carryPart", "carryBinaryPart", "beginComponent", "endComponent")
+_LOG = ["seq", "op_id", "op_type", "payload"]
+#: How many rows, or bytes, are handed on at a time.
+_ROWS, _BYTES = 8192, 1 << 22
 
 
-def _check(df: DataFrame, wrong: Column, message: Column) -> DataFrame:
-    return df.where(F.when(wrong, F.raise_error(message).cast("boolean")).otherwise(True))
+def _by_document(things: DataFrame, log: DataFrame, order: list[str]) -> DataFrame:
+    """The rows of parts or trees, each document's in order and followed by its log's; a document is in one task. There are as many tasks as shuffles have partitions: of few bytes Spark would make one, and this is work."""
+    ops = log.select("doc_id", "seq", "op_id", "op_type", F.to_json("payload").alias("payload"))
+    both = things.unionByName(ops, allowMissingColumns=True)
+    tasks = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return both.repartition(tasks, "doc_id").sortWithinPartitions("doc_id", F.col("op_type").isNotNull(), *order, "seq")
 
 
-def _brought(ops: DataFrame) -> DataFrame:
-    """(doc_id, seq, sub, parent, how, xml) of ops(doc_id, seq, op_type, payload as JSON, target)."""
+def _documents(batches: Iterator[pa.RecordBatch], done: Callable[[str | None, Iterator[dict]], Iterator[tuple]], kinds: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """What `done` makes of each document's rows, in batches."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows() -> Iterator[dict]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
-            for doc, seq, kind, payload, target in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for sub, (parent, how, xml) in enumerate(brings(kind, json.loads(payload), target)):
-                    for column, value in zip(out, (doc, seq, sub, parent, how, xml), strict=True):
-                        column.append(value)
-            kinds = (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "seq", "sub", "parent", "how", "xml"])
-
-    return ops.select("doc_id", "seq", "op_type", "p", "target").mapInArrow(rows, "doc_id string, seq long, sub int, parent string, how string, xml string")
-
-
-def _piece(seq: str = "seq", sub: str = "sub") -> Column:
-    return F.concat(F.lit("+"), F.col(seq).cast("string"), F.lit("."), F.col(sub).cast("string"))
-
-
-def _parsed(brought: DataFrame) -> DataFrame:
-    edits = brought.where("xml IS NOT NULL").select("doc_id", _piece().alias("part_path"), F.array(F.lit(0.0)).alias("new_path"), "xml")
-    return T.fragments(edits)
-
-
-def step(children: Column, e: Column) -> Column:
-    """The children (array of k, c: key and class, which is the name, "" for text and "w:r#" for a run that holds a comment's reference) after one edit (how, anchor, at, items)."""
-    size, empty = F.size(children), F.array().cast(ITEMS)
-    keys, classes = F.transform(children, lambda x: x["k"]), F.transform(children, lambda x: x["c"])
-    fail = lambda text: F.raise_error(F.concat(F.lit(text), F.coalesce(e["anchor"], F.lit("")))).cast(ITEMS)
-    spliced = lambda n, gone=0: F.concat(F.slice(children, 1, n), e["items"], F.slice(children, n + 1 + gone, F.greatest(size - n - gone, F.lit(0))))
-    place = F.array_position(keys, e["anchor"]).cast("int")
-    beside = lambda there: F.when(place == 0, fail("no such element: ")).otherwise(there)
-    section = F.array_position(classes, "w:sectPr").cast("int")
-    head = F.when(F.get(classes, F.lit(0)) == "w:pPr", 1).otherwise(0)
-    ranged = lambda n, most, there: F.when((n < 0) | (n > most), fail("place out of range ")).otherwise(there)
-    without = lambda f: F.filter(children, f)
-    # a paragraph's text comes where the first of what it replaces stood, else before a comment's reference
-    goes = lambda c: c.isin(*CONTENT)
-    first = F.array_position(F.transform(classes, lambda c: goes(c).cast("int")), 1).cast("int")
-    kept = without(lambda x: ~goes(x["c"]))
-    mark = F.array_position(F.transform(kept, lambda x: x["c"]), "w:r#").cast("int")
-    spot = F.when(first > 0, F.size(F.filter(F.slice(children, 1, F.greatest(first - 1, F.lit(0))), lambda x: ~goes(x["c"])))).when(mark > 0, mark - 1).otherwise(F.size(kept))
-    texted = F.concat(F.slice(kept, 1, spot), e["items"], F.slice(kept, spot + 1, F.greatest(F.size(kept) - spot, F.lit(0))))
-    # moved inside its list: the place counts what stands there before
-    rest = without(lambda x: x["k"] != e["anchor"])
-    to = F.when(place <= e["at"], e["at"] - 1).otherwise(e["at"])
-    moved = F.concat(F.slice(rest, 1, to), F.slice(children, place, 1), F.slice(rest, to + 1, F.greatest(F.size(rest) - to, F.lit(0))))
-    # an element of a property element: the old one goes, the new one stands by the sequence
-    name = F.substring_index(e["how"], " ", -1)
-    order = lambda c: F.array_position(F.when(e["holder"] == "w:rPr", F.array(*map(F.lit, sequence_of("w:rPr")))).otherwise(F.array(*map(F.lit, sequence_of("w:pPr")))), c)
-    others = without(lambda x: x["c"] != name)
-    before = F.array_position(F.transform(others, lambda x: (order(x["c"]) > order(name)).cast("int")), 1).cast("int")
-    at = F.when(before > 0, before - 1).otherwise(F.size(others))
-    put = F.concat(F.slice(others, 1, at), e["items"], F.slice(others, at + 1, F.greatest(F.size(others) - at, F.lit(0))))
-    how = e["how"]
-    return (
-        F.when(how == "after", beside(spliced(place))).when(how == "before", beside(spliced(place - 1))).when(how == "remove", beside(rest)).when(how == "wrap", beside(spliced(place - 1, 1)))
-        .when(how == "append", spliced(F.when(section > 0, section - 1).otherwise(size))).when(how == "end", F.concat(children, e["items"])).when(how == "hold", F.concat(e["items"], children)).when(how == "start", spliced(head))
-        .when(how == "at", ranged(e["at"], size, spliced(e["at"]))).when(how == "run at", ranged(e["at"], size - head, spliced(head + e["at"]))).when(how == "move", beside(ranged(e["at"], size, moved)))
-        .when(how == "text of paragraph", texted).when(how == "text of run", F.concat(without(lambda x: x["c"] != "w:t"), e["items"])).when(how == "content", F.concat(without(lambda x: x["c"] == "w:pPr"), e["items"]))
-        .when(how == "section", F.concat(without(lambda x: x["c"] != "w:sectPr"), e["items"])).when(how.startswith("put "), put).when(how.startswith("drop "), others).otherwise(F.coalesce(fail("no such step: "), empty))
-    )
-
-
-def _latest(refs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(doc_id, seq, role, part, path, name) of refs(doc_id, seq, role, id): the node of that id that came last before seq; of several in the trees the first in the document. A name without a node is an error."""
-    met = refs.join(nodes.where("id IS NOT NULL"), ["doc_id", "id"], "left")
-    pick = F.min(F.when(F.col("born") < F.col("seq"), F.struct((-F.col("born")).alias("age"), (F.col("part_path") != DOCUMENT).alias("far"), "part_path", "path", "name")))
-    found = met.groupBy("doc_id", "seq", "role", "id").agg(pick.alias("n"))
-    found = _check(found, F.col("n").isNull(), F.concat(F.lit("no such element: "), "id"))
-    return found.select("doc_id", "seq", "role", F.col("n.part_path").alias("part"), F.col("n.path").alias("path"), F.col("n.name").alias("name"))
-
-
-def _cells(base: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, seq, part, path): the first paragraph of a cell, of wanted(doc_id, seq, part, path of the table, row, column)."""
-    inner = base.hint("merge").where("name IN ('w:tr', 'w:tc', 'w:p')").select("doc_id", F.col("part_path").alias("part"), F.col("path").alias("_kid"), "name", _up().alias("path"))
-    nth = F.row_number().over(T.Window.partitionBy("doc_id", "part", "path", "name").orderBy("_kid")) - 1
-    inner = inner.withColumn("_n", nth)
-    at = wanted
-    for name, which in (("w:tr", F.col("row")), ("w:tc", F.col("column")), ("w:p", F.lit(0))):
-        at = at.join(inner.where(F.col("name") == name).drop("name"), ["doc_id", "part", "path"], "left").where(F.col("_n").isNull() | (F.col("_n") == which))
-        at = at.withColumn("path", F.col("_kid")).drop("_kid", "_n")
-    found = at.groupBy("doc_id", "seq").agg(F.max(F.struct("part", "path")).alias("x"))
-    missing = wanted.join(found, ["doc_id", "seq"], "left")
-    return _check(missing, F.col("x.path").isNull(), F.lit("no such cell")).select("doc_id", "seq", "x.*")
-
-
-def _neighbours(ops: DataFrame, nodes: DataFrame, main: DataFrame, edit: DataFrame, direct: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of the edits beside a node: (doc_id, seq, x_part, x_path, x_name, part, path), the node and the list that it stands in at that time; and of what is moved or wrapped (going) also where to, whether that is the same list, and whether it is wrapped."""
-    moves = ops.where("op_type = 'moveNode'").select("doc_id", "seq").join(main, ["doc_id", "seq"]).join(nodes.where("role = 'to'").select("doc_id", "seq", F.col("part").alias("to_part"), F.col("path").alias("to_path")), ["doc_id", "seq"])
-    wraps = ops.where("op_type = 'wrapWithHyperlink'").select("doc_id", "seq").join(main, ["doc_id", "seq"]).withColumns({"to_part": F.concat(F.lit("+"), F.col("seq").cast("string"), F.lit(".0")), "to_path": F.array(F.lit(0.0))})
-    changes = stored(moves.unionByName(wraps), "moves")
-    asked = edit.where("parent = 'beside'").select("doc_id", "seq").unionByName(moves.select("doc_id", "seq")).distinct().join(main, ["doc_id", "seq"])
-    last = asked.join(changes.select("doc_id", "part", "path", F.col("seq").alias("_at"), "to_part", "to_path"), ["doc_id", "part", "path"], "left").groupBy("doc_id", "seq", "part", "path", "name").agg(F.max(F.when(F.col("_at") < F.col("seq"), F.struct("_at", "to_part", "to_path"))).alias("m"))
-    explicit = F.when(F.col("m").isNotNull(), F.struct(F.col("m.to_part").alias("part"), F.col("m.to_path").alias("path"))).when(F.size("path") > 1, F.struct("part", _up().alias("path")))
-    last = last.withColumn("own", explicit).withColumn("by", F.when(F.col("own").isNull(), F.nullif(F.regexp_extract("part", r"^\+(\d+)\.", 1), F.lit("")).cast("long")))
-    last = last.join(direct.select("doc_id", _piece().alias("part"), F.struct(F.col("part").alias("part"), F.col("path").alias("path")).alias("there")), ["doc_id", "part"], "left")
-    last = last.withColumn("own", F.coalesce("own", F.when(F.col("by").isNotNull(), F.col("there")))).withColumn("by", F.when(F.col("own").isNull(), F.col("by"))).drop("there", "m")
-    last = stored(last, "neighbours")
-    chain = chains(last.select("doc_id", F.col("seq").alias("id"), F.col("by").alias("parent")), ["doc_id"]).select("doc_id", F.col("id").alias("seq"), F.col("root").alias("_root"))
-    found = last.drop("own").join(chain, ["doc_id", "seq"]).join(last.select("doc_id", F.col("seq").alias("_root"), "own"), ["doc_id", "_root"])
-    # of both sides of the join, or it would be asked below it
-    found = _check(found, F.col("own").isNull() & F.col("seq").isNotNull(), F.lit("a part's root has no neighbours")).select("doc_id", "seq", F.col("part").alias("x_part"), F.col("path").alias("x_path"), F.col("name").alias("x_name"), F.col("own.part").alias("part"), F.col("own.path").alias("path"))
-    found = stored(found, "found")
-    going = found.join(changes.drop("part", "path", "name"), ["doc_id", "seq"]).withColumn("same", _key("part", "path") == _key("to_part", "to_path")).withColumn("wraps", F.col("to_part") == F.concat(F.lit("+"), F.col("seq").cast("string"), F.lit(".0")))
-    return found, going
+            names = batch.schema.names
+            for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield dict(zip(names, values, strict=True))
+
+    every = rows()
+    ahead = next(every, None)
+
+    def own(doc: str | None) -> Iterator[dict]:
+        nonlocal ahead
+        while ahead is not None and ahead["doc_id"] == doc:
+            row, ahead = ahead, None
+            yield row
+            ahead = next(every, None)
+
+    out: list[tuple] = []
+    held = 0
+    batch_of = lambda: pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], schema=kinds)
+    while ahead is not None:
+        for row in done(ahead["doc_id"], own(ahead["doc_id"])):
+            out.append(row)
+            held += sum(len(x) for x in row if isinstance(x, bytes))
+            if len(out) >= _ROWS or held >= _BYTES:
+                yield batch_of()
+                out, held = [], 0
+    if out:
+        yield batch_of()
 
 
 def materialised(tree: DataFrame, log: DataFrame) -> DataFrame:
@@ -187,183 +78,76 @@ def materialised(tree: DataFrame, log: DataFrame) -> DataFrame:
     needs (styles, relationships) must be there; a comment's definition goes to the comments part if there is one. Unknown
     kinds have no effect; carried parts and prologs are not trees, see `materialised_parts`.
     """
-    tree = stored(tree.select(*TREE), "tree")
-    active = stored(taking_part(log), "log")
-    # most logs have few kinds of operations: only what these need is planned
-    there = {r["op_type"] for r in active.select("op_type").distinct().where(F.col("op_type").isin(*ELEMENT_OF)).collect()}
-    ops = elements(of_kind(active, *(k for k in ELEMENT_OF if k not in ("undo", "redo", "batchBegin", "batchEnd", "carryPart", "carryBinaryPart", "beginComponent", "endComponent", "setDocumentRoot", "setDocumentProlog", "defineStyle", "addRelationship"))))
-    alone = []
-    if "defineStyle" in there:
-        have = tree.where("part_path = 'word/styles.xml' AND name = 'w:style'").select("doc_id", F.get(F.filter("attrs", lambda x: x["name"] == "w:styleId"), 0)["value"].alias("style_id"))
-        new_styles = styles_defined(active).select("doc_id", "style_id").join(have, ["doc_id", "style_id"], "left_anti")
-        alone.append((of_kind(active, "defineStyle").withColumn("style_id", field("payload.styleId")).join(new_styles, ["doc_id", "style_id"], "left_semi"), [F.col("style_id")]))
-    if "addRelationship" in there:
-        alone.append((of_kind(active, "addRelationship"), [field("part"), field("id"), field("type"), field("target")]))
-    for rows, keys in alone:  # the first of its kind
-        nth = F.row_number().over(T.Window.partitionBy("doc_id", *keys).orderBy("seq"))
-        ops = ops.unionByName(rows.withColumn("_n", nth).where("_n = 1").withColumn("element", F.lit(None).cast("string")).select(*ops.columns))
-    at = F.coalesce(field("position", "int"), field("destinationIndex", "int"))
-    ops = stored(ops.select("doc_id", "seq", "op_id", "op_type", "element", F.to_json("payload").alias("p"), field("destinationParent").alias("to"), at.alias("at"), field("part").alias("rels"), field("row", "int").alias("row"), field("column", "int").alias("column")), "operations")
-
-    # what operations bring, and the nodes that names stand for
-    early = ops.where(~F.col("op_type").isin(*BY_NAME, *APART)).withColumn("target", F.coalesce(*(F.when(F.col("op_type") == k, n) for k, n in ON.items())))
-    brought = stored(_brought(early), "brought")
-    pieces = stored(_parsed(brought), "pieces")
-    born = F.coalesce(F.nullif(F.regexp_extract("part_path", r"^\+(\d+)\.", 1), F.lit("")).cast("long"), F.lit(-1))
-    known = tree.where("kind = 'element'").unionByName(pieces.where("kind = 'element'")).select("*", identity().alias("id"), born.alias("born"))
-    by_op = pieces.where(F.size("path") == 1).where(identity().isNull()).select("*", born.alias("seq")).join(ops.where(F.col("op_type").isin(*NAMED_BY_OPERATION)).select("doc_id", "seq", "op_id"), ["doc_id", "seq"])
-    node = lambda df, i: df.select("doc_id", "part_path", "path", "name", i.alias("id"), born.alias("born"))
-    known = node(known, F.col("id")).unionByName(node(by_op, F.concat(F.lit("lib:"), "op_id")))
-    if "setParagraphContent" in there:
-        runs = of_kind(active, "setParagraphContent").select("doc_id", "seq", F.posexplode(field("items", "array<variant>")).alias("sub", "item")).select("doc_id", _piece().alias("part_path"), F.try_variant_get("item", "$.runID", "string").alias("run_id")).where("run_id IS NOT NULL")
-        by_run = pieces.where(F.size("path") == 1).join(runs, ["doc_id", "part_path"])
-        known = known.unionByName(node(by_run, F.concat(F.lit("lib:"), "run_id")))
-    refs = ops.where("element IS NOT NULL").select("doc_id", "seq", F.lit("main").alias("role"), F.col("element").alias("id")).unionByName(ops.where("to IS NOT NULL").select("doc_id", "seq", F.lit("to").alias("role"), F.col("to").alias("id")))
-    nodes = stored(_latest(refs, known.hint("merge")), "named")
-    main = nodes.where("role = 'main'").drop("role")
-    kinds = ops.select("doc_id", "seq", "op_type").join(main, ["doc_id", "seq"])
-    must = F.coalesce(*(F.when(F.col("op_type") == k, n) for k, n in ON.items()))
-    if there & set(BY_NAME):
-        late = ops.where(F.col("op_type").isin(*BY_NAME)).join(main.select("doc_id", "seq", F.col("name").alias("target")), ["doc_id", "seq"])
-        late = stored(_brought(late), "brought")
-        pieces = pieces.unionByName(_parsed(late))
-        brought = brought.unionByName(late)
-    kinds = _check(kinds, must.isNotNull() & (F.col("name") != must), F.concat("op_type", F.lit(" can't be done on "), "name"))
-    main = stored(kinds.drop("op_type"), "named")
-
-    # lists that are known at once
-    top = tree.where((F.size("path") == 1) & (F.col("kind") == "element")).select("doc_id", F.col("part_path").alias("part"), "path")
-    body = tree.where((F.col("part_path") == DOCUMENT) & (F.col("name") == "w:body") & (F.size("path") == 2)).select("doc_id", F.col("part_path").alias("part"), "path")
-    edit = brought.select("doc_id", "seq", "sub", "parent", "how")
-    shape = ["doc_id", "seq", "sub", "parent", "how", "part", "path"]
-    direct = edit.where("parent = 'self'").join(main.drop("name"), ["doc_id", "seq"]).select(shape)
-    if there & {"appendParagraph", "appendTable", "appendBlockMarker", "setSectionProperties"}:
-        direct = direct.unionByName(edit.where("parent = 'body'").join(body, "doc_id", "left").select(shape))
-    if there & {"defineStyle", "insertComment"}:
-        fixed = edit.where("parent IN ('styles', 'comments')").withColumn("part", F.concat(F.lit("word/"), "parent", F.lit(".xml"))).join(top, ["doc_id", "part"], "left")
-        direct = direct.unionByName(fixed.where("parent = 'styles' OR path IS NOT NULL").select(shape))
-    if "addRelationship" in there:
-        direct = direct.unionByName(edit.where("parent = 'rels'").join(ops.select("doc_id", "seq", F.col("rels").alias("part")), ["doc_id", "seq"]).join(top, ["doc_id", "part"], "left").select(shape))
-    if "setCellText" in there:
-        wanted = main.join(ops.where("op_type = 'setCellText'").select("doc_id", "seq", "row", "column"), ["doc_id", "seq"]).drop("name")
-        direct = direct.unionByName(edit.where("parent = 'cell'").join(_cells(tree.unionByName(pieces), wanted), ["doc_id", "seq"]).select(shape))
-    direct = _check(direct, F.col("path").isNull(), F.concat(F.lit("there is no part for "), "how"))
-
-    # lists of neighbours: where a node stands that an operation put beside another one
-    every = []
-    item = F.struct(_key("x_part", "x_path").alias("k"), F.col("x_name").alias("c"))
-    nothing = F.lit(None).cast("string")
-
-    def edits(df: DataFrame, how: Column | None = None, anchor: Column = nothing, moved: Column | None = None, sub: Column | None = None, holder: Column = nothing) -> None:
-        moved = F.lit(None).cast("struct<k:string,c:string>") if moved is None else moved
-        every.append(df.select("doc_id", "seq", (F.col("sub") if sub is None else sub).cast("int").alias("sub"), (F.col("how") if how is None else how).alias("how"), "part", "path", anchor.alias("anchor"), moved.alias("item"), holder.alias("holder")))
-
-    edits(direct)
-    if there & set(BESIDE):
-        found, going = _neighbours(ops, nodes, main, edit, direct)
-        edits(edit.where("parent = 'beside'").join(found, ["doc_id", "seq"]), anchor=item["k"])
-        if there & {"moveNode", "wrapWithHyperlink"}:
-            to = going.withColumns({"part": F.col("to_part"), "path": F.col("to_path")})
-            edits(going.where("same AND NOT wraps"), F.lit("move"), item["k"], sub=F.lit(0))
-            edits(going.where("NOT same AND NOT wraps"), F.lit("remove"), item["k"], sub=F.lit(0))
-            edits(to.where("NOT same AND NOT wraps"), F.lit("at"), moved=item, sub=F.lit(0))
-            edits(to.where("wraps"), F.lit("end"), moved=item, sub=F.lit(0))
-
-    # property elements, made where there are none
-    if there & {"setParagraphStyle", "setRunFormat", "setSectionProperties"}:
-        props = edit.where("parent IN ('pPr', 'rPr')").join(main.drop("name"), ["doc_id", "seq"]).withColumn("holder", F.concat(F.lit("w:"), "parent"))
-        kids = tree.unionByName(pieces).hint("merge").where("name IN ('w:pPr', 'w:rPr')").select("doc_id", F.col("part_path").alias("part"), F.col("path").alias("_hold"), _up().alias("path"), F.col("name").alias("holder"))
-        props = props.join(kids.groupBy("doc_id", "part", "path", "holder").agg(F.min("_hold").alias("_hold")), ["doc_id", "part", "path", "holder"], "left")
-        made = props.where("_hold IS NULL AND how LIKE 'put %'").groupBy("doc_id", "part", "path", "holder").agg(F.min("seq").alias("_first"))
-        props = stored(props.join(made, ["doc_id", "part", "path", "holder"], "left").where("_hold IS NOT NULL OR seq >= _first"), "properties")
-        piece, zero = F.concat(F.lit("+"), F.col("_first").cast("string"), F.lit(".h")), F.array(F.lit(0.0))
-        new = props.where("_hold IS NULL").select("doc_id", piece.alias("part_path"), "holder", "part", "path", "_first").distinct()
-        holders = new.select("doc_id", "part_path", zero.alias("path"), F.lit("element").alias("kind"), F.col("holder").alias("name"), F.array().cast(ATTRIBUTES).alias("attrs"), F.lit(None).cast("string").alias("text"))
-        pieces = pieces.unionByName(holders)
-        edits(props.withColumns({"part": F.when(F.col("_hold").isNull(), piece).otherwise(F.col("part")), "path": F.when(F.col("_hold").isNull(), zero).otherwise(F.col("_hold"))}), holder=F.col("holder"))
-        hold = F.struct(_key("part_path", "_zero").alias("k"), F.col("holder").alias("c"))
-        edits(new.withColumn("_zero", zero).withColumnRenamed("_first", "seq"), F.lit("hold"), moved=hold, sub=F.lit(-1))
-    pieces = stored(pieces, "pieces")
-    every = reduce(DataFrame.unionByName, every).hint("merge")
-
-    whole = tree.unionByName(pieces).hint("merge")
-    # only a paragraph's new text asks for runs that hold a comment's reference
-    marks = whole.where("name = 'w:commentReference'" if "setText" in there else "false").select(*KEY, "path")
-    marked = T._prefixes(marks).select("doc_id", F.col("part_path").alias("part"), F.col("_up").alias("path"), F.lit(True).alias("_mark")).distinct()
-    class_ = F.when(F.col("kind") != "element", "").when((F.col("name") == "w:r") & F.col("_mark"), "w:r#").otherwise(F.col("name"))
-    with_class = lambda df: df.join(marked, ["doc_id", "part", "path"], "left").select("doc_id", "part", "path", _key("part", "path").alias("k"), class_.alias("c"))
-    tops = stored(with_class(pieces.where(F.size("path") == 1).select("doc_id", F.col("part_path").alias("part"), "path", "kind", "name")), "tops")
-    items = tops.select("doc_id", F.col("part").alias("_piece"), F.struct("k", "c").alias("_item"))
-    every = every.withColumn("_piece", F.when(F.col("item").isNull(), _piece())).join(items, ["doc_id", "_piece"], "left").withColumn("item", F.coalesce("item", "_item"))
-    every = every.join(ops.select("doc_id", "seq", "at"), ["doc_id", "seq"], "left")
-    grouped = every.groupBy("doc_id", "part", "path", "seq", "how").agg(F.min("sub").alias("sub"), F.max("anchor").alias("anchor"), F.max("at").alias("at"), F.max("holder").alias("holder"), F.transform(F.array_sort(F.collect_list(F.when(F.col("item").isNotNull(), F.struct("sub", "item")))), lambda x: x["item"]).alias("items"))
-    lists = stored(grouped.groupBy("doc_id", "part", "path").agg(F.array_sort(F.collect_list(F.struct("seq", "sub", "how", "anchor", "at", "holder", "items"))).alias("edits")), "edits")
-    touched = lists.select("doc_id", F.col("part").alias("part_path"), F.col("path").alias("_list"))
-    inside = whole.withColumn("_list", _up()).where(F.size("path") > 1).join(touched, ["doc_id", "part_path", "_list"], "left_semi")
-    first_kids = stored(with_class(inside.select("doc_id", F.col("part_path").alias("part"), "path", "kind", "name")), "children")
-    start = first_kids.groupBy("doc_id", "part", _up().alias("_list")).agg(F.transform(F.array_sort(F.collect_list(F.struct("path", "k", "c"))), lambda x: F.struct(x["k"].alias("k"), x["c"].alias("c"))).alias("children")).withColumnRenamed("_list", "path")
-    folded = lists.join(start, ["doc_id", "part", "path"], "left")
-    done = stored(folded.select("doc_id", "part", "path", F.aggregate("edits", F.coalesce("children", F.array().cast(ITEMS)), step).alias("children")), "folded")
-
-    # what has a place of its own, and where that is
-    units = first_kids.select("doc_id", "part", "path", "k").unionByName(tops.select("doc_id", "part", "path", "k")).distinct()
-    empty_marks = done.where(F.size("children") == 0).select("doc_id", _key("part", "path").alias("k")).join(whole.where("name = 'w:rPr'").select("doc_id", _key().alias("k")), ["doc_id", "k"], "left_semi")
-    placed = done.select("doc_id", F.col("part").alias("_part"), F.col("path").alias("_path"), F.posexplode("children").alias("ord", "x")).select("doc_id", "_part", "_path", "ord", F.col("x.k").alias("k")).join(empty_marks, ["doc_id", "k"], "left_anti")
-    ups = done.select("doc_id", "part", "path").withColumn("_pre", F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda n: F.slice("path", 1, n))))
-    ups = ups.join(units.select("doc_id", "part", F.col("path").alias("_pre"), F.col("k").alias("_unit")), ["doc_id", "part", "_pre"]).groupBy("doc_id", "part", "path").agg(F.max(F.struct(F.size("_pre").alias("n"), "_unit")).alias("u"))
-    ups = ups.select("doc_id", F.col("part").alias("_part"), F.col("path").alias("_path"), F.col("u._unit").alias("up"), F.col("u.n").alias("n"))
-    way = placed.join(ups.hint("merge"), ["doc_id", "_part", "_path"], "left")
-    rel = F.concat(F.slice("_path", F.coalesce("n", F.lit(0)) + 1, F.size("_path") - F.coalesce("n", F.lit(0))), F.array(F.col("ord").cast("double")))
-    way = stored(way.select("doc_id", "k", "up", rel.alias("path"), F.when(F.col("up").isNull(), F.col("_part")).alias("part")), "ways")
-    while not way.where("up IS NOT NULL").isEmpty():
-        b = way.select("doc_id", F.col("k").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"), F.col("part").alias("_part"))
-        joined = way.where("up IS NOT NULL").join(b, ["doc_id", "up"])  # what stands in something that has no place has none either
-        way = stored(way.where("up IS NULL").unionByName(joined.select("doc_id", "k", F.col("_up").alias("up"), F.concat("_path", "path").alias("path"), F.col("_part").alias("part"))), "ways")
-    spots = units.join(way.select("doc_id", "k", F.col("part").alias("_to_part"), F.col("path").alias("_to")), ["doc_id", "k"], "left")
-    parts = units.select("doc_id", F.col("part").alias("part_path")).distinct()
-    rows = whole.join(parts, KEY, "left_semi").hint("merge")
-    near = T._prefixes(rows.select(*KEY, "path"), "_pre").join(spots.select("doc_id", F.col("part").alias("part_path"), F.col("path").alias("_pre"), "_to_part", "_to"), [*KEY, "_pre"])
-    near = near.groupBy(*KEY, "path").agg(F.max(F.struct(F.size("_pre").alias("n"), "_to_part", "_to")).alias("u"))
-    rows = rows.join(near, [*KEY, "path"], "left").where("u IS NULL OR u._to IS NOT NULL").where("u IS NOT NULL OR NOT part_path LIKE '+%'")
-    origin = [F.col("part_path").alias("_part0"), F.col("path").alias("_path0")]
-    rows = rows.select("*", *origin).withColumn("path", F.when(F.col("u").isNull(), F.col("path")).otherwise(F.concat("u._to", F.slice("path", F.col("u.n") + 1, F.size("path") - F.col("u.n"))))).withColumn("part_path", F.coalesce("u._to_part", "part_path")).drop("u")
-    out = rows.unionByName(tree.join(parts, KEY, "left_anti").select("*", *origin))
-
-    # attributes: the last word on each
-    final = out.select(*TREE)
-    if "updateAttribute" in there:
-        attrs = of_kind(active, "updateAttribute")
-        name = F.concat(F.coalesce(F.concat(field("prefix"), F.lit(":")), F.lit("")), field("localName"))
-        words = attrs.select("doc_id", "seq", name.alias("name"), field("value").alias("value")).join(main.drop("name"), ["doc_id", "seq"])
-        words = words.join(out.select("doc_id", F.col("_part0").alias("part"), F.col("_path0").alias("path"), F.col("part_path").alias("_p"), F.col("path").alias("_q")).hint("merge"), ["doc_id", "part", "path"])
-        final = T.set_attributes(out.select(*TREE), words.select("doc_id", F.col("_p").alias("part_path"), F.col("_q").alias("path"), "name", "value", "seq"))
-    if "setDocumentRoot" not in there:
-        return final
-    listed = roots(active).where("attributes IS NOT NULL").select(F.col("doc_id").alias("_d"), F.from_json("attributes", "array<struct<prefix:string,localName:string,value:string>>").alias("_new"))
-    final = final.join(listed.hint("merge"), (F.col("doc_id") == F.col("_d")) & (F.col("part_path") == DOCUMENT) & (F.size("path") == 1) & (F.col("kind") == "element"), "left")
-    full = lambda x: F.concat(F.coalesce(F.concat(x["prefix"], F.lit(":")), F.lit("")), x["localName"])
-    changed = F.transform("_new", lambda x: F.struct(full(x).alias("name"), x["value"].alias("value"), full(x).alias("raw")))
-    return final.select(*(F.coalesce(changed, F.col("attrs")).alias("attrs") if c == "attrs" else c for c in TREE))
+    attribute = pa.struct([("name", pa.string()), ("value", pa.string()), ("raw", pa.string())])
+    kinds = pa.schema([("doc_id", pa.string()), ("part_path", pa.string()), ("path", pa.list_(pa.float64())), ("kind", pa.string()), ("name", pa.string()), ("attrs", pa.list_(attribute)), ("text", pa.string())])
+
+    def done(doc: str | None, rows: Iterator[dict]) -> Iterator[tuple]:
+        document, nodes, stack = Document(doc), {}, []
+        for row in rows:
+            if row["op_type"] is None:
+                node = Node(row["kind"], row["name"], [(a["name"], a["value"], a["raw"]) for a in row["attrs"]], row["text"], row["part_path"], row["path"][-1])
+                del stack[len(row["path"]) - 1 :]
+                if stack:
+                    node.up = stack[-1]
+                    node.up.children.append(node)
+                stack.append(node)
+                nodes.setdefault(node.part, []).append(node)
+                continue
+            if nodes:
+                _added(document, nodes)
+            document.apply(row["seq"], row["op_id"], row["op_type"], json.loads(row["payload"]))
+        _added(document, nodes)
+        document.finish()
+        for row in document.rows():
+            yield doc, *row
+        document.drop()
+
+    rows = _by_document(tree.select(*TREE), taking_part(log), ["part_path", "path"])
+    return rows.mapInArrow(lambda batches: _documents(batches, done, kinds), f"doc_id string, part_path string, path array<double>, kind string, name string, attrs {ATTRIBUTES}, text string")
+
+
+def _added(document: Document, nodes: dict[str, list[Node]]) -> None:
+    for part, found in nodes.items():
+        document.add(part, found)
+    nodes.clear()
 
 
 def materialised_parts(parts: DataFrame, log: DataFrame) -> DataFrame:
     """(doc_id, part_path, content) of packages after their logs: of parts that an operation concerns the elements that are new or changed are written anew, all else stays byte for byte; carried parts are as they came.
 
-    A prolog that the log sets begins the document's part.
+    A prolog that the log sets begins the document's part. Parts that are no XML are not looked into.
     """
-    active = stored(taking_part(log), "log")
-    docs = active.where(~F.col("op_type").isin("carryPart", "carryBinaryPart", "beginComponent", "endComponent")).select("doc_id").distinct()
-    nodes = stored(xml_nodes(parts.join(docs, "doc_id", "left_semi")), "nodes")
-    tree = T.tree_of(nodes)
-    after = stored(materialised(tree, active), "tree")
-    line = F.struct("kind", "name", "attrs", "text")
-    print_of = lambda df, c: df.groupBy(*KEY).agg(F.sha2(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("path", line.alias("x")))), lambda r: F.struct(F.size(r["path"]).alias("d"), r["x"].alias("x")))), 256).alias(c))
-    prologs = roots(active).where("prolog IS NOT NULL").select("doc_id", F.lit(DOCUMENT).alias("part_path"), "prolog")
-    same = print_of(tree, "_a").join(print_of(after, "_b"), KEY).where("_a = _b").select(*KEY).join(prologs.select(*KEY), KEY, "left_anti")
-    new = spliced(parts, nodes, after.join(same, KEY, "left_anti")).join(prologs.hint("merge"), KEY, "left")
-    # a declaration and what stands before the first element
-    begun = F.when(F.col("prolog").isNull(), F.col("content")).otherwise(F.encode(F.concat("prolog", F.regexp_replace(F.decode("content", "UTF-8"), r"^(<\?.*?\?>|<!--(?s:.*?)-->|\s|\x{FEFF})*", "")), "UTF-8"))
-    new = new.select(*KEY, begun.alias("content"))
-    carried = carried_parts(active).select(*KEY, "content").hint("merge")
-    kept = parts.select(*KEY, "content").join(new.select(*KEY).unionByName(carried.select(*KEY)).hint("merge"), KEY, "left_anti")
-    return kept.unionByName(new.join(carried.select(*KEY), KEY, "left_anti")).unionByName(carried)
+    kinds = pa.schema([("doc_id", pa.string()), ("part_path", pa.string()), ("content", pa.binary())])
+
+    def done(doc: str | None, rows: Iterator[dict]) -> Iterator[tuple]:
+        old: dict[str, bytes] = {}
+        carried: dict[str | None, bytes | None] = {}
+        document = None
+        for row in rows:
+            if row["op_type"] is None:
+                old[row["part_path"]] = row["content"]
+                continue
+            if row["op_type"] in ASIDE:
+                if row["op_type"].startswith("carry"):
+                    payload = json.loads(row["payload"])
+                    xml, coded = payload.get("xml"), payload.get("base64")
+                    carried[payload.get("partPath")] = xml.encode() if xml is not None else None if coded is None else base64.b64decode(coded)
+                continue
+            if document is None:
+                document = Document(doc)
+                for part, data in old.items():
+                    if part.endswith((".xml", ".rels")):
+                        document.parse(part, data)
+            document.apply(row["seq"], row["op_id"], row["op_type"], json.loads(row["payload"]))
+        if document is not None:
+            document.finish()
+            old |= dict(document.changed(carried))
+            document.drop()
+        for part, data in (old | carried).items():
+            yield doc, part, data
+
+    rows = _by_document(parts.select(*KEY, "content"), taking_part(log), ["part_path"])
+    return rows.mapInArrow(lambda batches: _documents(batches, done, kinds), "doc_id string, part_path string, content binary")
+
+
+__all__ = ["DOCUMENT", "materialised", "materialised_parts"]

@@ -314,7 +314,7 @@ def package_log(spark, sf_dir) -> DataFrame:
 def operation_tree(spark, sf_dir):
     """The packages after their logs: all paragraphs, read from the bytes of the parts."""
     parts = R.materialised_parts(package_parts(spark, sf_dir).where(F.col("part_path") == DOC), package_log(spark, sf_dir))
-    return P.paragraphs(P.xml_nodes(parts)).select("doc_id", F.col("ord").cast("long").alias("ord"), "in_table", "style", "para_id", "text")
+    return P.paragraphs(P.xml_nodes(parts, columns=P.READ, within=P.OF_PARAGRAPHS)).select("doc_id", F.col("ord").cast("long").alias("ord"), "in_table", "style", "para_id", "text")
 
 
 _LEAN = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:w14="http://schemas.microsoft.com/office/word/2010/wordml"'

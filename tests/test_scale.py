@@ -152,3 +152,22 @@ def test_texts_are_rewritten_in_one_pass(spark):
     out = I.rewritten(t, I.matches_in(I._flat(own), "e\ttw", " x "), own)
     assert plan_of(out).count("SortMergeJoin") == 1  # pieces and edits
     assert bytes(T.part_bytes(out).first().content).decode().endswith('<w:p xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:r><w:t xml:space="preserve">on x </w:t></w:r><w:r><w:t>o</w:t></w:r></w:p>')
+
+
+def test_a_log_is_replayed_in_one_shuffle_without_tables_between(spark, monkeypatch):
+    """Rows for each ancestor and a table for each step took 15 KB of disk a paragraph; a document and its log need to come together once."""
+    from quirespark.operators import reduction as R
+    from quirespark.sources import scratch
+
+    names = []
+    path = scratch.scratch_path
+    monkeypatch.setattr(scratch, "scratch_path", lambda s, name: names.append(name) or path(s, name))
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:w14="http://schemas.microsoft.com/office/word/2010/wordml"'
+    parts = spark.createDataFrame([(d, "word/document.xml", f'<w:document {w}><w:body><w:p w14:paraId="A"/></w:body></w:document>'.encode()) for d in "xy"], "doc_id string, part_path string, content binary")
+    log = spark.createDataFrame([("x", 1, "o", "setText", '{"target": "w14:paraId=A", "text": "t"}')], "doc_id string, seq long, op_id string, op_type string, p string").selectExpr("doc_id", "seq", "op_id", "op_type", "parse_json(p) AS payload")
+    out = R.materialised_parts(parts, log)
+    got = {r.doc_id: bytes(r.content).decode() for r in out.collect()}
+    assert "<w:r><w:t>t</w:t></w:r>" in got["x"] and got["y"].endswith('<w:p w14:paraId="A"/></w:body></w:document>')
+    plan = plan_of(out)
+    above = plan[: plan.index("Union")]
+    assert names == [] and above.count("Exchange") == 1 and above.count("MapInArrow") == 1 and "Join" not in above
