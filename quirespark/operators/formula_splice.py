@@ -1,17 +1,23 @@
 """Formulas brought from one document into another, and text replaced beside formulas without touching them.
 
 A formula is carried by a run that holds it, or stands in its paragraph itself; either is copied with all that is in it.
-Copies are rows of the tree under new paths, so any number of them between any documents is one job.
+Copies are rows of the tree under new paths, so any number of them between any documents is one job. Of packages that are
+read and written (`splice_parts`) a task holds one part: formulas go from the parts they are in to those they come into.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import stored
 from . import inline as I
 from . import tree as T
+from .documents import Document, Node, in_turn
 from .formulas import formula_texts
 from .tree import KEY, TREE
 
@@ -106,6 +112,276 @@ def splice(tree: DataFrame, splices: DataFrame, properties: str = "all") -> Data
     return tree.unionByName(new)
 
 
+_MATH = ("m:oMath", "m:oMathPara")
+_XML = r"\.(xml|rels)$"
+
+
+def _carriers_in(paragraph: Node) -> list[Node]:
+    """`carriers` of one paragraph."""
+    return [x for x in paragraph.children if x.name in _MATH or (x.name == "w:r" and any(y.name in _MATH for y in x.children))]
+
+
+def paragraphs(parts: DataFrame) -> DataFrame:
+    """(doc_id, part_path, path, ord, formulas): the paragraphs of parts (doc_id, part_path, content), numbered in each part from 0, and how many formulas each has."""
+    kinds = pa.schema([("doc_id", pa.string()), ("part_path", pa.string()), ("path", pa.list_(pa.float64())), ("ord", pa.int64()), ("formulas", pa.int32())])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, part, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                document = Document(doc)
+                document.parse(part, data, False)
+                rows = [(doc, part, n.path, k, len(_carriers_in(n))) for k, n in enumerate(n for n in document.nodes[part] if n.name == "w:p")]
+                document.drop()
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
+
+    return parts.where(F.col("part_path").rlike(_XML)).select(*KEY, "content").mapInArrow(read, "doc_id string, part_path string, path array<double>, ord long, formulas int")
+
+
+def _packed(carrier: Node, properties: str) -> str:
+    """A formula's nodes as JSON, each with its depth; of a run's properties what is to be kept."""
+    out, stack = [], [(carrier, 0)]
+    while stack:
+        node, depth = stack.pop()
+        out.append((depth, node.kind, node.name, node.attrs, node.text))
+        kids = node.children
+        if carrier.name == "w:r" and properties != "all":
+            if node is carrier:
+                kids = kids if properties == "formula" else [x for x in kids if x.name != "w:rPr"]
+            elif depth == 1 and node.name == "w:rPr":
+                kids = [x for x in kids if x.name in KEPT]
+        stack += [(x, depth + 1) for x in reversed(kids)]
+    return json.dumps(out, ensure_ascii=False, separators=(",", ":"))
+
+
+def _unpacked(packed: str) -> Node:
+    stack: list[Node] = []
+    for depth, kind, name, attrs, text in json.loads(packed):
+        node = Node(kind, name, [tuple(a) for a in attrs], text)
+        del stack[depth:]
+        if stack:
+            node.up = stack[-1]
+            node.up.children.append(node)
+        stack.append(node)
+    return stack[0]
+
+
+def _paths(document: Document, part: str | None) -> dict[tuple, Node]:
+    return {tuple(n.path): n for n in document.nodes.get(part, ()) if n.name == "w:p"}
+
+
+def _formulas(parts: DataFrame, wanted: DataFrame, properties: str) -> DataFrame:
+    """(source_doc, source_part, source_path, index, n, formula): each of the formulas that are wanted, packed, and how many its paragraph has."""
+    kinds = pa.schema([("source_doc", pa.string()), ("source_part", pa.string()), ("source_path", pa.list_(pa.float64())), ("index", pa.int32()), ("n", pa.int32()), ("formula", pa.string())])
+
+    def done(key: tuple, rows: Iterator[dict]) -> Iterator[tuple]:
+        document, data = Document(key[0]), None
+        found: dict[tuple, Node] | None = None
+        for row in rows:
+            if row["source_path"] is None:
+                data = row["content"]
+                continue
+            if found is None:
+                if data is not None:
+                    document.parse(key[1], data, False)
+                found = _paths(document, key[1])
+            paragraph = found.get(tuple(row["source_path"]))
+            own = [] if paragraph is None else _carriers_in(paragraph)
+            index = row["index"]
+            here = index is not None and 0 <= index < len(own)
+            yield *key, row["source_path"], index, len(own), _packed(own[index], properties) if here else None
+        document.drop()
+
+    asked = wanted.select(*_SOURCE, F.col("index").cast("int").alias("index")).distinct().where("source_path IS NOT NULL")
+    things = parts.where(F.col("part_path").rlike(_XML)).select(F.col("doc_id").alias("source_doc"), F.col("part_path").alias("source_part"), "content")
+    order = [F.col("source_path").isNotNull(), "source_path", "index"]
+    return _dealt(things.unionByName(asked, allowMissingColumns=True), ["source_doc", "source_part"], order).mapInArrow(
+        lambda batches: in_turn(batches, ("source_doc", "source_part"), done, kinds), "source_doc string, source_part string, source_path array<double>, index int, n int, formula string"
+    )
+
+
+def _dealt(rows: DataFrame, key: list[str], order: list) -> DataFrame:
+    """Parts with what is asked of them behind each, in order; a part is in one task. There are as many tasks as shuffles have partitions, as this is work."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, *key).sortWithinPartitions(*key, *order)
+
+
+def splice_parts(parts: DataFrame, splices: DataFrame, properties: str = "all") -> DataFrame:
+    """(doc_id, part_path, content): all parts, with copies of formulas as `splice` makes them; what no copy concerns stays byte for byte.
+
+    Each formula is taken out of its part once and brought to the parts that it comes into, where a task holds one part at
+    a time with all that comes into it. Errors are those of `splice`.
+    """
+    if properties not in ("all", "formula", "none"):
+        raise ValueError(f"no such properties: {properties}")
+    kinds = pa.schema([("doc_id", pa.string()), ("part_path", pa.string()), ("content", pa.binary())])
+    parts, splices = stored(parts.select(*KEY, "content"), "parts"), stored(splices.withColumn("index", F.col("index").cast("int")), "splices")
+    rows = splices.join(_formulas(parts, splices, properties), [*_SOURCE, "index"], "left")
+    rows = rows.select(*KEY, "id", F.col("path").alias("at"), "index", "where", "anchor", F.coalesce("instance", F.lit(1)).cast("int").alias("instance"), "n", "formula", F.lit(True).alias("_asked"))
+
+    def done(key: tuple, rows: Iterator[dict]) -> Iterator[tuple]:
+        data, asked = None, []
+        for row in rows:
+            if row["_asked"]:
+                asked.append(row)
+            else:
+                data = row["content"]
+        if not asked:
+            yield *key, data
+            return
+        document = Document(key[0])
+        if data is not None and key[1].endswith((".xml", ".rels")):
+            document.parse(key[1], data)
+        _spliced(document, key[1], asked)
+        document.finish()
+        yield *key, dict(document.changed()).get(key[1], data)
+        document.drop()
+
+    dealt = _dealt(parts.unionByName(rows, allowMissingColumns=True), KEY, [F.col("_asked").isNotNull(), "id"])
+    return dealt.select(*KEY, "content", "_asked", "at", "index", "where", "anchor", "instance", "n", "formula").mapInArrow(lambda batches: in_turn(batches, tuple(KEY), done, kinds), "doc_id string, part_path string, content binary")
+
+
+def _texts(paragraph: Node) -> list[tuple[Node, Node, str]]:
+    """What makes up a paragraph's own text (see `inline.pieces`): the run, its child, and the text of that."""
+    out: list[tuple[Node, Node, str]] = []
+    stack = list(reversed(paragraph.children))
+    while stack:
+        node = stack.pop()
+        if node.kind != "element" or node.name in I.SURFACES or node.name in I.GONE:
+            continue
+        if node.up.name == "w:r" and (node.name == "w:t" or node.name in I.CHARACTERS):
+            out.append((node.up, node, "".join([x.text for x in node.children if x.kind == "text"]) if node.name == "w:t" else I.CHARACTERS[node.name]))
+        stack += reversed(node.children)
+    return out
+
+
+def _copy(node: Node) -> Node:
+    out = Node(node.kind, node.name, node.attrs, node.text)
+    stack = [(node, out)]
+    while stack:
+        old, new = stack.pop()
+        for x in old.children:
+            y = Node(x.kind, x.name, x.attrs, x.text)
+            y.up = new
+            new.children.append(y)
+            stack.append((x, y))
+    return out
+
+
+def _split(run: Node, texts: dict[int, tuple[int, str]], cuts: list[int]) -> list[Node]:
+    """The parts of a run that is split at offsets of its own text, see `inline.split_runs`; texts has its children's, and where they begin."""
+    bounds = [0, *cuts, max(at + len(text) for at, text in texts.values())]
+    parts = [Node("element", run.name, run.attrs, None) for _ in bounds[1:]]
+
+    def add(part: Node, x: Node) -> None:
+        x.up = part
+        part.children.append(x)
+
+    end = 0  # of the texts so far
+    for x in run.children:
+        a, text = texts.get(id(x), (end, ""))
+        b = end = max(end, a + len(text))
+        for part, low, high in zip(parts, bounds, bounds[1:], strict=False):
+            if x.name == "w:rPr":
+                add(part, x if part is parts[0] else _copy(x))
+            elif not text:
+                if (low < a or part is parts[0]) and a <= high:
+                    add(part, x)
+            elif a < high and b > low:
+                if low <= a and b <= high:
+                    add(part, x)
+                    continue
+                piece = Node("element", x.name, [t for t in x.attrs if t[0] != "xml:space"] + [("xml:space", "preserve", "xml:space")], None)
+                add(piece, Node("text", None, [], text[max(low - a, 0) : min(high, b) - a]))
+                for y in x.children:
+                    if y.kind == "element":
+                        add(piece, _copy(y))
+                add(part, piece)
+    return parts
+
+
+def _offset(flat: str, row: dict) -> int:
+    """Where in a paragraph's text a splice comes."""
+    anchor, at = row["anchor"], 0
+    if anchor and row["instance"] >= 1:
+        for k in range(row["instance"]):
+            if k and not at:
+                break
+            at = flat.find(anchor, at) + 1
+    if not at:
+        raise ValueError(f"not found: {'null' if anchor is None else anchor}")
+    return at - 1 if row["where"] == "before" else at - 1 + len(anchor)
+
+
+def _spliced(document: Document, part: str, asked: list[dict]) -> None:
+    """Does the splices of one part, which come in the order of their ids."""
+    found = _paths(document, part)
+    by: dict[int, tuple[Node, list[dict]]] = {}
+    for row in asked:
+        paragraph = None if row["at"] is None else found.get(tuple(row["at"]))
+        if paragraph is None:
+            raise ValueError("the target is no paragraph")
+        if not row["n"]:
+            raise ValueError("the source has no formula")
+        if row["formula"] is None:
+            raise ValueError(f"no formula {row['index']}")
+        if row["where"] not in ("start", "end", "before", "after"):
+            raise ValueError("no such place")
+        by.setdefault(id(paragraph), (paragraph, []))[1].append(row)
+    for paragraph, rows in by.values():
+        _spliced_into(document, paragraph, rows)
+
+
+def _spliced_into(document: Document, paragraph: Node, rows: list[dict]) -> None:
+    flat, runs = "", {}
+    for run, x, text in _texts(paragraph):
+        runs.setdefault(id(run), (run, len(flat), {}))[2][id(x)] = len(flat), text
+        flat += text
+    offsets = {k: _offset(flat, row) for k, row in enumerate(rows) if row["where"] in ("before", "after")}
+    # the runs with where they begin and end, split where something comes in
+    spans: list[tuple[int, int, Node]] = []
+    for run, begin, own in runs.values():
+        end = max(at + len(text) for at, text in own.values())
+        cuts = sorted({x for x in offsets.values() if begin < x < end})
+        if not cuts:
+            spans.append((begin, end, run))
+            continue
+        parts = _split(run, {x: (at - begin, text) for x, (at, text) in own.items()}, [x - begin for x in cuts])
+        document.replace(run.up, run.up.children.index(run), 1, parts)
+        spans += zip([begin, *cuts], [*cuts, end], parts, strict=True)
+    head = next((x for x in paragraph.children if x.name == "w:pPr"), None)
+    after: dict[int, list[Node]] = {}
+    before: dict[int, list[Node]] = {}
+    first: list[Node] = []
+    last: list[Node] = []
+    beside: dict[int, Node] = {}
+    for k, row in enumerate(rows):
+        new = _unpacked(row["formula"])
+        if row["where"] == "end":
+            last.append(new)
+            continue
+        if row["where"] == "start":
+            to = head
+            if to is None:
+                first.append(new)
+                continue
+        else:
+            following = next((run for begin, _, run in spans if begin >= offsets[k]), None) if row["where"] == "before" else None
+            if following is not None:
+                before.setdefault(id(following), []).append(new)
+                beside[id(following)] = following
+                continue
+            to = [run for _, end, run in spans if end <= offsets[k]][-1]
+        after.setdefault(id(to), []).append(new)
+        beside[id(to)] = to
+    for x in beside.values():
+        place = x.up.children.index(x)
+        document.replace(x.up, place + 1, 0, after.get(id(x), []))
+        document.replace(x.up, place, 0, before.get(id(x), []))
+    document.replace(paragraph, 0, 0, first)
+    document.replace(paragraph, len(paragraph.children), 0, last)
+
+
 def contexts(tree: DataFrame, pairs: DataFrame) -> DataFrame:
     """Splices for every formula of the source paragraphs of pairs(id, doc_id, part_path, path, source_doc, source_part, source_path): after what the target has of the CONTEXT characters of text before it, at the end where there are none. Formulas of a source paragraph keep their order (id is that of the pair and the index)."""
     tree = stored(T.tree_of(tree), "tree")

@@ -8,11 +8,15 @@ its leaves in the order of their keys, however deep formulas are nested: one joi
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.packages import attribute
 from ..sources.scratch import stored
+from .documents import Document, Node
 
 #: The components that are known, and their arguments in reading order. All others read as the text in them.
 ARGUMENTS = {"m:f": ("m:num", "m:den"), "m:sSub": ("m:e", "m:sub"), "m:sSup": ("m:e", "m:sup"), "m:sSubSup": ("m:e", "m:sub", "m:sup"), "m:rad": ("m:deg", "m:e"), "m:nary": ("m:sub", "m:sup", "m:e"), "m:acc": ("m:e",)}
@@ -124,3 +128,80 @@ def display_texts(nodes: DataFrame) -> DataFrame:
     rows = rows.where("text IS NOT NULL").join(math, ["doc_id", "part_path", "node_id"], "left").withColumn("text", F.when(F.col("formula"), F.coalesce("_math", F.lit(""))).otherwise(F.col("text")))
     rows = rows.withColumn("key", F.struct("place", "node_id"))
     return rows.groupBy("doc_id", "part_path", F.col("_p").alias("node_id")).agg(_joined("key").alias("text"))
+
+
+def formula_text(math: Node) -> str:
+    """What an m:oMath reads as, see `formula_texts`; empty where nothing is seen."""
+    out: list[str] = []
+    stack: list[tuple[Node, str]] = [(math, "sequence")]
+    while stack:
+        node, mode = stack.pop()
+        if node.kind != "element":
+            if node.kind == "text" and node.up.name == "m:t":
+                out.append(node.text)
+            continue
+        kids = [x for x in node.children if x.name not in ("mc:Choice", "m:oMath")]
+        if mode not in ARGUMENTS:
+            stack += [(x, x.name if mode == "sequence" and x.name in ARGUMENTS else "text") for x in reversed(kids)]
+            continue
+        said = [(y.name, next((v for name in ("m:val", "w:val") for a, v, _ in y.attrs if a == name), None)) for x in kids for y in x.children if y.name in ("m:chr", "m:degHide")]
+        hides = any(name == "m:degHide" and (value is None or value in ("1", "true", "on")) for name, value in said)
+        if mode == "m:nary":
+            sign = max((value for name, value in said if name == "m:chr" and value is not None), default=None)
+            out.append(sign if sign in SIGNS else SIGNS[0])
+        for name in reversed(ARGUMENTS[mode]):
+            first = next((x for x in kids if x.name == name), None)
+            if first is not None and not (name == "m:deg" and hides):
+                stack.append((first, "sequence"))
+    return "".join(out)
+
+
+_SHOWN = {"w:tab": "\t", "w:br": "\n", "w:cr": "\n", "w:noBreakHyphen": "\u2011"}
+
+
+def part_texts(tops: list[Node]) -> Iterator[tuple[Node, str]]:
+    """What each paragraph of a part reads as, see `display_texts`, in the document's order."""
+    found: list[tuple[Node, list[tuple[int, str]]]] = []
+    # a paragraph's texts with their places; whether in a w:t, w:tabs or formula; the innermost holders of each kind in the paragraph
+    none = (-1,) * len(HOLDERS)
+    stack: list[tuple] = [(top, None, False, False, False, none) for top in reversed(tops)]
+    count = 0
+    while stack:
+        node, texts, in_text, in_tabs, in_math, holders = stack.pop()
+        count += 1
+        name = node.name if node.kind == "element" else None
+        if name == "mc:Choice":
+            continue
+        if name == "w:p":
+            texts, holders = [], none
+            found.append((node, texts))
+        elif name in HOLDERS:
+            k = HOLDERS.index(name)
+            holders = (*holders[:k], count, *holders[k + 1 :])
+        in_text, in_tabs = in_text or name == "w:t", in_tabs or name == "w:tabs"
+        if texts is not None:
+            text = formula_text(node) if name == "m:oMath" else None if in_tabs or in_math else node.text if node.kind == "text" and in_text else _SHOWN.get(name)
+            if text:
+                texts.append((0 if holders is none else min((at, k + 1) for k, at in enumerate(holders) if at >= 0)[1], text))
+        in_math = in_math or name == "m:oMath"
+        if node.children:
+            stack += [(x, texts, in_text, in_tabs, in_math, holders) for x in reversed(node.children)]
+    for node, texts in found:
+        yield node, "".join([text for _, text in sorted(texts, key=lambda x: x[0])])
+
+
+def texts_of_parts(parts: DataFrame) -> DataFrame:
+    """(doc_id, part_path, ord, text): `display_texts` of the paragraphs of parts (doc_id, part_path, content), numbered in each part from 0. A part is read in one go, and no node of it becomes a row."""
+    kinds = pa.schema([("doc_id", pa.string()), ("part_path", pa.string()), ("ord", pa.int64()), ("text", pa.string())])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, part, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                document = Document(doc)
+                document.parse(part, data, False)
+                texts = [text for _, text in part_texts(document.tops[part])]
+                document.drop()
+                if texts:
+                    yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(doc, pa.string()), len(texts)), pa.repeat(pa.scalar(part, pa.string()), len(texts)), pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], schema=kinds)
+
+    return parts.where(F.col("part_path").rlike(r"\.(xml|rels)$")).select("doc_id", "part_path", "content").mapInArrow(read, "doc_id string, part_path string, ord long, text string")

@@ -9,22 +9,19 @@ from __future__ import annotations
 
 import base64
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.packages import ATTRIBUTES
-from .documents import DOCUMENT, Document, Node
+from .documents import DOCUMENT, Document, Node, in_turn
 from .operations import taking_part
 from .tree import KEY, TREE
 
 #: Kinds that concern no tree: a document without others is not read.
 ASIDE = ("carryPart", "carryBinaryPart", "beginComponent", "endComponent")
-_LOG = ["seq", "op_id", "op_type", "payload"]
-#: How many rows, or bytes, are handed on at a time.
-_ROWS, _BYTES = 8192, 1 << 22
 
 
 def _by_document(things: DataFrame, log: DataFrame, order: list[str]) -> DataFrame:
@@ -35,39 +32,6 @@ def _by_document(things: DataFrame, log: DataFrame, order: list[str]) -> DataFra
     return both.repartition(tasks, "doc_id").sortWithinPartitions("doc_id", F.col("op_type").isNotNull(), *order, "seq")
 
 
-def _documents(batches: Iterator[pa.RecordBatch], done: Callable[[str | None, Iterator[dict]], Iterator[tuple]], kinds: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """What `done` makes of each document's rows, in batches."""
-
-    def rows() -> Iterator[dict]:
-        for batch in batches:
-            names = batch.schema.names
-            for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield dict(zip(names, values, strict=True))
-
-    every = rows()
-    ahead = next(every, None)
-
-    def own(doc: str | None) -> Iterator[dict]:
-        nonlocal ahead
-        while ahead is not None and ahead["doc_id"] == doc:
-            row, ahead = ahead, None
-            yield row
-            ahead = next(every, None)
-
-    out: list[tuple] = []
-    held = 0
-    batch_of = lambda: pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], schema=kinds)
-    while ahead is not None:
-        for row in done(ahead["doc_id"], own(ahead["doc_id"])):
-            out.append(row)
-            held += sum(len(x) for x in row if isinstance(x, bytes))
-            if len(out) >= _ROWS or held >= _BYTES:
-                yield batch_of()
-                out, held = [], 0
-    if out:
-        yield batch_of()
-
-
 def materialised(tree: DataFrame, log: DataFrame) -> DataFrame:
     """The tree rows (TREE) of all parts after the log (doc_id, seq, op_id, op_type, payload VARIANT), undone operations left out.
 
@@ -81,7 +45,8 @@ def materialised(tree: DataFrame, log: DataFrame) -> DataFrame:
     attribute = pa.struct([("name", pa.string()), ("value", pa.string()), ("raw", pa.string())])
     kinds = pa.schema([("doc_id", pa.string()), ("part_path", pa.string()), ("path", pa.list_(pa.float64())), ("kind", pa.string()), ("name", pa.string()), ("attrs", pa.list_(attribute)), ("text", pa.string())])
 
-    def done(doc: str | None, rows: Iterator[dict]) -> Iterator[tuple]:
+    def done(key: tuple, rows: Iterator[dict]) -> Iterator[tuple]:
+        (doc,) = key
         document, nodes, stack = Document(doc), {}, []
         for row in rows:
             if row["op_type"] is None:
@@ -103,7 +68,7 @@ def materialised(tree: DataFrame, log: DataFrame) -> DataFrame:
         document.drop()
 
     rows = _by_document(tree.select(*TREE), taking_part(log), ["part_path", "path"])
-    return rows.mapInArrow(lambda batches: _documents(batches, done, kinds), f"doc_id string, part_path string, path array<double>, kind string, name string, attrs {ATTRIBUTES}, text string")
+    return rows.mapInArrow(lambda batches: in_turn(batches, ("doc_id",), done, kinds), f"doc_id string, part_path string, path array<double>, kind string, name string, attrs {ATTRIBUTES}, text string")
 
 
 def _added(document: Document, nodes: dict[str, list[Node]]) -> None:
@@ -119,7 +84,8 @@ def materialised_parts(parts: DataFrame, log: DataFrame) -> DataFrame:
     """
     kinds = pa.schema([("doc_id", pa.string()), ("part_path", pa.string()), ("content", pa.binary())])
 
-    def done(doc: str | None, rows: Iterator[dict]) -> Iterator[tuple]:
+    def done(key: tuple, rows: Iterator[dict]) -> Iterator[tuple]:
+        (doc,) = key
         old: dict[str, bytes] = {}
         carried: dict[str | None, bytes | None] = {}
         document = None
@@ -147,7 +113,7 @@ def materialised_parts(parts: DataFrame, log: DataFrame) -> DataFrame:
             yield doc, part, data
 
     rows = _by_document(parts.select(*KEY, "content"), taking_part(log), ["part_path"])
-    return rows.mapInArrow(lambda batches: _documents(batches, done, kinds), "doc_id string, part_path string, content binary")
+    return rows.mapInArrow(lambda batches: in_turn(batches, ("doc_id",), done, kinds), "doc_id string, part_path string, content binary")
 
 
 __all__ = ["DOCUMENT", "materialised", "materialised_parts"]

@@ -35,14 +35,18 @@ COLUMNS = (*P.READ, "path", "ord")
 WITHIN = ("w:p", "w:t", "w:tabs", "m:oMath", "mc:Choice", *M.HOLDERS)
 
 
-def formula_nodes(spark, sf_dir) -> DataFrame:
+def formula_parts(spark, sf_dir) -> DataFrame:
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("s"), "p_brand")
     args = [F.col("k").cast("string"), F.col("s").cast("string"), F.col("p_brand"), F.when(F.col("s") % 3 == 0, "∏").when(F.col("s") % 3 == 1, "?").otherwise("∑"), (F.col("s") % 2 == 0).cast("int").cast("string")]
     shape = F.coalesce(*(F.when(F.col("k") % len(_SHAPES) == i, F.format_string(xml, *args)) for i, xml in enumerate(_SHAPES)))
     xml = F.concat(F.lit("<w:p><w:r><w:t>see </w:t></w:r>"), shape, F.lit("<w:r><w:t> end</w:t></w:r></w:p>"))
     docs = p.select(F.floor(F.col("k") / DOC_ROWS).cast("string").alias("doc_id"), "k", xml.alias("x")).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda r: r["x"]), "").alias("body"))
     content = F.encode(F.concat(F.lit(f"<w:document {_NS}><w:body>"), "body", F.lit("</w:body></w:document>")), "UTF-8")
-    return stored(P.xml_nodes(docs.select("doc_id", F.lit("word/document.xml").alias("part_path"), content.alias("content")), True, COLUMNS, WITHIN), "nodes")
+    return docs.select("doc_id", F.lit("word/document.xml").alias("part_path"), content.alias("content"))
+
+
+def formula_nodes(spark, sf_dir) -> DataFrame:
+    return stored(P.xml_nodes(formula_parts(spark, sf_dir), True, COLUMNS, WITHIN), "nodes")
 
 
 def package_formula_text(spark, sf_dir):
@@ -73,15 +77,17 @@ def _read(tree: DataFrame) -> DataFrame:
 
 def package_formula_splice(spark, sf_dir):
     """Documents 2n and 2n + 1 give each other's paragraphs their formulas, behind the first word, and the count of these."""
-    nodes = formula_nodes(spark, sf_dir)
-    tree = stored(T.tree_of(nodes), "tree")
-    places = stored(_places(nodes), "places")
-    source = S.carriers(tree).join(places, ["doc_id", "part_path", "path"])
+    parts = formula_parts(spark, sf_dir)
+    # as many files as shuffles have partitions: of few bytes there would be one, and reading is work
+    parts = stored(parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", "part_path"), "parts")
+    places = stored(S.paragraphs(parts), "places")
+    source = places.where("formulas > 0").withColumn("index", F.explode(F.sequence(F.lit(0), F.col("formulas") - 1)))
     source = source.select(F.col("doc_id").alias("source_doc"), F.col("part_path").alias("source_part"), F.col("path").alias("source_path"), "index", "ord", F.col("doc_id").cast("long").bitwiseXOR(F.lit(1)).cast("string").alias("doc_id"))
-    splices = source.join(places, ["doc_id", "ord"]).withColumns({"id": F.struct("ord", "index"), "where": F.lit("after"), "anchor": F.lit("see"), "instance": F.lit(1)})
-    after = stored(S.splice(tree, splices), "spliced")
+    splices = source.join(places.drop("formulas"), ["doc_id", "ord"]).withColumns({"id": F.struct("ord", "index"), "where": F.lit("after"), "anchor": F.lit("see"), "instance": F.lit(1)})
+    splices = stored(splices, "splices")
     given = splices.groupBy("doc_id", "ord").agg(F.count("*").alias("spliced"))
-    return _read(after).join(given, ["doc_id", "ord"], "left").select("doc_id", "ord", "text", F.coalesce("spliced", F.lit(0)).alias("spliced"))
+    texts = M.texts_of_parts(S.splice_parts(parts, splices)).hint("merge")
+    return texts.join(given, ["doc_id", "ord"], "left").select("doc_id", "ord", "text", F.coalesce("spliced", F.lit(0)).alias("spliced"))
 
 
 def package_formula_replace(spark, sf_dir):

@@ -99,3 +99,48 @@ def test_replacement_beside_formulas(spark):
     tree, refused = S.replace_beside_formulas(nodes_of(spark, d=body), "needle", "pin")
     assert shown(tree) == {"d": ["a pin, needle and pin needlepin", "needle"]}
     assert {tuple(r["surface"]): r["n"] for r in refused.collect()} == {tuple(p(0)): 2, tuple(p(1)): 1}
+
+
+def both(spark, rows, properties="all", **docs):
+    """What stands in the bodies and what is read, by splices of node tables and of parts."""
+    parts = spark.createDataFrame([(d, PART, f"<w:document {NS}><w:body>{body}</w:body></w:document>".encode()) for d, body in docs.items()] + [("b", "word/media/i.png", b"\x89")], "doc_id string, part_path string, content binary")
+    of_nodes = S.splice(T.tree_of(P.xml_nodes(parts)), rows, properties)
+    out = S.splice_parts(parts, rows, properties)
+    assert out.where("part_path LIKE '%png'").collect()[0].content == b"\x89" and out.count() == len(docs) + 1
+    again = T.tree_of(P.xml_nodes(out))
+    texts = {}
+    for r in M.texts_of_parts(out).orderBy("doc_id", "ord").collect():
+        texts.setdefault(r.doc_id, []).append(r.text)
+    return bodies(of_nodes), bodies(again), shown(of_nodes), texts, {r.doc_id: bytes(r.content).decode() for r in out.where("part_path LIKE '%xml'").collect()}
+
+
+def test_parts_are_spliced_as_node_tables_are(spark):
+    atoms = "<w:p><w:r><w:rPr><w:i/></w:rPr><w:t>ab</w:t><w:tab/><w:t/><w:drawing/><w:t>cab</w:t><w:br/></w:r><w:ins><w:r><w:t>abc</w:t></w:r></w:ins><w:hyperlink><w:r><w:t>ab</w:t></w:r></w:hyperlink><w:r><w:t> ab</w:t></w:r></w:p>"
+    target = f"<w:p><w:pPr><w:jc w:val='left'/></w:pPr>{t('ab', '<w:i/>')}{t('cabd')}</w:p><w:p/>{atoms}"
+    rows = splices(
+        spark, (0, 0, "start", None, None), (0, 1, "end", None, None), (0, 0, "after", "bc", 1), (0, 1, "before", "ab", 2), (0, 1, "after", "a", 1), (0, 0, "after", "a", 1), (1, 0, "start", None, None), (1, 1, "end", None, 1),
+        (2, 0, "before", "ab", 1), (2, 1, "after", "ab\t", 1), (2, 0, "before", "cab", 1), (2, 1, "after", "cab\n", 1), (2, 0, "before", "c ab", 1), (2, 1, "after", " ab", 1), (2, 0, "after", "b", 3), (2, 1, "start", None, None),
+    )
+    for properties in ("all", "formula", "none"):
+        nodes, parts, read, texts, content = both(spark, rows, properties, a=SOURCE, b=target, c=SOURCE)
+        assert parts == nodes and texts == read
+        assert content["c"] == content["a"] == f"<w:document {NS}><w:body>{SOURCE}</w:body></w:document>"
+
+
+@pytest.mark.parametrize(("row", "message"), [((0, 2, "end", None, None), "no formula 2"), ((0, 0, "after", "zz", 1), "not found: zz"), ((0, 0, "after", "b", 2), "not found: b"), ((7, 0, "end", None, None), "no paragraph"), ((0, 0, "beside", None, None), "no such place")])
+def test_errors_of_parts(spark, row, message):
+    parts = spark.createDataFrame([(d, PART, f"<w:document {NS}><w:body>{body}</w:body></w:document>".encode()) for d, body in (("a", SOURCE), ("b", f"<w:p>{t('b')}</w:p>"))], "doc_id string, part_path string, content binary")
+    with pytest.raises(Exception, match=message):
+        S.splice_parts(parts, splices(spark, row)).collect()
+    with pytest.raises(Exception, match="no formula"):
+        S.splice_parts(parts.where("doc_id = 'b'"), splices(spark, (0, 0, "end", None, None))).collect()
+
+
+def test_a_part_in_another_encoding(spark):
+    """What comes into it may have characters that its encoding lacks."""
+    xml = f'<?xml version="1.0" encoding="ISO-8859-1"?><w:document {NS}><w:body><w:p>{t("é")}</w:p></w:body></w:document>'
+    source = f"<w:document {NS}><w:body><w:p>{math('∑')}</w:p></w:body></w:document>"
+    parts = spark.createDataFrame([("a", PART, source.encode()), ("b", PART, xml.encode("latin-1")), ("c", PART, xml.encode("latin-1"))], "doc_id string, part_path string, content binary")
+    got = {r.doc_id: bytes(r.content) for r in S.splice_parts(parts, splices(spark, (0, 0, "after", "é", 1))).collect()}
+    assert got["c"] == xml.encode("latin-1")
+    assert got["b"].decode() == xml.replace("ISO-8859-1", "UTF-8").replace("</w:r></w:p>", f"</w:r>{math('∑')}</w:p>")

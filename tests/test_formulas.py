@@ -88,3 +88,29 @@ def test_paragraphs_with_formulas(spark):
 def test_nothing(spark):
     nodes = nodes_of(spark, "")
     assert M.formula_texts(nodes).count() == M.components(nodes).count() == M.display_texts(nodes).count() == 0
+
+
+def test_parts_read_as_node_tables_do(spark):
+    """Random formulas, and paragraphs in each other, in links, controls and alternate content, read in one go."""
+    rng = random.Random(11)
+    t = lambda: f"<w:r><w:t>{rng.choice('abc')}</w:t>{rng.choice(['', '<w:tab/>', '<w:br/>', '<w:noBreakHyphen/>', '<w:delText>gone</w:delText>'])}</w:r>"
+    math = lambda: rng.choice(["<m:oMath>{}</m:oMath>", "<m:oMathPara><m:oMath>{}</m:oMath><m:oMath/></m:oMathPara>", "<w:r><m:oMath>{}</m:oMath></w:r>"]).format(made(rng, rng.randint(0, 3)))
+
+    def inner(depth):
+        out = rng.choice(["", "<w:pPr><w:tabs><w:tab w:val='left'/></w:tabs></w:pPr>"])
+        for _ in range(rng.randint(0, 4)):
+            kind = rng.choice(["t", "t", "m", "h", "f", "s", "a", "p"]) if depth else rng.choice("tm")
+            out += {
+                "t": t, "m": math, "h": lambda: f"<w:hyperlink>{inner(depth - 1)}</w:hyperlink>", "f": lambda: f"<w:fldSimple>{inner(depth - 1)}</w:fldSimple>", "s": lambda: f"<w:sdt><w:sdtContent>{inner(depth - 1)}</w:sdtContent></w:sdt>",
+                "a": lambda: f"<mc:AlternateContent><mc:Choice>{inner(depth - 1)}</mc:Choice><mc:Fallback>{inner(depth - 1)}</mc:Fallback></mc:AlternateContent>", "p": lambda: f"<w:r><w:txbxContent><w:p>{inner(depth - 1)}</w:p></w:txbxContent></w:r>",
+            }[kind]()
+        return out
+
+    data = [(f"d{k}", "word/document.xml", f"<w:document {NS}><w:body>{''.join(f'<w:p>{inner(3)}</w:p>' for _ in range(12))}</w:body></w:document>".encode()) for k in range(8)] + [("d0", "word/media/x.png", b"x")]
+    parts = spark.createDataFrame(data, "doc_id string, part_path string, content binary")
+    want, got = {}, {}
+    for x in M.display_texts(P.xml_nodes(parts)).orderBy("doc_id", "node_id").collect():
+        want.setdefault(x["doc_id"], []).append(x["text"])
+    for x in M.texts_of_parts(parts).orderBy("doc_id", "ord").collect():
+        got.setdefault(x["doc_id"], []).append(x["text"])
+    assert got == want and sum(map(len, want.values())) > 96

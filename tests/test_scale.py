@@ -171,3 +171,23 @@ def test_a_log_is_replayed_in_one_shuffle_without_tables_between(spark, monkeypa
     plan = plan_of(out)
     above = plan[: plan.index("Union")]
     assert names == [] and above.count("Exchange") == 1 and above.count("MapInArrow") == 1 and "Join" not in above
+
+
+def test_formulas_come_into_parts_without_a_row_for_each_node(spark, monkeypatch):
+    """Node rows of both documents were joined a dozen times; a part is read where its formulas are, and where formulas come in."""
+    from quirespark.operators import formula_splice as S
+    from quirespark.operators import formulas as M
+    from quirespark.plans import formula_plans
+
+    def never(*_, **__):
+        raise AssertionError("nodes became rows")
+
+    part = spark.range(200).selectExpr("id AS p_partkey", "CAST(id % 50 AS INT) AS p_size", "'b' AS p_brand")
+    monkeypatch.setattr(formula_plans, "table", lambda *_: part)
+    monkeypatch.setattr(formula_plans.P, "xml_nodes", never)
+    out = formula_plans.package_formula_splice(spark, "")
+    assert out.where("spliced = 1").count() == 150 and out.count() == 200
+    parts = stored(formula_plans.formula_parts(spark, ""), "parts")
+    splices = spark.createDataFrame([(0, "1", "word/document.xml", [0.0, 0.0, 0.0], "0", "word/document.xml", [0.0, 0.0, 0.0], 0, "end", None, 1)], "id int, doc_id string, part_path string, path array<double>, source_doc string, source_part string, source_path array<double>, index int, where string, anchor string, instance int")
+    plan = plan_of(M.texts_of_parts(S.splice_parts(parts, splices)))
+    assert plan.count("MapInArrow") == 3 and plan.count("SortMergeJoin") == 1 and "Broadcast" not in plan and "Window" not in plan
