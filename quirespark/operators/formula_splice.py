@@ -7,7 +7,6 @@ read and written (`splice_parts`) a task holds one part: formulas go from the pa
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 from ..sources.scratch import stored
 from . import inline as I
 from . import tree as T
-from .documents import Document, Node, in_turn
+from .documents import Document, Node, as_written, in_turn, rarely_collected, written
 from .formulas import formula_texts
 from .tree import KEY, TREE
 
@@ -126,44 +125,31 @@ def paragraphs(parts: DataFrame) -> DataFrame:
     kinds = pa.schema([("doc_id", pa.string()), ("part_path", pa.string()), ("path", pa.list_(pa.float64())), ("ord", pa.int64()), ("formulas", pa.int32())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, part, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                document = Document(doc)
-                document.parse(part, data, False)
-                rows = [(doc, part, n.path, k, len(_carriers_in(n))) for k, n in enumerate(n for n in document.nodes[part] if n.name == "w:p")]
-                document.drop()
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
+        with rarely_collected():
+            for batch in batches:
+                for doc, part, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    document = Document(doc)
+                    document.parse(part, data, False)
+                    rows = [(doc, part, n.path, k, len(_carriers_in(n))) for k, n in enumerate(n for n in document.nodes[part] if n.name == "w:p")]
+                    document.drop()
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
 
     return parts.where(F.col("part_path").rlike(_XML)).select(*KEY, "content").mapInArrow(read, "doc_id string, part_path string, path array<double>, ord long, formulas int")
 
 
-def _packed(carrier: Node, properties: str) -> str:
-    """A formula's nodes as JSON, each with its depth; of a run's properties what is to be kept."""
-    out, stack = [], [(carrier, 0)]
-    while stack:
-        node, depth = stack.pop()
-        out.append((depth, node.kind, node.name, node.attrs, node.text))
-        kids = node.children
-        if carrier.name == "w:r" and properties != "all":
-            if node is carrier:
-                kids = kids if properties == "formula" else [x for x in kids if x.name != "w:rPr"]
-            elif depth == 1 and node.name == "w:rPr":
-                kids = [x for x in kids if x.name in KEPT]
-        stack += [(x, depth + 1) for x in reversed(kids)]
-    return json.dumps(out, ensure_ascii=False, separators=(",", ":"))
-
-
-def _unpacked(packed: str) -> Node:
-    stack: list[Node] = []
-    for depth, kind, name, attrs, text in json.loads(packed):
-        node = Node(kind, name, [tuple(a) for a in attrs], text)
-        del stack[depth:]
-        if stack:
-            node.up = stack[-1]
-            node.up.children.append(node)
-        stack.append(node)
-    return stack[0]
+def _packed(carrier: Node, properties: str) -> tuple[str, list[str]]:
+    """A formula as it is written, with the prefixes in use; of a run's properties what is to be kept."""
+    if carrier.name != "w:r" or properties == "all":
+        return written(carrier, lambda x: x.children)
+    heads = [x for x in carrier.children if x.name == "w:rPr"]
+
+    def children(node: Node) -> list[Node]:
+        if node is carrier and properties == "none":
+            return [x for x in node.children if x.name != "w:rPr"]
+        return [x for x in node.children if x.name in KEPT] if node in heads else node.children
+
+    return written(carrier, children)
 
 
 def _paths(document: Document, part: str | None) -> dict[tuple, Node]:
@@ -171,8 +157,8 @@ def _paths(document: Document, part: str | None) -> dict[tuple, Node]:
 
 
 def _formulas(parts: DataFrame, wanted: DataFrame, properties: str) -> DataFrame:
-    """(source_doc, source_part, source_path, index, n, formula): each of the formulas that are wanted, packed, and how many its paragraph has."""
-    kinds = pa.schema([("source_doc", pa.string()), ("source_part", pa.string()), ("source_path", pa.list_(pa.float64())), ("index", pa.int32()), ("n", pa.int32()), ("formula", pa.string())])
+    """(source_doc, source_part, source_path, index, n, formula, prefixes): each of the formulas that are wanted as it is written, with the prefixes in use, and how many its paragraph has."""
+    kinds = pa.schema([("source_doc", pa.string()), ("source_part", pa.string()), ("source_path", pa.list_(pa.float64())), ("index", pa.int32()), ("n", pa.int32()), ("formula", pa.string()), ("prefixes", pa.list_(pa.string()))])
 
     def done(key: tuple, rows: Iterator[dict]) -> Iterator[tuple]:
         document, data = Document(key[0]), None
@@ -189,14 +175,14 @@ def _formulas(parts: DataFrame, wanted: DataFrame, properties: str) -> DataFrame
             own = [] if paragraph is None else _carriers_in(paragraph)
             index = row["index"]
             here = index is not None and 0 <= index < len(own)
-            yield *key, row["source_path"], index, len(own), _packed(own[index], properties) if here else None
+            yield *key, row["source_path"], index, len(own), *(_packed(own[index], properties) if here else (None, None))
         document.drop()
 
     asked = wanted.select(*_SOURCE, F.col("index").cast("int").alias("index")).distinct().where("source_path IS NOT NULL")
     things = parts.where(F.col("part_path").rlike(_XML)).select(F.col("doc_id").alias("source_doc"), F.col("part_path").alias("source_part"), "content")
     order = [F.col("source_path").isNotNull(), "source_path", "index"]
     return _dealt(things.unionByName(asked, allowMissingColumns=True), ["source_doc", "source_part"], order).mapInArrow(
-        lambda batches: in_turn(batches, ("source_doc", "source_part"), done, kinds), "source_doc string, source_part string, source_path array<double>, index int, n int, formula string"
+        lambda batches: in_turn(batches, ("source_doc", "source_part"), done, kinds), "source_doc string, source_part string, source_path array<double>, index int, n int, formula string, prefixes array<string>"
     )
 
 
@@ -217,7 +203,7 @@ def splice_parts(parts: DataFrame, splices: DataFrame, properties: str = "all")
     kinds = pa.schema([("doc_id", pa.string()), ("part_path", pa.string()), ("content", pa.binary())])
     parts, splices = stored(parts.select(*KEY, "content"), "parts"), stored(splices.withColumn("index", F.col("index").cast("int")), "splices")
     rows = splices.join(_formulas(parts, splices, properties), [*_SOURCE, "index"], "left")
-    rows = rows.select(*KEY, "id", F.col("path").alias("at"), "index", "where", "anchor", F.coalesce("instance", F.lit(1)).cast("int").alias("instance"), "n", "formula", F.lit(True).alias("_asked"))
+    rows = rows.select(*KEY, "id", F.col("path").alias("at"), "index", "where", "anchor", F.coalesce("instance", F.lit(1)).cast("int").alias("instance"), "n", "formula", "prefixes", F.lit(True).alias("_asked"))
 
     def done(key: tuple, rows: Iterator[dict]) -> Iterator[tuple]:
         data, asked = None, []
@@ -234,11 +220,11 @@ def splice_parts(parts: DataFrame, splices: DataFrame, properties: str = "all")
             document.parse(key[1], data)
         _spliced(document, key[1], asked)
         document.finish()
-        yield *key, dict(document.changed()).get(key[1], data)
+        yield *key, dict(document.changed(alike=False)).get(key[1], data)
         document.drop()
 
     dealt = _dealt(parts.unionByName(rows, allowMissingColumns=True), KEY, [F.col("_asked").isNotNull(), "id"])
-    return dealt.select(*KEY, "content", "_asked", "at", "index", "where", "anchor", "instance", "n", "formula").mapInArrow(lambda batches: in_turn(batches, tuple(KEY), done, kinds), "doc_id string, part_path string, content binary")
+    return dealt.select(*KEY, "content", "_asked", "at", "index", "where", "anchor", "instance", "n", "formula", "prefixes").mapInArrow(lambda batches: in_turn(batches, tuple(KEY), done, kinds), "doc_id string, part_path string, content binary")
 
 
 def _texts(paragraph: Node) -> list[tuple[Node, Node, str]]:
@@ -356,7 +342,7 @@ def _spliced_into(document: Document, paragraph: Node, rows: list[dict]) -> None
     last: list[Node] = []
     beside: dict[int, Node] = {}
     for k, row in enumerate(rows):
-        new = _unpacked(row["formula"])
+        new = as_written(row["formula"], row["prefixes"])
         if row["where"] == "end":
             last.append(new)
             continue

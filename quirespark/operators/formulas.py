@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..sources.packages import attribute
 from ..sources.scratch import stored
-from .documents import Document, Node
+from .documents import Document, Node, rarely_collected
 
 #: The components that are known, and their arguments in reading order. All others read as the text in them.
 ARGUMENTS = {"m:f": ("m:num", "m:den"), "m:sSub": ("m:e", "m:sub"), "m:sSup": ("m:e", "m:sup"), "m:sSubSup": ("m:e", "m:sub", "m:sup"), "m:rad": ("m:deg", "m:e"), "m:nary": ("m:sub", "m:sup", "m:e"), "m:acc": ("m:e",)}
@@ -157,35 +157,49 @@ def formula_text(math: Node) -> str:
 
 
 _SHOWN = {"w:tab": "\t", "w:br": "\n", "w:cr": "\n", "w:noBreakHyphen": "\u2011"}
+_MATTERS = frozenset(("w:p", "w:t", "w:tabs", "m:oMath", "mc:Choice", *HOLDERS, *_SHOWN))
 
 
 def part_texts(tops: list[Node]) -> Iterator[tuple[Node, str]]:
     """What each paragraph of a part reads as, see `display_texts`, in the document's order."""
     found: list[tuple[Node, list[tuple[int, str]]]] = []
-    # a paragraph's texts with their places; whether in a w:t, w:tabs or formula; the innermost holders of each kind in the paragraph
+    # around a node: its paragraph's texts with their places; whether it is in a w:t, w:tabs or formula; the innermost holders of each kind in the paragraph; the place that these give
     none = (-1,) * len(HOLDERS)
-    stack: list[tuple] = [(top, None, False, False, False, none) for top in reversed(tops)]
+    outside = (None, False, False, False, none, 0)
+    stack = [(top, outside) for top in reversed(tops)]
     count = 0
     while stack:
-        node, texts, in_text, in_tabs, in_math, holders = stack.pop()
-        count += 1
-        name = node.name if node.kind == "element" else None
-        if name == "mc:Choice":
+        node, around = stack.pop()
+        name = node.name
+        if name is None:
+            texts, in_text, in_tabs, in_math, _, place = around
+            if in_text and texts is not None and node.kind == "text" and not in_tabs and not in_math:
+                texts.append((place, node.text))
             continue
-        if name == "w:p":
-            texts, holders = [], none
-            found.append((node, texts))
-        elif name in HOLDERS:
-            k = HOLDERS.index(name)
-            holders = (*holders[:k], count, *holders[k + 1 :])
-        in_text, in_tabs = in_text or name == "w:t", in_tabs or name == "w:tabs"
-        if texts is not None:
-            text = formula_text(node) if name == "m:oMath" else None if in_tabs or in_math else node.text if node.kind == "text" and in_text else _SHOWN.get(name)
-            if text:
-                texts.append((0 if holders is none else min((at, k + 1) for k, at in enumerate(holders) if at >= 0)[1], text))
-        in_math = in_math or name == "m:oMath"
-        if node.children:
-            stack += [(x, texts, in_text, in_tabs, in_math, holders) for x in reversed(node.children)]
+        if name in _MATTERS:
+            if name == "mc:Choice":
+                continue
+            texts, in_text, in_tabs, in_math, holders, place = around
+            if name == "w:p":
+                texts, holders, place = [], none, 0
+                found.append((node, texts))
+            elif name in HOLDERS:
+                k, count = HOLDERS.index(name), count + 1
+                holders = (*holders[:k], count, *holders[k + 1 :])
+                place = min((at, k + 1) for k, at in enumerate(holders) if at >= 0)[1]
+            elif name == "m:oMath":
+                if texts is not None:
+                    texts.append((place, formula_text(node)))
+                in_math = True
+            elif name == "w:t":
+                in_text = True
+            elif name == "w:tabs":
+                in_tabs = True
+            elif texts is not None and not in_tabs and not in_math:
+                texts.append((place, _SHOWN[name]))
+            around = (texts, in_text, in_tabs, in_math, holders, place)
+        for x in reversed(node.children):
+            stack.append((x, around))
     for node, texts in found:
         yield node, "".join([text for _, text in sorted(texts, key=lambda x: x[0])])
 
@@ -195,13 +209,15 @@ def texts_of_parts(parts: DataFrame) -> DataFrame:
     kinds = pa.schema([("doc_id", pa.string()), ("part_path", pa.string()), ("ord", pa.int64()), ("text", pa.string())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, part, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                document = Document(doc)
-                document.parse(part, data, False)
-                texts = [text for _, text in part_texts(document.tops[part])]
-                document.drop()
-                if texts:
+        with rarely_collected():
+            for batch in batches:
+                for doc, part, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    document = Document(doc)
+                    document.parse(part, data, False)
+                    texts = [text for _, text in part_texts(document.tops[part])]
+                    document.drop()
+                    if not texts:
+                        continue
                     yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(doc, pa.string()), len(texts)), pa.repeat(pa.scalar(part, pa.string()), len(texts)), pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], schema=kinds)
 
     return parts.where(F.col("part_path").rlike(r"\.(xml|rels)$")).select("doc_id", "part_path", "content").mapInArrow(read, "doc_id string, part_path string, ord long, text string")
